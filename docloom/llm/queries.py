@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, minhash, mixing, packing, quality, token_files
+from . import exact_dedup, minhash, mixing, packing, pii, quality, token_files
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,12 +57,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(documents(spark, sf_dir))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_packing": op3_packing,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_minhash": op7_minhash,
+    "op8_pii": op8_pii,
     "op10_mixing": op10_mixing,
 }
 ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_quality": quality.SQL}
