@@ -7,23 +7,47 @@ characters, or with the literal of a special token, are encoded whole.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterable
 
-#: Ids as little-endian unsigned 32-bit integers.
-WIDTH = 4
-#: Distinct words that a worker remembers; the memory is emptied when full.
-CACHE_WORDS = 400_000
-#: Longer words aren't remembered.
-CACHE_CHARS = 64
+#: Words, and characters of words, in each of the two generations that a worker remembers. A full one becomes the older
+#: one, from which words that come again are taken over.
+CACHE_WORDS, CACHE_CHARS = 250_000, 10_000_000
 
-_ODD_SPACE = re.compile(r"[^\S \t\n\r\x0b\x0c]|[\x1c-\x1f\x85]")
+#: White space beyond the six ASCII characters, as Python or the vocabularies' patterns see it.
+_ODD = tuple("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _SPACED = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
 _PLAIN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: A word of Latin letters, with the space before it and one mark after it; the vocabularies split it there.
+_SIMPLE = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
 _encoders: dict[str, Encoder] = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in byte-level vocabularies: itself where printable, else the next
+    letter from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
+
+
+class Places(dict):
+    """A number for each word; a new word gets the next one and is noted, or its ids are if the older generation has them."""
+
+    def __init__(self, older: dict[str, int], ids: list[bytes]):
+        self.new: list[str | bytes] = []
+        self.older, self.older_ids = older, ids
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        old = self.older.get(word)
+        self.new.append(word if old is None else self.older_ids[old])
+        return n
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -31,41 +55,63 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        import json
-
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
-        self.split = (_SPACED if said["pre_tokenizer"]["type"] == "ByteLevel" else _PLAIN).findall
+        self.spaced = said["pre_tokenizer"]["type"] == "ByteLevel"
+        self.split = (_SPACED if self.spaced else _PLAIN).findall
+        self.lower = "Lowercase" in json.dumps(said["normalizer"])
+        self.letters = byte_letters()
+        self.marks = {c: self._model(c) if c else b"" for c in ("", *".,;:!?")}
         self.special = [t["content"] for t in said["added_tokens"]]
         self.size = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.places, self.ids, self.chars = Places({}, []), [], 0
+
+    def _model(self, word: str) -> bytes:
+        """The merges alone, for a word that needs no further splitting."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of the split; simple ones go to the merges without the library's normaliser and splitter."""
+        out, rest, letters = [], [], self.letters
+        for n, word in enumerate(words):
+            if found := _SIMPLE(word):
+                space, core, mark = found.groups()
+                if not core.isascii():
+                    core = "".join([letters[b] for b in (core.lower() if self.lower else core).encode()])
+                elif self.lower:
+                    core = core.lower()
+                out.append(self._model(letters[32] + core if space else core) + self.marks[mark])
+            else:
+                out.append(b"")
+                rest.append(n)
+        for n, ids in zip(rest, self._ids([words[n] for n in rest]), strict=True):
+            out[n] = ids
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+        out = []
+        for at in range(0, len(texts), 2_000):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 2_000], add_special_tokens=False)]
+        return out
 
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _odd(self, text: str) -> bool:
+        return any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)) or any(s in text for s in self.special)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text (none for null) as bytes."""
-        out: list[bytes] = []
+        """The ids of each text (none for null) as bytes: little-endian unsigned 32-bit integers."""
+        if len(self.places) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            older = dict(self.places)
+            self.places, self.ids, self.chars = Places(older, self.ids), [], 0
+        place, found = self.places.__getitem__, []
         for text in texts:
-            if not text:
-                out.append(b"")
-                continue
-            if _ODD_SPACE.search(text) or any(s in text for s in self.special):
-                out += self._ids([text])
-                continue
-            words = self.split(text)
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            new = list(set(words).difference(self.known))
-            extra: dict[str, bytes] = {}
-            if new:
-                for word, ids in zip(new, self._ids(new), strict=True):
-                    (self.known if len(word) <= CACHE_CHARS else extra)[word] = ids
-            get = self.known.__getitem__ if not extra else lambda w, k=self.known, e=extra: e[w] if w in e else k[w]
-            out.append(b"".join(map(get, words)))
-        return out
+            found.append(text if text and self._odd(text) else list(map(place, self.split(text or ""))))
+        new = self.places.new
+        coded = iter(self._words([w for w in new if isinstance(w, str)]))
+        self.ids += [next(coded) if isinstance(w, str) else w for w in new]
+        self.chars += sum(map(len, new))
+        self.places.new.clear()
+        ids = self.ids.__getitem__
+        return [self._ids([x])[0] if isinstance(x, str) else b"".join(map(ids, x)) for x in found]
 
 
 def encoder(path: str) -> Encoder:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, arrow_limits, durable, lookup, within
@@ -98,8 +98,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, halves:
     100 * intersection >= threshold * union.
 
     With 12 half-keys of 4 minhashes a side, a pair at 0.85 shares a table with probability 0.9997. Buckets don't make all
-    their pairs: each member is compared with the bucket's least member (its pivot); what is then in other components of the
-    same bucket is compared pair by pair unless the distances to the pivot, which obey the triangle inequality, rule a link out."""
+    their pairs: each member is compared with the bucket's least member (its pivot); where a bucket then still holds
+    several components, an exact prefix filter finds what may link them."""
     arrow_limits(docs.sparkSession)
     light = durable(sketches(docs, size, halves, rows, id_col, text_col), "near-light")
     sets = durable(light.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys")), "near-classes")
@@ -125,7 +125,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, halves:
         links = links.unionByName(again)
     links = durable(links, "near-links")
     of = durable(components(links), "near-labels")
-    rest = residual(tables, buckets, sizes, of, threshold, alive.count() * halves * halves)
+    rest = residual(docs, tables, buckets, of, threshold, size, alive.count() * halves * halves, id_col, text_col)
     if not rest.isEmpty():
         links = durable(links.unionByName(compare(docs, rest, size, id_col, text_col).filter(linked).select("a", "b")), "near-links")
         of = durable(components(links), "near-labels")
@@ -140,15 +140,41 @@ def _repeated(named: DataFrame) -> bool:
     return not named.groupBy("doc_id").agg(F.min("digest").alias("x"), F.max("digest").alias("y")).filter("x <> y").isEmpty()
 
 
-def residual(tables: DataFrame, buckets: DataFrame, sizes: DataFrame, of: DataFrame, threshold: int, total: int) -> DataFrame:
-    """Pairs of bucket mates in different components, neither the pivot, that the distances to the pivot leave possible."""
-    label = of.withColumnRenamed("node", "rep")
-    seen = sizes.select(F.col("a").alias("pivot"), F.col("b").alias("rep"), (1 - F.col("same") / F.col("total")).alias("far"))
-    inside = lookup(tables, buckets.filter("c > 2"), ["key"], "c", total, "inner")
-    rows = inside.filter("rep <> pivot").join(seen, ["pivot", "rep"]).join(F.broadcast(label) if label.count() <= BROADCAST_ROWS else label, "rep", "left").select("key", "rep", "far", F.coalesce("component", "rep").alias("label"))
+def residual(docs: DataFrame, tables: DataFrame, buckets: DataFrame, of: DataFrame, threshold: int, size: int, total: int, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) in different components that may still be linked, by an exact prefix filter among the documents of buckets
+    in which several components meet.
+
+    Such documents' shingles are ordered by how many of these documents have them, rare ones first. Two sets with the
+    threshold's overlap share a shingle among their first n - ceil(threshold * n) + 1, and the first shared one leaves enough behind
+    it in both. In a group of copies with edits the first ones are the edits, so that pairs come from common edits alone.
+    Of a shingle's documents, those outside its largest component are joined with all."""
+    label = of.select(F.col("node").alias("rep"), "component")
+    inside = lookup(tables, buckets.filter("c > 2"), ["key"], "c", total, "inner").select("key", "rep")
+    rows = inside.join(F.broadcast(label) if label.count() <= BROADCAST_ROWS else label, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
     mixed = durable(rows.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key", "c"), "near-mixed")
-    left = durable(lookup(rows, mixed, ["key"], "c", total, "inner").drop("c"), "near-open")
-    other = left.select("key", F.col("rep").alias("rep2"), F.col("far").alias("far2"), F.col("label").alias("label2"))
-    near = F.abs(F.col("far") - F.col("far2")) <= 1 - threshold / 100 + 1e-9
-    met = left.join(other, "key").filter((F.col("rep") < F.col("rep2")) & (F.col("label") != F.col("label2")) & near)
-    return durable(met.select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct(), "near-rest")
+    some = durable(lookup(rows, mixed, ["key"], "c", total, "inner").select("rep", "label").distinct(), "near-open")
+
+    def items(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from docloom.llm.shingles import shingles
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["rep", "items"])
+
+    texts = within(docs.selectExpr(f"cast(`{id_col}` as long) rep", f"`{text_col}` text"), some, ["rep"])
+    each = durable(texts.mapInArrow(items, "rep long, items array<long>").select("rep", F.size("items").alias("n"), F.explode("items").alias("item")), "near-items")
+    often = durable(each.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1"), "near-often")
+    ranked = lookup(each, often, ["item"], "df", each.count()).withColumn("df", F.coalesce("df", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "item"))
+    prefix = ranked.withColumn("r", rank).filter(F.expr(f"r <= n - ceil({threshold} * n / 100.0) + 1 and df > 1")).select("item", "rep", "n", "r")
+    prefix = durable(prefix.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "rep"), "near-prefix")
+    by_label = prefix.groupBy("item", "label").agg(F.count("*").alias("c"))
+    main = durable(by_label.groupBy("item").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c")).filter("labels > 1").select("item", "main", "c"), "near-main")
+    shared = durable(lookup(prefix, main, ["item"], "c", prefix.count(), "inner").select("item", "rep", "n", "r", "label", "main"), "near-shared")
+    minor = shared.filter("label <> main")
+    other = shared.select("item", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("label").alias("label2"), (F.col("label") != F.col("main")).alias("minor2"))
+    enough = F.expr(f"least(n - r, n2 - r2) + 1 >= ceil({threshold} * (n + n2) / {100.0 + threshold})")
+    met = minor.join(other, "item").filter((F.col("label") != F.col("label2")) & enough & (~F.col("minor2") | (F.col("rep") < F.col("rep2"))))
+    return durable(met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), "near-rest")

@@ -115,8 +115,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end_id: in
             held = 0
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = code.encode([text])[0] + end
+            for doc, ids in zip(batch.column(0).to_pylist(), code.encode(batch.column(1).to_pylist()), strict=True):
+                ids += end
                 pieces.extend((doc, start, piece, len(ids) // 4) for start, piece in cut(ids, capacity))
                 held += len(ids) // 4
                 if held >= group_tokens:
