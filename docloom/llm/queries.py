@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, lm, minhash, mixing, packing, pii, quality, token_files, toxicity
+from . import exact_dedup, html_text, lm, minhash, mixing, packing, pii, quality, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,10 +69,15 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(documents(spark, sf_dir))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_packing": op3_packing,
+    "op4_html_text": op4_html_text,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_minhash": op7_minhash,
