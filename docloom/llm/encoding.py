@@ -15,12 +15,12 @@ from collections.abc import Iterable
 
 #: Words, and characters of words, in each of the two generations that a worker remembers. A full one becomes the older
 #: one, from which words that come again are taken over.
-CACHE_WORDS, CACHE_CHARS = 250_000, 10_000_000
+CACHE_WORDS, CACHE_CHARS = 500_000, 20_000_000
 
 #: White space beyond the six ASCII characters, as Python or the vocabularies' patterns see it.
 _ODD = tuple("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
-_SPACED = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+")
-_PLAIN = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+_SPACED = re.compile(r" ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])|[ \t\n\r\x0b\x0c]+").findall
+_MIXED = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")
 #: A word of Latin letters, with the space before it and one mark after it; the vocabularies split it there.
 _SIMPLE = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)").fullmatch
 _encoders: dict[str, Encoder] = {}
@@ -34,18 +34,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(0x100 + n) for n, b in enumerate(rest)}
 
 
-class Places(dict):
-    """A number for each word; a new word gets the next one and is noted, or its ids are if the older generation has them."""
+class Known(dict):
+    """Ids of words, made when a word is first met; `before` is put in front of each word."""
 
-    def __init__(self, older: dict[str, int], ids: list[bytes]):
-        self.new: list[str | bytes] = []
-        self.older, self.older_ids = older, ids
+    def __init__(self, made, before: str, older: Known | None = None):
+        self.made, self.before = made, before
+        self.older, self.chars = older, 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        old = self.older.get(word)
-        self.new.append(word if old is None else self.older_ids[old])
-        return n
+    def __missing__(self, word: str) -> bytes:
+        ids = self.older.get(word) if self.older else None
+        if ids is None:
+            ids = self.made(self.before + word)
+        self[word] = ids
+        self.chars += len(word)
+        return ids
+
+    def next(self) -> Known:
+        """This generation, or once it is full an empty one that takes over words which come again."""
+        if len(self) <= CACHE_WORDS and self.chars <= CACHE_CHARS:
+            return self
+        self.older = None
+        return Known(self.made, self.before, self)
 
 
 class Encoder:
@@ -58,60 +67,53 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.spaced = said["pre_tokenizer"]["type"] == "ByteLevel"
-        self.split = (_SPACED if self.spaced else _PLAIN).findall
         self.lower = "Lowercase" in json.dumps(said["normalizer"])
         self.letters = byte_letters()
         self.marks = {c: self._model(c) if c else b"" for c in ("", *".,;:!?")}
         self.special = [t["content"] for t in said["added_tokens"]]
         self.size = self.tokenizer.get_vocab_size()
-        self.places, self.ids, self.chars = Places({}, []), [], 0
+        self.bare, self.after_space = Known(self._word, ""), Known(self._word, " ")
+        self.line = self._word("\n") if self.spaced else b""
 
     def _model(self, word: str) -> bytes:
         """The merges alone, for a word that needs no further splitting."""
         return array("I", [t.id for t in self.tokenizer.model.tokenize(word)]).tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words of the split; simple ones go to the merges without the library's normaliser and splitter."""
-        out, rest, letters = [], [], self.letters
-        for n, word in enumerate(words):
-            if found := _SIMPLE(word):
-                space, core, mark = found.groups()
-                if not core.isascii():
-                    core = "".join([letters[b] for b in (core.lower() if self.lower else core).encode()])
-                elif self.lower:
-                    core = core.lower()
-                out.append(self._model(letters[32] + core if space else core) + self.marks[mark])
-            else:
-                out.append(b"")
-                rest.append(n)
-        for n, ids in zip(rest, self._ids([words[n] for n in rest]), strict=True):
-            out[n] = ids
-        return out
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of the split; simple ones go to the merges without the library's normaliser and splitter."""
+        found = _SIMPLE(word)
+        if not found:
+            return self._ids([word])[0]
+        space, core, mark = found.groups()
+        if self.lower:
+            core = core.lower()
+        if not core.isascii():
+            core = "".join([self.letters[b] for b in core.encode()])
+        return self._model(self.letters[32] + core if space else core) + self.marks[mark]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(texts), 2_000):
-            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 2_000], add_special_tokens=False)]
-        return out
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _odd(self, text: str) -> bool:
         return any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)) or any(s in text for s in self.special)
 
+    def _text(self, text: str) -> bytes:
+        bare = self.bare.__getitem__
+        if not self.spaced:
+            return b"".join(map(bare, text.split()))
+        if any(s in text for s in _MIXED):
+            return b"".join(map(bare, _SPACED(text)))
+        # one space or one line end between words
+        after, lines = self.after_space.__getitem__, []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(bare(first) + b"".join(map(after, rest)))
+        return self.line.join(lines)
+
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text (none for null) as bytes: little-endian unsigned 32-bit integers."""
-        if len(self.places) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            older = dict(self.places)
-            self.places, self.ids, self.chars = Places(older, self.ids), [], 0
-        place, found = self.places.__getitem__, []
-        for text in texts:
-            found.append(text if text and self._odd(text) else list(map(place, self.split(text or ""))))
-        new = self.places.new
-        coded = iter(self._words([w for w in new if isinstance(w, str)]))
-        self.ids += [next(coded) if isinstance(w, str) else w for w in new]
-        self.chars += sum(map(len, new))
-        self.places.new.clear()
-        ids = self.ids.__getitem__
-        return [self._ids([x])[0] if isinstance(x, str) else b"".join(map(ids, x)) for x in found]
+        self.bare, self.after_space = self.bare.next(), self.after_space.next()
+        return [b"" if not x else self._ids([x])[0] if self._odd(x) else self._text(x) for x in texts]
 
 
 def encoder(path: str) -> Encoder:

@@ -178,3 +178,9 @@ def residual(docs: DataFrame, tables: DataFrame, buckets: DataFrame, of: DataFra
     enough = F.expr(f"least(n - r, n2 - r2) + 1 >= ceil({threshold} * (n + n2) / {100.0 + threshold})")
     met = minor.join(other, "item").filter((F.col("label") != F.col("label2")) & enough & (~F.col("minor2") | (F.col("rep") < F.col("rep2"))))
     return durable(met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), "near-rest")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **named) -> DataFrame:
+    """The rows of docs whose document is the one that its group of near-duplicates keeps, with all their columns."""
+    gone = durable(near_duplicates(docs, id_col=id_col, **named).filter("not kept").select(F.col("doc_id").alias("__id")).distinct(), "near-gone")
+    return within(docs.withColumn("__id", F.col(id_col)), gone, ["__id"], "left_anti").drop("__id")

@@ -125,3 +125,29 @@ def taken_words(docs: DataFrame, **named) -> DataFrame:
     placed, pieces, used = mix(docs, **named)
     sums = pieces.join(used, ["src", "index"]).groupBy("row").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     return placed.join(sums, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", **named) -> DataFrame:
+    """The mix as rows like those of docs: up to three copies of a document, the k-th with the words of its blocks that the mix
+    uses k times or more, in order (the text as it is where those are all). A document without such words has no row;
+    so a source whose target is below its size loses blocks, and one above it repeats them. Character counts are made anew."""
+    placed, pieces, used = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **named)
+    part = F.struct("start", "words", "uses")
+    # the blocks of one document, which its text bounds
+    plans = pieces.join(used, ["src", "index"]).groupBy("row").agg(F.sort_array(F.collect_list(part)).alias("__parts"), F.sum("words").alias("__words"))
+    plans = durable(placed.select("row", "size", F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).join(plans, "row"), "mix-plans").drop("row")
+    texts = docs.withColumn("__id", F.col(id_col)).withColumn("__mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    if not placed.groupBy("doc_id", "mark").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        texts = texts.dropDuplicates(["__id", "__mark"])
+    keys = plans.select("__parts", "__words", F.col("size").alias("__size"), F.col("__id").alias("__i"), F.col("__mark").alias("__m"))
+    out = texts.join(keys, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m"))).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("__parts", lambda p: p["uses"])).cast("int"))))
+    some = F.filter("__parts", lambda p: p["uses"] >= F.col("__copy"))
+    out = out.withColumn("__some", some)
+    whole = F.aggregate("__some", F.lit(0).cast("long"), lambda s, p: s + p["words"]) == F.col("__size")
+    words = F.array_remove(F.split(F.col(text_col), f"{SPACE}+"), "")
+    out = out.withColumn("__split", F.when(~whole, words))
+    cut = F.array_join(F.flatten(F.transform("__some", lambda p: F.slice("__split", (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    out = out.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(cut))
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(dict(docs.dtypes)[chars_col]))
+    return out.select(*docs.columns)
