@@ -1 +1,165 @@
+"""Fuzzy, blocking, clustering and lookup queries. Mention names: part names; firms: brands; groups: orders."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from docloom.functions import fuzzy as fz
+from docloom.functions import text as tx
+from docloom.operators import entity as en
+from docloom.operators import resolve as rs
+from docloom.registry import query
+
+
+def words(t) -> DataFrame:
+    return t.part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+
+
+def word_pairs(t) -> DataFrame:
+    w = words(t)
+    a, b = w.select(F.substring("w", 1, 1).alias("k"), F.col("w").alias("a")), w.select(F.substring("w", 1, 1).alias("k"), F.col("w").alias("b"))
+    return a.join(b, "k").filter("a < b").select("a", "b")
+
+
+WORDS = "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON substr(a.w, 1, 1) = substr(b.w, 1, 1) AND a.w < b.w)"
+
+
+@query("sf02_sf03_levenshtein", f"WITH {WORDS} SELECT a, b, levenshtein(a, b) AS d, (a = b OR (length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a))) OR (least(length(a), length(b)) >= 5 AND levenshtein(a, b) <= 1)) AS same FROM p")
+def levenshtein(t):
+    return word_pairs(t).select("a", "b", F.levenshtein("a", "b").alias("d"), fz.same_surname(F.col("a"), F.col("b")).alias("same"))
+
+
+@query("sf01_sf04_soundex", "SELECT * FROM (VALUES ('Robert', 'R163'), ('Rupert', 'R163'), ('Tymczak', 'T522'), ('Pfister', 'P236'), ('Ashcraft', 'A261'), ('', '')) v(name, code)")
+def soundex(t):
+    names = t.spark.createDataFrame([(n,) for n in ("Robert", "Rupert", "Tymczak", "Pfister", "Ashcraft", "")], "name string")
+    return names.select("name", fz.soundex(F.col("name")).alias("code"))
+
+
+@query("sf05_sf09_sf10_sf11_sf12_given", "SELECT * FROM (VALUES ('bill', 'william', 'nick', true), ('j', 'james', 'initial', true), ('aimee', 'amiee', 'none', true), ('ann', 'anne', 'edit1', true), ('john', 'mary', 'none', false), ('', 'tom', 'none', true), ('steve', 'steven', 'nick', true), ('k', 'tom', 'none', false)) v(a, b, relation, related)")
+def given(t):
+    rows = [("bill", "william"), ("j", "james"), ("aimee", "amiee"), ("ann", "anne"), ("john", "mary"), ("", "tom"), ("steve", "steven"), ("k", "tom")]
+    df = t.spark.createDataFrame(rows, "a string, b string")
+    return df.select("a", "b", fz.first_relation(F.col("a"), F.col("b")).alias("relation"), fz.related_given(F.col("a"), F.col("b")).alias("related"))
+
+
+@query("sf06_sf07_sf08_sf13_r01_r10_firm_match", "SELECT * FROM (VALUES ('motley rice', 'rice motley', true), ('weitz luxenberg', 'weitz', true), ('lieff cabraser', 'motley rice', false), ('simmons', 'simmins', true)) v(a, b, same)")
+def firm_match(t):
+    df = t.spark.createDataFrame([("motley rice", "rice motley"), ("weitz luxenberg", "weitz"), ("lieff cabraser", "motley rice"), ("simmons", "simmins")], "a string, b string")
+    return df.select("a", "b", fz.same_firm(tx.tokens(F.col("a")), tx.tokens(F.col("b"))).alias("same"))
+
+
+@query("sf14_anagram", "WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT w, array_to_string(list_sort(string_split(w, '')), '') AS key, substr(w, 1, 1) || right(w, 1) AS ends FROM w")
+def anagram(t):
+    return words(t).select("w", fz.anagram(F.col("w")).alias("key"), F.concat(F.substring("w", 1, 1), F.right("w", F.lit(1))).alias("ends"))
+
+
+TOK = "t AS (SELECT DISTINCT p_name AS n, list_sort(list_distinct(string_split(p_name, ' '))) AS s FROM part), c AS (SELECT DISTINCT a.n AS a, b.n AS b, a.s AS x, b.s AS y FROM (SELECT n, s, unnest(s) AS w FROM t) a JOIN (SELECT n, s, unnest(s) AS w FROM t) b ON a.w = b.w AND a.n < b.n)"
+
+
+@query("m01_m02_j19_jaccard_overlap", f"WITH {TOK} SELECT a, b, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS j, len(list_intersect(x, y)) / least(len(x), len(y)) AS o FROM c")
+def jaccard(t):
+    n = t.part.select(F.col("p_name").alias("n")).distinct().withColumn("s", F.array_sort(F.array_distinct(F.split("n", " "))))
+    w = n.select("n", "s", F.explode("s").alias("w"))
+    pairs = w.toDF("a", "x", "w").join(w.toDF("b", "y", "w"), "w").filter("a < b").select("a", "b", "x", "y").distinct()
+    return pairs.select("a", "b", fz.jaccard(F.col("x"), F.col("y")).alias("j"), fz.overlap(F.col("x"), F.col("y")).alias("o"))
+
+
+@query("j14_j15_opt5_opt6_blocks", "WITH n AS (SELECT DISTINCT p_name AS n FROM part), k AS (SELECT n, 1 AS no, split_part(n, ' ', 1) AS b FROM n UNION ALL SELECT n, 2, split_part(n, ' ', 2) FROM n UNION ALL SELECT n, 3, substr(n, 1, 2) FROM n), ok AS (SELECT no, b FROM k GROUP BY 1, 2 HAVING count(*) <= 12), r AS (SELECT k.* FROM k JOIN ok USING (no, b)) SELECT x.n AS a, y.n AS b, min(x.no) AS why FROM r x JOIN r y ON x.no = y.no AND x.b = y.b AND x.n < y.n GROUP BY 1, 2")
+def blocks(t):
+    n = t.part.select(F.col("p_name").alias("n")).distinct()
+    keys = F.array(F.split("n", " ")[0], F.split("n", " ")[1], F.substring("n", 1, 2))
+    k = n.select("n", F.posexplode(keys).alias("i", "block")).select("n", (F.col("i") + 1).alias("block_no"), "block")
+    return en.blocked_pairs(n, "n", k, 12)
+
+
+@query("j16_j17_rare_token_pairs", "WITH n AS (SELECT DISTINCT p_name AS n FROM part), w AS (SELECT n, unnest(list_distinct(string_split(n, ' '))) AS w FROM n), d AS (SELECT w FROM w GROUP BY 1 HAVING count(*) <= 9), r AS (SELECT * FROM w JOIN d USING (w)) SELECT x.n AS a, y.n AS b, count(*) AS shared FROM r x JOIN r y ON x.w = y.w AND x.n < y.n GROUP BY 1, 2")
+def rare_tokens(t):
+    w = t.part.select(F.col("p_name").alias("n")).distinct().select("n", F.explode(F.array_distinct(F.split("n", " "))).alias("w"))
+    r = w.join(w.groupBy("w").agg(F.count("*").alias("df")).filter("df <= 9").drop("df"), "w")
+    return r.toDF("w", "a").join(r.toDF("w", "b"), "w").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+@query("g01_components", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, CAST(o_custkey // 7 AS BIGINT) AS b FROM orders WHERE o_custkey % 5 <> 0), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM both_), r AS (SELECT node, node AS reach FROM n UNION SELECT r.node, both_.b FROM r JOIN both_ ON r.reach = both_.a) SELECT node, min(reach) AS component FROM r GROUP BY 1")
+def components(t):
+    e = t.orders.filter("o_custkey % 5 <> 0").select(F.col("o_custkey").alias("a"), F.expr("o_custkey div 7").alias("b")).distinct()
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
+    return en.connected(nodes, e)
+
+
+@query("g02_g03_guarded_clusters")
+def guarded(t):
+    nodes = t.supplier.select(F.col("s_suppkey").alias("node"), F.when(F.col("s_nationkey") < 5, F.col("s_nationkey").cast("string")).otherwise("").alias("mark"))
+    edges = t.supplier.select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey div 3").alias("b"), F.expr("int(s_suppkey % 2)").alias("rank")).filter("a <> b")
+    return en.guarded(nodes, edges)
+
+
+@query("g04_g05_greedy_seeds")
+def greedy(t):
+    n = t.part.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("k"))
+    return en.greedy_seeds(n.withColumn("tokens", F.split("p_name", " ")), "k", "p_brand", "tokens")
+
+
+@query("j13_greedy_match")
+def greedy_match(t):
+    a = t.customer.select(F.col("c_nationkey").cast("string").alias("grp"), F.col("c_custkey").alias("a"), F.col("c_acctbal").alias("x"))
+    b = t.supplier.select(F.col("s_nationkey").cast("string").alias("grp"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
+    near = a.join(b, "grp").withColumn("score", -F.abs(F.col("x") - F.col("y"))).filter("score > -50")
+    return en.greedy_match(near.select("grp", "a", "b", "score"))
+
+
+@query("a38_r04_r06_roster", "WITH c AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, length(p_name) DESC, p_name DESC) AS rk FROM c), g AS (SELECT p_brand, max(CASE WHEN rk = 1 THEN p_name END) AS canonical, coalesce(string_agg(CASE WHEN rk BETWEEN 2 AND 4 THEN p_name END, '; ' ORDER BY rk), '') AS aka, CAST(sum(n) AS BIGINT) AS mentions, count(*) AS variants FROM r GROUP BY 1) SELECT *, 'A' || lpad(CAST(row_number() OVER (ORDER BY mentions DESC, p_brand) AS VARCHAR), 4, '0') AS id FROM g")
+def roster(t):
+    return en.roster(t.part, "p_brand", "p_name")
+
+
+@query("j20_as_of", "WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate FROM lineitem WHERE l_suppkey < 20), y AS (SELECT l_suppkey, l_shipdate, max(l_partkey) AS prev FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT x.l_orderkey, x.l_linenumber, x.l_suppkey, x.l_partkey, x.l_shipdate, (SELECT arg_max(prev, y.l_shipdate) FROM y WHERE y.l_suppkey = x.l_suppkey AND y.l_shipdate < x.l_shipdate) AS prev FROM x")
+def as_of(t):
+    x = t.lineitem.filter("l_suppkey < 20").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
+    y = t.lineitem.filter("l_returnflag = 'R'").groupBy("l_suppkey", "l_shipdate").agg(F.max("l_partkey").alias("prev"))
+    return rs.as_of(x, y, "l_suppkey", "l_shipdate", "prev")
+
+
+@query("j21_cited_argmax", "SELECT o_custkey, o_orderkey FROM (SELECT o.o_custkey, o.o_orderkey, row_number() OVER (PARTITION BY o.o_custkey ORDER BY (o_orderdate < TIMESTAMP '1998-01-01') DESC, n DESC, o.o_orderkey) AS rk FROM orders o JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey) WHERE rk = 1")
+def cited(t):
+    n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    c = t.orders.join(n, "o_orderkey").withColumn("early", F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp"))
+    return rs.best(c, "o_custkey", F.desc("early"), F.desc("n"), F.asc("o_orderkey")).select("o_custkey", "o_orderkey")
+
+
+@query("j22_j34_priority_lookup", "SELECT c_custkey, coalesce(a.k, b.k) AS value, CASE WHEN a.k IS NOT NULL THEN 'urgent' WHEN b.k IS NOT NULL THEN 'any' ELSE 'none' END AS source FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) a ON a.o_custkey = c_custkey LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS k FROM orders GROUP BY 1) b ON b.o_custkey = c_custkey")
+def priority(t):
+    first = lambda df: df.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("k"))
+    return rs.coalesced(t.customer.select("c_custkey"), "c_custkey", ("urgent", first(t.orders.filter("o_orderpriority = '1-URGENT'")), "k"), ("any", first(t.orders), "k"))
+
+
+@query("j23_best_overlap", "WITH p AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS s FROM part), b AS (SELECT a.p_name AS x, c.p_name AS y, row_number() OVER (PARTITION BY a.p_name ORDER BY len(list_intersect(a.s, c.s)) DESC, c.p_name) AS rk FROM p a JOIN p c ON split_part(a.p_name, ' ', 1) = split_part(c.p_name, ' ', 1) AND a.p_name <> c.p_name) SELECT x, y FROM b WHERE rk = 1")
+def best_overlap(t):
+    p = t.part.select("p_name").distinct().select("p_name", F.split("p_name", " ").alias("s")).withColumn("k", F.col("s")[0])
+    c = p.toDF("x", "s", "k").join(p.toDF("y", "u", "k"), "k").filter("x <> y")
+    return rs.best(c, "x", F.desc(F.size(F.array_intersect("s", "u"))), F.asc("y")).select("x", "y")
+
+
+@query("j24_proximity", r"SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(w, '[0-9]+\.[0-9]+')) AS v FROM (SELECT doc_id, unnest(regexp_extract_all(text, 'Version.{0,10}')) AS w FROM documents)) GROUP BY 1")
+def proximity(t):
+    hits = rs.near(F.col("text"), "Version", r"[0-9]+\.[0-9]+", 0, 10)
+    return t.documents.select("doc_id", F.size(hits).cast("long").alias("n")).filter("n > 0")
+
+
+@query("x01_x06_opt2_cached_calls", "SELECT doc_id, CASE WHEN toxic IS NOT NULL THEN 'cache' ELSE 'rule' END AS source, coalesce(CASE WHEN toxic = 1 THEN 'toxic' WHEN toxic = 0 THEN 'clean' END, CASE WHEN n_chars < 100 THEN 'unsure' ELSE 'clean' END) AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
+def cached_calls(t):
+    from docloom.operators.external import with_cache
+
+    cache = t.labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").otherwise("clean").alias("verdict"))
+
+    def rule(batches):
+        for pdf in batches:
+            yield pdf[["doc_id"]].assign(verdict=["unsure" if n < 100 else "clean" for n in pdf["n_chars"]])
+
+    return with_cache(t.documents.select("doc_id", "n_chars"), cache, "doc_id", "verdict", "doc_id long, verdict string", rule)
+
+
+@query("x04_x05_nested_extractor", "SELECT doc_id, lang AS name, 1 AS pos FROM documents UNION ALL SELECT doc_id, source, 2 FROM documents")
+def extractor(t):
+    nested = t.documents.select("doc_id", F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))).alias("appointees"))
+    return nested.select("doc_id", F.posexplode("appointees").alias("p", "x")).select("doc_id", "x.name", (F.col("p") + 1).alias("pos"))
