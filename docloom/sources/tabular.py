@@ -20,8 +20,8 @@ def discover(columns: list[str], *parts: str) -> str | None:
 
 
 def aligned(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exactly these columns, null where the table has none."""
-    return df.select(*(F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns))
+    """Exactly these columns, null (as text) where the table has none."""
+    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
