@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import arrow_limits
 
 #: Labelled rows of each class that are fitted (those of least hash of their id), at most.
-SAMPLE = 4_000
+SAMPLE = 2_000
 #: Hashed features, lengths of word beginnings, least z of a feature, documents that must have it.
 DIM, PREFIXES, LEAST_Z, LEAST_DF = 1 << 18, (4, 5, 6, 7, 8), 2.5, 3
 #: Ridge, weight of the counterfactual penalty, steps, step size.
@@ -102,20 +102,18 @@ class Model:
         return 1 / (1 + exp(-max(-500.0, min(500.0, z))))
 
 
-def fit(rows: list[tuple[dict[int, float], float, float]], pairs: list[tuple[dict[int, float], dict[int, float]]]) -> Model:
-    """rows: (vector, label, weight). pairs: vectors whose scores must not differ."""
+def fit(vectors: tuple, y, sample, pairs: list[tuple[dict[int, float], dict[int, float]]]) -> Model:
+    """vectors: features of all rows in a row, their values, and the number of features of each row; y: labels; sample: weights of the
+    rows; pairs: vectors whose scores must not differ."""
     import numpy as np
 
-    y = np.array([r[1] for r in rows])
-    sample = np.array([r[2] for r in rows])
+    index, value, sizes = vectors
     sample = sample / max(1e-12, sample.sum())
-    rate = float(sample @ y) if len(rows) else 0.0
+    rows = range(len(y))
+    rate = float(sample @ y) if len(y) else 0.0
     if not 0 < rate < 1:
         return Model({}, -500.0 if rate == 0 else 500.0)
-    sizes = np.array([len(r[0]) for r in rows])
-    at = np.repeat(np.arange(len(rows)), sizes)
-    index = np.fromiter((f for r in rows for f in r[0]), np.int64, sizes.sum())
-    value = np.fromiter((v for r in rows for v in r[0].values()), float, sizes.sum())
+    at = np.repeat(np.arange(len(y), dtype=np.int32), sizes)
     up, down = sample * y / rate, sample * (1 - y) / (1 - rate)
     df = np.bincount(index, minlength=DIM)
     one, nil = np.bincount(index, up[at], DIM), np.bincount(index, down[at], DIM)
@@ -124,9 +122,9 @@ def fit(rows: list[tuple[dict[int, float], float, float]], pairs: list[tuple[dic
     z = (one - nil) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
     ratio = np.log((one * n1 + 1) / (n1 + 2)) - np.log((nil * n1 + 1) / (n1 + 2))
     scale = np.where((z > LEAST_Z) & (df >= LEAST_DF), ratio, 0.0)
-    value = value * scale[index]
-    kept = value != 0
-    at, index, value = at[kept], index[kept], value[kept]
+    kept = scale[index] != 0
+    at, index, value = at[kept], index[kept], value[kept].astype(float)
+    value *= scale[index]
     names, index = np.unique(index, return_inverse=True)
     place = {int(f): k for k, f in enumerate(names)}
     gap_at, gap_index, gap_value = [], [], []
@@ -160,6 +158,8 @@ def held_out(doc_id):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most `sample` labelled rows of each class; their features are made where the texts are, and only those come here."""
+    import numpy as np
+
     arrow_limits(docs.sparkSession)
     known = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.avg("toxic").alias("toxic")).filter(~held_out(F.col("id")))
     order = F.xxhash64(F.col("id"))
@@ -183,21 +183,26 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             values = [[list(v.values()) if v is not None else None for v in some] for some in (vectors, pair)]
             yield pa.RecordBatch.from_arrays([pa.array(maps[0], pa.list_(pa.int32())), pa.array(values[0], pa.list_(pa.float32())), pa.array(label, pa.float64()), pa.array(maps[1], pa.list_(pa.int32())), pa.array(values[1], pa.list_(pa.float32()))], names=["f", "v", "toxic", "f2", "v2"])
 
-    table = texts.mapInArrow(run, "f array<int>, v array<float>, toxic double, f2 array<int>, v2 array<float>").toArrow()
-    rows, pairs = [], []
-    for f, v, toxic, f2, v2 in zip(*(c.to_pylist() for c in table.columns), strict=True):
-        one = dict(zip(f, v, strict=True))
-        weight = sizes[toxic > 0.5] / min(sample, sizes[toxic > 0.5])
-        rows.append((one, round(toxic), weight))
-        if f2 is not None:
-            pairs.append((one, dict(zip(f2, v2, strict=True))))
-    rows.sort(key=lambda r: (r[1], sorted(r[0].items())))
+    made = texts.mapInArrow(run, "f array<int>, v array<float>, toxic double, f2 array<int>, v2 array<float>")
+    # at most 2 * sample rows; in order of their content, whatever the tasks' order
+    table = made.orderBy(F.xxhash64("f", "v"), "toxic").toArrow().combine_chunks()
+    toxic = table["toxic"].to_numpy()
+    label = np.round(toxic)
+    scale = {t: sizes[t] / min(sample, sizes[t]) for t in sizes}
+    weight = np.array([scale[t > 0.5] for t in toxic])
+    flat = [table[c].combine_chunks() for c in ("f", "v")] if len(label) else None
+    vectors = (flat[0].flatten().to_numpy(), flat[1].flatten().to_numpy(), np.diff(flat[0].offsets.to_numpy())) if flat else (np.zeros(0, int), np.zeros(0), np.zeros(0, int))
+    pairs = []
+    for n, (f2, v2) in enumerate(zip(table["f2"], table["v2"], strict=True)):
+        if f2.is_valid:
+            one = dict(zip(table["f"][n].as_py(), table["v"][n].as_py(), strict=True))
+            pairs.append((one, dict(zip(f2.as_py(), v2.as_py(), strict=True))))
     features = Features()
     for terms in IDENTITIES:
         for s in SENTENCES:
             pairs += [(features.vector(s.format(a)), features.vector(s.format(b))) for a, b in zip(terms, terms[1:] + terms[:1], strict=True)]
             pairs += [(features.vector(s.format(a)), features.vector(s.format(""))) for a in terms]
-    return fit(rows, pairs)
+    return fit(vectors, label, weight, pairs)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
