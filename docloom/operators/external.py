@@ -14,3 +14,43 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, answer: str, schema: s
     known = df.select(key).join(cache.select(key, answer), key)
     missing = df.join(cache.select(key), key, "left_anti").mapInPandas(call, schema)
     return known.select(key, answer, F.lit("cache").alias("source")).unionByName(missing.select(key, answer, F.lit("rule").alias("source")))
+
+
+def batched(call: Callable[[list], list], column: str, answer: str, size: int = 14, empty: object = None) -> Callable:
+    """A mapInPandas function that asks `call` about `size` values at a time; answers that are missing become `empty`."""
+
+    def run(batches):
+        for pdf in batches:
+            asked = list(pdf[column])
+            got: list = []
+            for at in range(0, len(asked), size):
+                part = call(asked[at : at + size])
+                got += [*part, *[empty] * (len(asked[at : at + size]) - len(part))][: len(asked[at : at + size])]
+            yield pdf.drop(columns=[column]).assign(**{answer: got})
+
+    return run
+
+
+def retried(call: Callable, times: int = 3, otherwise: object = None) -> Callable:
+    """call, tried so often; after that `otherwise`, so that one bad row does not end a job."""
+
+    def run(*args):
+        for _ in range(times):
+            try:
+                return call(*args)
+            except Exception:  # noqa: BLE001, S112
+                continue
+        return otherwise
+
+    return run
+
+
+def first_available(names: list[str], works: Callable[[str], bool]) -> str | None:
+    """Preflight on the driver: the first name that works."""
+    return next((n for n in names if works(n)), None)
+
+
+def overridden(batch: DataFrame, second: DataFrame, key: str, answer: str) -> DataFrame:
+    """Second opinions replace the batch's answers where there are any."""
+    other = second.select(key, F.col(answer).alias("__second"))
+    return batch.join(other, key, "left").withColumn(answer, F.coalesce("__second", answer)).drop("__second")

@@ -50,3 +50,16 @@ def replace(df: DataFrame, path: str) -> None:
     fs.rename(new, target)
     if fs.exists(old):
         fs.delete(old, True)
+
+
+def report(metrics: DataFrame, title: str) -> str:
+    """A small table of aggregates as Markdown."""
+    rows = metrics.collect()
+    lines = [f"# {title}", "", "| " + " | ".join(metrics.columns) + " |", "|" + "-|" * len(metrics.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(str(v) for v in r) + " |" for r in rows)]) + "\n"
+
+
+def dictionary(df: DataFrame) -> str:
+    """A table's data dictionary as Markdown: column, type, the comment of its metadata."""
+    lines = ["| column | type | meaning |", "|-|-|-|"]
+    return "\n".join([*lines, *(f"| {f.name} | {f.dataType.simpleString()} | {f.metadata.get('comment', '')} |" for f in df.schema.fields)]) + "\n"

@@ -75,3 +75,31 @@ def first_text(*sources: tuple[str, Column]) -> tuple[Column, Column]:
 
 def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
+
+
+def probe(files: DataFrame, measure, schema: str = "path string, n int") -> DataFrame:
+    """Apply measure(content) -> int to the files of a binary scan (path, content); -1 where it fails."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for content in pdf["content"]:
+                try:
+                    out.append(int(measure(content)))
+                except Exception:  # noqa: BLE001
+                    out.append(-1)
+            yield pdf[["path"]].assign(n=out)
+
+    return files.select("path", "content").mapInPandas(run, schema)
+
+
+def grouped_files(files: DataFrame) -> DataFrame:
+    """Add the group number that the file's folder begins with."""
+    return files.withColumn("grp", F.nullif(F.regexp_extract("path", r"/(\d+)[^/]*/[^/]+$", 1), F.lit("")))
+
+
+def read_tab(spark: SparkSession, path: str, sheet: str) -> DataFrame:
+    """A workbook's tab as text, by pandas where its reader is installed; workbooks are small files at the edge."""
+    import pandas as pd
+
+    return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, dtype=str).fillna(""))

@@ -112,3 +112,26 @@ def test_retry_policy(spark):
     log = spark.createDataFrame([(1, "ok"), (2, "error")], "k int, status string")
     assert sorted(r.k for r in incremental.remaining(todo, log, "k").collect()) == [3]
     assert sorted(r.k for r in incremental.remaining(todo, log, "k", ("error",)).collect()) == [2, 3]
+
+
+def test_external_calls(spark):
+    from docloom.operators import external
+
+    df = spark.createDataFrame([(k, f"t{k}") for k in range(30)], "k long, text string")
+    cache = spark.createDataFrame([(1, "cached")], "k long, verdict string")
+    call = external.batched(lambda some: [x.upper() for x in some][:13], "text", "verdict", empty="unsure")
+    got = {r.k: r.verdict for r in external.with_cache(df.coalesce(1), cache, "k", "verdict", "k long, verdict string", call).collect()}
+    assert got[1] == "cached" and got[0] == "T0" and list(got.values()).count("unsure") == 2
+    assert external.retried(lambda: 1 / 0, otherwise="x")() == "x"
+    assert external.first_available(["a", "b"], lambda n: n == "b") == "b"
+    second = spark.createDataFrame([(0, "same")], "k long, verdict string")
+    assert {r.k: r.verdict for r in external.overridden(cache.union(second.selectExpr("k", "'unsure'")), second, "k", "verdict").collect()} == {1: "cached", 0: "same"}
+
+
+def test_probe_and_reports(spark, tmp_path):
+    (tmp_path / "12-x").mkdir()
+    (tmp_path / "12-x" / "a.pdf").write_bytes(b"abc")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path))
+    assert [r.n for r in tabular.probe(files, len).collect()] == [3] and [r.n for r in tabular.probe(files, lambda c: 1 / 0).collect()] == [-1]
+    assert tabular.grouped_files(files).first()["grp"] == "12"
+    assert "| n |" in sinks.report(spark.range(1).withColumnRenamed("id", "n"), "x") and "bigint" in sinks.dictionary(spark.range(1))
