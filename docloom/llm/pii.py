@@ -1,7 +1,7 @@
 """Personal data: base patterns, then bootstrapped contextual extraction.
 
-DataFrame functions only. Base matches are the seeds. A token with a digit or an at sign and the two words before it make an
-edge (pattern, instance) of a graph over all documents; patterns are scored by the share of their instances that are known,
+DataFrame functions only. Base matches are the seeds. A whole base match, or elsewhere a run of digit groups or a token with a
+digit or an at sign, and the two words before it make an edge (pattern, instance) of a graph over all documents; patterns are scored by the share of their instances that are known,
 instances by their best pattern, in rounds; tokens behind patterns of high confidence become spans of the pattern's kind.
 
 Cases: a null or empty text has no spans; a row that is there twice has its spans twice; very long runs of one kind of
@@ -27,8 +27,16 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 NEEDS = {"email": "@", "phone": "+"}
-#: A token that may be an identifier: a run of non-space with a digit or an at sign.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# What may be an identifier: a whole run of digit groups with their separators, which ends where a sentence does and before an ip
+# or a card, and may start behind a label as in "tel:"; else a run of non-space with a digit or an at sign.
+GROUP = r"[0-9]++(?:[().-]++[0-9]++)*+(?=[^\x20\x09-\x0D\p{L}\p{N}@]*+(?![^\x20\x09-\x0D]))"
+RUN = rf"{GROUP}(?:[()-]*+\x20++(?!{PATTERNS['ip']}|{PATTERNS['card']})[().-]*+{GROUP})*+"
+TOKEN = (
+    rf"""(?<![^\x20\x09-\x0D:=<\[{{"'])\+?+[().-]*+{RUN}"""
+    rf"""|(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+(?!(?<=[:=<\[{{"'][+().-]{{0,3}}){RUN})[0-9@][^\x20\x09-\x0D]*+"""
+)
+#: The two words before an identifier, which stands behind white space and opening marks or right behind the second word.
+CONTEXT = r"""(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D0-9@]++[\x20\x09-\x0D]++[^\x20\x09-\x0D0-9@]++)(?:[\x20\x09-\x0D]++[<(\[{"'+]*+)?+\z"""
 #: Rounds; distinct known instances that a pattern needs; its least confidence; digits that a discovered token needs.
 ROUNDS, SUPPORT, CONFIDENCE, DIGITS = 3, 3, 0.8, 4
 
@@ -48,16 +56,18 @@ def valid(kind: str, found: Column) -> Column:
 
 
 def matches(text: Column, kind: str, pattern: str) -> Column:
-    """Every match with the length of the text before it (from the match before), its own length, and the two words before it."""
+    """Every match with the length of the text before it (from the match before), its own length, the two words before it and itself."""
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    before = lambda i: F.get(between, i)
-    if kind == "token":
-        words = lambda i: F.lower(F.regexp_extract(F.right(before(i), F.lit(60)), r"([^\x20\x09-\x0D0-9]+[\x20\x09-\x0D]+[^\x20\x09-\x0D0-9]+)[\x20\x09-\x0D]+$", 1))
-        more = lambda x, i: (F.lit(True).alias("ok"), F.regexp_replace(words(i), r"[\x20\x09-\x0D]+", " ").alias("context"), F.lower(F.regexp_extract(x, r"^[^A-Za-z0-9@+]*(.*?)[^A-Za-z0-9]*$", 1)).alias("core"))
-    else:
-        more = lambda x, i: (valid(kind, x).alias("ok"), F.lit("").alias("context"), F.lit("").alias("core"))
+    # in one array, so that a text is split once and not for each of its matches
+    pairs = F.filter(F.arrays_zip(found.alias("found"), between.alias("before")), lambda z: z["found"].isNotNull())
+    # a match before it is no word
+    ahead = lambda z, i: F.concat(F.when(i > 0, "0").otherwise(""), z["before"])
+    words = lambda z, i: F.lower(F.regexp_extract(F.right(ahead(z, i), F.lit(60)), CONTEXT, 1))
+    ok = lambda x: F.lit(True) if kind == "token" else valid(kind, x)
+    core = lambda x: F.lower(F.regexp_extract(x, r"^[^A-Za-z0-9@+]*(.*?)[^A-Za-z0-9]*$", 1) if kind == "token" else x)
+    more = lambda z, i: (ok(z["found"]).alias("ok"), F.regexp_replace(words(z, i), r"[\x20\x09-\x0D]+", " ").alias("context"), core(z["found"]).alias("core"))
     no = KINDS.index(kind) if kind in KINDS else len(KINDS)
-    each = F.transform(found, lambda x, i: F.struct(F.lit(no).alias("kind"), i.alias("k"), F.length(before(i)).alias("gap"), F.length(x).alias("long"), *more(x, i)))
+    each = F.transform(pairs, lambda z, i: F.struct(F.lit(no).alias("kind"), i.alias("k"), F.length(z["before"]).alias("gap"), F.length(z["found"]).alias("long"), *more(z, i)))
     can = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9@]" if kind == "token" else "[0-9]")
     return F.when(can, each)
 
@@ -72,22 +82,25 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def placed(scanned: DataFrame) -> DataFrame:
-    """A row per match: row, kind, start, end; and of a token: context, core, and the kind of a base match that it overlaps."""
+    """A row per base match, and per token that overlaps none: row, kind, start, end, context, core, and a base match's kind as seed."""
     one = scanned.select("row", F.explode("found").alias("m")).select("row", "m.*")
     upto = Window.partitionBy("row", "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.col("long")).over(upto)
     spans = one.withColumn("end", end).withColumn("start", F.col("end") - F.col("long")).filter("ok").drop("gap", "long", "ok", "k")
     base = F.when(F.col("kind") < len(KINDS), F.struct("end", "start", "kind"))
     order = Window.partitionBy("row").orderBy("start", F.col("kind"))
+    # backwards, as a frame up to the last row is summed anew for each row
+    back = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("kind"))
     before = F.max(base).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(F.col("kind") < len(KINDS), F.struct("start", "end", "kind"))).over(order.rowsBetween(0, Window.unboundedFollowing))
-    seed = F.when(before["end"] > F.col("start"), before["kind"]).when(after["start"] < F.col("end"), after["kind"])
-    return spans.withColumn("seed", F.when(F.col("kind") == len(KINDS), seed))
+    after = F.min(F.when(F.col("kind") < len(KINDS), F.struct("start", "end", "kind"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
+    over = (before["end"] > F.col("start")) | (after["start"] < F.col("end"))
+    spans = spans.withColumn("over", F.coalesce(over, F.lit(False))).filter((F.col("kind") < len(KINDS)) | ~F.col("over")).drop("over")
+    return spans.withColumn("seed", F.when(F.col("kind") < len(KINDS), F.col("kind")))
 
 
-def bootstrapped(tokens: DataFrame) -> DataFrame:
-    """(context, kind) of the patterns of high confidence, from the tokens (context, core, seed) of all documents."""
-    edges = tokens.filter("context <> '' and core <> ''").groupBy("context", "core").agg(F.max("seed").alias("seed"))
+def bootstrapped(found: DataFrame) -> DataFrame:
+    """(context, kind) of the patterns of high confidence, from the matches (context, core, seed) of all documents."""
+    edges = found.filter("context <> '' and core <> ''").groupBy("context", "core").agg(F.max("seed").alias("seed"))
     sizes = durable(edges.groupBy("context").agg(F.count("*").alias("n")).filter(f"n >= {SUPPORT}"), "pii-patterns")
     total = max(1, sizes.agg(F.sum("n")).first()[0] or 0)
     graph = durable(lookup(edges, sizes, ["context"], "n", total, "inner").drop("n").select("context", "core", "seed", F.col("seed").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(0.0).alias("score")), "pii-graph")
@@ -110,10 +123,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of docs: doc_id, base (array of start, no, kind, end) and spans (those and the discovered ones), sorted."""
     scanned = scan(docs, id_col, text_col)
     spans = durable(placed(scanned), "pii-spans")
-    tokens = spans.filter(F.col("kind") == len(KINDS))
-    known = bootstrapped(tokens)
-    hits = durable(tokens.filter("seed is null and context <> ''").groupBy("context").agg(F.count("*").alias("hits")).join(known, "context").drop("n"), "pii-hits")
-    fresh = lookup(tokens.filter("seed is null and context <> ''"), hits, ["context"], "hits", spans.count(), "inner")
+    tokens = spans.filter("seed is null and context <> ''")
+    known = bootstrapped(spans)
+    hits = durable(tokens.groupBy("context").agg(F.count("*").alias("hits")).join(known, "context").drop("n"), "pii-hits")
+    fresh = lookup(tokens, hits, ["context"], "hits", spans.count(), "inner")
     fresh = fresh.filter((F.length(F.regexp_replace("core", "[^0-9]", "")) >= DIGITS) | F.col("core").contains("@"))
     span = F.struct("start", F.col("no"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("no") + 1).alias("kind"), "end")
     base = spans.filter(F.col("kind") < len(KINDS)).select("row", "start", "end", F.col("kind").alias("no"), F.lit(True).alias("base"))

@@ -314,6 +314,16 @@ def test_contexts_find_what_patterns_miss(spark):
     assert got[9] == "email:15:27" and got[10] == ""
 
 
+def test_identifiers_with_spaces_are_whole(spark):
+    """Phones and cards are instances as a whole, so that they teach patterns, and unseen ones are found uncut."""
+    cards = ("4539 1488 0343 6467", "4111 1111 1111 1111", "5500 0000 0000 0004", "4012 8888 8888 1881", "5555 5555 5555 4444")
+    texts = [f"you can phone me +1 (0{k}) 555-77{k} or not" for k in range(11, 31)] + [f"you can charge card {c} now" for c in cards]
+    texts += [f"see my phone: +1 (0{k}) 555-77{k}" for k in range(41, 51)]
+    new = ["do phone me (017) 555-7713 soon", "do phone me 017 555 7713. 2019 was", "do charge card 4539 1488 0343 now", "no word of 017 555 7713", "at my phone:017 555 7713, ok", "do phone me 5566 1.2.3.4"]
+    got = [r.spans for r in sorted(pii.report(spark.createDataFrame(list(enumerate(texts + new)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)]
+    assert got[len(texts) :] == ["phone:12:26", "phone:12:24", "card:15:29", "", "phone:12:24", "phone:12:16,ip:17:24"]
+
+
 # language model
 
 
