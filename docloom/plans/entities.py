@@ -115,7 +115,7 @@ def roster(t):
 
 @query("j20_as_of", "WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate FROM lineitem WHERE l_suppkey < 20), y AS (SELECT l_suppkey, l_shipdate, max(l_partkey) AS prev FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT x.l_orderkey, x.l_linenumber, x.l_suppkey, x.l_partkey, x.l_shipdate, (SELECT arg_max(prev, y.l_shipdate) FROM y WHERE y.l_suppkey = x.l_suppkey AND y.l_shipdate < x.l_shipdate) AS prev FROM x")
 def as_of(t):
-    x = t.lineitem.filter("l_suppkey < 20").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
+    x = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
     y = t.lineitem.filter("l_returnflag = 'R'").groupBy("l_suppkey", "l_shipdate").agg(F.max("l_partkey").alias("prev"))
     return rs.as_of(x, y, "l_suppkey", "l_shipdate", "prev")
 

@@ -135,3 +135,15 @@ def test_probe_and_reports(spark, tmp_path):
     assert [r.n for r in tabular.probe(files, len).collect()] == [3] and [r.n for r in tabular.probe(files, lambda c: 1 / 0).collect()] == [-1]
     assert tabular.grouped_files(files).first()["grp"] == "12"
     assert "| n |" in sinks.report(spark.range(1).withColumnRenamed("id", "n"), "x") and "bigint" in sinks.dictionary(spark.range(1))
+
+
+def test_as_of_keeps_every_supplier(spark, tmp_path):
+    """The query's rows over all suppliers, against brute force."""
+    from docloom import registry
+
+    rows = [(k, k % 3, s, (7 * k + s) % 50, f"1995-01-{1 + (5 * k + s) % 9:02d}", "RN"[k % 2]) for k in range(12) for s in (3, 20, 75)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber long, l_suppkey long, l_partkey long, l_shipdate string, l_returnflag string")
+    lines.withColumn("l_shipdate", F.to_timestamp("l_shipdate")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.l_orderkey, r.l_suppkey, r.prev) for r in registry.QUERIES["j20_as_of"](spark, str(tmp_path)).collect())
+    last = lambda s, d: max(((x[4], x[3]) for x in rows if x[5] == "R" and x[2] == s and x[4] < d), default=(None, None))[1]
+    assert got == sorted((k, s, last(s, d)) for k, _, s, _, d, _ in rows)
