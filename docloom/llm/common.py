@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,9 +21,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or where unset one of our own (tests)."""
+    """A folder that driver and executors share: spark.checkpoint.dir, or where unset and the master is local one of our own (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and base.startswith("/"):
@@ -60,10 +63,49 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def arrow_limits(spark: SparkSession, rows: int = 2_000, mb: int = 16) -> None:
-    """Bound the Arrow batches that Python workers get, by rows and by bytes (texts may be very long)."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
+    """Remove all durable tables made so far, but for the one that keep reads. For a caller who has written what it needs."""
+    kept = keep.inputFiles() if keep is not None else []
+    name = kept[0].rpartition("/")[0].rpartition("/")[2] if kept else None
+    for own, path in _made[:]:
+        if own is spark and path.rpartition("/")[2] != name:
+            remove(spark, path)
+            _made.remove((own, path))
+
+
+#: Rows and bytes of the Arrow batches that Python workers get; every function of this subpackage works under the same limits, which
+#: stay set in the session (texts may be very long, so that rows alone bound nothing).
+ARROW_ROWS, ARROW_BYTES = 2_000, 16 << 20
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow under the limits; at its end a task gives the memory it has freed back to the system, so that a worker which
+    serves one stage after another holds what its present stage needs."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+    def task(batches: Iterator) -> Iterator:
+        from docloom.llm.common import give_back
+
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Collect garbage and return free memory of Arrow and of the C library to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,5 +1,7 @@
 """Token ids of whole texts by the tokenizers library, each distinct word encoded once per worker.
 
+Case: a lone surrogate, which no UTF-8 text holds, is an error of the library.
+
 Both vocabularies split a text at white space before they merge, so that the ids of a text are those of its words (with the
 space before them, where the vocabulary keeps it) in a row. Texts with white space other than the six ASCII
 characters, or with the literal of a special token, are encoded whole.
@@ -13,9 +15,9 @@ import re
 from array import array
 from collections.abc import Iterable
 
-#: Words, and characters of words, in each of the two generations that a worker remembers. A full one becomes the older
-#: one, from which words that come again are taken over.
-CACHE_WORDS, CACHE_CHARS = 500_000, 20_000_000
+#: Bytes, about, of the words that a worker remembers, and of a remembered word beside its letters and ids. There are two
+#: generations of half as much; a full one becomes the older one, from which words that come again are taken over.
+CACHE_BYTES, WORD_BYTES = 160 << 20, 160
 
 #: White space beyond the six ASCII characters, as Python or the vocabularies' patterns see it.
 _ODD = tuple("\x1c\x1d\x1e\x1f\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -37,28 +39,28 @@ def byte_letters() -> dict[int, str]:
 class Known(dict):
     """Ids of words, made when a word is first met; `before` is put in front of each word."""
 
-    def __init__(self, made, before: str, older: Known | None = None):
-        self.made, self.before = made, before
-        self.older, self.chars = older, 0
+    def __init__(self, made, before: str, most: int, older: Known | None = None):
+        self.made, self.before, self.most = made, before, most
+        self.older, self.size = older, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.older.get(word) if self.older else None
         if ids is None:
             ids = self.made(self.before + word)
         self[word] = ids
-        self.chars += len(word)
+        self.size += WORD_BYTES + len(word) + len(ids)
         return ids
 
     def next(self) -> Known:
         """This generation, or once it is full an empty one that takes over words which come again."""
-        if len(self) <= CACHE_WORDS and self.chars <= CACHE_CHARS:
+        if self.size <= self.most // 2:
             return self
         self.older = None
-        return Known(self.made, self.before, self)
+        return Known(self.made, self.before, self.most, self)
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -72,7 +74,10 @@ class Encoder:
         self.marks = {c: self._model(c) if c else b"" for c in ("", *".,;:!?")}
         self.special = [t["content"] for t in said["added_tokens"]]
         self.size = self.tokenizer.get_vocab_size()
-        self.bare, self.after_space = Known(self._word, ""), Known(self._word, " ")
+        self.cache_bytes = cache_bytes
+        # words after a space are many, those that begin a line few
+        small = cache_bytes // 4 if self.spaced else cache_bytes
+        self.bare, self.after_space = Known(self._word, "", small), Known(self._word, " ", cache_bytes - small)
         self.line = self._word("\n") if self.spaced else b""
 
     def _model(self, word: str) -> bytes:
@@ -98,6 +103,7 @@ class Encoder:
         return any(c in text for c in (_ODD[:4] if text.isascii() else _ODD)) or any(s in text for s in self.special)
 
     def _text(self, text: str) -> bytes:
+        self.bare, self.after_space = self.bare.next(), self.after_space.next()
         bare = self.bare.__getitem__
         if not self.spaced:
             return b"".join(map(bare, text.split()))
@@ -112,12 +118,12 @@ class Encoder:
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """The ids of each text (none for null) as bytes: little-endian unsigned 32-bit integers."""
-        self.bare, self.after_space = self.bare.next(), self.after_space.next()
         return [b"" if not x else self._ids([x])[0] if self._odd(x) else self._text(x) for x in texts]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's own encoder; it outlives a task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
+def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
+    """The worker's own encoder; it outlives a task. A worker holds one at a time."""
+    if _encoders.get(path, None) is None or _encoders[path].cache_bytes != cache_bytes:
+        _encoders.clear()
+        _encoders[path] = Encoder(path, cache_bytes)
     return _encoders[path]

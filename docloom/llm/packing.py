@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from .common import arrow_limits
+from .common import map_arrow
+from .encoding import CACHE_BYTES
 
 SCHEMA = "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, padded_length long"
 
@@ -73,14 +74,13 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, bytes]]:
     return [(at // 4, ids[at : at + step]) for at in range(0, len(ids), step)]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end_id: int = 1, group_tokens: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end_id: int = 1, group_tokens: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """One row per piece, with its ids and its place in a sequence.
 
     A narrow map: each task packs groups of about `group_tokens` tokens (thousands of documents, 16 MB) by itself, so that
     nothing is shuffled and memory is bounded whatever the input's size. A sequence's length is capacity, or its
     own token count where that is a power of two (padded_length). Window ids hold the task's number and are the same in each
-    run over the same files."""
-    arrow_limits(docs.sparkSession)
+    run over the same files. cache_bytes bounds the words that a worker remembers, for speed alone."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -88,7 +88,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end_id: in
 
         from docloom.llm.encoding import encoder
 
-        code, end = encoder(tokenizer_path), struct.pack("<I", end_id)
+        code, end = encoder(tokenizer_path, cache_bytes), struct.pack("<I", end_id)
         first = TaskContext.get().partitionId() << 33
         pieces: list[tuple] = []  # doc, start, ids, doc tokens
         held = 0
@@ -124,4 +124,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2_048, end_id: in
         if pieces:
             yield from flush()
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), run, SCHEMA)

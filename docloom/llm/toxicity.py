@@ -19,12 +19,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import map_arrow
 
 #: Labelled rows of each class that are fitted (those of least hash of their id), at most.
 SAMPLE = 2_000
 #: Hashed features, lengths of word beginnings, least z of a feature, documents that must have it.
 DIM, PREFIXES, LEAST_Z, LEAST_DF = 1 << 18, (4, 5, 6, 7, 8), 2.5, 3
+#: Words whose features a task remembers (of 64 characters at most, so some 10 MB).
+REMEMBERED = 60_000
 #: Ridge, weight of the counterfactual penalty, steps, step size.
 RIDGE, FAIR, STEPS, RATE = 0.1, 1.0, 250, 0.5
 
@@ -43,17 +45,21 @@ _WORDS = re.compile(r"\w+").findall
 
 
 class Features:
-    """A word's features, remembered for frequent words; the memory is emptied when full."""
+    """A word's features, remembered for the first words."""
 
     def __init__(self):
         self.known: dict[str, list[int]] = {}
 
+    @staticmethod
+    def made(word: str) -> list[int]:
+        raw = [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
+        return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIM for x in raw]
+
     def of(self, word: str) -> list[int]:
         out = self.known.get(word)
         if out is None:
-            raw = [word, *("^" + word[:k] for k in PREFIXES if len(word) > k)]
-            out = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIM for x in raw]
-            if len(self.known) < 100_000:
+            out = self.made(word)
+            if len(self.known) < REMEMBERED and len(word) <= 64:
                 self.known[word] = out
         return out
 
@@ -82,8 +88,7 @@ class Model:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.features = Features()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
 
     def score(self, text: str | None) -> float:
         from math import exp, log1p
@@ -93,8 +98,8 @@ class Model:
         for word, n in counts.items():
             kept = known.get(word)
             if kept is None:
-                kept = [f for f in self.features.of(word) if f in weights]
-                if len(known) < 200_000:
+                kept = tuple([f for f in Features.made(word) if f in weights])
+                if len(known) < REMEMBERED and len(word) <= 64:
                     known[word] = kept
             for f in kept:
                 sums[f] = sums.get(f, 0) + n
@@ -152,15 +157,14 @@ def fit(vectors: tuple, y, sample, pairs: list[tuple[dict[int, float], dict[int,
 
 
 def held_out(doc_id):
-    """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 0."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    """Whether a document is kept from training: crc32 of its id as text, modulo 5, is 0; not so for a null id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """Fit on at most `sample` labelled rows of each class; their features are made where the texts are, and only those come here."""
     import numpy as np
 
-    arrow_limits(docs.sparkSession)
     known = labels.filter("toxic is not null").groupBy(F.col("doc_id").alias("id")).agg(F.avg("toxic").alias("toxic")).filter(~held_out(F.col("id")))
     order = F.xxhash64(F.col("id"))
     some = [known.filter(c).orderBy(order, "id").limit(sample) for c in ("toxic > 0.5", "toxic <= 0.5")]
@@ -183,7 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
             values = [[list(v.values()) if v is not None else None for v in some] for some in (vectors, pair)]
             yield pa.RecordBatch.from_arrays([pa.array(maps[0], pa.list_(pa.int32())), pa.array(values[0], pa.list_(pa.float32())), pa.array(label, pa.float64()), pa.array(maps[1], pa.list_(pa.int32())), pa.array(values[1], pa.list_(pa.float32()))], names=["f", "v", "toxic", "f2", "v2"])
 
-    made = texts.mapInArrow(run, "f array<int>, v array<float>, toxic double, f2 array<int>, v2 array<float>")
+    made = map_arrow(texts, run, "f array<int>, v array<float>, toxic double, f2 array<int>, v2 array<float>")
     # at most 2 * sample rows; in order of their content, whatever the tasks' order
     table = made.orderBy(F.xxhash64("f", "v"), "toxic").toArrow().combine_chunks()
     toxic = table["toxic"].to_numpy()
@@ -207,7 +211,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of every row; the model (kept features only, at most DIM) travels with the function."""
-    arrow_limits(docs.sparkSession)
     weights, bias = model.weights, model.bias
 
     def run(batches: Iterator) -> Iterator:
@@ -219,7 +222,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id long, score double")
+    return map_arrow(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), run, "doc_id long, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **columns: str) -> DataFrame:
@@ -232,7 +235,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
     """The rows of docs that score below the threshold, with all their columns."""
     model = train(docs, labels, id_col=id_col, text_col=text_col)
     weights, bias = model.weights, model.bias
-    arrow_limits(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator) -> Iterator:
@@ -244,4 +246,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py()) < threshold for t in batch.column(place)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
