@@ -1,35 +1,44 @@
 """Language-model scoring: a log-bilinear model trained in numpy with noise-contrastive estimation over all training documents.
 
 Words are runs of anything but the six ASCII white-space bytes, A-Z in lower case; a document ends with an end token. The model
-predicts one of UNITS units from the two units before: the most frequent words are units of their own, all other words fall into
-classes by a hash of their ending, and within a class a word has its smoothed share of the class's training count. A batched matrix
-product scores all units, so that token log-probabilities are normalised.
+predicts a unit from the two units before. The most frequent words are units of their own; every class of units has one more for
+its rarer words, which share the unit's probability by their smoothed training counts. Classes are runs of the words sorted from their last byte
+on, so that words with the same ending stand together, and a rarer word goes to the class in whose run it would stand. A unit's probability is its
+class's times its own within the class, both from the context; batched matrix products score all classes and all units of a
+class, so that token log-probabilities are normalised.
 
 Cases: a null or empty text is its end token; rows that are there twice are scored twice (and learnt from twice); a null doc_id is
-held in training like any whose remainder isn't 0; an empty table gives no rows; columns other than id and text are not read.
+held in training like any whose remainder isn't 0; an empty table gives no rows; without training documents every unit has the
+same probability in its class; columns other than id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, durable
-
-#: Units of the model (one byte each), of which so many are classes of rarer words; dimensions; noise units per batch.
-UNITS, CLASSES, DIM, NOISE = 256, 64, 16, 16
-#: Words whose counts every worker holds; the others' counts are joined.
-FREQUENT = 200_000
-#: Rounds over the training documents, after each of which the tasks' parameters are averaged; tokens in a batch; step size.
-ROUNDS, BATCH, RATE = 2, 4_096, 0.1
-#: Words that a task counts before it passes them on.
-COUNT_WORDS = 300_000
+from .common import durable, map_arrow
+
+#: Classes, units of a class (the last one for the rarer words), dimensions.
+CLASSES, PLACES, DIM = 128, 128, 16
+#: Classes drawn as noise per batch, units drawn as noise per class and batch.
+CLASS_NOISE, NOISE = 12, 5
+#: Words whose counts every worker holds, at most, and their length in bytes at most; the others' counts are joined.
+FREQUENT, LONGEST = 200_000, 64
+#: Rounds, each over documents of its own, after which the shards' parameters are averaged; tokens of a shard, about; batches that a shard makes, about, of so many
+#: tokens at least and at most; step size.
+ROUNDS, SHARD_TOKENS, STEPS, BATCH, RATE = 3, 1_000_000, 150, (256, 8_192), 0.3
+#: Words that a task counts before it passes them on; rarer words whose class a task remembers.
+COUNT_WORDS, REMEMBERED = 200_000, 50_000
+#: Tokens that are scored at a time.
+CHUNK = 1 << 17
 #: The end token among the words.
 END = b""
 SMOOTH = 0.1
@@ -43,12 +52,8 @@ def words(text: str | None) -> list[bytes]:
     return [*text.encode("utf-8", "surrogatepass").lower().split(), END] if text else [END]
 
 
-def class_of(word: bytes) -> int:
-    return zlib.crc32(word[-3:]) % CLASSES
-
-
 def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) over all rows of docs (doc_id, text); a task passes on sums, never single words."""
+    """(word, c) over all rows of docs (text); a task passes on sums, never single words."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -60,188 +65,297 @@ def count_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for text in batch.column(0):
                 counts.update(words(text.as_py()))
-            if len(counts) > COUNT_WORDS:
-                yield out(counts)
-                counts.clear()
+                if len(counts) > COUNT_WORDS:
+                    yield out(counts)
+                    counts.clear()
         yield out(counts)
 
-    return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_arrow(docs.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 class Vocabulary:
-    """What every worker knows of the words: counts of the frequent ones, the units, and the classes' totals."""
-
-    def __init__(self, frequent: list[tuple[bytes, int]], totals: dict[int, tuple[int, int]], n: int, v: int):
-        self.counts = dict(frequent)
-        self.n, self.v = n, v
-        own = [w for w, _ in frequent[: UNITS - CLASSES]]
-        self.unit = {w: CLASSES + k for k, w in enumerate(own)}
-        self.level = np.full(UNITS, 0.0)
-        for k in range(CLASSES):
-            c, kinds = totals.get(k, (0, 0))
-            self.level[k] = math.log10(c + SMOOTH * (kinds + 1))
-        # the part of a unit word's own count, which the units' probability replaces
-        for w, u in self.unit.items():
-            self.level[u] = math.log10(self.counts[w] + SMOOTH)
-        self.used = np.array([k < CLASSES + len(own) for k in range(UNITS)])
-        self.log_counts = {w: math.log10(c + SMOOTH) for w, c in self.counts.items()}
-        self.mass = np.array([totals.get(k, (0, 0))[0] + 1.0 if k < CLASSES else (self.counts[own[k - CLASSES]] if k - CLASSES < len(own) else 0.0) for k in range(UNITS)])
+    """What every worker knows of the words: the frequent ones with their counts, most frequent first, the units and their totals."""
+
+    def __init__(self, frequent: list[bytes], counts: np.ndarray, n: int, v: int):
+        self.words, self.counts, self.n, self.v = frequent, counts, n, v
+        own = sorted(range(min(len(frequent), CLASSES * (PLACES - 1))), key=lambda k: frequent[k][::-1])
+        self.classes = max(1, -(-len(own) // (PLACES - 1)))
+        size = -(-len(own) // self.classes) if own else 0
+        #: The first word of each class but the first, from its last byte on.
+        self.limits = [frequent[own[at]][::-1] for at in range(size, len(own), size)] if own else []
+        self.classes = len(self.limits) + 1
+        self.units = self.classes * PLACES
+        self.unit = np.full(len(frequent) + 1, -1, np.int32)
+        for place, k in enumerate(own):
+            self.unit[k] = place // size * PLACES + place % size
+        rest = [k for k in range(len(frequent)) if self.unit[k] < 0]
+        self.unit[rest] = [self.rest_unit(frequent[k]) for k in rest]
+        self.own = self.unit[own] if own else np.zeros(0, np.int32)
+        self.own_counts = counts[own] if own else np.zeros(0, np.int64)
+        self.mass = np.zeros(self.units)
+        self.mass[self.own] = self.own_counts
+
+    def rest_unit(self, word: bytes) -> int:
+        return bisect_right(self.limits, word[::-1]) * PLACES + PLACES - 1
+
+    def with_rest(self, totals: dict[int, tuple[int, int]]) -> Vocabulary:
+        """totals: count and number of all words by class."""
+        self.used = np.zeros(self.units, bool)
+        self.used[self.own] = True
+        self.level = np.zeros(self.units)
+        self.level[self.own] = np.log10(self.own_counts + SMOOTH)
+        for c in range(self.classes):
+            u, (total, kinds) = c * PLACES + PLACES - 1, totals.get(c, (0, 0))
+            mine = (self.own // PLACES) == c
+            total, kinds = total - int(self.own_counts[mine].sum()), kinds - int(mine.sum())
+            self.used[u] = True
+            self.level[u] = math.log10(total + SMOOTH * (kinds + 1))
+            self.mass[u] = total + 1
+        self.logs = np.log10(self.counts + SMOOTH)
+        return self
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """FREQUENT words, CLASSES totals and two sums come to the driver, whatever the corpus."""
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()]
-    own = top[: UNITS - CLASSES]
-    kind = (F.crc32(F.substring("word", -3, 3)) % CLASSES).alias("kind")
-    totals = {r["kind"]: (r["c"], r["v"]) for r in counts.groupBy(kind).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()}
-    n, v = sum(c for c, _ in totals.values()), sum(v for _, v in totals.values())
-    for w, c in own:
-        k = class_of(w)
-        totals[k] = totals[k][0] - c, totals[k][1] - 1
-    return Vocabulary(top, totals, n, v)
+    """FREQUENT words of at most LONGEST bytes, a histogram of counts and CLASSES totals come to the driver, whatever the corpus."""
+    short = counts.filter((F.octet_length("word") <= LONGEST) | (F.col("word") == F.lit(END)))
+    steps = F.floor(F.log2("c") * 64).cast("int")
+    room, least = FREQUENT, None
+    for r in sorted(short.groupBy(steps.alias("s")).agg(F.count("*").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["s"]):
+        if r["n"] > room:
+            break
+        room, least = room - r["n"], r["c"]
+    table = short.filter(F.col("c") >= least).toArrow() if least is not None else None
+    top = sorted(zip(table["word"].to_pylist(), table["c"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0])) if table is not None else []
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    out = Vocabulary([w for w, _ in top], np.array([c for _, c in top], np.int64), n, v)
+    limits = out.limits
+
+    def classed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        total, kinds = np.zeros(len(limits) + 1, np.int64), np.zeros(len(limits) + 1, np.int64)
+        for batch in batches:
+            for w, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                k = bisect_right(limits, w[::-1])
+                total[k] += c
+                kinds[k] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total), pa.array(kinds)], names=["k", "c", "v"])
 
+    sums = map_arrow(counts.select("word", "c"), classed, "k int, c long, v long").groupBy("k").agg(F.sum("c").alias("c"), F.sum("v").alias("v"))
+    return out.with_rest({r["k"]: (r["c"], r["v"]) for r in sums.collect()})
 
-def encode(docs: DataFrame, vocab) -> DataFrame:
-    """Per row: units (a byte per token), sums over frequent words, and the other words with their numbers."""
+
+def encode(docs: DataFrame, shared) -> DataFrame:
+    """Per row: units (two bytes a token), sums over frequent words, and the other words with their numbers."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        v = vocab.value
-        unit, logs = dict(v.unit), v.log_counts
+        v = shared.value
+        place = {w: k for k, w in enumerate(v.words)}.get
+        unit, logs, rest_unit = v.unit, np.append(v.logs, 0.0), v.rest_unit
+        remembered: dict[bytes, int] = {}
+
+        def rest(w: bytes) -> int:
+            u = remembered.get(w)
+            if u is None:
+                u = rest_unit(w)
+                if len(remembered) < REMEMBERED and len(w) <= LONGEST:
+                    remembered[w] = u
+            return u
+
         for batch in batches:
-            units, sums, known, rest, numbers = [], [], [], [], []
+            units, sums, known, others, numbers = [], [], [], [], []
             for text in batch.column(1):
                 tokens = words(text.as_py())
-                own = bytearray()
-                some, other = 0.0, []
-                hits = 0
-                for w in tokens:
-                    u = unit.get(w)
-                    if u is None:
-                        u = class_of(w)
-                        if len(unit) < 300_000:
-                            unit[w] = u
-                    own.append(u)
-                    x = logs.get(w)
-                    if x is None:
-                        other.append(w)
-                    else:
-                        some += x
-                        hits += 1
-                tally = Counter(other)
-                units.append(bytes(own))
-                sums.append(some)
-                known.append(hits)
-                rest.append(list(tally))
+                found = np.fromiter(map(place, tokens, repeat(-1)), np.int32, len(tokens))
+                own = unit[found]
+                odd = np.flatnonzero(found < 0).tolist()
+                some = [tokens[k] for k in odd]
+                if odd:
+                    own[odd] = [rest(w) for w in some]
+                tally = Counter(some)
+                units.append(own.astype("<u2").tobytes())
+                sums.append(logs[found].sum())
+                known.append(len(tokens) - len(odd))
+                others.append(list(tally))
                 numbers.append(list(tally.values()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary()), pa.array(sums, pa.float64()), pa.array(known, pa.int64()), pa.array(rest, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.int64()))], names=["doc_id", "units", "sum_known", "known", "words", "numbers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(units, pa.binary()), pa.array(sums, pa.float64()), pa.array(known, pa.int64()), pa.array(others, pa.list_(pa.binary())), pa.array(numbers, pa.list_(pa.int64()))], names=["doc_id", "units", "sum_known", "known", "words", "numbers"])
+
+    return map_arrow(docs, run, "doc_id long, units binary, sum_known double, known long, words array<binary>, numbers array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, units binary, sum_known double, known long, words array<binary>, numbers array<long>")
+def by_value(index: np.ndarray) -> np.ndarray:
+    """The order of numbers below 65,536, which numpy sorts by their digits."""
+    return np.argsort(index.astype(np.uint16), kind="stable")
+
+
+def row_sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of index, and for each the sum of its rows."""
+    order = by_value(index)
+    ordered = index[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
 
 
 class LogBilinear:
-    """Units have a vector as context (r) and one as target (q) and a bias; the two context places weigh the dimensions (c)."""
+    """Units have a vector as context (r) and one as target (q, with a bias as last place), classes one as target (k, likewise); the two context
+    places weigh the dimensions (c)."""
+
+    NAMES = ("r", "q", "k", "c")
 
     def __init__(self, mass: np.ndarray, used: np.ndarray, flat: np.ndarray | None = None):
         rng = np.random.Generator(np.random.PCG64(5))
+        self.units, self.classes = len(mass), len(mass) // PLACES
+        grid = np.where(used, mass + 1e-3, 0.0).reshape(self.classes, PLACES)
+        total = grid.sum(axis=1)
+        self.class_noise, inside = total / total.sum(), grid / total[:, None]
         self.used = used
-        self.noise = np.where(used, mass + 1e-9, 0.0)
-        self.noise = self.noise / self.noise.sum()
-        self.log_noise = np.log(np.maximum(self.noise, 1e-30)).astype(np.float32)
-        self.r = rng.normal(0, 0.1, (UNITS + 1, DIM)).astype(np.float32)  # the last is what stands before a document
-        self.q = rng.normal(0, 0.1, (UNITS, DIM)).astype(np.float32)
+        self.upto = np.cumsum(inside, axis=1)
+        self.upto /= self.upto[:, -1:]
+        self.log_class = np.log(self.class_noise).astype(np.float32)
+        self.log_inside = np.log(np.maximum(inside, 1e-30)).ravel().astype(np.float32)
+        small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
+        self.r = small(self.units + 1, DIM)  # the last is what stands before a document
+        self.q, self.k = small(self.units, DIM + 1), small(self.classes, DIM + 1)
+        self.q[:, DIM], self.k[:, DIM] = self.log_inside, self.log_class
         self.c = np.ones((2, DIM), np.float32)
-        self.b = self.log_noise.copy()
         if flat is not None:
             at = 0
-            for name in ("r", "q", "c", "b"):
+            for name in self.NAMES:
                 own = getattr(self, name)
                 setattr(self, name, flat[at : at + own.size].reshape(own.shape).astype(np.float32))
                 at += own.size
-        self.steps = {name: np.full_like(getattr(self, name), 1e-3) for name in ("r", "q", "c", "b")}
+        self.steps = {name: np.full_like(getattr(self, name), 1e-3) for name in self.NAMES}
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, n).ravel() for n in ("r", "q", "c", "b")]).astype(np.float64)
+        return np.concatenate([getattr(self, n).ravel() for n in self.NAMES])
 
-    @staticmethod
-    def contexts(units: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def contexts(self, units: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The units one and two before each, of documents in a row; ends: where each document ends."""
+        none = self.units
         starts = np.concatenate([[0], ends[:-1]])
-        one = np.concatenate([[UNITS], units[:-1]]).astype(np.int64)
-        two = np.concatenate([[UNITS, UNITS], units[:-2]]).astype(np.int64)[: len(units)]
-        one[starts] = UNITS
-        two[starts] = UNITS
-        second = starts[(ends - starts) > 1] + 1
-        two[second] = UNITS
+        one = np.concatenate([[none], units[:-1]]).astype(np.int32)
+        two = np.concatenate([[none, none], units[:-2]]).astype(np.int32)[: len(units)]
+        one[starts] = none
+        two[starts] = none
+        two[starts[(ends - starts) > 1] + 1] = none
         return one, two
 
-    def _add(self, name: str, grad: np.ndarray) -> None:
-        step = self.steps[name]
-        step += grad * grad
-        own = getattr(self, name)
-        own += RATE * grad / np.sqrt(step)
+    def _add(self, name: str, rows, grad: np.ndarray) -> None:
+        """Adagrad on some rows."""
+        step, own = self.steps[name], getattr(self, name)
+        sums = step[rows] + grad * grad
+        step[rows] = sums
+        own[rows] += RATE * grad / np.sqrt(sums)
 
-    def learn(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, rng) -> None:
-        """A gradient step on the contrast of the targets with NOISE units drawn for the batch."""
-        r1, r2 = self.r[one], self.r[two]
-        h = self.c[0] * r1 + self.c[1] * r2
-        drawn = rng.choice(UNITS, NOISE, p=self.noise)
-        qt, qn = self.q[target], self.q[drawn]
-        k = np.float32(math.log(NOISE))
-        st = np.einsum("ij,ij->i", h, qt) + self.b[target] - self.log_noise[target] - k
-        sn = h @ qn.T + self.b[drawn] - self.log_noise[drawn] - k
+    @staticmethod
+    def _slopes(true: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes of the contrast's log-likelihood, from the differences of model and noise."""
         with np.errstate(over="ignore"):
-            et = 1 - 1 / (1 + np.exp(-st))
-            en = -1 / (1 + np.exp(-sn))
+            return 1 / (1 + np.exp(true)), -1 / (1 + np.exp(-noise))
+
+    def learn(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, rng) -> None:
+        """A gradient step on the contrast of the targets' classes with drawn classes, and of the targets with units drawn from
+        their class."""
+        order = by_value(target)
+        one, two, target = one[order], two[order], target[order]
+        kind = target // PLACES
         n = np.float32(len(target))
-        dh = (et[:, None] * qt + en @ qn) / n
-        gq = self._sums(target, et[:, None] * h, UNITS)
-        np.add.at(gq, drawn, en.T @ h)
-        gb = np.bincount(target, et, UNITS)
-        np.add.at(gb, drawn, en.sum(axis=0))
-        gr = self._sums(one, dh * self.c[0], UNITS + 1) + self._sums(two, dh * self.c[1], UNITS + 1)
-        self._add("c", np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)]))
-        self._add("q", (gq / n).astype(np.float32))
-        self._add("b", (gb / n).astype(np.float32))
-        self._add("r", gr.astype(np.float32))
+        r1, r2 = self.r[one], self.r[two]
+        h = np.ones((len(target), DIM + 1), np.float32)
+        h[:, :DIM] = self.c[0] * r1 + self.c[1] * r2
+        # classes
+        drawn = rng.choice(self.classes, CLASS_NOISE, p=self.class_noise)
+        kt, kn = self.k[kind], self.k[drawn]
+        shift = np.float32(math.log(CLASS_NOISE))
+        et, en = self._slopes(np.einsum("ij,ij->i", h, kt) - self.log_class[kind] - shift, h @ kn.T - self.log_class[drawn] - shift)
+        dh = et[:, None] * kt + en @ kn
+        which, grad = row_sums(np.concatenate([kind, drawn]), np.concatenate([et[:, None] * h, en.T @ h]))
+        self._add("k", which, grad / n)
+        # units within their class: targets are sorted, so that a class is a slice
+        noise = (self.upto[:, None, :] < rng.random((self.classes, NOISE))[:, :, None]).sum(axis=2) + np.arange(self.classes)[:, None] * PLACES
+        qt, shift = self.q[target], np.float32(math.log(NOISE))
+        first = np.flatnonzero(np.diff(kind, prepend=-1))
+        ends = np.append(first[1:], len(kind))
+        true = np.einsum("ij,ij->i", h, qt) - self.log_inside[target] - shift
+        gap = np.empty((len(target), NOISE), np.float32)
+        for a, b in zip(first, ends, strict=True):
+            ids = noise[kind[a]]
+            np.subtract(h[a:b] @ self.q[ids].T, self.log_inside[ids] + shift, out=gap[a:b])
+        et, en = self._slopes(true, gap)
+        dh += et[:, None] * qt
+        index, rows = [target], [et[:, None] * h]
+        for a, b in zip(first, ends, strict=True):
+            ids = noise[kind[a]]
+            dh[a:b] += en[a:b] @ self.q[ids]
+            index.append(ids)
+            rows.append(en[a:b].T @ h[a:b])
+        which, grad = row_sums(np.concatenate(index), np.concatenate(rows))
+        self._add("q", which, grad / n)
+        dh = dh[:, :DIM] / n
+        which, grad = row_sums(np.concatenate([one, two]), np.concatenate([dh * self.c[0], dh * self.c[1]]))
+        slopes = np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)])
+        self._add("r", which, grad)
+        self._add("c", slice(None), slopes)
 
     @staticmethod
-    def _sums(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-        return np.stack([np.bincount(index, rows[:, j], n) for j in range(rows.shape[1])], axis=1)
+    def _log_sums(scores: np.ndarray) -> np.ndarray:
+        """log of the sum of exp of each row; scores are overwritten."""
+        top = scores.max(axis=1)
+        scores -= top[:, None]
+        return top + np.log(np.exp(scores, out=scores).sum(axis=1))
 
     def log10(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10-probability of each target."""
         out = np.empty(len(target))
-        for at in range(0, len(target), BATCH):
-            part = slice(at, at + BATCH)
-            h = self.c[0] * self.r[one[part]] + self.c[1] * self.r[two[part]]
-            s = h @ self.q.T + self.b
-            s[:, ~self.used] = -np.inf
-            top = s.max(axis=1)
-            out[part] = s[np.arange(len(s)), target[part]] - top - np.log(np.exp(s - top[:, None]).sum(axis=1))
+        held = np.where(self.used, 0, -np.inf).astype(np.float32).reshape(self.classes, PLACES)
+        for at in range(0, len(target), CHUNK):
+            order = by_value(target[at : at + CHUNK]) + at
+            t = target[order]
+            kind = t // PLACES
+            h = np.ones((len(t), DIM + 1), np.float32)
+            h[:, :DIM] = self.c[0] * self.r[one[order]] + self.c[1] * self.r[two[order]]
+            each = np.einsum("ij,ij->i", h, self.k[kind]) + np.einsum("ij,ij->i", h, self.q[t])
+            for a in range(0, len(t), 1 << 13):
+                each[a : a + (1 << 13)] -= self._log_sums(h[a : a + (1 << 13)] @ self.k.T)
+            first = np.flatnonzero(np.diff(kind, prepend=-1))
+            for a, b in zip(first, np.append(first[1:], len(t)), strict=True):
+                own = slice(kind[a] * PLACES, (kind[a] + 1) * PLACES)
+                used = held[kind[a]] == 0
+                q = self.q[own][used]
+                for x in range(a, b, 1 << 13):
+                    y = min(b, x + (1 << 13))
+                    each[x:y] -= self._log_sums(h[x:y] @ q.T)
+            out[order] = each
         return out / math.log(10)
 
 
 def groups(batches: Iterator, column: int, most: int = 1 << 20) -> Iterator:
-    """Documents' units in a row with their ends, of about `most` tokens at a time, and the batches' row numbers."""
+    """Documents' units in a row with their ends, of about `most` tokens at a time."""
     held, size = [], 0
     for batch in batches:
         for raw in batch.column(column):
-            held.append(np.frombuffer(raw.as_buffer(), np.uint8))
+            held.append(np.frombuffer(raw.as_buffer(), "<u2"))
             size += len(held[-1])
             if size >= most:
-                yield np.concatenate(held), np.cumsum([len(x) for x in held])
+                yield np.concatenate(held).astype(np.int32), np.cumsum([len(x) for x in held])
                 held, size = [], 0
     if held:
-        yield np.concatenate(held), np.cumsum([len(x) for x in held])
+        yield np.concatenate(held).astype(np.int32), np.cumsum([len(x) for x in held])
 
 
 def train(encoded: DataFrame, vocab: Vocabulary) -> np.ndarray | None:
-    """Parameters averaged over tasks by tokens; each task goes over all its training documents. Sums are made in two
-    steps, so that the driver gets a fixed number of parameter sets."""
+    """Parameters averaged over shards by tokens. Documents are dealt to shards by a hash, as many as the corpus fills, and shards to rounds,
+    so that every document is learnt from once and the model does not change with how the input is split. Sums are made in two
+    steps, so that the driver gets one set of parameters."""
     mass, used = vocab.mass, vocab.used
+    shards = max(1, -(-vocab.n // (SHARD_TOKENS * ROUNDS)))
+    size = min(BATCH[1], max(BATCH[0], vocab.n // (shards * ROUNDS * STEPS)))
     flat: np.ndarray | None = None
+    order = F.xxhash64("doc_id", "units")
+    marked = encoded.filter("not held_out").select("units", order.alias("mark"))
+    marked = marked.withColumn("round", F.pmod("mark", F.lit(ROUNDS))).withColumn("shard", F.pmod(F.xxhash64("mark"), F.lit(shards)).cast("int"))
     for number in range(ROUNDS):
         start = flat
 
@@ -249,14 +363,15 @@ def train(encoded: DataFrame, vocab: Vocabulary) -> np.ndarray | None:
             import pyarrow as pa
 
             model, rng, seen = LogBilinear(mass, used, start), np.random.Generator(np.random.PCG64(11 + number)), 0
-            for units, ends in groups(batches, 0):
-                one, two = LogBilinear.contexts(units, ends)
-                order = rng.permutation(len(units))
-                for at in range(0, len(order), BATCH):
-                    k = order[at : at + BATCH]
-                    model.learn(one[k], two[k], units[k].astype(np.int64), rng)
+            for units, ends in groups(batches, 0, 1 << 19):
+                one, two = model.contexts(units, ends)
+                mixed = rng.permutation(len(units))
+                for at in range(0, len(mixed), size):
+                    k = mixed[at : at + size]
+                    model.learn(one[k], two[k], units[k], rng)
                 seen += len(units)
-            yield pa.RecordBatch.from_arrays([pa.array([(model.flat() * seen).tobytes()]), pa.array([seen], pa.int64())], names=["flat", "n"])
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([(model.flat() * np.float32(seen)).astype("<f4").tobytes()]), pa.array([seen], pa.int64())], names=["flat", "n"])
 
         def total(batches: Iterator) -> Iterator:
             import pyarrow as pa
@@ -264,16 +379,18 @@ def train(encoded: DataFrame, vocab: Vocabulary) -> np.ndarray | None:
             sums, seen = 0.0, 0
             for batch in batches:
                 for raw, n in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                    sums, seen = sums + np.frombuffer(raw.as_buffer()), seen + n
+                    sums, seen = sums + np.frombuffer(raw.as_buffer(), "<f4").astype(float), seen + n
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()]), pa.array([seen], pa.int64())], names=["flat", "n"])
-
-        parts = encoded.filter("not held_out").select("units").mapInArrow(run, "flat binary, n long")
-        rows = parts.repartition(16).mapInArrow(total, "flat binary, n long").collect()
-        seen = sum(r["n"] for r in rows)
-        if not seen:
-            return flat
-        flat = sum(np.frombuffer(bytes(r["flat"])) for r in rows) / seen
+                yield pa.RecordBatch.from_arrays([pa.array([sums.astype("<f4").tobytes()]), pa.array([seen], pa.int64())], names=["flat", "n"])
+
+        own = marked.filter(F.col("round") == number).repartitionById(shards, F.col("shard")).sortWithinPartitions("mark")
+        parts = map_arrow(own.select("units"), run, "flat binary, n long")
+        for tasks in (max(1, math.isqrt(shards)), 1):  # no task gets the sets of all shards
+            dealt = parts.withColumn("to", F.pmod(F.spark_partition_id(), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("to"))
+            parts = map_arrow(dealt.sortWithinPartitions("n", F.xxhash64("flat")).select("flat", "n"), total, "flat binary, n long")
+        made = parts.collect()
+        if made:
+            flat = np.frombuffer(bytes(made[0]["flat"]), "<f4") / np.float32(made[0]["n"])
     return flat
 
 
@@ -283,32 +400,32 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     base_score is the unigram model's, score the log-bilinear model's log10-probability. Counts of the FREQUENT words go to every
     worker; the rarer words of documents, a small part of all tokens, are joined with the table of all counts."""
     spark = docs.sparkSession
-    arrow_limits(spark)
     named = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
     counts = durable(count_words(named.filter(~held_out(F.col("doc_id")))), "lm-counts")
     vocab = vocabulary(counts)
     shared = spark.sparkContext.broadcast(vocab)
     encoded = encode(named, shared).withColumn("held_out", held_out(F.col("doc_id"))).withColumn("row", F.monotonically_increasing_id())
     encoded = durable(encoded, "lm-units")
-    flat = train(encoded, vocab)
-    mass, used, level = vocab.mass, vocab.used, vocab.level
+    model = spark.sparkContext.broadcast(train(encoded, vocab))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        model = LogBilinear(mass, used, flat)
+        v = shared.value
+        own = LogBilinear(v.mass, v.used, model.value)
         for batch in batches:
             out = []
-            for units, ends in groups(iter([batch]), 1):
-                one, two = LogBilinear.contexts(units, ends)
-                each = model.log10(one, two, units.astype(np.int64)) - level[units]
+            for units, ends in groups(iter([batch]), batch.num_columns - 1):
+                one, two = own.contexts(units, ends)
+                each = own.log10(one, two, units) - v.level[units]
                 out.append(np.diff(np.concatenate([[0.0], np.cumsum(each)])[np.concatenate([[0], ends])]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["row", "lbl"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(out) if out else [], pa.float64())], names=["row", "doc_id", "held_out", "known", "others", "sum_known", "lbl"])
 
     rare = encoded.select("row", F.explode(F.arrays_zip("words", "numbers")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.numbers").alias("m"))
     found = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("m") * (F.log10(F.col("c") + SMOOTH) + 1)).alias("more"), F.sum("m").alias("found"))
-    lbl = encoded.select("row", "units").mapInArrow(run, "row long, lbl double")
-    out = encoded.drop("units", "words").withColumn("others", F.aggregate("numbers", F.lit(0).cast("long"), lambda s, x: s + x)).join(lbl, "row").join(found, "row", "left")
+    others = F.aggregate("numbers", F.lit(0).cast("long"), lambda s, x: s + x)
+    scored = map_arrow(encoded.select("row", "doc_id", "held_out", "known", others.alias("others"), "sum_known", "units"), run, "row long, doc_id long, held_out boolean, known long, others long, sum_known double, lbl double")
+    out = scored.join(found, "row", "left")
     tokens = F.col("known") + F.col("others")
     # a word without a count has log10(0.1) = -1
     sums = F.col("sum_known") - F.col("others") + F.coalesce("more", F.lit(0.0))
