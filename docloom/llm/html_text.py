@@ -2,7 +2,7 @@
 they stand, classified by a decision tree that is trained on a small labelled table.
 
 Cases: a null or empty page has an empty text; so has a page without a block of content; unclosed tags, comments and scripts end where
-the next enclosing tag or the page ends; repeated rows are extracted each by itself; an empty table gives no rows; columns
+the next enclosing tag or the page ends; a tag whose quotes stay open ends at the first ">"; repeated rows are extracted each by itself; an empty table gives no rows; columns
 other than id, url and html are not read.
 """
 
@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 from pyspark.sql import DataFrame
 
-from .common import arrow_limits
+from .common import map_arrow
 
 # Tags by role, and words of class, id and role attributes that mark what is not the article.
 RAW = "script|style|noscript|template|svg|math|iframe|object|canvas|textarea|select|button|title|datalist|audio|video"
@@ -28,8 +29,13 @@ MARKED = frozenset(
 WEAK = frozenset("header footer top bottom meta foot head".split())
 CONTENT = frozenset("article content entry post story main body text".split())
 
-_NOISE = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:/>|>.*?(?:</\1\s*+>|\Z))", re.S | re.I)
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?][^>]*+(?:>|\Z)")
+#: A tag's attributes up to its end, with the ends inside of quotes left out; and as far as the first end of any kind.
+_QUOTED = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>").match
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*+)").match
+#: Tags of a page whose quotes may stay open up to its end; after so many, a tag ends at the first ">".
+OPEN_QUOTES = 16
+_RAW = frozenset(RAW.split("|"))
+_ENDS = {name: re.compile(rf"</{name}\s*+>", re.I).search for name in _RAW}
 _MARKS = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -102,6 +108,11 @@ words links words_before links_before words_after links_after chrome marked plac
    4  0.0    0  0.0   45  0.0  0 0 1 1  yes
   40  0.0    9  0.0   12  0.0  0 0 1 0  yes
   16  0.1   20  0.0   14  0.0  0 0 1 0  yes
+  27  0.0   22  0.0    2  1.0  0 0 1 0  yes
+  35  0.0   45  0.0    1  1.0  0 0 1 0  yes
+  21  0.0   30  0.0    3  0.7  0 0 1 0  yes
+  24  0.0   14  0.0    0  0.0  0 0 1 0  yes
+  22  0.1    6  0.0   18  0.0  0 0 1 0  yes
    4  0.0    2  1.0    1  1.0  0 0 1 1  no
    3  0.0    2  1.0    4  0.5  0 0 1 0  no
    8  0.0    1  1.0    3  1.0  0 0 1 0  no
@@ -132,11 +143,53 @@ def marks(attributes: str) -> tuple[bool, bool]:
     return bool(names & MARKED) or bool(names & WEAK) and not content, content
 
 
+def tags(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text before, tag name, whether it closes, attributes) of each tag in order, the last with the name "". Comments, declarations and
+    raw elements are left out; their place is a space. One pass: what is searched for and not there ends the page."""
+    at = done = failed = 0
+    some: list[str] = []
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", start):
+            end = page.find("]]>", start)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start) + 1 or len(page)
+        else:
+            name = _NAME(page, start + 1)
+            if not name:
+                at = start + 1
+                continue
+            tag = name[1].lower()
+            quoted = _QUOTED(page, name.end()) if failed < OPEN_QUOTES else None
+            failed += not quoted
+            end = quoted.end() if quoted else page.find(">", name.end()) + 1 or len(page)
+            closes = page[start + 1] == "/"
+            if tag not in _RAW:
+                some.append(page[done:start])
+                yield "".join(some), tag, closes, page[name.end() : end]
+                some.clear()
+                at = done = end
+                continue
+            if not closes and not page.startswith("/>", end - 2):
+                closing = _ENDS[tag](page, end)
+                end = closing.end() if closing else len(page)
+        some += page[done:start], " "
+        at = done = end
+    some.append(page[done:])
+    yield "".join(some), "", False, ""
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order. A stack of open tags says what each stands in."""
-    page = _NOISE.sub(" ", page)
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, chrome, marked, inside an article or main part
+    opened: Counter = Counter()  # tags in the stack
     some: list[str] = []
     links = anchor = 0
     heading = False
@@ -151,19 +204,22 @@ def blocks(page: str) -> list[Block]:
         some.clear()
         links = 0
 
-    at = 0
-    for tag in _TAG.finditer(page):
-        if tag.start() > at:
-            piece = page[at : tag.start()]
+    def put(name: str, chrome: bool, marked: bool, inside: bool) -> None:
+        stack.append((name, chrome, marked, inside))
+        opened[name] += 1
+
+    def drop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        return name
+
+    for piece, name, closes, attributes in tags(page):
+        if piece:
             some.append(piece)
             if anchor:
                 links += len(entities.unescape(piece).split())
-        at = tag.end()
-        if tag[2] is None:
-            continue
-        name = tag[2].lower()
         if name == "a":
-            anchor = 0 if tag[1] else 1
+            anchor = 0 if closes else 1
             continue
         if name == "br":
             some.append(" ")
@@ -171,35 +227,37 @@ def blocks(page: str) -> list[Block]:
         if name not in BLOCKS:
             if name in VOID or name in ("td", "th"):
                 some.append(" ")
-            if not tag[1] and name not in VOID and tag[3] != ">" and marks(tag[3])[0]:
+            if not name:
+                flush()
+            elif not closes and name not in VOID and attributes != ">" and marks(attributes)[0]:
                 # an inline element that is marked, such as a hidden span, stands by itself
                 flush()
-                _, chrome, marked, inside = stack[-1] if stack else ("", False, False, False)
-                stack.append((name, chrome, True, inside))
-            elif tag[1] and any(name == s[0] for s in stack):
+                _, chrome, _, inside = stack[-1] if stack else ("", False, False, False)
+                put(name, chrome, True, inside)
+            elif closes and opened[name]:
                 flush()
-                while stack and stack.pop()[0] != name:
+                while drop() != name:
                     pass
             continue
         flush()
-        if tag[1]:
-            if any(name == s[0] for s in stack):
-                while stack.pop()[0] != name:
+        if closes:
+            if opened[name]:
+                while drop() != name:
                     pass
         elif name not in VOID:
-            if name == "body":
+            if name == "body" and not opened["body"] and opened["head"]:
+                # the head that the first body ends
                 stack = [s for s in stack if s[0] != "head"]
+                opened["head"] = 0
             if stack and (stack[-1][0] == "p" or stack[-1][0] == name in ("li", "dt", "dd", "td", "th", "tr")):
-                stack.pop()
+                drop()
             _, chrome, marked, inside = stack[-1] if stack else ("", False, False, False)
-            beside, content = marks(tag[3]) if tag[3] != ">" else (False, False)
+            beside, content = marks(attributes) if attributes != ">" else (False, False)
             inside = inside or name in ("article", "main") and not beside
             chrome = chrome or name in CHROME or name == "header" and not inside
-            stack.append((name, chrome, marked or beside and name not in ("html", "body"), inside))
-        heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") and not tag[1]
+            put(name, chrome, marked or beside and name not in ("html", "body"), inside)
+        heading = name in ("h1", "h2", "h3", "h4", "h5", "h6") and not closes
         anchor = 0
-    some.append(page[at:])
-    flush()
     return out
 
 
@@ -263,7 +321,6 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars. A narrow map; a task holds one Arrow batch."""
-    arrow_limits(pages.sparkSession, rows=500)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -274,4 +331,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr(f"cast(`{id_col}` as long) page_id", f"cast(`{url_col}` as string) url", f"cast(`{html_col}` as string) html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return map_arrow(pages.selectExpr(f"cast(`{id_col}` as long) page_id", f"cast(`{url_col}` as string) url", f"cast(`{html_col}` as string) html"), run, "page_id long, url string, text string, n_chars long")
