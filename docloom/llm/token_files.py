@@ -1,8 +1,8 @@
 """Token ids in Arrow stream files: record batches of fixed-size lists, so that a reader maps a file and views any sequence.
 
-Layout of a part: `part-N.arrow` has record batches of (ids: fixed_size_list<uint16 or uint32>[length], mask:
+Layout of a part: `part-R-N.arrow` (the N-th of range R) has record batches of (ids: fixed_size_list<uint16 or uint32>[length], mask:
 fixed_size_list<bool>[length]); the ids of the part's documents fill the sequences in a row, and only the last
-sequence of a part has padding (mask false). `part-N.index.arrow` has (doc_id, start, n_tokens) with start counted from
+sequence of a part has padding (mask false). `part-R-N.index.arrow` has (doc_id, start, n_tokens) with start counted from
 the part's first id. Parts hold ascending ranges of doc_id.
 
 Cases: a null or empty text is its end id alone; a row that is there twice is written twice; null doc_ids come first; an
@@ -18,10 +18,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, durable, new_dir
+from .common import durable, map_arrow, new_dir
 
-#: Documents in a part, about.
-PART_DOCS = 8_192
+#: Documents in a part; ranges of doc_id at most, each of which one task writes part by part, and tasks that read at most.
+PART_DOCS, RANGES, READERS = 8_192, 8_192, 20_000
 #: Sequences in a record batch.
 BATCH = 256
 
@@ -33,18 +33,17 @@ def opened(uri: str) -> tuple:
     return fs.FileSystem.from_uri(uri)
 
 
-def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, length: int = 2_048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the files and return the manifest: one row per part (part, path, n_docs, n_tokens, base), base being
-    the ids of all parts before. Texts are encoded where they are read; only ids are shuffled (2 bytes a token
-    for small vocabularies), to the part that a doc_id belongs to. Part limits are quantiles of doc_id, from a scan of that
-    column alone. A task writes under a name of its attempt and renames, so a repeated task leaves one file."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
+def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, length: int = 2_048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", part_docs: int = PART_DOCS, ranges: int = RANGES) -> DataFrame:
+    """Write the files and return the manifest: one row per part (number, range, part, path, n_docs, n_tokens, base), base being
+    the ids of all parts before, number the part's place among all. Texts are encoded where they are read; only ids are shuffled (2 bytes
+    a token for small vocabularies), to the range that a doc_id belongs to. Limits of ranges are quantiles of doc_id, from a scan of that
+    column alone; there are at most `ranges` of them, whatever the input, since a range holds as many parts as its documents fill. A task
+    holds one record batch, writes under a name of its attempt and renames, so a repeated task leaves one file."""
     named = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    parts = max(1, -(-named.count() // PART_DOCS))
+    wanted = max(1, min(ranges, -(-named.count() // part_docs)))
     limits: list[int] = []
-    if parts > 1:
-        limits = sorted(set(named.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 20 * parts)).first()[0] or []))
+    if wanted > 1:
+        limits = sorted(set(named.agg(F.percentile_approx("doc_id", [k / wanted for k in range(1, wanted)], 20 * wanted)).first()[0] or []))
 
     def encoded(batches: Iterator) -> Iterator:
         from bisect import bisect_left
@@ -59,45 +58,48 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer_path: str, length: in
         for batch in batches:
             doc = batch.column(0).to_pylist()
             ids = [np.frombuffer(x + end, "<u4").astype(kind).tobytes() for x in code.encode(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ids, pa.binary()), pa.array([0 if d is None else bisect_left(limits, d) for d in doc], pa.int32())], names=["doc_id", "ids", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(ids, pa.binary()), pa.array([0 if d is None else bisect_left(limits, d) for d in doc], pa.int32())], names=["doc_id", "ids", "range"])
 
     def written(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
         from docloom.llm.encoding import encoder
 
         kind = "<u2" if encoder(tokenizer_path).size <= 1 << 16 else "<u4"
         part = None
         for batch in batches:
-            for p, doc, ids in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if part is None or p != part.number:
+            for r, doc, ids in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part is None or r != part.range or len(part.docs) >= part_docs:
+                    number = part.number + 1 if part is not None and r == part.range else 0
                     if part is not None:
                         yield part.close()
-                    part = PartWriter(uri, p, length, kind)
+                    part = PartWriter(uri, r, number, length, kind)
                 part.add(doc, ids)
         if part is not None:
             yield part.close()
 
-    rows = named.mapInArrow(encoded, "doc_id long, ids binary, part int")
-    placed = rows.repartitionById(len(limits) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
-    made = durable(placed.select("doc_id", "ids", "part").mapInArrow(written, "part int, path string, n_docs long, n_tokens long"), "token-manifest")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    return made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    rows = map_arrow(named, encoded, "doc_id long, ids binary, range int")
+    placed = rows.repartitionById(len(limits) + 1, F.col("range")).sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"))
+    made = durable(map_arrow(placed.select("doc_id", "ids", "range"), written, "range int, part int, path string, n_docs long, n_tokens long"), "token-manifest")
+    # sums over the ranges, a bounded number of rows, then within each
+    sums = made.groupBy("range").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("parts"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("range", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)).alias("t"), F.coalesce(F.sum("parts").over(earlier), F.lit(0)).alias("p"))
+    before = Window.partitionBy("range").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = made.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    return own.join(F.broadcast(sums), "range").select((F.col("p") + F.col("part")).cast("long").alias("number"), "range", "part", "path", "n_docs", "n_tokens", (F.col("t") + F.col("base")).cast("long").alias("base"))
 
 
 class PartWriter:
     """Fills sequences with ids as they come and keeps one record batch in memory."""
 
-    def __init__(self, uri: str, number: int, length: int, kind: str):
+    def __init__(self, uri: str, range_: int, number: int, length: int, kind: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        self.number, self.length, self.kind = number, length, kind
+        self.range, self.number, self.length, self.kind = range_, number, length, kind
         self.fs, base = opened(uri)
         self.fs.create_dir(base, recursive=True)
-        self.path = f"{base}/part-{number:06d}"
-        self.uri = f"{uri}/part-{number:06d}"
+        name = f"part-{range_:05d}-{number:06d}"
+        self.path, self.uri = f"{base}/{name}", f"{uri}/{name}"
         self.own = f"{self.path}.{TaskContext.get().taskAttemptId()}"
         item = pa.uint16() if kind == "<u2" else pa.uint32()
         self.schema = pa.schema([("ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
@@ -145,7 +147,7 @@ class PartWriter:
             w.write_batch(index)
         self.fs.move(f"{self.own}.tmp", f"{self.path}.arrow")
         self.fs.move(f"{self.own}.index.tmp", f"{self.path}.index.arrow")
-        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int32()), pa.array([self.uri]), pa.array([len(doc)], pa.int64()), pa.array([self.tokens], pa.int64())], names=["part", "path", "n_docs", "n_tokens"])
+        return pa.RecordBatch.from_arrays([pa.array([self.range], pa.int32()), pa.array([self.number], pa.int32()), pa.array([self.uri]), pa.array([len(doc)], pa.int64()), pa.array([self.tokens], pa.int64())], names=["range", "part", "path", "n_docs", "n_tokens"])
 
 
 class TokenFile:
@@ -192,8 +194,9 @@ class TokenFile:
         return some[0] if len(some) == 1 else np.concatenate(some)
 
 
-def read_token_files(manifest: DataFrame) -> DataFrame:
-    """One row per document, from the files: doc_id, start (over all parts), ids (uint32, little-endian)."""
+def read_token_files(manifest: DataFrame, readers: int = READERS) -> DataFrame:
+    """One row per document, from the files: doc_id, start (over all parts), ids (uint32, little-endian). A task per part, up to `readers`
+    tasks that read several one after another."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -206,7 +209,10 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     ids = [part.ids(s, k).astype("<u4").tobytes() for s, k in zip(start, n, strict=True)]
                     yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([base + s for s in start], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "start", "ids"])
 
-    return manifest.select("path", "base").repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, ids binary")
+    tasks = max(1, min(readers, manifest.count()))
+    # by number, so that adaptive execution does not bring small manifests into one task
+    dealt = manifest.select("path", "base", (F.col("number") % tasks).cast("int").alias("to")).repartitionById(tasks, F.col("to"))
+    return map_arrow(dealt.select("path", "base"), run, "doc_id long, start long, ids binary")
 
 
 def folder(spark: SparkSession) -> str:
