@@ -62,7 +62,7 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
     pairs = F.filter(F.arrays_zip(found.alias("found"), between.alias("before")), lambda z: z["found"].isNotNull())
     # a match before it is no word
     ahead = lambda z, i: F.concat(F.when(i > 0, "0").otherwise(""), z["before"])
-    words = lambda z, i: F.lower(F.regexp_extract(F.right(ahead(z, i), F.lit(60)), CONTEXT, 1))
+    words = lambda z, i: F.lower(F.regexp_extract(ahead(z, i), CONTEXT, 1))
     ok = lambda x: F.lit(True) if kind == "token" else valid(kind, x)
     core = lambda x: F.lower(F.regexp_extract(x, r"^[^A-Za-z0-9@+]*(.*?)[^A-Za-z0-9]*$", 1) if kind == "token" else x)
     more = lambda z, i: (ok(z["found"]).alias("ok"), F.regexp_replace(words(z, i), r"[\x20\x09-\x0D]+", " ").alias("context"), core(z["found"]).alias("core"))
