@@ -13,7 +13,8 @@ def components(links: DataFrame) -> DataFrame:
 
     In each round every node hooks to the neighbour of least rank (a hash of the node, so that chains are short), the
     links are rewritten to the hooked nodes, and self-links go. A round removes at least half of the nodes that have links.
-    A node with very many links is summed map-side and looked up as a hot key. Null nodes are not expected."""
+    A node with very many links is summed map-side and looked up as a hot key. Links that are there twice count once, a link of a node
+    with itself not at all, and a link with a null node is none; an empty table gives no rows."""
     spark = links.sparkSession
     rank = rank_of
     edges = durable(links.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").distinct(), "cc-edges")

@@ -12,11 +12,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, arrow_limits, durable, lookup, within
+from .common import BROADCAST_ROWS, durable, lookup, map_arrow, within
 from .components import components
 
 #: Members of one pivot that are compared by one task.
-COMPARE_ROWS = 500
+COMPARE_ROWS = 100
 
 
 def sketches(docs: DataFrame, size: int, halves: int, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -39,7 +39,7 @@ def sketches(docs: DataFrame, size: int, halves: int, rows: int, id_col: str, te
                 keys.append(sketcher.half_keys(items) if len(items) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "keys"])
 
-    return docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return map_arrow(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), run, "doc_id long, n_shingles long, digest binary, keys array<long>")
 
 
 def compare(docs: DataFrame, pairs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -87,10 +87,10 @@ def compare(docs: DataFrame, pairs: DataFrame, size: int, id_col: str, text_col:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in out], pa.int64()), pa.array([k[1] for k in out], pa.int64()), pa.array([v[0] for v in out.values()], pa.int64()), pa.array([v[1] for v in out.values()], pa.int64())], names=["a", "b", "same", "total"])
 
     texts = within(docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text"), ids, ["doc_id"])
-    made = texts.mapInArrow(sets, "doc_id long, items binary")
+    made = map_arrow(texts, sets, "doc_id long, items binary")
     joined = made.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, "doc_id")
     grouped = joined.select("a", "share", "role", "doc_id", "items").repartition("a", "share").sortWithinPartitions("a", "share", "role", "doc_id")
-    return durable(grouped.mapInArrow(run, "a long, b long, same long, total long"), "pair-sizes")
+    return durable(map_arrow(grouped, run, "a long, b long, same long, total long"), "pair-sizes")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, halves: int = 12, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,7 +100,6 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, halves:
     With 12 half-keys of 4 minhashes a side, a pair at 0.85 shares a table with probability 0.9997. Buckets don't make all
     their pairs: each member is compared with the bucket's least member (its pivot); where a bucket then still holds
     several components, an exact prefix filter finds what may link them."""
-    arrow_limits(docs.sparkSession)
     light = durable(sketches(docs, size, halves, rows, id_col, text_col), "near-light")
     sets = durable(light.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys")), "near-classes")
     named = light.filter("doc_id is not null and digest is not null")
@@ -131,7 +130,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85, size: int = 5, halves:
         of = durable(components(links), "near-labels")
     members = durable(sets.join(of.withColumnRenamed("node", "rep"), "rep", "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id")), "near-members")
     out = lookup(light, members, ["digest"], "n", total)
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
@@ -164,7 +163,7 @@ def residual(docs: DataFrame, tables: DataFrame, buckets: DataFrame, of: DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t.as_py(), size).view(np.int64) for t in batch.column(1)], pa.list_(pa.int64()))], names=["rep", "items"])
 
     texts = within(docs.selectExpr(f"cast(`{id_col}` as long) rep", f"`{text_col}` text"), some, ["rep"])
-    each = durable(texts.mapInArrow(items, "rep long, items array<long>").select("rep", F.size("items").alias("n"), F.explode("items").alias("item")), "near-items")
+    each = durable(map_arrow(texts, items, "rep long, items array<long>").select("rep", F.size("items").alias("n"), F.explode("items").alias("item")), "near-items")
     often = durable(each.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1"), "near-often")
     ranked = lookup(each, often, ["item"], "df", each.count()).withColumn("df", F.coalesce("df", F.lit(1)))
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("df", "item"))

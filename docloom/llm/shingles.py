@@ -1,11 +1,15 @@
 """Word and shingle hashes of a text in numpy: no loop over words.
 
 Words are runs of bytes other than the six ASCII white-space bytes, A-Z as lower case. A word's hash is a polynomial over
-random 64-bit byte values modulo 2**64, from prefix sums; a shingle's hash mixes those of its words.
+random 64-bit byte values modulo 2**64, from prefix sums (of a long word, its BLAKE2 hash); a shingle's hash mixes those of its words.
+
+Cases: a null or empty text, or one of white space alone, has no words and no shingles; a lone surrogate counts as its three bytes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _RNG = np.random.Generator(np.random.PCG64(20_240_229))
@@ -14,6 +18,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _P = 0x9E3779B97F4A7C15 | 1
 _PLACE = _RNG.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of a word beyond which it is hashed by BLAKE2 instead.
+LONG_WORD = 64
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 20
 _powers = np.zeros(0, np.uint64)
@@ -46,7 +52,11 @@ def _chunk(data: bytes) -> np.ndarray:
     _grow(len(a))
     sums = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_BYTE[a] * _powers[: len(a)], out=sums[1:])
-    return (sums[end] - sums[start]) * _inverse[start]
+    out = (sums[end] - sums[start]) * _inverse[start]
+    # the low bits of a long polynomial can be made equal; words that long are rare
+    for k in np.flatnonzero(end - start > LONG_WORD):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def words(text: str | None) -> np.ndarray:
