@@ -7,10 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words that carry no identity.
-PARTICLES = ("de", "la", "van", "von", "der", "den", "du", "di", "da", "del", "st", "jr", "sr", "ii", "iii", "iv")
-SUFFIXES = {"jr": "jr", "sr": "sr", "ii": "2", "iii": "3", "iv": "4"}
-FIRM_STOP = ("and", "of", "the", "law", "firm", "group", "office", "offices", "llp", "llc", "pc", "pllc", "pa", "co", "inc")
+# Words of names that carry no identity, generation marks, and words that tell no firm from another.
+PARTICLES = ("de", "del", "della", "van", "von", "der", "den", "da", "di", "la", "le", "st", "saint")
+SUFFIXES = {"jr": "jr", "sr": "sr", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
+FIRM_STOP = ("and", "the", "of", "at", "law", "offices", "office", "group", "firm")
+LEGAL_FORMS = ("llp", "llc", "pc", "pllc", "pa", "co", "inc")
 
 
 def chain(c: Column, *steps: tuple[str, str]) -> Column:
@@ -33,14 +34,38 @@ def tokens(c: Column, least: int = 1, without: tuple[str, ...] = ()) -> Column:
 
 def surname_key(c: Column) -> Column:
     """The letters of a surname without particles and generation marks; of the whole if nothing else is left."""
-    kept = F.filter(F.split(F.lower(F.trim(c)), "[^a-z]+"), lambda t: ~t.isin(*PARTICLES, ""))
+    kept = F.filter(F.split(F.lower(F.trim(c)), "[^a-z]+"), lambda t: ~t.isin(*PARTICLES, *SUFFIXES, ""))
     return F.coalesce(F.nullif(F.array_join(kept, ""), F.lit("")), letters(c))
 
 
 def generation(c: Column) -> Column:
-    """jr, sr, 2, 3 or 4 at the end of a name; empty if there is none."""
-    mark = F.regexp_extract(F.lower(c), r"[\s,]+(jr|sr|ii|iii|iv)\.?\s*$", 1)
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.nullif(mark, F.lit(""))), F.lit(""))
+    """jr, sr, 2, 3, 4 or 5 at the end of a name; empty if there is none."""
+    mark = F.regexp_extract(F.lower(c), rf"(?:^|[^a-z0-9_])({'|'.join(SUFFIXES)})\.?\s*$", 1)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.nullif(mark, F.lit(""))), F.lit(""))
+
+
+def given_tokens(full: Column, last: Column) -> Column:
+    """The tokens of a full name that are neither its surname key nor particles nor generation marks."""
+    found = F.transform(F.regexp_extract_all(full, F.lit("([A-Za-z']+)"), F.lit(1)), letters)
+    return F.filter(found, lambda x: (x != surname_key(last)) & ~x.isin(*PARTICLES, *SUFFIXES, ""))
+
+
+def salvaged_first(first: Column, last: Column) -> Column:
+    """The first given name, empty where it only repeats the surname."""
+    token = F.coalesce(first_token(first), F.lit(""))
+    return F.when(token == surname_key(last), "").otherwise(token)
+
+
+def is_individual(kind: Column, first: Column, last: Column) -> Column:
+    """By the stated kind; without one, whether there is any name."""
+    said = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    some = (F.trim(F.coalesce(first, F.lit(""))) != "") | (F.trim(F.coalesce(last, F.lit(""))) != "")
+    return F.when(said == "firm", False).when(said == "individual", True).otherwise(some)
+
+
+def reconciled_roles(c: Column) -> Column:
+    """Sorted distinct roles, where coordination is another word for management."""
+    return F.array_sort(F.array_distinct(F.transform(c, lambda r: F.when(r == "coordination", "management").otherwise(r))))
 
 
 def firm_name(c: Column) -> Column:
@@ -117,3 +142,29 @@ def ascii_fold(c: Column) -> Column:
     accented = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
     plain = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
     return F.trim(chain(F.translate(F.replace(c, F.lit("’"), F.lit("'")), accented, plain), (r"[^\x00-\x7F]", ""), (r"\s+", " ")))
+
+
+# Patterns of docket numbers, of ids in running text (in order of priority), and of titles by what they say.
+DOCKETS = (r"(?i)[,_]\s*Doc(?:ket)?\.?\s*#?\s*(\d+)", r"(?i)_\d+(?:md|mc|cv)\d+_(\d+)_")
+EXHIBIT = r"Doc\.?\s*#?\s*(\d+)-(\d+)\b"
+ID_HINTS = (r"(?is)MDL\s*No\.?\s*(\d{2,6}).{0,80}?Doc\.?\s*(\d{1,5})", r"(?i)\b(\d{2,6})\D+Doc\.?\s*(\d{1,5})\b", r"\b(\d{2,6})[-–](\d{1,5})\b")
+ROSTER_WORDS = r"(?i)chair|member|committee|steering|executive|leadership|lead|counsel|liaison|position|recommend|slate|schedule|roster|psc|class"
+REPORT_TITLE = r"(?i)special\s*master|spec\.?\s*master|report\s*(?:and\s*)?recomm|recommendation|rule\s*53|\br\s*&\s*r\b"
+REAPPOINT_TITLE = r"(?i)re-?appoint|reappointment|renew"
+APPOINT_TITLE = r"(?i)appoint|substitut"
+FEE_TITLE = r"(?i)\bfees?\b|attn?ys?_?\s*fee|dismissal|settlem\w*.{0,18}(appr|aprvl|approv|app['_]?l|final|prelim)|(appr|aprvl|approv|app['_]?l|final|prelim).{0,18}settlem\w*"
+
+
+def first_of(c: Column, patterns: tuple[str, ...], group: int = 1) -> Column:
+    """The group of the first pattern that matches; null if none does."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(c, p, group), F.lit("")) for p in patterns))
+
+
+def docket_number(name: Column) -> Column:
+    """The docket number that a file's name holds, in either convention."""
+    return first_of(name, DOCKETS)
+
+
+def id_hint(c: Column) -> Column:
+    """group-docket from running text, both numbers by one pattern; null if none matches."""
+    return F.concat_ws("-", first_of(c, ID_HINTS, 1), first_of(c, ID_HINTS, 2))

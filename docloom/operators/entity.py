@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.ranks import row_numbers
+from docloom.sources.shared import folder
+
 
 def blocked_pairs(df: DataFrame, key: str, blocks: DataFrame, cap: int | None = None) -> DataFrame:
     """Unordered pairs (a, b) that share a block, with the first block that proposes each. blocks: (key, block_no, block). A cap
@@ -20,9 +23,10 @@ def blocked_pairs(df: DataFrame, key: str, blocks: DataFrame, cap: int | None =
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder that the cluster names; plain persistence where none is set (tests)."""
-    context = df.sparkSession.sparkContext
-    return df.checkpoint() if context.getCheckpointDir() else df.persist()
+    """Cut the lineage: write the rows into the folder that the cluster names and read them again."""
+    path = folder(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -46,31 +50,71 @@ def per_component(df: DataFrame, component: str, schema: str, rule: Callable) ->
     return df.groupBy(component).applyInPandas(rule, schema)
 
 
-def guarded(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, cluster): edges (a, b, rank) in order of (rank, a, b) merge clusters unless a pair of members across them conflicts (nodes
-    have a `mark`; two different non-empty marks conflict). Runs by component of the edges."""
+def guarded(nodes: DataFrame, edges: DataFrame, incompatible: Callable) -> DataFrame:
+    """(node, cluster): edges (a, b, rank) in order of (rank, a, b) merge clusters, unless two members across them are incompatible without
+    an edge of their own. nodes: node and what incompatible(x, y) reads of two nodes' rows. Runs by component of the edges."""
     component = connected(nodes.select("node"), edges)
-    one = edges.join(component.withColumnRenamed("node", "a"), "a").select("component", F.lit(1).alias("kind"), "a", "b", "rank", F.lit("").alias("mark"))
-    two = nodes.join(component, "node").select("component", F.lit(0).alias("kind"), F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0).alias("rank"), "mark")
+    of = lambda c: component.withColumnRenamed("node", c)
+    one = edges.join(of("a"), "a").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("rank", "a", "b"))).alias("edges"))
+    two = nodes.join(component, "node").groupBy("component").agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
+
+    def rule(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for own, some in zip(pdf["nodes"], pdf["edges"], strict=True):
+                rows = {r["node"]: r for r in own}
+                links = [(e["a"], e["b"]) for e in some] if some is not None else []
+                direct = {frozenset(e) for e in links}
+                cluster, members = {n: n for n in rows}, {n: [n] for n in rows}
+                for a, b in links:
+                    x, y = sorted((cluster[a], cluster[b]))
+                    if x == y or any(frozenset((p, q)) not in direct and incompatible(rows[p], rows[q]) for p in members[x] for q in members[y]):
+                        continue
+                    for n in members[y]:
+                        cluster[n] = x
+                    members[x] += members.pop(y)
+                out += cluster.items()
+            yield pd.DataFrame(out, columns=["node", "cluster"]).astype("int64")
+
+    return two.join(one, "component", "left").select("nodes", "edges").mapInPandas(rule, "node long, cluster long")
+
+
+def split_mentions(mentions: DataFrame, key: list[str]) -> DataFrame:
+    """(mention, part): the mentions of a name key fall into parts that share a firm token or a group; a mention without firm tokens
+    belongs with all of its key. mentions: mention, the key's columns, tokens, grp. Instead of pairs, mentions are linked with a hub
+    of their key and token, key and group, or of the whole key."""
+    hub = lambda kind, *c: -1 - F.abs(F.xxhash64(F.lit(kind), *key, *c) % (1 << 62))
+    lone = mentions.filter(F.size("tokens") == 0).select(*key).distinct().withColumn("__lone", F.lit(True))
+    rows = mentions.join(lone, key, "left")
+    by_token = rows.select("mention", F.explode("tokens").alias("__t"), *key).select(F.col("mention").alias("a"), hub("token", "__t").alias("b"))
+    by_group = rows.filter("grp is not null").select(F.col("mention").alias("a"), hub("group", "grp").alias("b"))
+    whole = rows.filter("__lone").select(F.col("mention").alias("a"), hub("key").alias("b"))
+    edges = by_token.union(by_group).union(whole).distinct()
+    nodes = mentions.select(F.col("mention").alias("node")).union(edges.select("b")).distinct()
+    found = connected(nodes, edges).filter("node >= 0")
+    first = found.groupBy("component").agg(F.min("node").alias("part"))
+    return found.join(first, "component").select(F.col("node").alias("mention"), "part")
+
+
+def collapsed(df: DataFrame, group: str, key: str, same: Callable) -> DataFrame:
+    """(grp, key, rep): within a group, in order of key, each row is absorbed by the first representative that same(row, representative)
+    accepts, or becomes one."""
 
     def rule(pdf):
         import pandas as pd
 
-        own = pdf[pdf.kind == 0]
-        marks = {n: {m} - {""} for n, m in zip(own.a, own.mark, strict=True)}
-        of = {n: n for n in own.a}
-        members = {n: [n] for n in own.a}
-        for r in pdf[pdf.kind == 1].sort_values(["rank", "a", "b"]).itertuples():
-            x, y = sorted((of[r.a], of[r.b]))
-            if x == y or len(marks[x] | marks[y]) > 1:
-                continue
-            marks[x] |= marks.pop(y)
-            for n in members[y]:
-                of[n] = x
-            members[x] += members.pop(y)
-        return pd.DataFrame({"node": list(of), "cluster": list(of.values())}).astype("int64")
+        reps, out = [], []
+        for r in pdf.sort_values(key).to_dict("records"):
+            found = next((x for x in reps if same(r, x)), None)
+            if found is None:
+                reps.append(found := r)
+            out.append((r[group], r[key], found[key]))
+        return pd.DataFrame(out, columns=["grp", "key", "rep"])
 
-    return per_component(two.unionByName(one), "component", "node long, cluster long", rule)
+    kinds = dict(df.dtypes)
+    return df.groupBy(group).applyInPandas(rule, f"grp {kinds[group]}, key {kinds[key]}, rep {kinds[key]}")
 
 
 def greedy_seeds(df: DataFrame, key: str, group: str, tokens: str, least: float = 0.6) -> DataFrame:
@@ -118,4 +162,4 @@ def roster(mentions: DataFrame, cluster: str, name: str) -> DataFrame:
     order = Window.partitionBy(cluster).orderBy(F.desc("n"), F.desc(F.length(name)), F.desc(name))
     ranked = counts.withColumn("rk", F.row_number().over(order))
     rows = ranked.groupBy(cluster).agg(F.max(F.when(F.col("rk") == 1, F.col(name))).alias("canonical"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("rk").between(2, 4), F.struct("rk", name)))), lambda x: x[name]), "; ").alias("aka"), F.sum("n").alias("mentions"), F.count("*").alias("variants"))
-    return rows.withColumn("id", F.concat(F.lit("A"), F.lpad(F.row_number().over(Window.orderBy(F.desc("mentions"), cluster)).cast("string"), 4, "0")))
+    return row_numbers(rows, "__no", F.desc("mentions"), F.col(cluster)).withColumn("id", F.concat(F.lit("A"), F.lpad(F.col("__no").cast("string"), 4, "0"))).drop("__no")

@@ -54,3 +54,51 @@ def overridden(batch: DataFrame, second: DataFrame, key: str, answer: str) -> Da
     """Second opinions replace the batch's answers where there are any."""
     other = second.select(key, F.col(answer).alias("__second"))
     return batch.join(other, key, "left").withColumn(answer, F.coalesce("__second", answer)).drop("__second")
+
+
+def with_cached_struct(df: DataFrame, cache: DataFrame, key: str, column: str, schema: str, call: Callable) -> DataFrame:
+    """(key, answer, source) with a struct as answer: the cache's, or call(value of column), a tuple in the schema's order. The anti-join stands
+    before the call."""
+    known = df.select(key).join(cache.select(key, "answer"), key)
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        import pandas as pd
+
+        names = [x.split()[0] for x in schema.split(", ")]
+        for pdf in batches:
+            answers = [call(x) for x in pdf[column]]
+            yield pd.concat([pdf[[key]], pd.DataFrame(answers, columns=names, index=pdf.index)], axis=1)
+
+    asked = df.join(cache.select(key), key, "left_anti").select(key, column).mapInPandas(run, f"{key} {kind}, {schema}")
+    names = [x.split()[0] for x in schema.split(", ")]
+    asked = asked.select(key, F.struct(*names).alias("answer"))
+    return known.withColumn("source", F.lit("cache")).unionByName(asked.withColumn("source", F.lit("call")))
+
+
+def recognised(df: DataFrame, key: str, text: str, remote: Callable, local: Callable, least: int = 100, chunk: int = 10, times: int = 3) -> DataFrame:
+    """(key, text, source, chunks): a text layer of `least` characters is taken; otherwise chunks go to remote(chunk, key), tried `times`
+    times, and where one fails for good the whole goes to local."""
+    has = F.length(text) >= least
+    layer = df.filter(has).select(key, F.col(text).alias("text"), F.lit("text layer").alias("source"), F.lit(1).cast("long").alias("chunks"))
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for k, content in zip(pdf[key], pdf[text], strict=True):
+                content = content or ""
+                parts = [content[at : at + chunk] for at in range(0, max(1, len(content)), chunk)]
+                done = []
+                for part in parts:
+                    done.append(retried(remote, times)(part, k))
+                    if done[-1] is None:
+                        break
+                failed = done[-1] is None
+                out.append((k, "".join(local(part, k) for part in parts) if failed else "".join(done), "local" if failed else "ocr", len(parts)))
+            yield pd.DataFrame(out, columns=[key, "text", "source", "chunks"])
+
+    rest = df.filter(~F.coalesce(has, F.lit(False))).select(key, text).mapInPandas(run, f"{key} {kind}, text string, source string, chunks long")
+    return layer.unionByName(rest)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.ranks import row_numbers
+
 
 def members(df: DataFrame, group: str, actor: str) -> DataFrame:
     return df.select(F.col(group).alias("g"), F.col(actor).alias("m")).dropna().distinct()
@@ -36,16 +38,23 @@ def additional(slate: DataFrame) -> DataFrame:
     return pair_counts(slate).agg(F.coalesce(F.sum(F.greatest(F.col("cnt") - 1, F.lit(0))), F.lit(0)).alias("stat"))
 
 
-def permuted(slate: DataFrame, simulations: int, seed: int = 1) -> DataFrame:
+def permuted(slate: DataFrame, simulations: int, seed: int = 1, buckets: int = 64) -> DataFrame:
     """The statistic of `additional` in each of so many configuration-model shuffles: every actor keeps its number of
-    places and every group its size; places are matched by hashed order."""
+    places and every group its size; places are matched by the order of a hash of simulation and stub.
+
+    Places are numbered once; stubs are numbered in each simulation within buckets of their hash, and a bucket's base is the sum of
+    the sizes before it, so that no task orders a simulation's stubs as a whole."""
     spark = slate.sparkSession
     sims = spark.range(simulations).withColumnRenamed("id", "sim")
-    stubs = slate.select("g", "m")
-    each = stubs.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(simulations - 1))))
-    slots = each.withColumn("k", F.row_number().over(Window.partitionBy("sim").orderBy("g", "m"))).select("sim", "k", "g")
-    drawn = each.withColumn("k", F.row_number().over(Window.partitionBy("sim").orderBy(F.xxhash64(F.lit(seed), "sim", "g", "m"), "g", "m"))).select("sim", "k", "m")
-    placed = slots.join(drawn, ["sim", "k"]).select("sim", "g", "m").distinct()
+    slots = row_numbers(slate.select("g", "m"), "k", "g", "m").select("k", "g")
+    each = slate.select("m", "g").withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"))))
+    each = each.withColumn("h", F.md5(F.concat_ws(",", F.lit(seed), "sim", "g", "m").cast("binary")))
+    each = each.withColumn("b", F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int") * buckets / 65536, F.lit(buckets)).cast("int"))
+    sums = each.groupBy("sim", "b").agg(F.count("*").alias("n"))
+    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("sim").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = each.withColumn("own", F.row_number().over(Window.partitionBy("sim", "b").orderBy("h", "g", "m")))
+    drawn = own.join(sums, ["sim", "b"]).select("sim", (F.col("base") + F.col("own")).alias("k"), "m")
+    placed = drawn.join(slots, "k").select("sim", "g", "m").distinct()
     a, b = placed.select("sim", "g", F.col("m").alias("a")), placed.select("sim", "g", F.col("m").alias("b"))
     again = a.join(b, ["sim", "g"]).filter("a < b").groupBy("sim", "a", "b").agg(F.count("*").alias("cnt")).filter("cnt > 1")
     return sims.join(again.groupBy("sim").agg(F.sum(F.col("cnt") - 1).alias("stat")), "sim", "left").select("sim", F.coalesce("stat", F.lit(0)).alias("stat"))

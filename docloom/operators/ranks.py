@@ -16,3 +16,13 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
     own = F.coalesce(F.sum("__n").over(Window.partitionBy("__p").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.withColumn("__own", own).join(base, "__p").select("__v", (F.col("__base") + F.col("__own") + 1 + (F.col("__n") - 1) / 2).alias("avg_rank"))
     return df.join(placed, df[value] == placed["__v"], "left").drop("__v")
+
+
+def row_numbers(df: DataFrame, name: str, *order) -> DataFrame:
+    """Add name = the row's place (from 1) by order, which must be total. Rows are dealt by range and counted; a task numbers one range, and only
+    one row per range meets in one task."""
+    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    base = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    base = base.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
+    return own.join(F.broadcast(base), "__p").withColumn(name, (F.col("__base") + F.col("__own")).cast("long")).drop("__p", "__own", "__base")

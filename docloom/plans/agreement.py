@@ -34,12 +34,14 @@ def fields(t):
     return agree.field_agreement(j.select(F.col("lang").alias("gold_lang"), F.when(text.contains(" the "), "en").otherwise("other").alias("our_lang"), F.col("toxic").alias("gold_toxic"), F.when(text.contains("idiot"), 1).otherwise(0).alias("our_toxic")), ["lang", "toxic"])
 
 
-ROLES = "g AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_returnflag))) AS r FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 4 GROUP BY 1), o AS (SELECT l_suppkey AS k, list_sort(list_distinct(list(l_returnflag))) AS r FROM lineitem WHERE l_linenumber = 2 AND l_quantity < 4 GROUP BY 1), j AS (SELECT k, g.r AS x, o.r AS y, len(list_intersect(g.r, o.r)) / len(list_distinct(list_concat(g.r, o.r))) AS jac FROM g JOIN o USING (k))"
+ROLES = "g AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_returnflag))) AS r FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1), o AS (SELECT l_orderkey AS k, list_sort(list_distinct(list(l_returnflag))) AS r FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1), j AS (SELECT k, g.r AS x, o.r AS y, len(list_intersect(g.r, o.r)) / len(list_distinct(list_concat(g.r, o.r))) AS jac FROM g JOIN o USING (k))"
 
 
 def role_sets(t):
-    side = lambda n, name: t.lineitem.filter((F.col("l_linenumber") == n) & (F.col("l_quantity") < 4)).groupBy(F.col("l_suppkey").alias("k")).agg(F.array_sort(F.collect_set("l_returnflag")).alias(name))
-    return side(1, "x").join(side(2, "y"), "k").withColumn("jac", fz.jaccard(F.col("x"), F.col("y")))
+    """Odd lines of an order are one source's, even lines the other's; both sides come out of one grouping."""
+    side = lambda n: F.array_sort(F.collect_set(F.when(F.col("l_linenumber") % 2 == n, F.col("l_returnflag"))))
+    both = t.lineitem.groupBy(F.col("l_orderkey").alias("k")).agg(side(1).alias("x"), side(0).alias("y")).filter((F.size("x") > 0) & (F.size("y") > 0))
+    return both.withColumn("jac", fz.jaccard(F.col("x"), F.col("y")))
 
 
 @query("a09_a24_soft_agreement", f"WITH {ROLES} SELECT count(*) AS n, sum(jac) / count(*) AS soft, count(*) FILTER (jac = 1) AS exact FROM j")
@@ -62,25 +64,44 @@ def chi_square(t):
     return t.spark.createDataFrame([(x, df)], "chi2 double, df long")
 
 
-@query("m04_m08_special_functions")
-def special(t):
-    rows = [(3.841, 1, stats.chi2_p(3.841, 1)), (6.635, 1, stats.chi2_p(6.635, 1)), (9.21, 2, stats.chi2_p(9.21, 2)), (1.96, 0, stats.normal_two_sided(1.96))]
-    return t.spark.createDataFrame(rows, "x double, df long, p double")
+@query("m04_m05_chi_square_p", "WITH c AS (SELECT l_linenumber AS t, l_returnflag AS a, l_linestatus AS b, count(*) AS n FROM lineitem GROUP BY ALL), r AS (SELECT t, a, sum(n) AS r FROM c GROUP BY 1, 2), k AS (SELECT t, b, sum(n) AS k FROM c GROUP BY 1, 2), s AS (SELECT t, sum(n) AS s FROM c GROUP BY 1), g AS (SELECT r.t, coalesce(n, 0) AS n, r * k / s AS e FROM r JOIN k USING (t) JOIN s USING (t) LEFT JOIN c ON c.t = r.t AND c.a = r.a AND c.b = k.b) SELECT t AS line, round(exp(-sum((n - e) * (n - e) / e) / 2), 9) AS p FROM g GROUP BY 1")
+def chi_square_p(t):
+    """A test for each line number; three flags by two states have two degrees of freedom. Only the tables' cells come to the driver."""
+    cells = t.lineitem.groupBy("l_linenumber", "l_returnflag", "l_linestatus").agg(F.count("*").alias("n")).collect()
+    a, b = sorted({r[1] for r in cells}), sorted({r[2] for r in cells})
+    n = {(r[0], r[1], r[2]): r[3] for r in cells}
+    rows = [(k, round(stats.chi2([[n.get((k, i, j), 0) for j in b] for i in a])[2], 9)) for k in sorted({r[0] for r in cells})]
+    return t.spark.createDataFrame(rows, "line int, p double")
 
 
-@query("m06_w04_mann_whitney", "WITH x AS (SELECT c_acctbal AS v, c_mktsegment = 'BUILDING' AS g FROM customer), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS k FROM x), s AS (SELECT sum(k) FILTER (g) AS r1, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2 FROM r) SELECT r1 - n1 * (n1 + 1) / 2 AS u, n1, n2 FROM s")
+#: Two-sided normal tail of z (in the column named) by Simpson's rule.
+TAIL = "(SELECT sum(w * exp(-x * x / 2)) * 12.0 / 20000 / 3 * 2 / sqrt(2 * pi()) FROM (SELECT abs(s.z) + i * 12.0 / 20000 AS x, CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(20001) r(i)))"
+
+
+@query("m06_m08_w04_mann_whitney", f"WITH x AS (SELECT c_acctbal AS v, c_mktsegment = 'BUILDING' AS g FROM customer), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS k FROM x), q AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM x GROUP BY v)), a AS (SELECT sum(k) FILTER (g) AS r1, count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2 FROM r), s AS (SELECT r1 - n1 * (n1 + 1) / 2 AS u, (r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z FROM a, q) SELECT u, round({TAIL}, 9) AS p FROM s")
 def mann_whitney(t):
+    """Ranks and sums are made by Spark; four numbers come to the driver."""
     ranked = average_ranks(t.customer, "c_acctbal").withColumn("g", F.col("c_mktsegment") == "BUILDING")
-    s = ranked.agg(F.sum(F.when(F.col("g"), F.col("avg_rank"))).alias("r1"), F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n2"))
-    return s.select((F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"), "n1", "n2")
+    s = ranked.agg(F.sum(F.when(F.col("g"), F.col("avg_rank"))).alias("r1"), F.count_if("g").alias("n1"), F.count_if(~F.col("g")).alias("n2")).first()
+    ties = t.customer.groupBy("c_acctbal").agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t"))).first()[0]
+    u, p = stats.mann_whitney(s["r1"], s["n1"], s["n2"], ties)
+    return t.spark.createDataFrame([(u, round(p, 9))], "u double, p double")
 
 
-@query("m07_two_proportions", "WITH s AS (SELECT count(*) FILTER (o_orderstatus = 'F' AND y) AS k1, count(*) FILTER (y) AS n1, count(*) FILTER (o_orderstatus = 'F' AND NOT y) AS k2, count(*) FILTER (NOT y) AS n2 FROM (SELECT o_orderstatus, year(o_orderdate) < 1997 AS y FROM orders)) SELECT (k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2)) AS z FROM s")
+@query("m07_m08_two_proportions", f"WITH c AS (SELECT o_orderpriority AS k, count(*) FILTER (o_orderstatus = 'F' AND y) AS k1, count(*) FILTER (y) AS n1, count(*) FILTER (o_orderstatus = 'F' AND NOT y) AS k2, count(*) FILTER (NOT y) AS n2 FROM (SELECT o_orderpriority, o_orderstatus, year(o_orderdate) < 1997 AS y FROM orders) GROUP BY 1), s AS (SELECT k, (k1 / n1 - k2 / n2) / sqrt((k1 + k2) / (n1 + n2) * (1 - (k1 + k2) / (n1 + n2)) * (1 / n1 + 1 / n2)) AS z FROM c) SELECT k, z, round({TAIL}, 9) AS p FROM s")
 def two_proportions(t):
+    """A test for each priority; four counts of each come to the driver."""
     y, f = F.year("o_orderdate") < 1997, F.col("o_orderstatus") == "F"
-    s = t.orders.agg(F.count_if(f & y).alias("k1"), F.count_if(y).alias("n1"), F.count_if(f & ~y).alias("k2"), F.count_if(~y).alias("n2"))
-    pooled = (F.col("k1") + F.col("k2")) / (F.col("n1") + F.col("n2"))
-    return s.select(((F.col("k1") / F.col("n1") - F.col("k2") / F.col("n2")) / F.sqrt(pooled * (1 - pooled) * (1 / F.col("n1") + 1 / F.col("n2")))).alias("z"))
+    rows = t.orders.groupBy("o_orderpriority").agg(F.count_if(f & y).alias("k1"), F.count_if(y).alias("n1"), F.count_if(f & ~y).alias("k2"), F.count_if(~y).alias("n2")).collect()
+    out = [(r[0], *stats.two_proportions(*r[1:])) for r in rows]
+    return t.spark.createDataFrame([(k, z, round(p, 9)) for k, z, p in out], "k string, z double, p double")
+
+
+@query("d04_age", "SELECT o_custkey, avg(year(o_orderdate) - (1920 + c_nationkey * 2)) AS age FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def age(t):
+    """Whole years between a birth year (of the customer) and an event's year, without months."""
+    born = t.customer.select(F.col("c_custkey").alias("o_custkey"), (F.lit(1920) + F.col("c_nationkey") * 2).alias("born"))
+    return t.orders.join(born, "o_custkey").groupBy("o_custkey").agg(F.avg(F.year("o_orderdate") - F.col("born")).alias("age"))
 
 
 @query("j01_j02_lookup_default", "SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
@@ -100,10 +121,10 @@ def correction(t):
     return s.join(F.broadcast(fix), "r_name", "left").select("s_suppkey", F.coalesce("fixed", "r_name").alias("region"))
 
 
-@query("j06_j07_key_map", "WITH m AS (SELECT l_partkey, l_suppkey, max(l_orderkey) AS id FROM lineitem GROUP BY 1, 2) SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, m.id FROM lineitem l JOIN m USING (l_partkey, l_suppkey) WHERE l.l_returnflag = 'A'")
+@query("j06_j07_key_map", "WITH m AS (SELECT l_partkey, l_suppkey, max(l_orderkey) AS id FROM lineitem GROUP BY 1, 2) SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, m.id FROM lineitem l JOIN m USING (l_partkey, l_suppkey)")
 def key_map(t):
     m = t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.max("l_orderkey").alias("id"))
-    return t.lineitem.filter("l_returnflag = 'A'").join(m, ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "id")
+    return t.lineitem.join(m, ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "id")
 
 
 @query("j08_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import network as net
+from docloom.operators.ranks import row_numbers
 from docloom.registry import query
 
 PAIRS = "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS cnt FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2"
@@ -51,11 +52,15 @@ def additional(t):
     return net.additional(slate(t))
 
 
-@query("g06_m11_permutation_null")
+NULL_SQL = "WITH s AS (SELECT DISTINCT p_size AS g, p_brand AS m FROM part), o AS (SELECT sum(c - 1) AS observed FROM (SELECT count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.m < y.m GROUP BY x.m, y.m) WHERE c > 1), l AS (SELECT g, row_number() OVER (ORDER BY g, m) AS k FROM s), d AS (SELECT sim, m, row_number() OVER (PARTITION BY sim ORDER BY md5('1,' || sim || ',' || g || ',' || m), g, m) AS k FROM s, (SELECT unnest(range(1000)) AS sim)), p AS (SELECT DISTINCT sim, g, m FROM d JOIN l USING (k)), a AS (SELECT sim, sum(c - 1) AS stat FROM (SELECT x.sim, count(*) AS c FROM p x JOIN p y ON x.sim = y.sim AND x.g = y.g AND x.m < y.m GROUP BY x.sim, x.m, y.m) WHERE c > 1 GROUP BY 1) SELECT CAST(any_value(observed) AS BIGINT) AS observed, avg(stat) AS null_mean, avg(CASE WHEN stat >= observed THEN 1.0 ELSE 0.0 END) AS p FROM a, o"
+
+
+@query("g06_m11_permutation_null", NULL_SQL)
 def null(t):
-    s = net.members(t.orders, "o_orderdate", "o_custkey")
+    """A thousand shuffles of the brands over the sizes that parts come in; groups and actors are bounded by their vocabularies."""
+    s = net.members(t.part, "p_size", "p_brand")
     observed = net.additional(s).withColumnRenamed("stat", "observed")
-    return net.permuted(s, 20).join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.avg("stat").alias("null_mean"), F.avg((F.col("stat") >= F.col("observed")).cast("double")).alias("p"))
+    return net.permuted(s, 1_000).join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.avg("stat").alias("null_mean"), F.avg((F.col("stat") >= F.col("observed")).cast("double")).alias("p"))
 
 
 @query("g07_cycling", "WITH r AS (SELECT l_orderkey AS g, l_suppkey AS m, bool_or(l_linenumber = 1) AS lead FROM lineitem GROUP BY 1, 2), p AS (SELECT a.m AS a, b.m AS b, bool_or(a.lead AND NOT b.lead) AS x, bool_or(b.lead AND NOT a.lead) AS y FROM r a JOIN r b ON a.g = b.g AND a.m < b.m GROUP BY 1, 2) SELECT count(*) AS pairs, sum(CASE WHEN x AND y THEN 1 ELSE 0 END)::BIGINT AS cycling, avg(CASE WHEN x AND y THEN 1.0 ELSE 0.0 END) AS rate FROM p")
@@ -205,8 +210,7 @@ def keep_first(t):
 @query("w02_dense_ids", "WITH w AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) SELECT o_custkey, n, 'A' || lpad(CAST(row_number() OVER (ORDER BY n DESC, o_custkey) AS VARCHAR), 6, '0') AS id FROM w")
 def dense_ids(t):
     w = t.orders.groupBy("o_custkey").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.orderBy(F.desc("n"), "o_custkey"))
-    return w.withColumn("id", F.concat(F.lit("A"), F.lpad(rank.cast("string"), 6, "0")))
+    return row_numbers(w, "no", F.desc("n"), F.col("o_custkey")).withColumn("id", F.concat(F.lit("A"), F.lpad(F.col("no").cast("string"), 6, "0"))).drop("no")
 
 
 @query("w03_r08_positions", "SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_suppkey) AS pos FROM (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)")
@@ -240,7 +244,7 @@ def sorted_distinct(t):
 @query("o02_numeric_string_sort", "SELECT CAST(o_custkey AS VARCHAR) AS k, row_number() OVER (ORDER BY length(CAST(o_custkey AS VARCHAR)), CAST(o_custkey AS VARCHAR)) AS pos FROM (SELECT DISTINCT o_custkey FROM orders)")
 def numeric_sort(t):
     k = t.orders.select(F.col("o_custkey").cast("string").alias("k")).distinct()
-    return k.withColumn("pos", F.row_number().over(Window.orderBy(F.length("k"), "k")))
+    return row_numbers(k, "pos", F.length("k"), F.col("k"))
 
 
 @query("o05_top_ratio", "SELECT l_suppkey, count(*) FILTER (l_returnflag = 'R') / count(*) AS ratio FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
@@ -255,14 +259,16 @@ def argmax(t):
     return t.orders.withColumn("rk", F.row_number().over(w)).filter("rk = 1").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("o08_seeded_sample")
+@query("o08_seeded_sample", "SELECT c_custkey, c_name FROM customer ORDER BY md5('42,' || c_custkey), c_custkey LIMIT 100")
 def sample(t):
-    return t.customer.orderBy(F.xxhash64("c_custkey", F.lit(42)), "c_custkey").limit(100).select("c_custkey", "c_name")
+    """The rows of least hash, the same on every engine that knows MD5."""
+    mark = F.md5(F.concat_ws(",", F.lit(42), "c_custkey").cast("binary"))
+    return t.customer.orderBy(mark, "c_custkey").limit(100).select("c_custkey", "c_name")
 
 
 @query("o09_batches", "SELECT (row_number() OVER (ORDER BY c_custkey) - 1) // 14 AS batch, c_custkey FROM customer")
 def batches(t):
-    return t.customer.select(F.floor((F.row_number().over(Window.orderBy("c_custkey")) - 1) / 14).alias("batch"), "c_custkey")
+    return row_numbers(t.customer.select("c_custkey"), "no", F.col("c_custkey")).select(F.floor((F.col("no") - 1) / 14).alias("batch"), "c_custkey")
 
 
 @query("u01_p03_p38_union_align", "SELECT c_name AS name, c_mktsegment AS segment, 'customer' AS unit FROM customer UNION ALL SELECT s_name, NULL, 'supplier' FROM supplier")

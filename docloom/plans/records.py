@@ -38,12 +38,6 @@ def nested_update(t):
     return folded.select("o_orderkey", F.size(F.filter("lines", lambda x: x["l_returnflag"] == "R")).alias("marked"))
 
 
-@query("a27_duplicate_flags", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey, o_orderdate) > 1 AS dup FROM orders")
-def duplicate_flags(t):
-    n = t.orders.groupBy("o_custkey", "o_orderdate").agg(F.count("*").alias("n"))
-    return t.orders.join(n, ["o_custkey", "o_orderdate"]).select("o_orderkey", (F.col("n") > 1).alias("dup"))
-
-
 @query("a28_r09_derived_firms", "SELECT l_orderkey, p_brand, count(*) AS n, string_agg(DISTINCT l_returnflag, '; ' ORDER BY l_returnflag) AS roles FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2")
 def derived(t):
     brand = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_brand")
@@ -70,15 +64,6 @@ def membership(t):
     return t.part.select("p_partkey", F.array_contains(F.array(F.lit("ECONOMY"), F.lit("PROMO")), F.col("p_type")).alias("has"), F.coalesce(F.try_element_at(code, F.col("p_type")), F.lit(0)).alias("code"))
 
 
-@query("g09_replay_verification", "SELECT 0 AS mismatches")
-def replay(t):
-    """Ids derived twice from the same rows agree."""
-    from docloom.plans.analytics import dense_ids
-
-    a, b = dense_ids(t).select("o_custkey", F.col("id").alias("x")), dense_ids(t).select("o_custkey", F.col("id").alias("y"))
-    return a.join(b, "o_custkey", "full_outer").agg(F.count_if(~F.col("x").eqNullSafe(F.col("y"))).cast("int").alias("mismatches"))
-
-
 @query("s11_s12_coalesced_sources", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'ocr' WHEN lang = 'en' THEN 'pdf' ELSE 'none' END AS source FROM documents")
 def sources(t):
     from docloom.sources.tabular import first_text

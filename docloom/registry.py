@@ -33,4 +33,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return keep
 
 
-from docloom.plans import analytics, agreement, curation, entities, records  # noqa: E402, F401
+from docloom.plans import analytics, agreement, curation, dockets, entities, files, people, records  # noqa: E402, F401

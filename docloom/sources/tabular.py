@@ -21,7 +21,7 @@ def discover(columns: list[str], *parts: str) -> str | None:
 
 def aligned(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exactly these columns, null (as text) where the table has none."""
-    return df.select(*(F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
+    return df.select(*(F.col("`" + c.replace("`", "``") + "`") if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns))
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -42,10 +42,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return table.filter("_bad is null").drop("_bad")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document per file; its pages' texts in page order."""
+def read_documents(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """One JSON document per file (or per line); its pages' texts in page order."""
     schema = "relpath string, n_pages int, pages array<struct<page:int,chars:int,source:string,text:string>>"
-    table = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path)
+    table = spark.read.schema(schema).option("multiLine", multi_line).option("recursiveFileLookup", True).json(path)
     return table.withColumn("pages", F.array_sort("pages")).withColumn("text", F.array_join(F.transform("pages", lambda p: p["text"]), "\n"))
 
 
@@ -103,3 +103,9 @@ def read_tab(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     import pandas as pd
 
     return spark.createDataFrame(pd.read_excel(path, sheet_name=sheet, dtype=str).fillna(""))
+
+
+def read_tab_folder(spark: SparkSession, path: str, tab: str) -> DataFrame:
+    """A tab of a set that write_tabs has written, its values as text and empty where they are missing."""
+    table = spark.read.parquet(f"{path}/{tab}")
+    return table.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in table.columns))

@@ -28,3 +28,8 @@ def run_new_files(spark: SparkSession, source: str, schema: str, checkpoint: str
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts by window and kind; on a stream, windows close once the watermark has passed them."""
     return events.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), kind).agg(F.count("*").alias("n"))
+
+
+def progress(log: DataFrame, step: str, cost: str) -> DataFrame:
+    """Completions and their cost so far by step; the same whatever order they came in, on a stream as on a table."""
+    return log.groupBy(step).agg(F.count("*").alias("done"), F.sum(cost).alias("cost"))

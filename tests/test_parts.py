@@ -37,6 +37,102 @@ def test_initial_decides(spark):
     assert value(spark, fuzzy.related_given(F.col("a"), F.col("b")), a="k", b="thomas") is False
 
 
+def test_name_rules(spark):
+    c = F.col
+    swap = lambda **n: value(spark, fuzzy.same_person(c("la"), c("fa"), c("lb"), c("fb")), **n)
+    assert swap(la="berman", fa="steve", lb="steve", fb="berman") and not swap(la="smith", fa="ann", lb="smith", fb="bob")
+    level = lambda la, fa, lb, fb, shared: value(spark, fuzzy.pair_level(c("la"), c("fa"), c("lb"), c("fb"), fuzzy.first_relation(c("fa"), c("fb"), F.array("fa"), F.array("fb")), F.lit(shared)), la=la, fa=fa, lb=lb, fb=fb)
+    assert level("smith", "bill", "smith", "william", False) == "strong"
+    assert level("mccarley", "ann", "mccauley", "ann", False) == "weak" and level("mccarley", "ann", "mccauley", "ann", True) == "context"
+    assert level("smith", "ann", "smith", "tom", True) is None and level("berman", "steve", "steve", "berman", True) == "context"
+    firms = lambda f, a, b: value(spark, f(text.tokens(c("a")), text.tokens(c("b"))), a=a, b=b)
+    assert firms(fuzzy.same_firm, "weitz luxenberg", "weitz") and not firms(fuzzy.same_firm_careful, "weitz luxenberg", "weitz")
+    assert firms(fuzzy.same_firm_careful, "pomeranz", "pomerantz") and not firms(fuzzy.same_firm_careful, "smith jones", "smith brown")
+    assert value(spark, text.generation(c("a")), a="Smith, Jr.") == "jr" and value(spark, text.generation(c("a")), a="Smith V") == "5" and value(spark, text.generation(c("a")), a="Olev") == ""
+    assert value(spark, text.salvaged_first(c("a"), c("b")), a="Zapala", b="Zapala") == ""
+    assert [value(spark, fuzzy.related_given(c("a"), c("b")), a=a, b=b) for a, b in (("aimee", "amiee"), ("sandy", "alexandra"), ("sandy", "cindy"), ("", "tom"))] == [True, True, False, True]
+    assert value(spark, text.docket_number(c("a")), a="US_DIS_NYSD_05md1654_10_order.pdf") == "10" and value(spark, text.docket_number(c("a")), a="2428, Doc. 33, x.pdf") == "33"
+
+
+def test_statistics_against_definitions():
+    """Tails by plain integration of their densities."""
+    def area(f, a, b, n=200_000):
+        h = (b - a) / n
+        return h * sum(f(a + (k + 0.5) * h) for k in range(n))
+
+    for x, df in ((0.5, 1), (3.0, 2), (4.0, 3), (20.0, 7), (9.0, 10)):
+        density = lambda t, d=df: t ** (d / 2 - 1) * math.exp(-t / 2) / (2 ** (d / 2) * math.gamma(d / 2))
+        assert math.isclose(stats.chi2_p(x, df), area(density, x, x + 120), rel_tol=1e-5)
+    # [1, 2, 2, 5] against [2, 3, 4]: average ranks 1, 3, 3, 7 and 3, 5, 6
+    u, p = stats.mann_whitney(1 + 3 + 3 + 7, 4, 3, 3**3 - 3)
+    z = (4 - 6) / math.sqrt(4 * 3 / 12 * (8 - 24 / 42))
+    assert u == 4 and math.isclose(p, math.erfc(-z / math.sqrt(2)))
+    assert stats.two_proportions(1, 2, 1, 2) == (0.0, 1.0) and stats.two_proportions(0, 0, 1, 2) == (0.0, 1.0) and stats.mann_whitney(3, 2, 0, 0)[1] == 1.0
+
+
+def test_guarded_clusters_by_brute_force(spark):
+    import random
+
+    from docloom.plans.people import incompatible
+
+    rng = random.Random(5)
+    rows = [(k, rng.sample(["ann", "bob", "cid", "dora"], rng.randint(1, 2)), rng.choice(["ann", "lee", "ray"]), rng.choice(["", "", "jr", "sr"])) for k in range(60)]
+    pairs = sorted({(rng.randint(0, 1), *sorted(rng.sample(range(60), 2))) for _ in range(90)})
+    seen, edges = set(), []
+    for r, a, b in pairs:
+        if (a, b) not in seen:
+            seen.add((a, b))
+            edges.append((a, b, r))
+    of = {k: {k} for k in range(60)}
+    at = {r[0]: dict(zip(("node", "given", "last", "mark"), r, strict=True)) for r in rows}
+    for a, b, _ in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+        if of[a] is of[b] or any((min(x, y), max(x, y)) not in seen and incompatible(at[x], at[y]) for x in of[a] for y in of[b]):
+            continue
+        whole = of[a] | of[b]
+        for k in whole:
+            of[k] = whole
+    got = entity.guarded(spark.createDataFrame(rows, "node long, given array<string>, last string, mark string"), spark.createDataFrame(edges, "a long, b long, rank int"), incompatible).collect()
+    assert {frozenset(x.node for x in got if x.cluster == c) for c in {r.cluster for r in got}} == {frozenset(s) for s in of.values()} and len(got) == 60
+
+
+def test_sequential_rules_by_brute_force(spark):
+    rows = [("x", k, n) for k, n in enumerate(["aa", "ab", "ba", "ac", "bb", "c"])] + [("y", 9, "aa")]
+    got = entity.collapsed(spark.createDataFrame(rows, "g string, k long, n string"), "g", "k", lambda r, x: r["n"][0] == x["n"][0]).collect()
+    assert sorted(map(tuple, got)) == [("x", 0, 0), ("x", 1, 0), ("x", 2, 2), ("x", 3, 0), ("x", 4, 2), ("x", 5, 5), ("y", 9, 9)]
+    edges = [("g", 1, 1, 5), ("g", 1, 2, 9), ("g", 2, 2, 8), ("g", 2, 1, 1), ("g", 3, 1, 5), ("h", 1, 1, 0)]
+    got = entity.greedy_match(spark.createDataFrame(edges, "grp string, a long, b long, score long")).collect()
+    assert sorted(map(tuple, got)) == [("g", 1, 2), ("g", 3, 1), ("h", 1, 1)] or sorted(map(tuple, got)) == [("g", 1, 2), ("g", 2, 1), ("h", 1, 1)]
+    tokens = [("p", 1, ["a", "b"]), ("p", 2, ["b"]), ("p", 3, ["c"]), ("p", 4, ["a", "c", "d"]), ("p", 5, [])]
+    got = entity.greedy_seeds(spark.createDataFrame(tokens, "g string, k long, t array<string>"), "k", "g", "t").collect()
+    assert {r.key: r.seed for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_recognition_falls_back(spark):
+    from docloom.operators.external import recognised
+
+    def remote(chunk, key):
+        if key == 2:
+            raise TimeoutError
+        return chunk.upper()
+
+    df = spark.createDataFrame([(1, "a" * 25), (2, "b" * 5), (3, "c" * 200), (4, None)], "k long, text string")
+    got = {r.k: (r.text, r.source, r.chunks) for r in recognised(df, "k", "text", remote, lambda chunk, key: chunk).collect()}
+    assert got == {1: ("A" * 25, "ocr", 3), 2: ("b" * 5, "local", 1), 3: ("c" * 200, "text layer", 1), 4: ("", "ocr", 1)}
+
+
+def test_chart(spark):
+    rows = spark.createDataFrame([("a<", 1.0), ("b", 3.0)], "k string, v double")
+    assert sinks.chart(rows, "k", "v", "t").count("<rect") == 2 and "a&lt;" in sinks.chart(rows, "k", "v", "t")
+    assert "<polyline" in sinks.chart(rows, "k", "v", "t", "line") and 'fill-opacity="1.000"' in sinks.chart(rows, "k", "v", "t", "heat")
+
+
+def test_row_numbers_and_ranges(spark):
+    from docloom.operators.ranks import row_numbers
+
+    rows = row_numbers(spark.range(1_000).select(((F.col("id") * 7919) % 1_000).alias("x")), "no", F.desc("x")).collect()
+    assert all(r.no == 1_000 - r.x for r in rows) and row_numbers(spark.range(0), "no", F.col("id")).count() == 0
+
+
 def test_as_of_is_strictly_earlier(spark):
     left = spark.createDataFrame([(1, 5), (1, 3), (2, 5)], "k int, t int")
     right = spark.createDataFrame([(1, 3, 30), (1, 4, 40), (1, 5, 50)], "k int, t int, v int")
@@ -46,7 +142,8 @@ def test_as_of_is_strictly_earlier(spark):
 def test_guard_vetoes_merges(spark):
     nodes = spark.createDataFrame([(1, "jr"), (2, ""), (3, "sr"), (4, "")], "node long, mark string")
     edges = spark.createDataFrame([(1, 2, 0), (2, 3, 0)], "a long, b long, rank int")
-    got = {r.node: r.cluster for r in entity.guarded(nodes, edges).collect()}
+    other = lambda x, y: bool(x["mark"] and y["mark"] and x["mark"] != y["mark"])
+    got = {r.node: r.cluster for r in entity.guarded(nodes, edges, other).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
 
 
