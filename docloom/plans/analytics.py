@@ -22,10 +22,11 @@ def pair_hist(t):
     return net.filled_histogram(net.pair_counts(slate(t)), "cnt")
 
 
-@query("a18_m09_pairs_never_met", "WITH s AS (SELECT DISTINCT o_custkey AS m, o_orderdate AS g FROM orders), p AS (SELECT DISTINCT a.m AS a, b.m AS b FROM s a JOIN s b ON a.g = b.g AND a.m < b.m), n AS (SELECT count(DISTINCT m) AS n FROM s) SELECT n AS actors, (SELECT count(*) FROM p) AS met, CAST(n * (n - 1) // 2 AS BIGINT) - (SELECT count(*) FROM p) AS never FROM n")
+@query("a18_m09_pairs_never_met", f"WITH {SLATE}, n AS (SELECT count(DISTINCT l_suppkey) AS n FROM s) SELECT n AS actors, (SELECT count(*) FROM p) AS met, CAST(n * (n - 1) // 2 AS BIGINT) - (SELECT count(*) FROM p) AS never FROM n")
 def never_met(t):
-    s = net.members(t.orders, "o_orderdate", "o_custkey")
-    met = net.co_members(s).select("a", "b").distinct().agg(F.count("*").alias("met"))
+    """Pairs of suppliers that share no order: all pairs less those that met, which come from orders alone."""
+    s = slate(t)
+    met = net.pair_counts(s).agg(F.count("*").alias("met"))
     return s.agg(F.count_distinct("m").alias("actors")).join(F.broadcast(met)).select("actors", "met", (F.expr("actors * (actors - 1) div 2") - F.col("met")).alias("never"))
 
 

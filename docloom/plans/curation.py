@@ -17,7 +17,7 @@ def columns(t):
     return canonical_names(t.customer.select("c_custkey", "c_name", "c_nationkey"), "c_")
 
 
-@query("p04_p05_p06_title_chain", r"SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '\.html.*$', ''), '\s*\(\d+\)$', ''), '([a-z])([A-Z])', '\1 \2', 'g'), '_', ' ', 'g'))) AS title FROM pages")
+@query("p06_title_chain", r"SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '\.html.*$', ''), '\s*\(\d+\)$', ''), '([a-z])([A-Z])', '\1 \2', 'g'), '_', ' ', 'g'))) AS title FROM pages")
 def title(t):
     name = F.regexp_replace(F.regexp_extract("url", "[^/]*$", 0), r"\.html.*$", "")
     return t.pages.select("page_id", F.lower(F.trim(tx.chain(name, (r"\s*\(\d+\)$", ""), ("([a-z])([A-Z])", "$1 $2"), ("_", " ")))).alias("title"))
@@ -39,12 +39,6 @@ def zero_strip(t):
     return t.customer.select("c_custkey", tx.unpadded(F.regexp_extract("c_name", r"#(\d+)$", 1)).alias("id"))
 
 
-@query("p10_p12_id_hints", r"SELECT doc_id, coalesce(nullif(regexp_extract(text, '(?i)version (\d+)', 1), ''), nullif(regexp_extract(text, '\((\d{3})\)', 1), ''), '') AS hint FROM documents")
-def hints(t):
-    one = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
-    return t.documents.select("doc_id", F.coalesce(one(r"(?i)version (\d+)"), one(r"\((\d{3})\)"), F.lit("")).alias("hint"))
-
-
 @query("p13_override_flag", "SELECT l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_linenumber > 5 THEN 5 ELSE l_linenumber END AS line, CASE WHEN l_linenumber > 5 THEN 'file=5, text=' || l_linenumber ELSE '' END AS mismatch FROM lineitem")
 def override(t):
     far = F.col("l_linenumber") > 5
@@ -156,7 +150,7 @@ def drop_cascade(t):
     return t.documents.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("f02_f04_f05_f17_predicates", r"SELECT doc_id, regexp_matches(text, '(?i)\b(licen[sc]e[ds]?|token|version)\b') AS gate, regexp_matches(text, '(?i)docket') AND NOT text LIKE '%#%' AS dump FROM documents")
+@query("f02_f04_f05_predicates", r"SELECT doc_id, regexp_matches(text, '(?i)\b(licen[sc]e[ds]?|token|version)\b') AS gate, regexp_matches(text, '(?i)docket') AND NOT text LIKE '%#%' AS dump FROM documents")
 def predicates(t):
     return t.documents.select("doc_id", F.col("text").rlike(r"(?i)\b(licen[sc]e[ds]?|token|version)\b").alias("gate"), (F.col("text").rlike("(?i)docket") & ~F.col("text").contains("#")).alias("dump"))
 
@@ -187,7 +181,7 @@ def contains(t):
     return t.part.filter(F.upper(F.trim("p_type")).isin("ECONOMY", "PROMO")).select("p_partkey", F.coalesce(F.col("p_type"), F.lit("")).ilike("%eco%").alias("has"), F.array_contains(F.split("p_name", " "), "ring").alias("is_lead"))
 
 
-@query("f18_f24_unresolved", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+@query("f24_unresolved", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
 def unresolved(t):
     return t.orders.filter("o_orderstatus = 'P'").join(t.lineitem.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey")
 

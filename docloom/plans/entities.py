@@ -91,7 +91,7 @@ def roster(t):
     return en.roster(t.part, "p_brand", "p_name")
 
 
-@query("j20_as_of", "WITH x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate FROM lineitem WHERE l_suppkey < 20), y AS (SELECT l_suppkey, l_shipdate, max(l_partkey) AS prev FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT x.l_orderkey, x.l_linenumber, x.l_suppkey, x.l_partkey, x.l_shipdate, (SELECT arg_max(prev, y.l_shipdate) FROM y WHERE y.l_suppkey = x.l_suppkey AND y.l_shipdate < x.l_shipdate) AS prev FROM x")
+@query("j20_as_of", "WITH y AS (SELECT l_suppkey, l_shipdate, max(l_partkey) AS prev FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) SELECT x.l_orderkey, x.l_linenumber, x.l_suppkey, x.l_partkey, x.l_shipdate, y.prev FROM lineitem x ASOF LEFT JOIN y ON x.l_suppkey = y.l_suppkey AND x.l_shipdate > y.l_shipdate")
 def as_of(t):
     x = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate")
     y = t.lineitem.filter("l_returnflag = 'R'").groupBy("l_suppkey", "l_shipdate").agg(F.max("l_partkey").alias("prev"))
@@ -137,7 +137,11 @@ def cached_calls(t):
     return with_cache(t.documents.select("doc_id", "n_chars"), cache, "doc_id", "verdict", "doc_id long, verdict string", rule)
 
 
-@query("x04_x05_nested_extractor", "SELECT doc_id, lang AS name, 1 AS pos FROM documents UNION ALL SELECT doc_id, source, 2 FROM documents")
+@query("x04_x05_nested_extractor", r"WITH f AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z.0-9]+@[a-z0-9]+\.[a-z.]+[a-z]')) AS m, generate_subscripts(regexp_extract_all(text, '[a-z.0-9]+@[a-z0-9]+\.[a-z.]+[a-z]'), 1) AS pos FROM documents) SELECT doc_id, pos, split_part(m, '@', 1) AS name, split_part(m, '@', 2) AS firm, contains(split_part(m, '@', 1), '.') AS full_name FROM f")
 def extractor(t):
-    nested = t.documents.select("doc_id", F.array(F.struct(F.col("lang").alias("name")), F.struct(F.col("source").alias("name"))).alias("appointees"))
-    return nested.select("doc_id", F.posexplode("appointees").alias("p", "x")).select("doc_id", "x.name", (F.col("p") + 1).alias("pos"))
+    """A nested record per document, an appointee for each address in its text; flattened with the place of each."""
+    found = F.regexp_extract_all("text", F.lit(r"[a-z.0-9]+@[a-z0-9]+\.[a-z.]+[a-z]"), F.lit(0))
+    side = lambda x, n: F.element_at(F.split(x, "@"), n)
+    record = F.struct(F.transform(found, lambda x: F.struct(side(x, 1).alias("name"), side(x, 2).alias("firm"), side(x, 1).contains(".").alias("full_name"))).alias("appointments"))
+    nested = t.documents.select("doc_id", record.alias("r"))
+    return nested.select("doc_id", F.posexplode("r.appointments").alias("p", "x")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "x.name", "x.firm", "x.full_name")
