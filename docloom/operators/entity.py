@@ -30,19 +30,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b). Labels are lowered over edges and then jump to their label's
-    label, until nothing changes."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").distinct())
-    label = nodes.select(F.col("node"), F.col("node").alias("component"))
-    while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        low = label.join(near, "node", "left").select("node", F.least("component", F.coalesce("low", "component")).alias("component"))
-        jump = low.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        new = checkpointed(low.join(jump, "component").select("node", F.col("next").alias("component")))
-        changed = new.withColumnRenamed("component", "now").join(label, "node").filter("now <> component").isEmpty()
-        label = new
-        if changed:
-            return label
+    """(node, component): the smallest node reachable over edges (a, b). In each round every node with links hooks to the neighbour of
+    least hash and the links are rewritten to the hooked nodes, which at least halves the nodes that have links; hashes keep chains of hooks
+    short."""
+    mark = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
+    links = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    names = nodes.select("node", F.col("node").alias("root"))
+    while not links.isEmpty():
+        both = links.union(links.select("b", "a")).toDF("u", "v")
+        low = both.groupBy("u").agg(F.min(mark("v")).alias("m"))
+        hook = checkpointed(low.select("u", F.when(F.col("m") < mark("u"), F.col("m.v")).otherwise(F.col("u")).alias("p")))
+        one = links.join(hook.toDF("a", "pa"), "a").select("b", "pa").join(hook.toDF("b", "pb"), "b")
+        links = checkpointed(one.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        names = checkpointed(names.join(hook.toDF("root", "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
+    least = names.groupBy("root").agg(F.min("node").alias("component"))
+    return names.join(least, "root").select("node", "component")
 
 
 def per_component(df: DataFrame, component: str, schema: str, rule: Callable) -> DataFrame:
