@@ -68,7 +68,8 @@ def _regrouped(out: DataFrame, other: DataFrame, best: Column) -> DataFrame:
     """The classes where a hash has collided: those rows by their SHA-256 and bytes, the rest as before but for the count."""
     sha = F.unhex(F.sha2(F.col("normal").cast("binary"), 256)).alias("sha")
     odd = other.select("h", "normal", sha).distinct().groupBy("h", "sha").agg(F.count("*").alias("texts"))
-    assert odd.filter("texts > 1").isEmpty(), "two different texts share both hashes"
+    if not odd.filter("texts > 1").isEmpty():
+        raise ValueError("two different texts share an MD5 and a SHA-256 hash")
     marked = out.join(odd.select("h", "sha", F.lit(True).alias("odd")), ["h", "sha"], "left")
     marked = marked.withColumn("cls", F.when(F.col("odd"), F.col("sha")))
     again = marked.drop("n", "best").filter(F.col("h").isNotNull()).groupBy("h", "cls").agg(F.count("*").alias("n"), best)
