@@ -155,3 +155,61 @@ def rule_calls(t):
 
     out = with_cached_struct(t.documents.select("doc_id", "text"), cache, "doc_id", "text", "is_order boolean, reason string", call)
     return out.select("doc_id", "source", "answer.is_order", "answer.reason")
+
+
+@query("s16_k02_roster_appended", "SELECT CAST(n_regionkey AS VARCHAR) AS n_regionkey, n_name, CAST(n_nationkey AS VARCHAR) AS n_nationkey FROM nation UNION ALL SELECT CAST(r_regionkey AS VARCHAR), r_name, NULL FROM region")
+def roster_appended(t):
+    """A roster file whose own order of fields is kept, with new rows appended under it; a field that they lack stays empty."""
+    path = folder(t.spark, "roster")
+    sinks.write_csv(t.nation, path, ["n_regionkey", "n_name", "n_nationkey"])
+    fields = tabular.csv_fields(t.spark, path)
+    new = t.region.select(F.col("r_regionkey").alias("n_regionkey"), F.col("r_name").alias("n_name"))
+    tabular.aligned(new, fields).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    return tabular.read_csv(t.spark, path, fields)
+
+
+@query("x07_second_opinions", "SELECT doc_id, CASE WHEN quality = 0 THEN 'distinct' WHEN n_chars % 3 = 0 THEN 'same' ELSE 'unsure' END AS verdict FROM documents LEFT JOIN labels USING (doc_id)")
+def second_opinions(t):
+    """The batch's verdicts, and in their place those of a second source where it has one."""
+    from docloom.operators.external import overridden
+
+    batch = t.documents.select("doc_id", F.when(F.col("n_chars") % 3 == 0, "same").otherwise("unsure").alias("verdict"))
+    second = t.labels.filter("quality = 0").select("doc_id", F.lit("distinct").alias("verdict"))
+    return overridden(batch, second, "doc_id", "verdict")
+
+
+@query("x08_weak_pairs", "WITH w AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part) SELECT p_name, CASE WHEN levenshtein(a, b) <= 3 THEN 'same' WHEN abs(length(a) - length(b)) <= 1 THEN 'unsure' ELSE 'distinct' END AS verdict FROM w")
+def weak_pairs(t):
+    """An adjudicator's verdicts on pairs of names; where its confidence is low it abstains. A stand-in rule takes the model's place."""
+    from docloom.operators.external import with_cached_struct
+
+    def call(pair: str) -> tuple:
+        a, b = pair.split(" ")
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row = _next_row(row, i, x, b)
+        near = row[-1] <= 3
+        return near, "high" if near or abs(len(a) - len(b)) > 1 else "low"
+
+    pairs = t.part.select(F.col("p_name").alias("key"), F.col("p_name").alias("pair")).distinct()
+    none = t.spark.createDataFrame([], "key string, answer struct<same:boolean,confidence:string>")
+    out = with_cached_struct(pairs, none, "key", "pair", "same boolean, confidence string", call)
+    return out.select(F.col("key").alias("p_name"), F.when(F.col("answer.confidence") == "low", "unsure").when(F.col("answer.same"), "same").otherwise("distinct").alias("verdict"))
+
+
+def _next_row(row: list[int], i: int, x: str, b: str) -> list[int]:
+    """The next row of the edit-distance table."""
+    out = [i]
+    for j, y in enumerate(b, 1):
+        out.append(min(out[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
+    return out
+
+
+@query("x09_demographics", "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'cache' ELSE 'call' END AS source, CASE WHEN s_suppkey % 2 = 0 THEN 'known' ELSE 'of ' || s_name END AS notes, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE 1900 + length(s_name) END AS birth_year FROM supplier")
+def demographics(t):
+    """A record per roster row, from the cache or from a call (a stand-in rule)."""
+    from docloom.operators.external import with_cached_struct
+
+    cache = t.supplier.filter("s_suppkey % 2 = 0").select("s_suppkey", F.struct(F.lit("known").alias("notes"), F.lit(None).cast("int").alias("birth_year")).alias("answer"))
+    out = with_cached_struct(t.supplier.select("s_suppkey", "s_name"), cache, "s_suppkey", "s_name", "notes string, birth_year int", lambda name: (f"of {name}", 1900 + len(name)))
+    return out.select("s_suppkey", "source", "answer.notes", "answer.birth_year")

@@ -30,6 +30,11 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("enforceSchema", True).option("escape", '"').csv(path)
 
 
+def csv_fields(spark: SparkSession, path: str) -> list[str]:
+    """The names in the header, in the file's order."""
+    return spark.read.option("header", True).csv(path).columns
+
+
 def read_csv_inferred(spark: SparkSession, path: str) -> DataFrame:
     return canonical_names(spark.read.option("header", True).option("inferSchema", True).csv(path))
 
