@@ -142,20 +142,21 @@ def greedy_seeds(df: DataFrame, key: str, group: str, tokens: str, least: float
 
 
 def greedy_match(edges: DataFrame) -> DataFrame:
-    """One-to-one matches (grp, a, b) taken from candidate edges (grp, a, b, score) by descending score, then a, then b."""
-
-    def rule(pdf):
-        import pandas as pd
-
-        used_a, used_b, out = set(), set(), []
-        for r in pdf.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
-            if r.a not in used_a and r.b not in used_b:
-                used_a.add(r.a)
-                used_b.add(r.b)
-                out.append((r.grp, r.a, r.b))
-        return pd.DataFrame(out, columns=["grp", "a", "b"])
-
-    return edges.groupBy("grp").applyInPandas(rule, "grp string, a long, b long")
+    """One-to-one matches (grp, a, b) taken from candidate edges (grp, a, b, score) by descending score, then a, then b.
+
+    Nobody takes the edges one by one: in each round all edges that are the first of both their ends are matched, and the edges of these
+    ends go. An edge is first of both ends exactly if the sequential rule takes it before any edge that could prevent it, so the matches
+    are the same."""
+    left = checkpointed(edges.select("grp", "a", "b", (-F.col("score")).alias("s")).dropDuplicates(["grp", "a", "b", "s"]))
+    first = F.min(F.struct("s", "a", "b"))
+    done = left.select("grp", "a", "b").limit(0)
+    while not left.isEmpty():
+        of_a = left.groupBy("grp", "a").agg(first.alias("e")).select("grp", "e.a", "e.b")
+        of_b = left.groupBy("grp", "b").agg(first.alias("e")).select("grp", "e.a", "e.b")
+        best = checkpointed(of_a.join(of_b, ["grp", "a", "b"]))
+        left = checkpointed(left.join(best.select("grp", "a"), ["grp", "a"], "left_anti").join(best.select("grp", "b"), ["grp", "b"], "left_anti").select("grp", "a", "b", "s"))
+        done = done.unionByName(best)
+    return done
 
 
 def roster(mentions: DataFrame, cluster: str, name: str) -> DataFrame:

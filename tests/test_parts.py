@@ -102,6 +102,17 @@ def test_sequential_rules_by_brute_force(spark):
     edges = [("g", 1, 1, 5), ("g", 1, 2, 9), ("g", 2, 2, 8), ("g", 2, 1, 1), ("g", 3, 1, 5), ("h", 1, 1, 0)]
     got = entity.greedy_match(spark.createDataFrame(edges, "grp string, a long, b long, score long")).collect()
     assert sorted(map(tuple, got)) == [("g", 1, 2), ("g", 3, 1), ("h", 1, 1)]
+    import random
+
+    rng = random.Random(2)
+    many = [(rng.choice("gh"), rng.randrange(25), rng.randrange(25), rng.randrange(9)) for _ in range(300)]
+    taken, want = set(), []
+    for grp, a, b, _ in sorted(many, key=lambda e: (-e[3], e[1], e[2])):
+        if not {(grp, "a", a), (grp, "b", b)} & taken:
+            taken |= {(grp, "a", a), (grp, "b", b)}
+            want.append((grp, a, b))
+    got = entity.greedy_match(spark.createDataFrame(many, "grp string, a long, b long, score long")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
     tokens = [("p", 1, ["a", "b"]), ("p", 2, ["b"]), ("p", 3, ["c"]), ("p", 4, ["a", "c", "d"]), ("p", 5, [])]
     got = entity.greedy_seeds(spark.createDataFrame(tokens, "g string, k long, t array<string>"), "k", "g", "t").collect()
     assert {r.key: r.seed for r in got} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
