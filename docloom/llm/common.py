@@ -63,14 +63,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def clear(spark: SparkSession, keep: DataFrame | None = None) -> None:
-    """Remove all durable tables made so far, but for the one that keep reads. For a caller who has written what it needs."""
-    kept = keep.inputFiles() if keep is not None else []
-    name = kept[0].rpartition("/")[0].rpartition("/")[2] if kept else None
-    for own, path in _made[:]:
-        if own is spark and path.rpartition("/")[2] != name:
-            remove(spark, path)
-            _made.remove((own, path))
+def made() -> int:
+    """How many durable tables there are so far."""
+    return len(_made)
+
+
+def clear(since: int) -> None:
+    """Remove the durable tables made after the first `since`, but for the last one. For a caller who has written into that what the others
+    were needed for; tables of other callers stay."""
+    for own, path in _made[since:-1]:
+        remove(own, path)
+    del _made[since:-1]
 
 
 #: Rows and bytes of the Arrow batches that Python workers get; every function of this subpackage works under the same limits, which

@@ -701,4 +701,8 @@ def test_pipeline(spark):
     left = [r.text for r in docs.collect()]
     assert len({"".join(words(t)) for t in left}) == len(left)
     assert all(k == v[1] for k, v in brute_components(left, 80).items())
-    assert pipeline.run(spark, DATA).count() > 0
+    pending = pipeline.common.durable(spark.range(3), "test")
+    before = pipeline.common.made()
+    pieces = pipeline.run(spark, DATA)
+    # one table of the run is left, and tables of others are not touched
+    assert pieces.count() > 0 and pipeline.common.made() == before + 1 and pending.count() == 3
