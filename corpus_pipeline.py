@@ -49,8 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.made()
     for name, stage in STAGES[:-1]:
         docs = common.durable(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        common.clear(spark, keep=docs)  # the stage before and what this one has written on its way
+        common.clear(before)  # the stage before and what this one has written on its way
     return STAGES[-1][1](spark, docs, sf_dir)
