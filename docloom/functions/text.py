@@ -168,3 +168,33 @@ def docket_number(name: Column) -> Column:
 def id_hint(c: Column) -> Column:
     """group-docket from running text, both numbers by one pattern; null if none matches."""
     return F.concat_ws("-", first_of(c, ID_HINTS, 1), first_of(c, ID_HINTS, 2))
+
+
+# Patterns of names of docket lists (the whole name; a part of it), of words by which a court decides, and words that tell no
+# firm from another beside those above: general ones, places, and legal forms and abbreviations.
+DUMP_WHOLE = r"(?i)^(master\s+)?docket(\s+entries)?(\s*[,(]|\s*$)"
+DUMP_PART = r"(?i)^master\s+docket\b|^mdl[-\s]*\d+[-\s]*docket\b|docket\s+summary|docket\s+report|docket\s+sheet|consolidated\s+docket|docket\s+listing"
+DISPOSITION = r"(?i)\b(grant(?:s|ed)?|approv(?:e|ed|ing)|so ordered|it is so ordered|allowed|entered|adjudged|decreed)\b"
+GENERAL_WORDS = "trial lawyers lawyer legal counsel justice national american consumer center centre complex litigation injury attorney general state states united advocates partners counselors international global us usa"
+PLACE_WORDS = (
+    "alabama alaska arizona arkansas california colorado connecticut delaware florida georgia hawaii idaho illinois indiana iowa kansas kentucky louisiana maine maryland massachusetts "
+    "michigan minnesota mississippi missouri montana nebraska nevada hampshire jersey mexico york carolina dakota ohio oklahoma oregon pennsylvania rhode island tennessee texas utah "
+    "vermont virginia washington west wisconsin wyoming new chicago boston angeles francisco diego orleans city county dc"
+)
+FORM_WORDS = "pllp lpa aplc plc psc chtd lllp llp pc inc corp company corporation br fl ca dc dept division llc pa lp ltd co pllc apc associates attorneys"
+
+
+def signature_stop() -> tuple[str, ...]:
+    """All words that a firm's signature leaves out."""
+    return tuple(dict.fromkeys([*FIRM_STOP, *f"{GENERAL_WORDS} {PLACE_WORDS} {FORM_WORDS}".split()]))
+
+
+def firm_signature(c: Column) -> Column:
+    """The sorted tokens of two letters at least that tell a firm from others."""
+    return F.array_sort(tokens(c, 2, signature_stop()))
+
+
+def is_docket_list(name: Column) -> Column:
+    """Whether a file is a list of dockets: its title, without extension and leading number, says so and has no #."""
+    title_ = F.trim(F.regexp_replace(F.regexp_replace(name, r"(?i)\.pdf$", ""), r"^\s*\d+\s*(?:,\s*|\s+)", ""))
+    return F.lower(name).contains("docket") & ~title_.contains("#") & (title_.rlike(DUMP_WHOLE) | title_.rlike(DUMP_PART))

@@ -61,7 +61,7 @@ def letters_key(t):
     return t.part.select("p_partkey", tx.letters(F.col("p_name")).alias("key"), tx.first_token(F.col("p_name")).alias("first"))
 
 
-@query("p19_p23_p24_p26_tokens", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z]+'), lambda x: length(x) > 1 AND x NOT IN ('small', 'large')))), ' ') AS sig FROM part")
+@query("p23_p26_tokens", r"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(p_type || ' ' || p_name), '[a-z]+'), lambda x: length(x) > 1 AND x NOT IN ('small', 'large')))), ' ') AS sig FROM part")
 def signature(t):
     toks = tx.tokens(F.concat_ws(" ", "p_type", "p_name"), 2, ("small", "large"))
     return t.part.select("p_partkey", F.array_join(F.array_sort(toks), " ").alias("sig"))
@@ -150,7 +150,7 @@ def drop_cascade(t):
     return t.documents.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query("f02_f04_f05_predicates", r"SELECT doc_id, regexp_matches(text, '(?i)\b(licen[sc]e[ds]?|token|version)\b') AS gate, regexp_matches(text, '(?i)docket') AND NOT text LIKE '%#%' AS dump FROM documents")
+@query("f04_language_gate", r"SELECT doc_id, regexp_matches(text, '(?i)\b(licen[sc]e[ds]?|token|version)\b') AS gate, regexp_matches(text, '(?i)docket') AND NOT text LIKE '%#%' AS dump FROM documents")
 def predicates(t):
     return t.documents.select("doc_id", F.col("text").rlike(r"(?i)\b(licen[sc]e[ds]?|token|version)\b").alias("gate"), (F.col("text").rlike("(?i)docket") & ~F.col("text").contains("#")).alias("dump"))
 

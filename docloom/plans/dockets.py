@@ -72,3 +72,27 @@ def other_names(t):
     c = t.part.groupBy("p_brand", "p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("seen"))
     ranked = c.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "seen", "p_name"))).alias("r"))
     return ranked.select("p_brand", F.get("r", F.lit(0))["p_name"].alias("canonical"), F.nullif(F.array_join(F.transform(F.slice("r", 2, 3), lambda x: x["p_name"]), "; "), F.lit("")).alias("others"))
+
+
+@query("f02_docket_lists", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN true WHEN 6 THEN false ELSE false END AS dump FROM orders")
+def docket_lists(t):
+    """Names of docket lists, and names that only speak of a docket."""
+    forms = ["Docket Entries.pdf", "12, Master Docket (2).PDF", "12, Docket #4, Order.pdf", "MDL-12 docket.pdf", "12, Order on Dockets.pdf", "Consolidated Docket of all cases.pdf", "Order.pdf", "Docketed order.pdf"]
+    name = F.element_at(F.array(*map(F.lit, forms)), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    return t.orders.select("o_orderkey", tx.is_docket_list(name).alias("dump"))
+
+
+@query("f05_disposition", "SELECT o_orderkey, o_orderstatus = 'F' OR o_orderkey % 3 = 0 AS decided FROM orders")
+def disposition(t):
+    """Texts in which a court decides, with other words that only begin alike."""
+    text = F.when(F.col("o_orderstatus") == "F", "the motion is GRANTED in part").when(F.col("o_orderkey") % 3 == 0, "it is so\tordered: so ordered.").otherwise("the grantor disallowed re-entry, approval sought")
+    return t.orders.select("o_orderkey", text.rlike(tx.DISPOSITION).alias("decided"))
+
+
+STOP_SQL = "(" + ", ".join(f"'{w}'" for w in tx.signature_stop()) + ")"
+
+
+@query("p24_firm_signature", f"SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower('The ' || p_name || ' Law Offices of New York & ' || p_type || ' Trial Lawyers, P.L.L.C. Inc'), '[a-z]+'), lambda x: length(x) > 1 AND x NOT IN {STOP_SQL}))), ' ') AS sig FROM part")
+def firm_signature(t):
+    firm = F.concat(F.lit("The "), "p_name", F.lit(" Law Offices of New York & "), "p_type", F.lit(" Trial Lawyers, P.L.L.C. Inc"))
+    return t.part.select("p_partkey", F.array_join(tx.firm_signature(firm), " ").alias("sig"))
