@@ -71,7 +71,7 @@ def reconciled_roles(c: Column) -> Column:
 def firm_name(c: Column) -> Column:
     """Punctuation as spaces, legal forms at the end removed."""
     spaced = F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", " "), r"\s+", " "))
-    return F.trim(F.regexp_replace(spaced, r"( (llp|llc|pc|p c|pllc|pa|p a|inc|co|ltd))+$", ""))
+    return F.trim(F.regexp_replace(spaced, r"(?: (?:llp|llc|pc|p c|pllc|pa|p a|inc|co|ltd))++$", ""))
 
 
 def title(c: Column) -> Column:
