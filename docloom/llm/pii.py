@@ -5,7 +5,7 @@ digit or an at sign, and the two words before it make an edge (pattern, instance
 instances by their best pattern, in rounds; tokens behind patterns of high confidence become spans of the pattern's kind.
 
 Cases: a null or empty text has no spans; a row that is there twice has its spans twice; very long runs of one kind of
-character are read once (no pattern starts inside a run); an empty table gives no rows; columns other than id and text are
+character, and addresses of any number of labels, are read once (no pattern starts inside a run); an empty table gives no rows; columns other than id and text are
 not read.
 """
 
@@ -18,10 +18,11 @@ from .common import durable, lookup
 
 # The base patterns, in the order of the report. Each starts where a run of its first characters starts, or
 # where the match before has ended, which is where the leftmost match of the plain pattern starts; a card is a whole chain of
-# 14 to 19 digits, with shorter and longer chains left out at once.
+# 14 to 19 digits, with shorter and longer chains left out at once. Repeated groups are possessive: the regex engine then loops, while
+# a greedy group recurses once per repeat and ends the JVM on a text with some thousands of them.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
-    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
@@ -64,7 +65,8 @@ def matches(text: Column, kind: str, pattern: str) -> Column:
     ahead = lambda z, i: F.concat(F.when(i > 0, "0").otherwise(""), z["before"])
     words = lambda z, i: F.lower(F.regexp_extract(ahead(z, i), CONTEXT, 1))
     ok = lambda x: F.lit(True) if kind == "token" else valid(kind, x)
-    core = lambda x: F.lower(F.regexp_extract(x, r"^[^A-Za-z0-9@+]*(.*?)[^A-Za-z0-9]*$", 1) if kind == "token" else x)
+    bare = lambda x: F.regexp_replace(F.regexp_replace(x, r"\A[^A-Za-z0-9@+]++", ""), r"(?<![^A-Za-z0-9])[^A-Za-z0-9]++\z", "")
+    core = lambda x: F.lower(bare(x) if kind == "token" else x)
     more = lambda z, i: (ok(z["found"]).alias("ok"), F.regexp_replace(words(z, i), r"[\x20\x09-\x0D]+", " ").alias("context"), core(z["found"]).alias("core"))
     no = KINDS.index(kind) if kind in KINDS else len(KINDS)
     each = F.transform(pairs, lambda z, i: F.struct(F.lit(no).alias("kind"), i.alias("k"), F.length(z["before"]).alias("gap"), F.length(z["found"]).alias("long"), *more(z, i)))

@@ -51,17 +51,21 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 def host_verdicts(rows: DataFrame) -> DataFrame:
     """(host, n, accepted) with every rule's shrunk rate. The prior of a rule is fitted to all hosts by moments: mean and variance of
-    the hosts' rates, weighted by documents. Only these four pairs of sums come to the driver."""
+    the hosts' rates, weighted by documents. Of the variance only what goes beyond the binomial noise of H hosts with N documents tells
+    hosts apart: rho = (var / (mean * (1 - mean)) - H / N) / (1 - H / N), and the prior weighs 1 / rho - 1 documents. Where nothing is beyond it,
+    as with one document a host, the prior has its greatest weight. Only the rules' sums and the number of hosts come to the driver."""
     rules = list(HOST_RULES)
     hosts = durable(rows.groupBy("host").agg(F.count("*").alias("n"), *(F.count_if(F.expr(HOST_RULES[r])).alias(r) for r in rules)), "quality-hosts")
-    sums = hosts.agg(F.sum("n").alias("n"), *(F.sum(r).alias(r) for r in rules)).first()
+    sums = hosts.agg(F.sum("n").alias("n"), F.count("*").alias("hosts"), *(F.sum(r).alias(r) for r in rules)).first()
     n = max(1, sums["n"] or 0)
     mean = {r: (sums[r] or 0) / n for r in rules}
     spread = hosts.agg(*(F.sum(F.col("n") * F.pow(F.col(r) / F.col("n") - mean[r], 2)).alias(r) for r in rules)).first()
+    noise = sums["hosts"] / n
     rates = []
     for r in rules:
-        var = (spread[r] or 0.0) / n
-        weight = min(PRIOR[1], max(PRIOR[0], mean[r] * (1 - mean[r]) / var - 1)) if var > 0 else PRIOR[1]
+        own = mean[r] * (1 - mean[r])
+        rho = ((spread[r] or 0.0) / n / own - noise) / (1 - noise) if own > 0 and noise < 1 else 0.0
+        weight = min(PRIOR[1], max(PRIOR[0], 1 / rho - 1)) if rho > 0 else PRIOR[1]
         rates.append(((F.col(r) + mean[r] * weight) / (F.col("n") + weight)).alias(f"rate_{r[2:]}"))
     out = hosts.select("host", "n", *rates)
     return durable(out.withColumn("accepted", F.greatest(*(F.col(c) for c in out.columns[2:])) <= HOST_RATE), "quality-verdicts")
@@ -92,8 +96,9 @@ h AS (SELECT source, count(*) AS n, unnest(['short', 'repeat', 'symbols', 'lines
   count(*) FILTER (100 * n_repeat_words > 20 * n_words), count(*) FILTER (10 * n_symbols > n_words AND n_words > 0),
   count(*) FILTER (10 * n_dup_lines > 3 * n_lines AND n_lines > 0)]) AS bad FROM b GROUP BY source),
 m AS (SELECT rule, sum(bad) / sum(n) AS mean FROM h GROUP BY rule),
-v AS (SELECT rule, mean, sum(n * (bad / n - mean) ** 2) / sum(n) AS var FROM h JOIN m USING (rule) GROUP BY rule, mean),
-k AS (SELECT rule, mean, CASE WHEN var > 0 THEN least(1e6, greatest(1.0, mean * (1 - mean) / var - 1)) ELSE 1e6 END AS weight FROM v),
+v AS (SELECT rule, mean, sum(n * (bad / n - mean) ** 2) / sum(n) AS var, count(*) / sum(n) AS noise FROM h JOIN m USING (rule) GROUP BY rule, mean),
+q AS (SELECT rule, mean, CASE WHEN mean > 0 AND mean < 1 AND noise < 1 THEN (var / (mean * (1 - mean)) - noise) / (1 - noise) ELSE 0.0 END AS rho FROM v),
+k AS (SELECT rule, mean, CASE WHEN rho > 0 THEN least(1e6, greatest(1.0, 1 / rho - 1)) ELSE 1e6 END AS weight FROM q),
 a AS (SELECT source, max((bad + mean * weight) / (n + weight)) <= 0.5 AS accepted FROM h JOIN k USING (rule) GROUP BY source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND accepted AS kept
 FROM b JOIN a ON b.source IS NOT DISTINCT FROM a.source

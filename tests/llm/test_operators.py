@@ -288,6 +288,12 @@ def test_bad_host_is_rejected(spark):
     assert {r.doc_id for r in kept} == set(range(1_000, 1_300))
 
 
+def test_one_document_rejects_no_host(spark):
+    good = " ".join(f"w{k}" for k in range(51))
+    rows = [(k, good + " ######" * (k % 20 == 0), f"host{k}") for k in range(200)]
+    assert quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("not kept").count() == 0
+
+
 # near-duplicates
 
 
@@ -362,6 +368,15 @@ def test_pii(spark, docs, empty):
     assert pii.report(empty).count() == 0
 
 
+def test_pii_of_texts_that_end_a_recursive_matcher(spark):
+    n = 100_000
+    one = ["a@b" + ".c" * n, "1" + ".1" * n, "+" + "1." * n + "1", "(1)-" * n + "1", "1 " * n + "1", "a" + ".-" * n + "1", "x 1" + "." * n + "a"]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(list(enumerate(one)), "doc_id long, text string")).collect()}
+    assert got[0].n_email == 1 and got[0].spans == f"email:0:{len(one[0])}"
+    assert [got[k].n_email for k in range(1, len(one))] == [0] * (len(one) - 1)
+    assert got[1].n_ip == (n + 1) // 4 and got[2].n_phone == 0
+
+
 def test_contexts_find_what_patterns_miss(spark):
     texts = [f"please note my email is user{k}@mail.com thanks" for k in range(9)] + ["so my email is user(at)5566 ok", "it is number 5566 ok"]
     got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
