@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, lm, minhash, mixing, packing, pii, quality, token_files, toxicity
+from . import exact_dedup, html_text, lm, minhash, mixing, packing, pii, quality, sharding, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.report(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_toxicity": op2_toxicity,
@@ -84,5 +88,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
+    "op13_sharding": op13_sharding,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_quality": quality.SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_quality": quality.SQL, "op13_sharding": sharding.SQL}

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import components, encoding, exact_dedup, html_text, lm, minhash, mixing, packing, pii, quality, queries, shingles, token_files, toxicity
+from docloom.llm import components, encoding, exact_dedup, html_text, lm, minhash, mixing, packing, pii, quality, queries, sharding, shingles, token_files, toxicity
 
 from ..compare import DATA, same, tables
 
@@ -721,3 +721,61 @@ def test_pipeline(spark):
     pieces = pipeline.run(spark, DATA)
     # one table of the run is left, and tables of others are not touched
     assert pieces.count() > 0 and pipeline.common.made() == before + 1 and pending.count() == 3
+
+
+# sharding
+
+
+def brute_shards(ids, shards, slack=0.0):
+    """Documents one by one in order of turns, each to the first shard clockwise with room."""
+    import hashlib
+
+    nodes = sharding.ring(shards)
+    room = [len(ids) // shards + (s < len(ids) % shards) for s in range(shards)] if not slack else [math.ceil(len(ids) * (1 + slack) / shards)] * shards
+    keyed = sorted((int(d[15:30], 16), int(d[:15], 16), k) for k in ids for d in [hashlib.md5(str(k).encode()).hexdigest()])
+    out = {}
+    for _, p, k in keyed:
+        at = next((i for i, (x, _) in enumerate(nodes) if x >= p), 0)
+        s = next(s for i in range(len(nodes)) for s in [nodes[(at + i) % len(nodes)][1]] if room[s])
+        room[s] -= 1
+        out[k] = s
+    return out
+
+
+@pytest.mark.parametrize(("shards", "slack"), [(8, 0.0), (3, 0.1), (5, 0.5)])
+def test_shards_as_one_by_one(spark, shards, slack):
+    rows = spark.range(997).selectExpr("id * 7 as doc_id", "concat('text ', id) as text")
+    got = {r.doc_id: r for r in sharding.shard(rows, shards, slack, part_rows=10).collect()}
+    assert {k: r.shard for k, r in got.items()} == brute_shards([7 * k for k in range(997)], shards, slack)
+    for s in range(shards):
+        own = sorted(r.slot for r in got.values() if r.shard == s)
+        assert own == list(range(len(own)))
+
+
+def test_sharding_like_sql(spark):
+    same(queries.op13_sharding(spark, DATA), sharding.SQL)
+
+
+def test_sharding_edges(spark, docs, empty, tmp_path):
+    got = sharding.report(docs).collect()
+    sizes = Counter(r.shard for r in got)
+    assert len(got) == 22 and max(sizes.values()) - min(sizes.values()) <= 1
+    for r in got:
+        data = (TEXTS[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 1, zlib.crc32(data), "rows", None)
+    assert sharding.report(empty).count() == 0
+    # a third of all rows with one id, and null ids, are dealt evenly
+    hot = spark.range(900).selectExpr("case when id % 3 = 0 then 5 when id % 7 > 0 then id end as doc_id", "if(id % 3 = 0, 'x', null) as text")
+    got = sharding.shard(hot, part_rows=4).collect()
+    assert set(Counter(r.shard for r in got).values()) == {112, 113}
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(112 + (s < 4))) for s in range(8))
+    written = {r.shard: r.n for r in sharding.write_shards(docs, f"file://{tmp_path}/shards").collect()}
+    back = spark.read.parquet(f"file://{tmp_path}/shards")
+    assert {r._shard: r["count"] for r in back.groupBy("_shard").count().collect()} == written
+    assert sorted((r.doc_id, r.text or "") for r in back.collect()) == sorted((r.doc_id, r.text or "") for r in docs.collect())
+
+
+def test_few_rows_move_to_a_new_shard(spark):
+    rows = spark.range(4_000).selectExpr("id as doc_id", "'t' as text")
+    eight, nine = ({r.doc_id: r.shard for r in sharding.shard(rows, n, 0.25).collect()} for n in (8, 9))
+    assert sum(eight[k] != nine[k] for k in eight) < 0.3 * len(eight)
