@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: White space of every contract of this subpackage.
 SPACE = r"[\x20\x09-\x0D]"
-#: Rows that a broadcast lookup table may have; beyond it the lookup is a shuffle join.
-BROADCAST_ROWS = 200_000
+#: Rows that a broadcast lookup table may have, and bytes of its texts; beyond either the lookup is a shuffle join.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 #: A key with more than 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1_000
 
@@ -111,13 +111,28 @@ def give_back() -> None:
         return
 
 
+def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether the durable table df has at most `rows` rows and BROADCAST_BYTES bytes of texts, so that it may be broadcast."""
+    wide = [F.octet_length(F.col(c).cast("string")) for c, kind in df.dtypes if kind == "string" or "<" in kind] + [F.octet_length(c) for c, kind in df.dtypes if kind == "binary"]
+    width = sum((F.coalesce(w, F.lit(0)).cast("long") for w in wide), F.lit(0).cast("long"))
+    n, size = df.agg(F.count("*"), F.sum(width)).first()
+    return n <= rows and (size or 0) <= BROADCAST_BYTES
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """The durable table df, to be broadcast if it fits."""
+    return F.broadcast(df) if fits(df) else df
+
+
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join left with right, which is a durable table with one row for each key; right[rows] says how many rows
     of left have the key, total how many rows left has. A right side of at most `limit` rows is broadcast. Beyond that,
     the hot keys alone are (their number is bounded by HOT_SHARE), so no task gets all rows of one key."""
-    if right.count() <= limit:
+    if fits(right, limit):
         return left.join(F.broadcast(right), keys, how)
     hot = F.col(rows) > F.lit(max(1, total // HOT_SHARE))
+    if not fits(right.filter(hot)):  # few keys, but of very long texts
+        return left.join(right, keys, how)
     warm = left.join(F.broadcast(right.filter(hot)), keys, "inner")
     cold = left.join(F.broadcast(right.filter(hot).select(*keys)), keys, "left_anti").join(right.filter(~hot), keys, how)
     return warm.unionByName(cold)
@@ -126,7 +141,7 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total:
 def within(left: DataFrame, keys_of: DataFrame, keys: list[str], how: str = "left_semi", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Semi- or anti-join of left with the (durable) distinct keys; broadcast only up to `limit` rows."""
     right = keys_of.select(*keys)
-    return left.join(F.broadcast(right) if right.count() <= limit else right, keys, how)
+    return left.join(F.broadcast(right) if fits(right, limit) else right, keys, how)
 
 
 def running(df: DataFrame, group: list[str], order: list[Column], value: str, out: str, buckets: int, salt: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, lm, minhash, mixing, packing, pii, quality, sharding, token_files, toxicity
+from . import divergence, exact_dedup, html_text, lm, minhash, mixing, negatives, packing, pii, quality, sharding, token_files, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +73,14 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(documents(spark, sf_dir))
 
@@ -88,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_lm": op9_lm,
     "op10_mixing": op10_mixing,
+    "op11_divergence": op11_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_sharding": op13_sharding,
 }
-ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_quality": quality.SQL, "op13_sharding": sharding.SQL}
+ORACLES = {"op1_exact_dedup": OP1_SQL, "op5_quality": quality.SQL, "op11_divergence": divergence.SQL, "op12_hard_negatives": negatives.SQL, "op13_sharding": sharding.SQL}

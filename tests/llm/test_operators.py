@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import components, encoding, exact_dedup, html_text, lm, minhash, mixing, packing, pii, quality, queries, sharding, shingles, token_files, toxicity
+from docloom.llm import components, divergence, encoding, exact_dedup, html_text, lm, minhash, mixing, negatives, packing, pii, quality, queries, sharding, shingles, token_files, toxicity
 
 from ..compare import DATA, same, tables
 
@@ -779,3 +779,120 @@ def test_few_rows_move_to_a_new_shard(spark):
     rows = spark.range(4_000).selectExpr("id as doc_id", "'t' as text")
     eight, nine = ({r.doc_id: r.shard for r in sharding.shard(rows, n, 0.25).collect()} for n in (8, 9))
     assert sum(eight[k] != nine[k] for k in eight) < 0.3 * len(eight)
+
+
+# source divergence
+
+
+def brute_audit(rows, least):
+    """rows: (text, lang, source) of each document."""
+    out, terms = [], [[m.lower() if m.isascii() else ascii_lower(m) for m in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t or "")] for t, _, _ in rows]
+    group = [(lang or "", source or "") for _, lang, source in rows]
+    for lang in {g[0] for g in group}:
+        own = [k for k, g in enumerate(group) if g[0] == lang]
+        df = Counter(x for k in own for x in set(terms[k]))
+        kept = sorted((x for x in df if df[x] >= least), key=str.encode)
+        counts = {s: Counter(x for k in own if group[k][1] == s for x in terms[k] if df[x] >= least) for s in {group[k][1] for k in own}}
+        every = sum(counts.values(), Counter())
+        p = lambda c, x: 1 + 1_000_000_000 * (c[x] + 2) // (sum(c.values()) + 2 * len(kept))  # noqa: E731, B023
+        f = lambda a, b: (a - b) ** 2 // (a + b)
+        for s, c in counts.items():
+            pairs = [(-sum(f(p(c, x), p(o, x)) for x in kept), t.encode(), t) for t, o in counts.items() if t != s]
+            best = [(-f(p(c, x), p(every, x)), x.encode(), x) for x in kept if c[x] and p(c, x) > p(every, x)]
+            out += [(lang, s, "pair", t, -v, k) for k, (v, _, t) in enumerate(sorted(pairs), 1)]
+            out += [(lang, s, "term", t, -v, k) for k, (v, _, t) in enumerate(sorted(best)[:10], 1)]
+    return sorted(out)
+
+
+def test_divergence(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    names = ["É", "zß", "Straße", "naïve", "x", "Y", "zz"] + [f"w{chr(97 + k)}" for k in range(20)]
+    rows = [(None, "en", "a"), ("", None, None), ("12 34", "de", "only"), ("one", None, "b"), ("x " * 50, "en", "hot"), ("x " * 50, "en", "hot")]
+    rows += [(" ".join(rng.choices(names, weights=range(1, 28), k=rng.randrange(1, 30))) + "-A_b1c", rng.choice(["en", "en", "de", None]), rng.choice(["hot"] * 6 + ["b", "c", None, ""])) for _ in range(300)]
+    df = spark.createDataFrame(rows, "text string, lang string, source string").withColumns({c: F.lit("clash") for c in ("term", "n", "src", "value", "rank", "item", "doc_id", "l")})
+    want = brute_audit(rows, 10)
+    got = [tuple(r) for r in divergence.audit(df).collect()]
+    assert len(want) > 100 and sorted(got) == want
+    assert sorted(map(tuple, divergence.audit(df, least=1_000).collect())) == brute_audit(rows, 1_000)
+    assert divergence.audit(df.limit(0)).count() == 0
+
+
+def test_divergence_in_small_steps(spark):
+    """Texts in chunks, tallies of few entries: the same numbers as in one go."""
+    import numpy as np
+
+    data = "Ab cé, dé\x00ef ".encode() * 50
+    before, divergence.CHUNK = divergence.CHUNK, 7
+    try:
+        assert Counter(x for c in divergence.chunks(data) for x in divergence._TERM.findall(c.lower())) == Counter(divergence._TERM.findall(data.lower()))
+        assert len(list(divergence.chunks(data))) > 50
+    finally:
+        divergence.CHUNK = before
+    cols = divergence.tallied(np.array([3, 3, 5, 5, 5, 9]), np.array([1, 4, 1, 2, 4, 2]), np.array([7, 8, 7, 1, 8, 1]))
+    assert sorted(zip(*(c.tolist() for c in cols), strict=True)) == [(1, 2, 7, 1, 1), (1, 4, 7, 8, 2), (2, 4, 1, 8, 1)]
+
+
+def test_shares_are_exact(spark):
+    n, total, v = 10**15 + 7, 10**16 + 3, 10**6 + 1
+    df = spark.createDataFrame([(n, total, v), (0, 0, 0)], "n long, total long, v long")
+    got = [r[0] for r in df.select(divergence.share(F.col("n"), F.col("total"), F.col("v"))).collect()]
+    assert got == [1 + 10**9 * (n + 2) // (total + 2 * v), 1]
+
+
+# hard negatives
+
+
+def brute_negatives(rows):
+    import numpy as np
+
+    wide = max((len(v) for _, v, _ in rows if v), default=0)
+    some = [(k, [math.floor(256 * float(x)) for x in v] + [0] * (wide - len(v)), int(np.fmod(y + 1, 10)) if k % 7 == 0 else y) for k, v, y in rows if None not in (k, v, y) and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for k, v, y in some:
+        if k % 100:
+            continue
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), j, z) for j, w, z in some)
+        for s, j, _ in [r for r in scored if r[2] == y and r[1] != k][:5]:
+            inside = [r for r in scored if r[2] != y and -30 * s <= -100 * r[0] <= -90 * s][:10]
+            out += [(k, j, n, i, -s, -t) for n, (t, i, _) in enumerate(inside, 1)]
+    return sorted(out)
+
+
+def test_hard_negatives(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, [round(rng.gauss(0.3 * (j == k % 4), 0.2), 2) for j in range(6)], k % 4) for k in range(900)]
+    rows += [(3_000 + k, [0.5] * 6, k % 3) for k in range(40)]  # ties
+    rows += [(None, [1.0] * 6, 1), (1_001, None, 1), (1_002, [1.0] * 6, None), (1_003, [1.0, None] * 3, 1), (1_004, [math.nan] + [1.0] * 5, 1), (1_005, [math.inf] * 6, 1)]
+    rows += [(1_100, [0.9, 0.9], 2), (1_200, [], 1), (1_300, [-5.0] * 6, 0), (1_301, [3.0, -200.0, 0.0, 0.0, 0.0, 7.0], -12), (1_400, [3.0, -200.0, 0.0, 0.0, 0.0, 7.0], -2), rows[200], rows[200], rows[201]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("clash") for c in ("x", "n", "ids", "anchor", "score", "rank", "labels")})
+    want = brute_negatives(rows)
+    assert len(want) > 300
+    assert sorted(map(tuple, negatives.hard_negatives(df).collect())) == want
+    for name, value in {"ROWS": 50, "ANCHORS": 3, "TILE": 2, "CELLS": 16, "STRIPES": 3}.items():
+        monkeypatch.setattr(negatives, name, value)
+    assert sorted(map(tuple, negatives.hard_negatives(df).collect())) == want
+    assert negatives.hard_negatives(df.limit(0)).count() == 0
+    assert negatives.hard_negatives(df.filter("vec_id = 200")).count() == 0
+
+
+def test_scores_of_any_size():
+    import numpy as np
+
+    for top in (100, 2**24, 2**29, 2**31 - 1):
+        x, q = np.array([[top, -top, 3], [1, 2, -top]], np.int64), np.array([top, top - 1, 5], np.int64)
+        assert negatives.exact(x, q).tolist() == [sum(int(a) * int(b) for a, b in zip(r, q, strict=True)) for r in x]
+        low, width = [-top] * 3, [(2 * top) // negatives.CELLS + 1] * 3
+        cells = ((x + top) // width[0]).astype(np.uint8).T
+        lower, upper = negatives.Tables(q[None], low, width).bounds(cells, np.arange(2))
+        assert all(lower[k, 0] <= s <= upper[k, 0] for k, s in enumerate(negatives.exact(x, q).tolist()))
+    with pytest.raises(OverflowError):
+        negatives.exact(np.array([[2**61, 2**61]]), np.array([2**61, 2**61]))
+
+
+@pytest.mark.parametrize("name", ["op11_divergence", "op12_hard_negatives"])
+def test_like_sql(spark, name):
+    same(queries.QUERIES[name](spark, DATA), queries.ORACLES[name])
