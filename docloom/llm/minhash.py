@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, durable, lookup, map_arrow, within
 from .components import components
 
-#: Members of one pivot that are compared by one task.
-COMPARE_ROWS = 100
+#: Members of one pivot that are compared by one task; documents of one shingle that meet as many others of it in a task.
+COMPARE_ROWS, MEET_ROWS = 100, 1_000
 
 
 def sketches(docs: DataFrame, size: int, halves: int, rows: int, id_col: str, text_col: str) -> DataFrame:
@@ -171,11 +171,15 @@ def residual(docs: DataFrame, tables: DataFrame, buckets: DataFrame, of: DataFra
     prefix = durable(prefix.join(F.broadcast(some) if some.count() <= BROADCAST_ROWS else some, "rep"), "near-prefix")
     by_label = prefix.groupBy("item", "label").agg(F.count("*").alias("c"))
     main = durable(by_label.groupBy("item").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("c")).filter("labels > 1").select("item", "main", "c"), "near-main")
-    shared = durable(lookup(prefix, main, ["item"], "c", prefix.count(), "inner").select("item", "rep", "n", "r", "label", "main"), "near-shared")
-    minor = shared.filter("label <> main")
-    other = shared.select("item", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("label").alias("label2"), (F.col("label") != F.col("main")).alias("minor2"))
+    blocks = F.ceil(F.col("c") / MEET_ROWS).cast("int").alias("blocks")
+    shared = durable(lookup(prefix, main, ["item"], "c", prefix.count(), "inner").select("item", "rep", "n", "r", "label", "main", blocks), "near-shared")
+    # the documents of a very common shingle are a grid of blocks, and a task gets single cells of it
+    block, each_block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    minor = shared.filter("label <> main").withColumn("i", block).withColumn("j", each_block).drop("blocks")
+    other = shared.withColumn("j", block).withColumn("i", each_block)
+    other = other.select("item", "i", "j", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("r").alias("r2"), F.col("label").alias("label2"), (F.col("label") != F.col("main")).alias("minor2"))
     enough = F.expr(f"least(n - r, n2 - r2) + 1 >= ceil({threshold} * (n + n2) / {100.0 + threshold})")
-    met = minor.join(other, "item").filter((F.col("label") != F.col("label2")) & enough & (~F.col("minor2") | (F.col("rep") < F.col("rep2"))))
+    met = minor.join(other, ["item", "i", "j"]).filter((F.col("label") != F.col("label2")) & enough & (~F.col("minor2") | (F.col("rep") < F.col("rep2"))))
     return durable(met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct(), "near-rest")
 
 
