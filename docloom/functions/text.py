@@ -7,11 +7,11 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Words of names that carry no identity, generation marks, and words that tell no firm from another.
+# Words of names that carry no identity, generation marks, and words that tell no firm from another (of which firms' names are
+# compared without).
 PARTICLES = ("de", "del", "della", "van", "von", "der", "den", "da", "di", "la", "le", "st", "saint")
 SUFFIXES = {"jr": "jr", "sr": "sr", "ii": "2", "iii": "3", "iv": "4", "v": "5"}
-FIRM_STOP = ("and", "the", "of", "at", "law", "offices", "office", "group", "firm")
-LEGAL_FORMS = ("llp", "llc", "pc", "pllc", "pa", "co", "inc")
+FIRM_STOP = ("and", "the", "of", "at", "law", "offices", "office", "group", "firm", "llp", "llc", "pc", "pa", "lp", "ltd", "co", "pllc", "apc", "associates", "attorneys", "a")
 
 
 def chain(c: Column, *steps: tuple[str, str]) -> Column:
@@ -74,6 +74,11 @@ def firm_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(spaced, r"(?: (?:llp|llc|pc|p c|pllc|pa|p a|inc|co|ltd))++$", ""))
 
 
+def firm_tokens(c: Column) -> Column:
+    """The words of a firm's name that tell it from others: of two letters at least, without those of FIRM_STOP."""
+    return tokens(c, 2, FIRM_STOP)
+
+
 def title(c: Column) -> Column:
     """A file name's title: extension, copy number, docket prefix and underscores removed, camel case split, lower case."""
     return F.lower(F.trim(chain(c, (r"(?i)\.pdf$", ""), (r"\s*\(\d+\)$", ""), ("([a-z])([A-Z])", "$1 $2"), (r"^\d+[-_ ]+", ""), ("_", " "), (r"\s+", " "))))
@@ -109,6 +114,11 @@ def roles(c: Column, vocabulary: tuple[str, ...]) -> Column:
     return F.array_sort(F.array_distinct(F.filter(parts, lambda x: x.isin(*vocabulary))))
 
 
+def one_of(c: Column) -> Column:
+    """One value of a list: the only one, or the last by letters of several; '' without any. Blanks and nulls don't count."""
+    return F.coalesce(F.array_max(F.filter(c, lambda x: F.trim(x) != "")), F.lit(""))
+
+
 def as_list(c: Column) -> Column:
     """A list from a text that may hold a JSON list; never evaluated as code."""
     return F.when(c.startswith("["), F.from_json(c, "array<string>")).otherwise(F.array(c))
@@ -181,7 +191,7 @@ PLACE_WORDS = (
     "michigan minnesota mississippi missouri montana nebraska nevada hampshire jersey mexico york carolina dakota ohio oklahoma oregon pennsylvania rhode island tennessee texas utah "
     "vermont virginia washington west wisconsin wyoming new chicago boston angeles francisco diego orleans city county dc"
 )
-FORM_WORDS = "pllp lpa aplc plc psc chtd lllp llp pc inc corp company corporation br fl ca dc dept division llc pa lp ltd co pllc apc associates attorneys"
+FORM_WORDS = "pllp lpa aplc plc psc chtd lllp llp pc inc corp company corporation br fl ca dc dept division"
 
 
 def signature_stop() -> tuple[str, ...]:

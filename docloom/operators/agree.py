@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.fuzzy import jaccard
 from docloom.functions.stats import f1, wilson
 
 
@@ -29,3 +30,27 @@ def field_agreement(joined: DataFrame, fields: list[str]) -> DataFrame:
     each = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"gold_{f}").cast("string").alias("g"), F.col(f"our_{f}").cast("string").alias("o")) for f in fields))
     rows = joined.select(F.explode(each).alias("x")).select("x.*").filter("g is not null and g <> ''")
     return rows.groupBy("field").agg(F.count_if(F.col("g").eqNullSafe(F.col("o"))).alias("agree"), F.count("*").alias("total"))
+
+
+def entries(rows: DataFrame, keys: list[str], role: str, side: str, flags: list[str], order: Column) -> DataFrame:
+    """One entry per key: the sorted set of its roles, the first side by order that is not empty ('' without any), and of each flag whether a row has it."""
+    some = F.col(side) != ""
+    first = F.coalesce(F.min_by(F.when(some, F.col(side)), F.when(some, order)), F.lit(""))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_set(role)).alias("roles"), first.alias("side"), *(F.coalesce(F.bool_or(f), F.lit(False)).alias(f) for f in flags))
+
+
+def soft_scores(rows: DataFrame, source: str, gold: str, ours: str, keys: list[str]) -> DataFrame:
+    """One row: matched, gold, ours, soft_recall, soft_precision, soft_f1 (of the rounded two), and the percentages of matches whose side (where gold has one) and interim flag agree.
+    rows: entries of both sources."""
+    g, o = rows.filter(F.col(source) == gold), rows.filter(F.col(source) == ours)
+    side = lambda df, n: df.select(*keys, *(F.col(c).alias(f"{n}_{c}") for c in ("roles", "side", "interim")))
+    met = side(g, "g").join(side(o, "o"), keys)
+    agrees = F.when(F.col("g_side") != "", F.lower("g_side") == F.lower("o_side"))
+    percent = lambda k, n: F.round(F.try_divide(100.0 * k, n), 1)
+    sums = met.agg(F.count("*").alias("matched"), F.sum(jaccard(F.col("g_roles"), F.col("o_roles"))).alias("soft"), percent(F.count_if(agrees), F.count(agrees)).alias("side_pct"), percent(F.count_if(F.col("g_interim") == F.col("o_interim")), F.count("*")).alias("interim_pct"))
+    n = rows.agg(F.count_if(F.col(source) == gold).alias("gold"), F.count_if(F.col(source) == ours).alias("ours"))
+    share = lambda c: F.round(F.try_divide(F.coalesce("soft", F.lit(0.0)), F.col(c)), 3)
+    r = sums.join(F.broadcast(n)).withColumns({"soft_recall": share("gold"), "soft_precision": share("ours")})
+    p, q = F.coalesce("soft_recall", F.lit(0.0)), F.coalesce("soft_precision", F.lit(0.0))
+    f = F.when(p + q > 0, F.round(2 * p * q / (p + q), 3)).otherwise(0.0)
+    return r.select("matched", "gold", "ours", "soft_recall", "soft_precision", f.alias("soft_f1"), "side_pct", "interim_pct")

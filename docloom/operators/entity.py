@@ -7,8 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.lookups import HOT_ROWS, lookup
 from docloom.operators.ranks import row_numbers
-from docloom.sources.shared import folder
+from docloom.operators.similar import met_pairs, similar_sets
+from docloom.sources.shared import Steps
+
+#: Profiles of a cluster that a task compares with as many of another.
+CELL = 1_000
 
 
 def blocked_pairs(df: DataFrame, key: str, blocks: DataFrame, cap: int | None = None) -> DataFrame:
@@ -19,68 +24,136 @@ def blocked_pairs(df: DataFrame, key: str, blocks: DataFrame, cap: int | None =
         allowed = rows.groupBy("block_no", "block").agg(F.count("*").alias("n")).filter(F.col("n") <= cap).drop("n")
         rows = rows.join(allowed, ["block_no", "block"])
     a, b = rows.select("block_no", "block", F.col(key).alias("a")), rows.select("block_no", "block", F.col(key).alias("b"))
-    return a.join(b, ["block_no", "block"]).filter("a < b").groupBy("a", "b").agg(F.min("block_no").alias("why"))
+    return met_pairs(a, b, ["block_no", "block"], "a", "b", twins=True).groupBy("a", "b").agg(F.min("block_no").alias("why"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows into the folder that the cluster names and read them again."""
-    path = folder(df.sparkSession, "step")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write the rows into the folder that the cluster names, until the JVM ends, and read them again."""
+    return Steps(df.sparkSession).last(df)
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over edges (a, b). In each round every node with links hooks to the neighbour of
     least hash and the links are rewritten to the hooked nodes, which at least halves the nodes that have links; hashes keep chains of hooks
-    short."""
+    short. A hub's links, and the nodes of a giant component, are looked up without meeting in one task."""
+    steps = Steps(nodes.sparkSession)
     mark = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    links = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
-    names = nodes.select("node", F.col("node").alias("root"))
-    while not links.isEmpty():
+    links = steps.keep("links", edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    names, hooks, total = nodes.select("node", F.col("node").alias("root")), 0, None
+    while n := links.count():
         both = links.union(links.select("b", "a")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min(mark("v")).alias("m"))
-        hook = checkpointed(low.select("u", F.when(F.col("m") < mark("u"), F.col("m.v")).otherwise(F.col("u")).alias("p")))
-        one = links.join(hook.toDF("a", "pa"), "a").select("b", "pa").join(hook.toDF("b", "pb"), "b")
-        links = checkpointed(one.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-        names = checkpointed(names.join(hook.toDF("root", "p"), "root", "left").select("node", F.coalesce("p", "root").alias("root")))
-    least = names.groupBy("root").agg(F.min("node").alias("component"))
-    return names.join(least, "root").select("node", "component")
-
-
-def per_component(df: DataFrame, component: str, schema: str, rule: Callable) -> DataFrame:
-    """A sequential rule within each component; components are what a sequential rule needs to see."""
-    return df.groupBy(component).applyInPandas(rule, schema)
-
-
-def guarded(nodes: DataFrame, edges: DataFrame, incompatible: Callable) -> DataFrame:
+        low = both.groupBy("u").agg(F.min(mark("v")).alias("m"), F.count("*").alias("n"))
+        hook = steps.keep(f"hook{hooks}", low.select("u", "n", F.when(F.col("m") < mark("u"), F.col("m.v")).otherwise(F.col("u")).alias("p")))
+        one = lookup(links, hook.select(F.col("u").alias("a"), "n", F.col("p").alias("pa")), ["a"], "inner", counted=True, total=n)
+        two = lookup(one, hook.select(F.col("u").alias("b"), "n", F.col("p").alias("pb")), ["b"], "inner", counted=True, total=n)
+        links = steps.keep("links", two.filter("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
+        to = hook.select(F.col("u").alias("root"), "p")
+        # at first every node is its own root; later many nodes share one
+        met = names.join(to, "root", "left") if not hooks else lookup(names, to, ["root"], total=total)
+        names = met.select("node", F.coalesce("p", "root").alias("root"))
+        if total is None or total > HOT_ROWS:
+            names = steps.keep("names", names)
+            total = names.count()
+        hooks += 1
+    least = names.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n"))
+    least = least if total is not None and total <= HOT_ROWS else steps.keep("least", least)
+    return steps.last(lookup(names, least, ["root"], "inner", counted=True, total=total).select("node", "component"))
+
+
+def guarded(nodes: DataFrame, edges: DataFrame, incompatible: Callable, free: int = 500) -> DataFrame:
     """(node, cluster): edges (a, b, rank) in order of (rank, a, b) merge clusters, unless two members across them are incompatible without
-    an edge of their own. nodes: node and what incompatible(x, y) reads of two nodes' rows. Runs by component of the edges."""
-    component = connected(nodes.select("node"), edges)
-    of = lambda c: component.withColumnRenamed("node", c)
-    one = edges.join(of("a"), "a").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("rank", "a", "b"))).alias("edges"))
-    two = nodes.join(component, "node").groupBy("component").agg(F.collect_list(F.struct(*nodes.columns)).alias("nodes"))
-
-    def rule(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = []
-            for own, some in zip(pdf["nodes"], pdf["edges"], strict=True):
-                rows = {r["node"]: r for r in own}
-                links = [(e["a"], e["b"]) for e in some] if some is not None else []
-                direct = {frozenset(e) for e in links}
-                cluster, members = {n: n for n in rows}, {n: [n] for n in rows}
-                for a, b in links:
-                    x, y = sorted((cluster[a], cluster[b]))
-                    if x == y or any(frozenset((p, q)) not in direct and incompatible(rows[p], rows[q]) for p in members[x] for q in members[y]):
-                        continue
-                    for n in members[y]:
-                        cluster[n] = x
-                    members[x] += members.pop(y)
-                out += cluster.items()
-            yield pd.DataFrame(out, columns=["node", "cluster"]).astype("int64")
-
-    return two.join(one, "component", "left").select("nodes", "edges").mapInPandas(rule, "node long, cluster long")
+    an edge of their own. A cluster is named by its smallest node. nodes: node and the columns that incompatible(x, y) reads of two profiles, where x and y give a
+    column by its name.
+
+    Nobody takes the edges one by one. An edge that is the first of both its clusters is decided at once: whatever the sequential rule decides before it
+    touches neither. So a round merges or vetoes a matching of clusters, and what is known of pairs of clusters (the first edge, whether there was a veto, how many edges join incompatible
+    nodes) and of single ones (their profiles, with numbers) is contracted to the merged ones. Two clusters exclude each other if they have more incompatible pairs than such edges.
+    A veto stays, as clusters only grow, and so does away with all edges between the two. Components of at most `free` profiles without an incompatible pair are done in one step, however
+    long their chains of edges."""
+    steps = Steps(nodes.sparkSession)
+    columns = [c for c in nodes.columns if c != "node"]
+    profile = F.struct(*columns) if columns else F.struct(F.lit(0).alias("none"))
+    apart = incompatible(lambda c: F.col("x")[c], lambda c: F.col("y")[c])
+    known = steps.keep("known", nodes.select("node", profile.alias("w"), F.to_json(profile).alias("profile")))
+    raw = edges.select("a", "b", "rank").filter("a <> b").groupBy(F.least("a", "b").alias("cx"), F.greatest("a", "b").alias("cy")).agg(F.min(F.struct("rank", "a", "b")).alias("o"))
+    side = lambda c, w: known.select(F.col("node").alias(c), F.col("w").alias(w))
+    ends = steps.keep("ends", lookup(steps.keep("raw", raw), side("cx", "x"), ["cx"], "inner"))
+    # at first each node is a cluster; cx < cy
+    pairs = lookup(ends, side("cy", "y"), ["cy"], "inner").select("cx", "cy", "o", F.lit(False).alias("veto"), F.when(apart, 1).otherwise(0).cast("long").alias("direct"))
+    pairs = steps.keep("relations", pairs)
+    members = steps.keep("members", known.select(F.col("node").alias("c"), "profile", "w", F.lit(1).cast("long").alias("n")))
+    hooks, rounds, check, size = [], 0, 0, members.count()
+
+    def contracted(name: str, df: DataFrame, n: int, hook: DataFrame, *ends: str) -> DataFrame:
+        df = df if n <= HOT_ROWS else steps.keep(name, df)
+        for c in ends:
+            df = lookup(df, hook.select(F.col("u").alias(c), "p"), [c], total=n).withColumn(c, F.coalesce("p", c)).drop("p")
+        return df
+
+    def conflicts(chosen: DataFrame) -> DataFrame:
+        """(cx, cy, n): incompatible pairs across two clusters, profile by profile, in cells of a grid. Each cluster is in one pair at most."""
+        if size <= CELL:  # as all clusters together
+            one, two = (members.select(F.col("c").alias(c), F.col("w").alias(w), F.col("n").alias(n)) for c, w, n in (("cx", "x", "nx"), ("cy", "y", "ny")))
+            return chosen.join(one, "cx").join(two, "cy").filter(apart).groupBy("cx", "cy").agg(F.sum(F.col("nx") * F.col("ny")).alias("n"))
+        wanted = chosen.select(F.col("cx").alias("c")).union(chosen.select(F.col("cy").alias("c")))
+        own = steps.keep("own", members.join(wanted, "c", "left_semi").groupBy("c").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k")))
+        some = lookup(members, own, ["c"], "inner").select("c", "w", "n", F.pmod(F.xxhash64("profile"), "k").cast("int").alias("block"))
+        cells = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+        of = lambda c, k: own.select(F.col("c").alias(c), F.col("k").alias(k))
+        grid = chosen.select("cx", "cy").join(of("cx", "kx"), "cx").join(of("cy", "ky"), "cy").withColumn("bx", cells("kx")).withColumn("by", cells("ky"))
+        block = lambda c, b, w, n: some.select(F.col("c").alias(c), F.col("block").alias(b), F.col("w").alias(w), F.col("n").alias(n))
+        met = grid.select("cx", "cy", "bx", "by").join(block("cx", "bx", "x", "nx"), ["cx", "bx"]).join(block("cy", "by", "y", "ny"), ["cy", "by"])
+        return met.filter(apart).groupBy("cx", "cy").agg(F.sum(F.col("nx") * F.col("ny")).alias("n"))
+
+    left = lambda: pairs.filter("o is not null")
+    while not left().isEmpty():
+        total = pairs.count()
+        if rounds == check:
+            check = 4 * check + 4
+            found = connected(left().select(F.col("cx").alias("node")).union(left().select("cy")).distinct(), left().select(F.col("cx").alias("a"), F.col("cy").alias("b")))
+            by_part = lookup(members, found.select(F.col("node").alias("c"), "component"), ["c"], "inner").groupBy("component", "profile").agg(F.first("w").alias("w"))
+            by_part = steps.keep("profiles", by_part)
+            few = by_part.groupBy("component").agg(F.count("*").alias("k")).filter(F.col("k") <= free)
+            some = by_part.join(few, "component").select("component", "profile", "w")
+            # no more than the few profiles of a component meet
+            mixed = some.select("component", F.col("profile").alias("px"), F.col("w").alias("x")).join(some.select("component", F.col("profile").alias("py"), F.col("w").alias("y")), "component")
+            mixed = mixed.filter((F.col("px") <= F.col("py")) & apart).select("component").distinct()
+            gone = steps.keep("gone", found.join(few.select("component").join(mixed, "component", "left_anti"), "component", "left_semi"))
+            if not gone.isEmpty():
+                hooks.append(steps.keep(f"hook{len(hooks)}", gone.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("p"))))
+                pairs = steps.keep("relations", lookup(pairs, gone.select(F.col("node").alias("cx")), ["cx"], "left_anti"))
+                rounds += 1
+                continue
+        rounds += 1
+        ways = left().select(F.explode(F.array("cx", "cy")).alias("u"), F.struct("o", "cx", "cy", "direct").alias("f"))
+        chosen = ways.groupBy("u").agg(F.min("f").alias("f")).groupBy("f").agg(F.count("*").alias("n")).filter("n = 2").select("f.cx", "f.cy", "f.direct")
+        chosen = steps.keep("chosen", chosen)
+        judged = chosen.join(conflicts(chosen), ["cx", "cy"], "left")
+        judged = steps.keep(f"judged{rounds}", judged.select("cx", "cy", (F.coalesce("n", F.lit(0)) > F.col("direct")).alias("against")))
+        hook = judged.filter("not against").select(F.col("cy").alias("u"), F.col("cx").alias("p"))
+        hooks.append(hook)
+        marked = pairs.join(judged, ["cx", "cy"], "left").withColumn("veto", F.col("veto") | F.coalesce("against", F.lit(False))).drop("against")
+        moved = contracted("marked", marked, total, hook, "cx", "cy").select(F.least("cx", "cy").alias("cx"), F.greatest("cx", "cy").alias("cy"), "o", "veto", "direct").filter("cx <> cy")
+        merged = moved.groupBy("cx", "cy").agg(F.min("o").alias("o"), F.bool_or("veto").alias("veto"), F.sum("direct").alias("direct"))
+        pairs = steps.keep("relations", merged.withColumn("o", F.when(~F.col("veto"), F.col("o"))))
+        members = steps.keep("members", contracted("moved", members, size, hook, "c").groupBy("c", "profile").agg(F.first("w").alias("w"), F.sum("n").alias("n")))
+    out = known.select("node", F.col("node").alias("cluster"))
+    if hooks:
+        every = hooks[0]
+        for hook in hooks[1:]:
+            every = every.unionByName(hook)
+        out = out.join(rooted(steps, every).toDF("node", "to"), "node", "left").select("node", F.coalesce("to", "node").alias("cluster"))
+    return steps.last(out)
+
+
+def rooted(steps: Steps, hooks: DataFrame) -> DataFrame:
+    """(u, p): each u of the hooks (u, p), a forest, with the root that its hooks lead to, by doubling."""
+    to = steps.keep("to", hooks.select("u", "p"))
+    while True:
+        far = steps.keep("far", lookup(to.withColumnRenamed("p", "k"), to.select(F.col("u").alias("k"), F.col("p").alias("q")), ["k"]))
+        if far.filter("q is not null").isEmpty():
+            return to
+        to = steps.keep("to", far.select("u", F.coalesce("q", "k").alias("p")))
 
 
 def split_mentions(mentions: DataFrame, key: list[str]) -> DataFrame:
@@ -100,45 +173,38 @@ def split_mentions(mentions: DataFrame, key: list[str]) -> DataFrame:
     return found.join(first, "component").select(F.col("node").alias("mention"), "part")
 
 
-def collapsed(df: DataFrame, group: str, key: str, same: Callable) -> DataFrame:
-    """(grp, key, rep): within a group, in order of key, each row is absorbed by the first representative that same(row, representative)
-    accepts, or becomes one."""
+def first_come(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, seed): in order of node, each node that no earlier seed is linked with becomes a seed; others go to the first seed that they are linked with. links:
+    (a, b) with a < b.
 
-    def rule(pdf):
-        import pandas as pd
-
-        reps, out = [], []
-        for r in pdf.sort_values(key).to_dict("records"):
-            found = next((x for x in reps if same(r, x)), None)
-            if found is None:
-                reps.append(found := r)
-            out.append((r[group], r[key], found[key]))
-        return pd.DataFrame(out, columns=["grp", "key", "rep"])
-
-    kinds = dict(df.dtypes)
-    return df.groupBy(group).applyInPandas(rule, f"grp {kinds[group]}, key {kinds[key]}, rep {kinds[key]}")
+    In each round, the nodes that have only later ones left to meet are seeds, and what is linked with them is not and goes with its links. So the seeds are the
+    sequential rule's, and no group of nodes meets in one task."""
+    steps = Steps(nodes.sparkSession)
+    every = steps.keep("every", links.select("a", "b").filter("a < b").distinct())
+    left, taken, rounds = every, None, 0
+    while not left.isEmpty():
+        later = left.select(F.col("b").alias("a")).distinct()
+        seeds = steps.keep("seeds", left.select("a").distinct().join(later, "a", "left_anti"))
+        gone = steps.keep(f"gone{rounds}", lookup(left, seeds, ["a"], "left_semi").select("b").distinct())
+        taken = gone if taken is None else taken.unionByName(gone)
+        rest = steps.keep("half", lookup(left, gone, ["b"], "left_anti"))
+        left = steps.keep("left", lookup(rest, gone.withColumnRenamed("b", "a"), ["a"], "left_anti"))
+        rounds += 1
+    seed = nodes.select("node", F.col("node").alias("seed"))
+    if taken is not None:
+        taken = steps.keep("taken", taken.distinct())
+        of_seeds = lookup(every, taken.withColumnRenamed("b", "a"), ["a"], "left_anti")
+        to = of_seeds.groupBy("b").agg(F.min("a").alias("to"))
+        seed = seed.join(to.withColumnRenamed("b", "node"), "node", "left").select("node", F.coalesce("to", "seed").alias("seed"))
+    return steps.last(seed)
 
 
 def greedy_seeds(df: DataFrame, key: str, group: str, tokens: str, least: float = 0.6) -> DataFrame:
-    """(group, key, seed): within a group, in order of key, each row not taken seeds a cluster with the later free rows whose token overlap
-    is at least `least`; rows without tokens stand alone."""
-
-    def rule(pdf):
-        import pandas as pd
-
-        rows = sorted(((k, frozenset(t)) for k, t in zip(pdf["key"], pdf["tokens"], strict=True)), key=lambda r: r[0])
-        seed = {}
-        for k, t in rows:
-            if k in seed:
-                continue
-            seed[k] = k
-            for other, u in rows:
-                if t and u and other not in seed and len(t & u) / min(len(t), len(u)) >= least:
-                    seed[other] = k
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "key": list(seed), "seed": list(seed.values())})
-
-    named = df.select(F.col(group).alias("grp"), F.col(key).alias("key"), F.col(tokens).alias("tokens"))
-    return named.groupBy("grp").applyInPandas(rule, "grp string, key long, seed long")
+    """(grp, key, seed): within a group, in order of key, each row not taken seeds a cluster with the later free rows whose token overlap
+    is at least `least`; rows without tokens stand alone. Keys are unique over all groups."""
+    links = similar_sets(df, key, tokens, least, "overlap", group)
+    found = first_come(df.select(F.col(key).alias("node")), links)
+    return df.select(F.col(group).alias("grp"), F.col(key).alias("key")).join(found.toDF("key", "seed"), "key").select("grp", "key", "seed")
 
 
 def greedy_match(edges: DataFrame) -> DataFrame:

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.ranks import row_numbers
+from docloom.operators.similar import met_pairs
 
 
 def members(df: DataFrame, group: str, actor: str) -> DataFrame:
     return df.select(F.col(group).alias("g"), F.col(actor).alias("m")).dropna().distinct()
 
 
-def co_members(slate: DataFrame) -> DataFrame:
-    """Unordered pairs (a, b) within each group g; groups are slates, whose size the data model bounds."""
+def co_members(slate: DataFrame, block: int | None = None) -> DataFrame:
+    """Unordered pairs (a, b) within each group g. A large group's members are dealt to blocks, and a task gets pairs of blocks."""
     left, right = slate.select("g", F.col("m").alias("a")), slate.select("g", F.col("m").alias("b"))
-    return left.join(right, "g").filter("a < b")
+    return met_pairs(left, right, ["g"], "a", "b", block, twins=True)
 
 
 def pair_counts(slate: DataFrame) -> DataFrame:
@@ -38,26 +38,93 @@ def additional(slate: DataFrame) -> DataFrame:
     return pair_counts(slate).agg(F.coalesce(F.sum(F.greatest(F.col("cnt") - 1, F.lit(0))), F.lit(0)).alias("stat"))
 
 
-def permuted(slate: DataFrame, simulations: int, seed: int = 1, buckets: int = 64) -> DataFrame:
-    """The statistic of `additional` in each of so many configuration-model shuffles: every actor keeps its number of
-    places and every group its size; places are matched by the order of a hash of simulation and stub.
-
-    Places are numbered once; stubs are numbered in each simulation within buckets of their hash, and a bucket's base is the sum of
-    the sizes before it, so that no task orders a simulation's stubs as a whole."""
+def shuffled(slots, total: int, seed: int, sim: int):
+    """The stub that each slot gets in a simulation: a keyed bijection of the numbers below total. Six rounds of a Feistel network over the next power of four; a
+    number that comes out too large goes through it again."""
+    import numpy as np
+
+    def mixed(x):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+    half = max(4, (max(2, total) - 1).bit_length() + 1 >> 1)
+    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
+    with np.errstate(over="ignore"):
+        keys = mixed(mixed(np.array([seed], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(sim)) + np.arange(1, 7, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        out, again = np.empty(len(slots), np.int64), np.arange(len(slots))
+        x = slots.astype(np.uint64)
+        while len(again):
+            left, right = x >> shift, x & mask
+            for k in keys:
+                left, right = right, left ^ (mixed(right + k) & mask)
+            x = left << shift | right
+            fits = x < np.uint64(total)
+            out[again[fits]] = x[fits].astype(np.int64)
+            again, x = again[~fits], x[~fits]
+    return out
+
+
+def drawn_pairs(sizes: list[tuple[int, int]], places: list[tuple[int, int]], seed: int, sim: int, chunk: int = 1 << 18):
+    """The pairs of actors that meet in each group of one simulation, as numbers a * actors + b, some groups at a time. sizes: (size, groups of it); places: (places of
+    an actor, actors that have so many), both in order."""
+    import numpy as np
+
+    total, actors = sum(s * n for s, n in sizes), sum(n for _, n in places)
+    # stubs lie in order of the actors' places, so that a stub's actor follows by division
+    width, count = np.array([c for c, _ in places], np.int64), np.array([n for _, n in places], np.int64)
+    stub0, actor0 = np.concatenate([[0], np.cumsum(width * count)]), np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    for size, groups in sizes:
+        rows = max(1, chunk // size)
+        for first in range(0, groups, rows):
+            n = min(rows, groups - first)
+            stubs = shuffled(np.arange(at + first * size, at + (first + n) * size), total, seed, sim)
+            kind = np.searchsorted(stub0, stubs, "right") - 1
+            own = np.sort((actor0[kind] + (stubs - stub0[kind]) // width[kind]).reshape(n, size), axis=1)
+            # an actor that is drawn twice into a group is there once
+            new = np.ones((n, size), bool)
+            new[:, 1:] = own[:, 1:] != own[:, :-1]
+            if size <= 64:
+                for i in range(size - 1):
+                    both = new[:, i, None] & new[:, i + 1 :]
+                    yield (own[:, i, None] * actors + own[:, i + 1 :])[both]
+            else:
+                for row, some in zip(own, new, strict=True):
+                    u = row[some]
+                    for i in range(len(u) - 1):
+                        yield u[i] * actors + u[i + 1 :]
+        at += size * groups
+
+
+def permuted(slate: DataFrame, simulations: int, seed: int = 1, pairs: int = 8_000_000) -> DataFrame:
+    """(sim, stat): the statistic of `additional` in each of so many configuration-model shuffles: every actor keeps its number of
+    places and every group its size; an actor drawn twice into a group is there once.
+
+    The statistic depends on how many groups have each size and how many actors each number of places, and on nothing else of the slate. So tasks get these
+    two short lists (a total of N has fewer than 2 * sqrt(N) different sizes), and draw for themselves: a keyed bijection says which stub a slot gets, so that nothing is
+    sorted or shuffled. A task counts a simulation's pairs that fall into one share of all pairs, of which there are as many as are needed to hold about `pairs` at once."""
     spark = slate.sparkSession
-    sims = spark.range(simulations).withColumnRenamed("id", "sim")
-    slots = row_numbers(slate.select("g", "m"), "k", "g", "m").select("k", "g")
-    each = slate.select("m", "g").withColumn("sim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(simulations - 1).cast("long"))))
-    each = each.withColumn("h", F.md5(F.concat_ws(",", F.lit(seed), "sim", "g", "m").cast("binary")))
-    each = each.withColumn("b", F.pmod(F.conv(F.substring("h", 1, 4), 16, 10).cast("int") * buckets / 65536, F.lit(buckets)).cast("int"))
-    sums = each.groupBy("sim", "b").agg(F.count("*").alias("n"))
-    sums = sums.withColumn("base", F.coalesce(F.sum("n").over(Window.partitionBy("sim").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = each.withColumn("own", F.row_number().over(Window.partitionBy("sim", "b").orderBy("h", "g", "m")))
-    drawn = own.join(sums, ["sim", "b"]).select("sim", (F.col("base") + F.col("own")).alias("k"), "m")
-    placed = drawn.join(slots, "k").select("sim", "g", "m").distinct()
-    a, b = placed.select("sim", "g", F.col("m").alias("a")), placed.select("sim", "g", F.col("m").alias("b"))
-    again = a.join(b, ["sim", "g"]).filter("a < b").groupBy("sim", "a", "b").agg(F.count("*").alias("cnt")).filter("cnt > 1")
-    return sims.join(again.groupBy("sim").agg(F.sum(F.col("cnt") - 1).alias("stat")), "sim", "left").select("sim", F.coalesce("stat", F.lit(0)).alias("stat"))
+    lengths = lambda c: [tuple(r) for r in slate.groupBy(c).agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()]
+    sizes, places = lengths("g"), lengths("m")
+    shares = 1 + sum(s * (s - 1) // 2 * n for s, n in sizes) // pairs
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from docloom.operators.network import drawn_pairs
+
+        for batch in batches:
+            for unit in batch.column(0).to_pylist():
+                sim, share = divmod(unit, shares)
+                found = [x if shares == 1 else x[x % shares == share] for x in drawn_pairs(sizes, places, seed, sim)]
+                codes = np.concatenate(found) if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([sim], pa.int64()), pa.array([len(codes) - len(np.unique(codes))], pa.int64())], names=["sim", "stat"])
+
+    units = simulations * shares
+    each = spark.range(0, units, 1, max(1, min(units, 10_000))).mapInArrow(run, "sim long, stat long")
+    return each.groupBy("sim").agg(F.sum("stat").alias("stat"))
 
 
 def new_after_absence(active: DataFrame, who: str, year: str, back: int = 3) -> DataFrame:
@@ -70,7 +137,7 @@ def cycling(ranked: DataFrame, group: str, who: str, lead: str) -> DataFrame:
     """Per pair (a, b): whether a led b somewhere, b led a somewhere, and both."""
     one = ranked.select(F.col(group).alias("g"), F.col(who).alias("a"), F.col(lead).alias("la"))
     two = ranked.select(F.col(group).alias("g"), F.col(who).alias("b"), F.col(lead).alias("lb"))
-    pair = one.join(two, "g").filter("a < b").groupBy("a", "b")
+    pair = met_pairs(one, two, ["g"], "a", "b", twins=True).groupBy("a", "b")
     return pair.agg(F.bool_or(F.col("la") & ~F.col("lb")).alias("a_over"), F.bool_or(F.col("lb") & ~F.col("la")).alias("b_over")).withColumn("cycles", F.col("a_over") & F.col("b_over"))
 
 

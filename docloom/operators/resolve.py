@@ -5,16 +5,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.shared import Steps
 
-def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str) -> DataFrame:
-    """Add to each left row the right value of the latest strictly earlier time with the same key. One union and one running
-    maximum per key instead of a join over ranges, so that a key's rows are read once."""
-    a = left.withColumn("__v", F.lit(None).cast(dict(right.dtypes)[value])).withColumn("__side", F.lit(0))
-    b = right.select(by, time, F.col(value).alias("__v")).withColumn("__side", F.lit(1))
-    w = Window.partitionBy(by).orderBy(F.col(time), "__side", F.col("__v")).rowsBetween(Window.unboundedPreceding, -1)
+
+def as_of(left: DataFrame, right: DataFrame, by: str, time: str, value: str, parts: int | None = None) -> DataFrame:
+    """Add to each left row the right value of the latest strictly earlier time with the same key (the greatest of one time). Null keys and times find nothing.
+
+    Both sides' rows are dealt by range of key and time, so that a key's rows lie in as many tasks as they need. Each range is scanned by itself; what a range begins with takes the last
+    value of the ranges before it that end with the same key, which is a row per range."""
+    steps = Steps(left.sparkSession)
+    a = left.withColumns({"__v": F.lit(None).cast(dict(right.dtypes)[value]), "__side": F.lit(0), "__salt": F.xxhash64(*left.columns)})
+    b = right.dropna(subset=[by, time]).groupBy(by, time).agg(F.max(value).alias("__v")).withColumns({"__side": F.lit(1), "__salt": F.lit(0).cast("long")})
     both = a.unionByName(b, allowMissingColumns=True)
-    # a left row sorts before right rows of its own time: those before it are strictly earlier
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).filter("__side = 0").drop("__side", "__v")
+    # a left row sorts before right rows of its own time: those before it are strictly earlier. The salt keeps rows of one key and time divisible
+    order = [F.col(c) for c in (by, time, "__side", "__salt")]
+    ranged = (both.repartitionByRange(*order) if parts is None else both.repartitionByRange(parts, *order)).withColumn("__p", F.spark_partition_id())
+    ranged = steps.keep("ranged", ranged)
+    w = Window.partitionBy("__p", by).orderBy(time, "__side", "__salt").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = ranged.withColumn("__own", F.last("__v", ignorenulls=True).over(w)).filter("__side = 0")
+    # the last value of each key in each range; of a key in several ranges all but the last end with it
+    ends = ranged.filter("__side = 1").groupBy(by, "__p").agg(F.max_by("__v", time).alias("__end"))
+    spans = ranged.groupBy(by, "__p").agg(F.lit(1).alias("__one"))
+    carried = F.last("__end", ignorenulls=True).over(Window.partitionBy(by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    carry = spans.join(ends, [by, "__p"], "left").withColumn("__carry", carried).filter("__carry is not null").select(by, "__p", "__carry")
+    out = scanned.join(carry, [by, "__p"], "left").withColumn(value, F.coalesce("__own", "__carry"))
+    return steps.last(out.select(*left.columns, value))
+
+
+def as_of_overlap(left: DataFrame, right: DataFrame, by: str, time: str, value: str, roles: str, parts: int | None = None) -> DataFrame:
+    """As `as_of`, but of the strictly earlier right rows those come first that share one of the left row's roles (an array on either side); without such a row, and for a
+    left row without roles, the latest one of any roles counts. Of one time the greatest value. Adds value, and overlap (whether a role was shared).
+
+    The roles' part is an as-of join by key and role, whose best answer over a left row's roles is taken: so no left row meets a key's right rows."""
+    steps = Steps(left.sparkSession)
+    rows = steps.keep("rows", left.withColumn("__row", F.monotonically_increasing_id()))
+    found = F.struct(F.col(time).alias("t"), F.col(value).alias("v"))
+    single = lambda c: F.struct(F.col(by).alias("k"), c.alias("role"))
+    each = rows.select("__row", time, by, F.explode(F.array_distinct(roles)).alias("__role")).select("__row", time, single(F.col("__role")).alias("__key"))
+    mine = right.select(by, time, F.explode(F.array_distinct(roles)).alias("__role"), found.alias("__f")).select(single(F.col("__role")).alias("__key"), time, "__f")
+    shared = as_of(each.filter("__key.k is not null and __key.role is not null"), mine, "__key", time, "__f", parts)
+    shared = steps.keep("shared", shared.filter("__f is not null").groupBy("__row").agg(F.max("__f").alias("__s")))
+    any_ = as_of(rows, right.select(by, time, found.alias("__f")), by, time, "__f", parts)
+    out = any_.join(shared, "__row", "left")
+    return steps.last(out.select(*left.columns, F.coalesce("__s.v", "__f.v").alias(value), F.col("__s").isNotNull().alias("overlap")))
 
 
 def best(candidates: DataFrame, key: str, *order: Column) -> DataFrame:

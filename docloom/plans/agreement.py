@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import fuzzy as fz
@@ -49,6 +50,29 @@ def soft(t):
     return role_sets(t).agg(F.count("*").alias("n"), (F.sum("jac") / F.count("*")).alias("soft"), F.count_if(F.col("jac") == 1).alias("exact"))
 
 
+#: Appointments of two sources: an order's odd lines are one source's, its even lines the other's.
+ENTRIES = "a AS (SELECT CASE WHEN l_linenumber % 2 = 1 THEN 'gold' ELSE 'ours' END AS src, l_orderkey AS k, l_returnflag AS role, CASE WHEN l_quantity > 25 THEN 'Plaintiff' WHEN l_quantity > 5 THEN 'Defendant' ELSE '' END AS side, l_discount > 0.08 AS interim, l_linenumber AS n, l_partkey AS p FROM lineitem), e AS (SELECT src, k, list_sort(list_distinct(list(role))) AS roles, coalesce(arg_min(side, (n, p, side)) FILTER (side <> ''), '') AS side, bool_or(interim) AS interim FROM a GROUP BY 1, 2)"
+
+
+def entries(t) -> DataFrame:
+    """An entry per source and order: all roles, whether any line is interim, and the first side that a line has."""
+    side = F.when(F.col("l_quantity") > 25, "Plaintiff").when(F.col("l_quantity") > 5, "Defendant").otherwise("")
+    source = F.when(F.col("l_linenumber") % 2 == 1, "gold").otherwise("ours")
+    a = t.lineitem.select(source.alias("src"), F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("role"), side.alias("side"), (F.col("l_discount") > 0.08).alias("interim"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"))
+    return agree.entries(a, ["src", "k"], "role", "side", ["interim"], F.struct("n", "p", "side"))
+
+
+@query("a09_entries", f"WITH {ENTRIES} SELECT src, k, array_to_string(roles, ',') AS roles, side, interim FROM e")
+def entry_rows(t):
+    return entries(t).select("src", "k", F.array_join("roles", ",").alias("roles"), "side", "interim")
+
+
+@query("a24_soft_scores", f"WITH {ENTRIES}, m AS (SELECT g.k, len(list_intersect(g.roles, o.roles)) / len(list_distinct(list_concat(g.roles, o.roles))) AS j, CASE WHEN g.side <> '' THEN lower(g.side) = lower(o.side) END AS agrees, g.interim = o.interim AS same FROM e g JOIN e o ON g.src = 'gold' AND o.src = 'ours' AND g.k = o.k), n AS (SELECT count(*) AS matched, sum(j) AS soft, 100.0 * count(*) FILTER (agrees) / count(agrees) AS side_pct, 100.0 * count(*) FILTER (same) / count(*) AS interim_pct FROM m), c AS (SELECT count(*) FILTER (src = 'gold') AS gold, count(*) FILTER (src = 'ours') AS ours FROM e), r AS (SELECT *, round(soft / gold, 3) AS soft_recall, round(soft / ours, 3) AS soft_precision FROM n, c) SELECT matched, gold, ours, soft_recall, soft_precision, round(2 * soft_recall * soft_precision / (soft_recall + soft_precision), 3) AS soft_f1, round(side_pct, 1) AS side_pct, round(interim_pct, 1) AS interim_pct FROM r")
+def soft_scores(t):
+    """Recall, precision and F1 in which a match counts by how far its roles agree; and how often the sides and the interim flags of matches agree."""
+    return agree.soft_scores(entries(t), "src", "gold", "ours", ["k"])
+
+
 @query("a34_role_flags", f"WITH {ROLES} SELECT CASE WHEN jac = 1 THEN 'identical' WHEN jac >= 0.5 THEN 'partial' ELSE 'divergent' END AS flag, count(*) AS n FROM j GROUP BY 1")
 def flags(t):
     return role_sets(t).groupBy(F.when(F.col("jac") == 1, "identical").when(F.col("jac") >= 0.5, "partial").otherwise("divergent").alias("flag")).agg(F.count("*").alias("n"))

@@ -9,7 +9,7 @@ from docloom.operators import curate
 from docloom.registry import query
 
 
-@query("p01_p02_columns", "SELECT c_custkey AS custkey, c_name AS name, c_nationkey AS nationkey FROM customer")
+@query("p01_columns", "SELECT c_custkey AS custkey, c_name AS name, c_nationkey AS nationkey FROM customer")
 def columns(t):
     """Canonical names: without the table's prefix, lower case, runs of other characters as one underscore."""
     from docloom.sources.tabular import canonical_names
@@ -17,6 +17,15 @@ def columns(t):
     return canonical_names(t.customer.select("c_custkey", "c_name", "c_nationkey"), "c_")
 
 
+@query("p02_discovered_columns", "SELECT p_name AS value, count(*) AS n FROM part GROUP BY 1 UNION ALL SELECT r_name, count(*) FROM region GROUP BY 1 UNION ALL SELECT event_type, count(*) FROM events GROUP BY 1")
+def discovered_columns(t):
+    """The column of names or types, whatever each table calls it: a part's name before its type, a region's only name, an event's type."""
+    from docloom.sources.tabular import discovered
+
+    of = lambda df: df.select(F.col(discovered(df.columns, ("name", "type"), ("p_name",))).alias("value")).groupBy("value").agg(F.count("*").alias("n"))
+    return of(t.part.select("p_partkey", "p_type", "p_name")).union(of(t.region)).union(of(t.events))
+
+
 @query("p06_title_chain", r"SELECT page_id, lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '[^/]*$'), '\.html.*$', ''), '\s*\(\d+\)$', ''), '([a-z])([A-Z])', '\1 \2', 'g'), '_', ' ', 'g'))) AS title FROM pages")
 def title(t):
     name = F.regexp_replace(F.regexp_extract("url", "[^/]*$", 0), r"\.html.*$", "")
@@ -89,6 +98,14 @@ def side(t):
     return t.orders.select("o_orderkey", F.when(s.startswith("p"), "Plaintiff").when(s.startswith("f"), "Defendant").otherwise("Other").alias("side"))
 
 
+@query("p29_side_of_lists", "WITH l AS (SELECT o_custkey, list_distinct(list(CASE o_orderstatus WHEN 'P' THEN 'Plaintiff' WHEN 'F' THEN 'Defendant' ELSE ' ' END)) AS s FROM orders GROUP BY 1) SELECT o_custkey, len(s) AS said, coalesce(list_max(list_filter(s, lambda x: trim(x) <> '')), '') AS side FROM l")
+def side_of_lists(t):
+    """One side of a customer's orders: of a list with one side that one, of more the last by letters; blanks are none."""
+    status = F.when(F.col("o_orderstatus") == "P", "Plaintiff").when(F.col("o_orderstatus") == "F", "Defendant").otherwise(" ")
+    lists = t.orders.groupBy("o_custkey").agg(F.collect_set(status).alias("s"))
+    return lists.select("o_custkey", F.size("s").cast("long").alias("said"), tx.one_of(F.col("s")).alias("side"))
+
+
 @query("p30_truthy", "SELECT l_returnflag, l_linestatus, lower(l_returnflag) IN ('r', 'true', '1') AS flag, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
 def truthy(t):
     return t.lineitem.groupBy("l_returnflag", "l_linestatus", tx.truthy(F.col("l_returnflag"), "r", "true", "1").alias("flag")).agg(F.count("*").alias("n"))

@@ -9,6 +9,7 @@ from docloom.functions import fuzzy as fz
 from docloom.functions import text as tx
 from docloom.operators import entity as en
 from docloom.operators import resolve as rs
+from docloom.operators import similar as sm
 from docloom.registry import query
 
 
@@ -16,18 +17,23 @@ def words(t) -> DataFrame:
     return t.part.select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
 
 
-def word_pairs(t) -> DataFrame:
-    w = words(t)
-    a, b = w.select(F.substring("w", 1, 1).alias("k"), F.col("w").alias("a")), w.select(F.substring("w", 1, 1).alias("k"), F.col("w").alias("b"))
-    return a.join(b, "k").filter("a < b").select("a", "b")
+WORDS = "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part)"
+SAME = "(length(x.w) >= 4 AND length(y.w) >= 4 AND (starts_with(x.w, y.w) OR starts_with(y.w, x.w))) OR (least(length(x.w), length(y.w)) >= 5 AND levenshtein(x.w, y.w) <= 1)"
 
 
-WORDS = "w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON substr(a.w, 1, 1) = substr(b.w, 1, 1) AND a.w < b.w)"
+@query("sf02_sf03_levenshtein", f"WITH {WORDS} SELECT x.w AS a, y.w AS b, levenshtein(x.w, y.w) AS d, {SAME} AS same FROM w x JOIN w y ON x.w < y.w WHERE levenshtein(x.w, y.w) <= 2 OR {SAME}")
+def levenshtein(t):
+    """The pairs of words two edits apart at most or that may be one surname; they come from an index of what is left of a word without a letter or two, and of its beginnings."""
+    w = words(t)
+    pairs = sm.edit_pairs(w, "w", 2).select("a", "b").union(sm.prefix_pairs(w, "w", 4)).distinct()
+    return pairs.select("a", "b", F.levenshtein("a", "b").alias("d"), fz.same_surname(F.col("a"), F.col("b")).alias("same"))
 
 
-@query("sf02_sf03_levenshtein", f"WITH {WORDS} SELECT a, b, levenshtein(a, b) AS d, (a = b OR (length(a) >= 4 AND length(b) >= 4 AND (starts_with(a, b) OR starts_with(b, a))) OR (least(length(a), length(b)) >= 5 AND levenshtein(a, b) <= 1)) AS same FROM p")
-def levenshtein(t):
-    return word_pairs(t).select("a", "b", F.levenshtein("a", "b").alias("d"), fz.same_surname(F.col("a"), F.col("b")).alias("same"))
+@query("sf02_edit_join", "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS w FROM benchmark) SELECT x.w AS a, y.w AS b, levenshtein(x.w, y.w) AS d FROM w x JOIN w y ON x.w < y.w AND abs(length(x.w) - length(y.w)) <= 1 WHERE levenshtein(x.w, y.w) <= 1")
+def edit_join(t):
+    """All pairs of long words one edit apart, over all words of the benchmark's texts."""
+    w = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1))).alias("w"))
+    return sm.edit_pairs(w, "w", 1)
 
 
 @query("sf14_anagram", "WITH w AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part) SELECT w, array_to_string(list_sort(string_split(w, '')), '') AS key, substr(w, 1, 1) || right(w, 1) AS ends FROM w")
@@ -41,11 +47,28 @@ TOK = "t AS (SELECT DISTINCT p_name AS n, list_sort(list_distinct(string_split(p
 @query("m01_m02_j19_jaccard_overlap", f"WITH {TOK} SELECT a, b, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS j, len(list_intersect(x, y)) / least(len(x), len(y)) AS o FROM c")
 def jaccard(t):
     n = t.part.select(F.col("p_name").alias("n")).distinct().withColumn("s", F.array_sort(F.array_distinct(F.split("n", " "))))
-    w = n.select("n", "s", F.explode("s").alias("w"))
-    pairs = w.toDF("a", "x", "w").join(w.toDF("b", "y", "w"), "w").filter("a < b").select("a", "b", "x", "y").distinct()
+    w = en.checkpointed(n.select("n", "s", F.explode("s").alias("w")))
+    pairs = sm.met_pairs(w.toDF("a", "x", "w"), w.toDF("b", "y", "w"), ["w"], "a", "b", twins=True).select("a", "b", "x", "y").distinct()
     return pairs.select("a", "b", fz.jaccard(F.col("x"), F.col("y")).alias("j"), fz.overlap(F.col("x"), F.col("y")).alias("o"))
 
 
+SETS_SQL = "t AS (SELECT DISTINCT {name} AS n, list_distinct(list_filter(string_split({name}, ' '), lambda x: x <> '')) AS s FROM {table}), c AS (SELECT a.n AS a, b.n AS b, len(list_intersect(a.s, b.s)) AS shared, len(a.s) AS size_a, len(b.s) AS size_b FROM t a JOIN t b ON a.n < b.n)"
+
+
+@query("m01_j19_similar_titles", f"WITH {SETS_SQL.format(name='text', table='benchmark')} SELECT a, b, shared, size_a, size_b FROM c WHERE shared / (size_a + size_b - shared) >= 0.4")
+def similar_titles(t):
+    """Pairs of benchmark texts whose words agree by two fifths (Jaccard): from the rare words alone that such a pair must share."""
+    n = t.benchmark.select(F.col("text").alias("n")).distinct().withColumn("s", F.filter(F.split("n", " "), lambda x: x != ""))
+    return sm.similar_sets(n, "n", "s", 0.4).select("a", "b", "shared", "size_a", "size_b")
+
+
+@query("m02_j19_similar_names", f"WITH {SETS_SQL.format(name='p_name || chr(32) || p_type', table='part')} SELECT a, b, shared, size_a, size_b FROM c WHERE shared / least(size_a, size_b) >= 0.6")
+def similar_names(t):
+    """Pairs of names of parts with their types that share three fifths of the shorter one's words."""
+    n = t.part.select(F.concat_ws(" ", "p_name", "p_type").alias("n")).distinct().withColumn("s", F.split("n", " "))
+    return sm.similar_sets(n, "n", "s", 0.6, "overlap").select("a", "b", "shared", "size_a", "size_b")
+
+
 @query("j14_j15_opt5_opt6_blocks", "WITH n AS (SELECT DISTINCT p_name AS n FROM part), k AS (SELECT n, 1 AS no, split_part(n, ' ', 1) AS b FROM n UNION ALL SELECT n, 2, split_part(n, ' ', 2) FROM n UNION ALL SELECT n, 3, substr(n, 1, 2) FROM n), ok AS (SELECT no, b FROM k GROUP BY 1, 2 HAVING count(*) <= 12), r AS (SELECT k.* FROM k JOIN ok USING (no, b)) SELECT x.n AS a, y.n AS b, min(x.no) AS why FROM r x JOIN r y ON x.no = y.no AND x.b = y.b AND x.n < y.n GROUP BY 1, 2")
 def blocks(t):
     n = t.part.select(F.col("p_name").alias("n")).distinct()
@@ -69,14 +92,18 @@ def components(t):
     return en.connected(nodes, e)
 
 
-@query("g04_greedy_seeds")
+SEEDS_SQL = "WITH RECURSIVE n AS (SELECT p_brand AS grp, min(p_partkey) AS key, string_split(p_name, ' ') AS s FROM part GROUP BY p_brand, p_name), o AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY key) AS i FROM n), r AS (SELECT grp, 0::BIGINT AS i, NULL::BIGINT AS key, NULL::BIGINT AS seed, [{'k': 0::BIGINT, 's': ['']}] AS seeds FROM (SELECT DISTINCT grp FROM n) UNION ALL SELECT grp, i, key, coalesce(first, key), CASE WHEN first IS NULL THEN list_append(seeds, {'k': key, 's': s}) ELSE seeds END FROM (SELECT o.grp, o.i, o.key, o.s, r.seeds, list_filter(seeds, lambda z: z.k > 0 AND len(list_intersect(z.s, o.s)) / least(len(list_distinct(z.s)), len(list_distinct(o.s))) >= 0.6)[1].k AS first FROM r JOIN o ON o.grp = r.grp AND o.i = r.i + 1)) SELECT grp, key, seed FROM r WHERE i > 0"
+
+
+@query("g04_greedy_seeds", SEEDS_SQL)
 def greedy(t):
     n = t.part.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("k"))
-    return en.greedy_seeds(n.withColumn("tokens", F.split("p_name", " ")), "k", "p_brand", "tokens")
+    return en.greedy_seeds(en.checkpointed(n.withColumn("tokens", F.split("p_name", " "))), "k", "p_brand", "tokens")
 
 
-@query("j13_greedy_match")
+@query("j13_greedy_match", "WITH RECURSIVE e AS (SELECT CAST(c_nationkey AS VARCHAR) AS grp, c_custkey AS a, s_suppkey AS b, row_number() OVER (PARTITION BY c_nationkey ORDER BY abs(c_acctbal - s_acctbal), c_custkey, s_suppkey) AS k FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) < 50), r AS (SELECT grp, 0::BIGINT AS k, NULL::BIGINT AS a, NULL::BIGINT AS b, false AS taken, []::BIGINT[] AS ua, []::BIGINT[] AS ub FROM (SELECT DISTINCT grp FROM e) UNION ALL SELECT grp, k, a, b, fits, CASE WHEN fits THEN list_append(ua, a) ELSE ua END, CASE WHEN fits THEN list_append(ub, b) ELSE ub END FROM (SELECT e.grp, e.k, e.a, e.b, ua, ub, NOT list_contains(ua, e.a) AND NOT list_contains(ub, e.b) AS fits FROM r JOIN e ON e.grp = r.grp AND e.k = r.k + 1)) SELECT grp, a, b FROM r WHERE taken")
 def greedy_match(t):
+    """The closest balances first."""
     a = t.customer.select(F.col("c_nationkey").cast("string").alias("grp"), F.col("c_custkey").alias("a"), F.col("c_acctbal").alias("x"))
     b = t.supplier.select(F.col("s_nationkey").cast("string").alias("grp"), F.col("s_suppkey").alias("b"), F.col("s_acctbal").alias("y"))
     # balances less than 50 apart lie in the same band of 50 or in neighbouring ones
@@ -98,6 +125,20 @@ def as_of(t):
     return rs.as_of(x, y, "l_suppkey", "l_shipdate", "prev")
 
 
+ROLES_SQL = "list_distinct([CASE WHEN l_linenumber % 4 = 0 THEN 'lead' ELSE 'member' END, CASE WHEN l_quantity > 40 THEN 'liaison' ELSE 'member' END])"
+
+
+@query("j20_as_of_role_overlap", f"WITH r AS (SELECT *, {ROLES_SQL} AS roles FROM lineitem), x AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate, CASE WHEN l_returnflag = 'N' THEN []::VARCHAR[] ELSE roles END AS roles FROM r WHERE l_linestatus = 'F'), y AS (SELECT l_suppkey, l_shipdate, l_partkey, roles FROM r WHERE l_returnflag = 'R'), c AS (SELECT x.l_orderkey, x.l_linenumber, x.l_partkey AS own, y.l_partkey AS prev, list_has_any(x.roles, y.roles) AS overlap, row_number() OVER (PARTITION BY x.l_orderkey, x.l_linenumber, x.l_partkey ORDER BY list_has_any(x.roles, y.roles) DESC, y.l_shipdate DESC, y.l_partkey DESC) AS k FROM x JOIN y ON x.l_suppkey = y.l_suppkey AND y.l_shipdate < x.l_shipdate) SELECT x.l_orderkey, x.l_linenumber, x.l_suppkey, x.l_partkey, prev, coalesce(overlap, false) AS overlap FROM x LEFT JOIN c ON c.l_orderkey = x.l_orderkey AND c.l_linenumber = x.l_linenumber AND c.own = x.l_partkey AND c.k = 1")
+def as_of_roles(t):
+    """For each shipped line the supplier's latest strictly earlier returned line, one that shares a role before all others; some lines have no roles."""
+    role = lambda when, one: F.when(when, one).otherwise("member")
+    r = t.lineitem.withColumn("roles", F.array_distinct(F.array(role(F.col("l_linenumber") % 4 == 0, "lead"), role(F.col("l_quantity") > 40, "liaison"))))
+    x = r.filter("l_linestatus = 'F'").withColumn("roles", F.when(F.col("l_returnflag") == "N", F.array().cast("array<string>")).otherwise(F.col("roles")))
+    x = x.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_shipdate", "roles")
+    y = r.filter("l_returnflag = 'R'").select("l_suppkey", "l_shipdate", F.col("l_partkey").alias("prev"), "roles")
+    return rs.as_of_overlap(x, y, "l_suppkey", "l_shipdate", "prev", "roles").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "prev", "overlap")
+
+
 @query("j21_cited_argmax", "SELECT o_custkey, o_orderkey FROM (SELECT o.o_custkey, o.o_orderkey, row_number() OVER (PARTITION BY o.o_custkey ORDER BY (o_orderdate < TIMESTAMP '1998-01-01') DESC, n DESC, o.o_orderkey) AS rk FROM orders o JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) l ON l_orderkey = o_orderkey) WHERE rk = 1")
 def cited(t):
     n = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
@@ -114,7 +155,8 @@ def priority(t):
 @query("j23_best_overlap", "WITH p AS (SELECT DISTINCT p_name, string_split(p_name, ' ') AS s FROM part), b AS (SELECT a.p_name AS x, c.p_name AS y, row_number() OVER (PARTITION BY a.p_name ORDER BY len(list_intersect(a.s, c.s)) DESC, c.p_name) AS rk FROM p a JOIN p c ON split_part(a.p_name, ' ', 1) = split_part(c.p_name, ' ', 1) AND a.p_name <> c.p_name) SELECT x, y FROM b WHERE rk = 1")
 def best_overlap(t):
     p = t.part.select("p_name").distinct().select("p_name", F.split("p_name", " ").alias("s")).withColumn("k", F.col("s")[0])
-    c = p.toDF("x", "s", "k").join(p.toDF("y", "u", "k"), "k").filter("x <> y")
+    p = en.checkpointed(p)
+    c = sm.met_pairs(p.toDF("x", "s", "k"), p.toDF("y", "u", "k"), ["k"], "x", "y", ordered=False, twins=True).filter("x <> y")
     return rs.best(c, "x", F.desc(F.size(F.array_intersect("s", "u"))), F.asc("y")).select("x", "y")
 
 

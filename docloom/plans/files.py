@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from docloom.registry import query
-from docloom.sources import sinks, tabular
+from docloom.sources import sinks, snapshots, tabular
 from docloom.sources.shared import folder
-from docloom.streaming import incremental
+from docloom.streaming import incremental, tail
 
 
 @query("k01_s04_csv_round_trip", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ', \"quoted\"' || chr(10) || 'line' ELSE '' END AS c_mktsegment, CAST(NULL AS VARCHAR) AS missing FROM customer")
@@ -68,22 +70,56 @@ def tabs(t):
 
 @query("k03_replaced", "SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey % 2 = 1")
 def replaced(t):
-    """A table that is replaced as a whole."""
+    """A table that is replaced as a whole; readers go by its pointer."""
     path = folder(t.spark, "replaced")
     for side in (0, 1):
-        sinks.replace(t.supplier.filter(F.col("s_nationkey") % 2 == side).select("s_suppkey", "s_name"), path)
-    return t.spark.read.parquet(path)
+        snapshots.replace(t.supplier.filter(F.col("s_nationkey") % 2 == side).select("s_suppkey", "s_name"), path)
+    return snapshots.read(t.spark, path)
+
+
+@query("k03_k04_snapshot_upsert", "WITH n AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders) SELECT 3 AS version, o_custkey, o_orderkey, o_totalprice FROM n WHERE k = 1")
+def snapshot_upsert(t):
+    """Each customer's last order, from thirds of the orders that are put into a table one after the other; older versions are cleared away."""
+    path = folder(t.spark, "upserted")
+    for third in range(3):
+        some = t.orders.filter(F.col("o_orderkey") % 3 == third).select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+        latest = some.groupBy("o_custkey").agg(F.max_by(F.struct("o_orderkey", "o_totalprice", "o_orderdate"), F.struct("o_orderdate", "o_orderkey")).alias("x")).select("o_custkey", "x.*")
+        version = snapshots.upsert(latest, path, "o_custkey", F.struct("o_orderdate", "o_orderkey"))
+    snapshots.vacuum(t.spark, path, 1)
+    return snapshots.read(t.spark, path).select(F.lit(version).alias("version"), "o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("s01_s02_s05_file_scan", "SELECT n_regionkey AS grp, count(*) AS files, CAST(sum(length(n_name)) AS BIGINT) AS bytes, (SELECT max(n_nationkey) FROM nation) AS newest FROM nation GROUP BY 1")
+@query("s01_s02_file_scan", "SELECT n_regionkey AS grp, count(*) AS files, CAST(sum(length(n_name)) AS BIGINT) AS bytes FROM nation GROUP BY 1")
 def file_scan(t):
-    """A file per nation in a folder per region; counted from the listing alone. Of the files with one stem, the newest by time and name."""
+    """A file per nation in a folder per region; counted from the listing alone."""
     path = folder(t.spark, "scan")
     rows = t.nation.select(F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("file"), F.concat(F.col("n_regionkey").cast("string"), F.lit("-region")).alias("dir"), "n_name")
     sinks.write_files(rows, path, "dir", "file", "n_name", ".PDF")
     files = tabular.scan_files(t.spark, path)
-    last = tabular.newest(files.withColumn("modificationTime", F.lit(0)).withColumn("path", F.regexp_extract("path", r"(\d+)\.PDF$", 1)), F.lit("all")).select(F.col("path").cast("long").alias("newest"))
-    return tabular.grouped_files(files).groupBy(F.col("grp").cast("long").alias("grp")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).join(F.broadcast(last)).select("grp", "files", "bytes", "newest")
+    return tabular.grouped_files(files).groupBy(F.col("grp").cast("long").alias("grp")).agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+
+
+@query("s05_newest_file", "SELECT s_suppkey, CASE WHEN s_nationkey % 3 = 0 THEN 'a' ELSE 'z' END || s_name AS text FROM supplier")
+def newest_file(t):
+    """A file for each supplier, and later for a third of them another one whose name sorts before it: the newest by time counts."""
+    path = folder(t.spark, "newest")
+    rows = t.supplier.select(F.lit("all").alias("dir"), F.col("s_suppkey").cast("string").alias("key"), "s_name", "s_nationkey")
+    for name, some in (("z", rows), ("a", rows.filter("s_nationkey % 3 = 0"))):
+        sinks.write_files(some.select("dir", F.concat("key", F.lit(f"-{name}")).alias("file"), F.concat(F.lit(name), "s_name").alias("body")), path, "dir", "file", "body", ".pdf")
+        time.sleep(0.05)  # file systems keep milliseconds
+    files = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    last = tabular.newest(files.select("path", "modificationTime"), F.regexp_extract("path", r"(\d+)-[az]\.pdf$", 1))
+    return last.join(files.select("path", F.col("content").cast("string").alias("text")), "path").select(F.col("stem").cast("long").alias("s_suppkey"), "text")
+
+
+@query("s14_exclude_list", "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0")
+def exclude_list(t):
+    """Documents without those that a list names; the list is a file of ids, a line each, with blanks and comments."""
+    path = folder(t.spark, "list")
+    ids = t.documents.filter("doc_id % 3 = 0 or doc_id % 7 = 0").select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("  "), F.col("doc_id").cast("string"), F.lit("  # seen"))).otherwise(F.col("doc_id").cast("string")).alias("value"))
+    ids.union(t.spark.range(1).select(F.lit("# ids to leave out"))).union(t.spark.range(1).select(F.lit(""))).write.text(path)
+    listed = tabular.id_list(t.spark, path).select(F.col("id").try_cast("long").alias("doc_id"))
+    return t.documents.select("doc_id").join(listed, "doc_id", "left_anti")
 
 
 @query("s03_probe", "SELECT n_name, CASE WHEN n_nationkey % 5 = 0 THEN -1 ELSE length(n_name) END AS n FROM nation")
@@ -119,6 +155,52 @@ def progress(t):
     return incremental.progress(t.documents.select(F.col("lang").alias("step"), F.col("n_chars").alias("cost")), "step", "cost").select("step", "done", F.col("cost").alias("chars"))
 
 
+@query("st02_st03_growing_log", "SELECT event_type AS step, count(*) AS done, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS cost FROM events GROUP BY 1")
+def growing_log(t):
+    """Running costs from logs that grow while they are read: each log is written in three parts that end within a line, and a stream takes the whole lines that have come
+    after each part; its state has the costs so far, which replace the table of the run before."""
+    logs, state, out = (folder(t.spark, n) for n in ("logs", "state", "costs"))
+    lines = t.events.select("event_id", F.to_json(F.struct(F.col("event_type").alias("step"), F.floor(F.col("value") * 100).cast("long").alias("cost"))).alias("line"))
+    files = 2 + lines.count() // 200_000
+    keep = lambda batch, number: snapshots.replace(batch, out)
+    for part in range(3):
+        write_logs(lines.withColumn("log", F.pmod("event_id", F.lit(files))), logs, part + 1, 3)
+        costs = incremental.progress(tail.parsed(tail.lines(t.spark, logs, ".jsonl"), "step string, cost long"), "step", "cost")
+        tail.run_available(costs, state, keep, "complete")
+    return snapshots.read(t.spark, out)
+
+
+def write_logs(lines, path: str, part: int, parts: int) -> None:
+    """Each log's lines in order of their ids, up to the byte at part / parts of its length; a longer file takes the place of a shorter one."""
+
+    def run(pdf):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        where, base = fs.FileSystem.from_uri(path)
+        data = "".join(f"{x}\n" for x in pdf.sort_values("event_id")["line"]).encode()
+        name, upto = f"{base}/{pdf['log'].iloc[0]}.jsonl", len(data) * part // parts
+        where.create_dir(base, recursive=True)
+        with where.open_output_stream(made := f"{name}.{TaskContext.get().taskAttemptId()}.tmp") as f:
+            f.write(data[:upto])
+        where.move(made, name)
+        return pdf[["log"]].head(1)
+
+    lines.groupBy("log").applyInPandas(run, "log long").write.format("noop").mode("overwrite").save()
+
+
+@query("k11_data_dictionary", "SELECT * FROM (VALUES ('s_suppkey', 'bigint', 'number'), ('s_name', 'string', 'name of the supplier'), ('s_nationkey', 'int', '')) v(name, kind, meaning)")
+def data_dictionary(t):
+    """The dictionary of the supplier table, with the meanings that its columns carry, as a document that is written and read back."""
+    meant = {"s_suppkey": "number", "s_name": "name of the supplier"}
+    table = t.supplier.select(*(F.col(c).alias(c, metadata={"comment": meant.get(c, "")}) for c in ("s_suppkey", "s_name", "s_nationkey")))
+    path = folder(t.spark, "dictionary")
+    t.spark.createDataFrame([(x,) for x in sinks.dictionary(table).splitlines()], "value string").coalesce(1).write.text(path)
+    cells = F.transform(F.split("value", r"\|"), lambda x: F.trim(x))
+    read = t.spark.read.text(path).filter("value like '| %' and value not like '| column |%'").select(cells.alias("x"))
+    return read.select(F.col("x")[1].alias("name"), F.col("x")[2].alias("kind"), F.col("x")[3].alias("meaning"))
+
+
 @query("k09_k11_reports", "SELECT '| ' || r_name || ' | ' || (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) || ' |' AS line FROM region")
 def reports(t):
     """The lines of a Markdown report of a small aggregate, without title and head."""

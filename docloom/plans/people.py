@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import fuzzy as fz
 from docloom.functions import text as tx
 from docloom.operators import entity as en
+from docloom.operators import similar as sm
 from docloom.operators.ranks import row_numbers
 from docloom.registry import query
 
@@ -65,31 +66,40 @@ def words(t) -> DataFrame:
     return every.select(F.explode(F.regexp_extract_all(F.lower("x"), F.lit("([a-z]+)"), F.lit(1))).alias("w")).distinct()
 
 
-def first_letter_pairs(w: DataFrame) -> DataFrame:
-    k = F.substring("w", 1, 1).alias("k")
-    return w.select(k, F.col("w").alias("a")).join(w.select(k, F.col("w").alias("b")), "k").filter("a < b").select("a", "b")
+def name_pairs(w: DataFrame, sounds: bool) -> DataFrame:
+    """Candidate pairs (a, b) of words that may be one surname: one edit apart, one the beginning of the other, or of one sound. No other words meet."""
+    pairs = sm.edit_pairs(w, "w", 1).select("a", "b")
+    return pairs.union(sm.keyed_pairs(w, "w", fz.soundex(F.col("w"))) if sounds else sm.prefix_pairs(w, "w", 4))
 
 
-PAIRS_SQL = "p AS (SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON substr(a.w, 1, 1) = substr(b.w, 1, 1) AND a.w < b.w)"
+PAIRS_SQL = "p AS (SELECT a.w AS a, b.w AS b FROM w a JOIN w b ON a.w < b.w)"
 
 
-@query("sf01_sf03_sf04_surnames", f"WITH {WORDS_SQL}, {PAIRS_SQL} SELECT a, b, {soundex_sql('a')} AS code_a, {soundex_sql('b')} AS code_b, {sounds_sql('a', 'b')} AS sounds, {surname_sql('a', 'b')} AS same FROM p")
+@query("sf01_sf03_sf04_surnames", f"WITH {WORDS_SQL}, {PAIRS_SQL}, r AS (SELECT a, b, {soundex_sql('a')} AS code_a, {soundex_sql('b')} AS code_b, {sounds_sql('a', 'b')} AS sounds, {surname_sql('a', 'b')} AS same FROM p) SELECT * FROM r WHERE sounds OR same")
 def surnames(t):
-    a, b = F.col("a"), F.col("b")
-    return first_letter_pairs(words(t)).select("a", "b", fz.soundex(a).alias("code_a"), fz.soundex(b).alias("code_b"), fz.sounds_like(a, b).alias("sounds"), fz.same_surname(a, b).alias("same"))
+    """The pairs of words that sound alike or may be one surname."""
+    a, b, w = F.col("a"), F.col("b"), words(t)
+    pairs = name_pairs(w, True).union(name_pairs(w, False)).distinct()
+    return pairs.select("a", "b", fz.soundex(a).alias("code_a"), fz.soundex(b).alias("code_b"), fz.sounds_like(a, b).alias("sounds"), fz.same_surname(a, b).alias("same")).filter("sounds or same")
 
 
 RELATION_SQL = f"CASE WHEN n.a IS NOT NULL THEN 'nick' WHEN (length(p.a) = 1 OR length(p.b) = 1) AND substr(p.a, 1, 1) = substr(p.b, 1, 1) THEN 'initial' WHEN {one_edit_sql('p.a', 'p.b')} THEN 'edit1' ELSE 'none' END"
 
 
-@query("sf09_sf10_sf12_given_names", f"WITH {NICK_SQL}, {WORDS_SQL.replace('w AS (SELECT', 'v AS (SELECT')}, w AS (SELECT w FROM v UNION SELECT substr(w, 1, 1) FROM v UNION SELECT name FROM nick), {PAIRS_SQL} SELECT p.a, p.b, {RELATION_SQL} AS relation, {related_sql('p.a', 'p.b', 'n.a IS NOT NULL')} AS related FROM p LEFT JOIN nicks n ON n.a = p.a AND n.b = p.b")
+def given_pairs(w: DataFrame) -> DataFrame:
+    """Candidate pairs of words that may be one given name: a short form, a beginning (an initial is one), one edit apart, or an anagram."""
+    keys = F.transform(fz.name_groups(F.col("w")), lambda k: k.cast("string")), fz.anagram(F.col("w"))
+    return sm.keyed_pairs(w, "w", *keys).union(sm.prefix_pairs(w, "w")).union(sm.edit_pairs(w, "w", 1).select("a", "b")).distinct()
+
+
+@query("sf09_sf10_sf12_given_names", f"WITH {NICK_SQL}, {WORDS_SQL.replace('w AS (SELECT', 'v AS (SELECT')}, w AS (SELECT w FROM v UNION SELECT substr(w, 1, 1) FROM v UNION SELECT name FROM nick), {PAIRS_SQL}, r AS (SELECT p.a, p.b, {RELATION_SQL} AS relation, {related_sql('p.a', 'p.b', 'n.a IS NOT NULL')} AS related FROM p LEFT JOIN nicks n ON n.a = p.a AND n.b = p.b) SELECT * FROM r WHERE relation <> 'none' OR related")
 def given_names(t):
-    """The tables' words and their initials, and the names that have short forms."""
+    """The tables' words and their initials, and the names that have short forms: the pairs that are related."""
     names = t.spark.createDataFrame([(n,) for some in fz.nickname_groups() for n in some], "w string")
     v = words(t)
-    every = v.union(v.select(F.substring("w", 1, 1))).union(names).distinct()
+    every = en.checkpointed(v.union(v.select(F.substring("w", 1, 1))).union(names).distinct())
     a, b = F.col("a"), F.col("b")
-    return first_letter_pairs(every).select("a", "b", fz.first_relation(a, b, F.array(a), F.array(b)).alias("relation"), fz.related_given(a, b).alias("related"))
+    return given_pairs(every).select("a", "b", fz.first_relation(a, b, F.array(a), F.array(b)).alias("relation"), fz.related_given(a, b).alias("related")).filter("relation <> 'none' or related")
 
 
 #: People: a row for each name and type that occurs.
@@ -106,43 +116,88 @@ def sides(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return e.toDF(*(f"{c}_a" for c in e.columns)), e.toDF(*(f"{c}_b" for c in e.columns))
 
 
-def people_pairs(t) -> DataFrame:
-    """Pairs whose surnames begin alike, or whose names do when swapped."""
-    e = people(t)
-    keys = F.array(F.substring("last", 1, 1), F.array_join(F.array_sort(F.array(F.substring("first", 1, 1), F.substring("last", 1, 1))), "+"))
-    a, b = sides(e.withColumn("k", F.explode(keys)))
-    return a.join(b, (F.col("k_a") == F.col("k_b")) & (F.col("id_a") < F.col("id_b"))).drop("k_a", "k_b").dropDuplicates(["id_a", "id_b"])
+def both_ways(pairs: DataFrame, w: DataFrame) -> DataFrame:
+    """(x, y): the pairs in both orders, and each word with itself."""
+    return en.checkpointed(pairs.select("a", "b").toDF("x", "y").union(pairs.select("b", "a")).union(w.select("w", "w")).distinct())
+
+
+def people_words(e: DataFrame) -> DataFrame:
+    return en.checkpointed(e.select(F.explode(F.array("first", "last")).alias("w")).distinct())
 
 
-PEOPLE_PAIRS_SQL = f"{PEOPLE_SQL}, p AS (SELECT a.id AS id_a, b.id AS id_b, a.first AS first_a, b.first AS first_b, a.last AS last_a, b.last AS last_b, a.firm AS firm_a, b.firm AS firm_b, a.given AS given_a, b.given AS given_b FROM e a JOIN e b ON a.id < b.id AND (substr(a.last, 1, 1) = substr(b.last, 1, 1) OR list_sort([substr(a.first, 1, 1), substr(a.last, 1, 1)]) = list_sort([substr(b.first, 1, 1), substr(b.last, 1, 1)])))"
+def person_pairs(e: DataFrame) -> DataFrame:
+    """Pairs of people (columns with _a and _b) that are the same person by surname and initial, also with the names of a swapped. Similar surnames are
+    found among the distinct names; people then meet by surname and initial, so that only pairs meet that are wanted."""
+    w = people_words(e)
+    near = name_pairs(w, False)
+    near = both_ways(near.filter(fz.same_surname(F.col("a"), F.col("b"))), w)
+    a, b = sides(e)
+    b = b.withColumns({"y": F.col("last_b"), "k": F.substring("first_b", 1, 1)})
+    straight = a.join(near, F.col("x") == F.col("last_a")).withColumn("k", F.substring("first_a", 1, 1))
+    swapped = a.join(near, F.col("x") == F.col("first_a")).withColumn("k", F.substring("last_a", 1, 1))
+    one = en.checkpointed(straight.union(swapped).drop("x").distinct())
+    return sm.met_pairs(one, en.checkpointed(b), ["y", "k"], "id_a", "id_b", ordered=False).drop("y", "k").filter("id_a <> id_b").dropDuplicates(["id_a", "id_b"])
 
 
-@query("sf05_sf06_same_person", f"WITH {PEOPLE_PAIRS_SQL} SELECT id_a, id_b, ({surname_sql('last_a', 'last_b')} AND {initial_sql('first_a', 'first_b')}) OR ({surname_sql('first_a', 'last_b')} AND {initial_sql('last_a', 'first_b')}) AS same, last_a = last_b AND first_a = first_b AS strict FROM p")
+ANY_PAIRS_SQL = f"{PEOPLE_SQL}, p AS (SELECT a.id AS id_a, b.id AS id_b, a.first AS first_a, b.first AS first_b, a.last AS last_a, b.last AS last_b, a.firm AS firm_a, b.firm AS firm_b, a.given AS given_a, b.given AS given_b FROM e a JOIN e b ON a.id < b.id)"
+SAME_PERSON_SQL = f"({surname_sql('last_a', 'last_b')} AND {initial_sql('first_a', 'first_b')}) OR ({surname_sql('first_a', 'last_b')} AND {initial_sql('last_a', 'first_b')})"
+
+
+@query("sf05_sf06_same_person", f"WITH {ANY_PAIRS_SQL} SELECT id_a, id_b, last_a = last_b AND first_a = first_b AS strict FROM p WHERE {SAME_PERSON_SQL}")
 def same_person(t):
+    """The pairs of people that are the same one, and whether by the strict rule too."""
     names = [F.col(c) for c in ("last_a", "first_a", "last_b", "first_b")]
-    return people_pairs(t).select("id_a", "id_b", fz.same_person(*names).alias("same"), fz.same_person(*names, strict=True).alias("strict"))
+    pairs = person_pairs(en.checkpointed(people(t))).filter("id_a < id_b").filter(fz.same_person(*names))
+    return pairs.select("id_a", "id_b", fz.same_person(*names, strict=True).alias("strict"))
 
 
 LEVEL_REL = f"CASE WHEN first_a = first_b THEN 'exact' WHEN n.a IS NOT NULL THEN 'nick' WHEN (len(list_intersect(given_a, given_b)) = len(given_a) OR len(list_intersect(given_a, given_b)) = len(given_b)) AND len(list_intersect(given_a, given_b)) > 0 THEN 'subset' WHEN {one_edit_sql('first_a', 'first_b')} THEN 'edit1' ELSE 'none' END"
 
 
-@query("sf11_sf12_sf13_pair_level", f"WITH {NICK_SQL}, {PEOPLE_PAIRS_SQL}, r AS (SELECT p.*, {LEVEL_REL} AS relation, last_a = last_b AS exact, last_a <> last_b AND {sounds_sql('last_a', 'last_b')} AS near, {sounds_sql('first_a', 'last_b')} AND {sounds_sql('first_b', 'last_a')} AS swap, CASE WHEN firm_a = firm_b THEN 'context' ELSE 'weak' END AS ctx, len(list_intersect(given_a, given_b)) > 0 OR len(list_filter(given_a, lambda x: len(list_filter(given_b, lambda y: {related_sql('x', 'y', 'false')})) > 0)) > 0 AS compatible FROM p LEFT JOIN nicks n ON n.a = first_a AND n.b = first_b) SELECT id_a, id_b, relation, compatible, CASE WHEN NOT exact AND NOT near AND swap THEN ctx WHEN NOT (exact OR near) OR relation = 'none' THEN NULL WHEN exact AND relation IN ('exact', 'nick') THEN 'strong' ELSE ctx END AS level FROM r")
+@query("sf11_sf12_sf13_pair_level", f"WITH {NICK_SQL}, {ANY_PAIRS_SQL}, r AS (SELECT p.*, {LEVEL_REL} AS relation, last_a = last_b AS exact, last_a <> last_b AND {sounds_sql('last_a', 'last_b')} AS near, {sounds_sql('first_a', 'last_b')} AND {sounds_sql('first_b', 'last_a')} AS swap, CASE WHEN firm_a = firm_b THEN 'context' ELSE 'weak' END AS ctx, len(list_intersect(given_a, given_b)) > 0 OR len(list_filter(given_a, lambda x: len(list_filter(given_b, lambda y: {related_sql('x', 'y', 'false')})) > 0)) > 0 AS compatible FROM p LEFT JOIN nicks n ON n.a = first_a AND n.b = first_b), l AS (SELECT id_a, id_b, relation, compatible, CASE WHEN NOT exact AND NOT near AND swap THEN ctx WHEN NOT (exact OR near) OR relation = 'none' THEN NULL WHEN exact AND relation IN ('exact', 'nick') THEN 'strong' ELSE ctx END AS level FROM r) SELECT * FROM l WHERE level IS NOT NULL")
 def pair_level(t):
+    """The pairs of people with any evidence that they are one. Similar names are found among the distinct ones; people then meet by surname with a first name that is
+    related or with a shared given name, or with both names swapped."""
+    e = en.checkpointed(people(t))
+    w = people_words(e)
+    last = both_ways(name_pairs(w, True).filter(fz.sounds_like(F.col("a"), F.col("b"))), w)
+    x, y = F.col("a"), F.col("b")
+    first = both_ways(given_pairs(w).filter(fz.first_relation(x, y, F.array(x), F.array(y)) != "none"), w)
+    a, b = sides(e)
+    named = lambda pairs, x, y: pairs.toDF(x, y)
+    one = a.join(named(last, "last_a", "l"), "last_a").select("id_a", "l", F.col("first_a").alias("f")).join(named(first, "f", "k"), "f").select("id_a", "l", F.concat(F.lit("f "), "k").alias("k"))
+    two = a.join(named(last, "last_a", "l"), "last_a").select("id_a", "l", F.concat(F.lit("g "), F.explode("given_a")).alias("k"))
+    three = a.join(named(last, "first_a", "l"), "first_a").join(named(last, "last_a", "f"), "last_a").select("id_a", "l", F.concat(F.lit("s "), "f").alias("k"))
+    wanted = b.select("id_b", F.col("last_b").alias("l"), F.explode(F.concat(F.array(F.concat(F.lit("f "), "first_b"), F.concat(F.lit("s "), "first_b")), F.transform("given_b", lambda g: F.concat(F.lit("g "), g)))).alias("k"))
+    met = sm.met_pairs(en.checkpointed(one.union(two).union(three).distinct()), en.checkpointed(wanted), ["l", "k"], "id_a", "id_b").select("id_a", "id_b").distinct()
+    pairs = met.join(a, "id_a").join(b, "id_b")
     la, fa, lb, fb = (F.col(c) for c in ("last_a", "first_a", "last_b", "first_b"))
-    pairs = people_pairs(t).withColumn("relation", fz.first_relation(fa, fb, F.col("given_a"), F.col("given_b")))
-    return pairs.select("id_a", "id_b", "relation", fz.lists_compatible(F.col("given_a"), F.col("given_b")).alias("compatible"), fz.pair_level(la, fa, lb, fb, F.col("relation"), F.col("firm_a") == F.col("firm_b")).alias("level"))
+    pairs = pairs.withColumn("relation", fz.first_relation(fa, fb, F.col("given_a"), F.col("given_b")))
+    level = fz.pair_level(la, fa, lb, fb, F.col("relation"), F.col("firm_a") == F.col("firm_b"))
+    return pairs.select("id_a", "id_b", "relation", fz.lists_compatible(F.col("given_a"), F.col("given_b")).alias("compatible"), level.alias("level")).filter("level is not null")
 
 
-FIRMS_SQL = "f AS (SELECT DISTINCT 'The ' || p_name || ' Law Group of ' || p_type AS firm, split_part(p_name, ' ', 2) AS k, list_sort(list_distinct(list_filter(regexp_extract_all(lower('The ' || p_name || ' Law Group of ' || p_type), '[a-z]+'), lambda x: x NOT IN ('and', 'the', 'of', 'at', 'law', 'offices', 'office', 'group', 'firm')))) AS s FROM part), p AS (SELECT a.firm AS a, b.firm AS b, a.s AS x, b.s AS y, len(list_intersect(a.s, b.s)) AS n FROM f a JOIN f b ON a.k = b.k AND a.firm < b.firm)"
+STOP_SQL = ", ".join(f"'{w}'" for w in tx.FIRM_STOP)
+FIRMS_SQL = f"f AS (SELECT DISTINCT CASE p_size % 4 WHEN 0 THEN 'The Law Offices of ' || p_name || ', P.C.' WHEN 1 THEN split_part(p_name, ' ', 1) || ' & ' || p_type || ' LLP' WHEN 2 THEN split_part(p_name, ' ', 2) || ', P.L.L.C.' ELSE p_name || ' and ' || p_type || ' Associates, a Law Group' END AS firm FROM part), g AS (SELECT firm, list_sort(list_distinct(list_filter(regexp_extract_all(lower(firm), '[a-z]+'), lambda x: length(x) > 1 AND x NOT IN ({STOP_SQL})))) AS s FROM f), p AS (SELECT a.firm AS a, b.firm AS b, a.s AS x, b.s AS y, len(list_intersect(a.s, b.s)) AS n FROM g a JOIN g b ON a.firm < b.firm AND len(a.s) > 0 AND len(b.s) > 0)"
+FIRM_RULES_SQL = "CASE WHEN len(x) = 1 AND len(y) = 1 THEN levenshtein(x[1], y[1]) <= 1 ELSE false END AS single, n = len(x) OR n = len(y) OR n / (len(x) + len(y) - n) >= 0.5 AS like_"
 
 
-@query("sf07_sf08_r01_r10_firms", f"WITH {FIRMS_SQL} SELECT a, b, n = len(x) OR n = len(y) OR n / (len(x) + len(y) - n) >= 0.5 AS same, n >= 2 AND (n = len(x) OR n = len(y) OR n / (len(x) + len(y) - n) >= 0.5) AS careful FROM p")
+@query("sf07_sf08_r01_r10_firms", f"WITH {FIRMS_SQL}, r AS (SELECT *, {FIRM_RULES_SQL} FROM p) SELECT a, b, CASE WHEN len(x) = 1 AND len(y) = 1 THEN single ELSE n >= 2 AND like_ END AS careful FROM r WHERE single OR like_")
 def firms(t):
-    name = F.concat(F.lit("The "), "p_name", F.lit(" Law Group of "), "p_type")
-    f = t.part.select("p_name", "p_type").distinct().select(name.alias("firm"), F.split("p_name", " ")[1].alias("k")).withColumn("s", tx.tokens(F.col("firm"), 1, tx.FIRM_STOP))
-    a, b = f.select(F.col("firm").alias("a"), "k", F.col("s").alias("x")), f.select(F.col("firm").alias("b"), "k", F.col("s").alias("y"))
-    pairs = a.join(b, "k").filter("a < b")
-    return pairs.select("a", "b", fz.same_firm(F.col("x"), F.col("y")).alias("same"), fz.same_firm_careful(F.col("x"), F.col("y")).alias("careful"))
+    """The pairs of firms that one rule or both take for one, by the words that tell firms apart: sets of which one holds the other or that share half of their
+    words come from a similarity join, single words one edit apart from the index of words."""
+    first, last, size = F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.col("p_size") % 4
+    name = F.when(size == 0, F.concat(F.lit("The Law Offices of "), "p_name", F.lit(", P.C."))).when(size == 1, F.concat(first, F.lit(" & "), "p_type", F.lit(" LLP")))
+    name = name.when(size == 2, F.concat(last, F.lit(", P.L.L.C."))).otherwise(F.concat("p_name", F.lit(" and "), "p_type", F.lit(" Associates, a Law Group")))
+    f = en.checkpointed(t.part.select(name.alias("firm")).distinct().withColumn("s", tx.firm_tokens(F.col("firm"))))
+    # half of the union is half of the smaller set at least
+    like = sm.similar_sets(f, "firm", "s", 0.5, "overlap").select("a", "b")
+    single = en.checkpointed(f.filter(F.size("s") == 1).select("firm", F.col("s")[0].alias("w")))
+    near = both_ways(sm.edit_pairs(single, "w", 1), single.select("w").distinct())
+    ones = single.select(F.col("firm").alias("a"), F.col("w").alias("x")).join(near, "x").join(single.select(F.col("firm").alias("b"), F.col("w").alias("y")), "y").filter("a < b").select("a", "b")
+    side = lambda c, s: f.select(F.col("firm").alias(c), F.col("s").alias(s))
+    pairs = like.union(ones).distinct().join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return pairs.filter(fz.same_firm(F.col("x"), F.col("y"))).select("a", "b", fz.same_firm_careful(F.col("x"), F.col("y")).alias("careful"))
 
 
 FULL_SQL = "n AS (SELECT p_partkey, CASE p_size % 5 WHEN 1 THEN 'van ' WHEN 2 THEN 'de la ' WHEN 3 THEN 'St. ' ELSE '' END || CASE WHEN p_size % 4 = 0 THEN split_part(p_name, ' ', 1) ELSE split_part(p_name, ' ', 2) END AS last, split_part(p_name, ' ', 1) AS first, CASE p_size % 7 WHEN 1 THEN ' Jr' WHEN 2 THEN ', Sr.' WHEN 3 THEN ' II' WHEN 4 THEN ' iii' WHEN 5 THEN ' IV.' WHEN 6 THEN ' V' ELSE '' END AS mark FROM part), m AS (SELECT *, upper(first) || ' X. ' || last || mark AS whole FROM n), k AS (SELECT *, list_filter(regexp_extract_all(lower(last), '[a-z]+'), lambda x: x NOT IN ('de', 'del', 'della', 'van', 'von', 'der', 'den', 'da', 'di', 'la', 'le', 'st', 'saint', 'jr', 'sr', 'ii', 'iii', 'iv', 'v')) AS kept FROM m)"
@@ -209,31 +264,38 @@ def mention_split(t):
     return en.split_mentions(en.checkpointed(mentions.select("mention", "l_suppkey", "l_quantity", "grp", tokens.alias("tokens"))), ["l_suppkey", "l_quantity"])
 
 
-def incompatible(x, y) -> bool:
+def incompatible(x, y):
     """Other generation marks, or given names that share none; a given name that is the other's surname is no conflict."""
-    if x["mark"] and y["mark"] and x["mark"] != y["mark"]:
-        return True
-    if y["last"] in x["given"] or x["last"] in y["given"]:
-        return False
-    return not set(x["given"]) & set(y["given"])
+    marks = (x("mark") != "") & (y("mark") != "") & (x("mark") != y("mark"))
+    kin = F.array_contains(x("given"), y("last")) | F.array_contains(y("given"), x("last"))
+    return marks | ~kin & ~F.arrays_overlap(x("given"), y("given"))
+
 
+MARKED_SQL = f"{PEOPLE_SQL}, n AS (SELECT *, CASE id % 4 WHEN 0 THEN 'jr' WHEN 1 THEN 'sr' ELSE '' END AS mark FROM e), c AS (SELECT a.last AS grp, a.id AS a, b.id AS b, substr(a.first, 1, 1) <> substr(b.first, 1, 1) AS rank, (a.id + b.id) % 3 > 0 AS linked, (a.mark <> '' AND b.mark <> '' AND a.mark <> b.mark) OR (NOT list_contains(a.given, b.last) AND NOT list_contains(b.given, a.last) AND len(list_intersect(a.given, b.given)) = 0) AS apart FROM n a JOIN n b ON a.last = b.last AND a.id < b.id)"
+GUARDED_SQL = f"WITH RECURSIVE {MARKED_SQL}, s AS (SELECT grp, a, b, row_number() OVER (PARTITION BY grp ORDER BY rank, a, b) AS k FROM c WHERE linked), bad AS (SELECT grp, list({{'x': a, 'y': b}}) AS bad FROM c WHERE apart AND NOT linked GROUP BY grp), g AS (SELECT last AS grp, list(id ORDER BY id) AS ids FROM n GROUP BY 1), r AS (SELECT grp, 0::BIGINT AS k, ids, ids AS own FROM g UNION ALL SELECT grp, k, ids, CASE WHEN la <> lb AND NOT veto THEN list_transform(own, lambda c: CASE WHEN c = greatest(la, lb) THEN least(la, lb) ELSE c END) ELSE own END FROM (SELECT *, la <> lb AND len(list_filter(coalesce(bad, []), lambda p: (own[list_position(ids, p.x)] = la AND own[list_position(ids, p.y)] = lb) OR (own[list_position(ids, p.x)] = lb AND own[list_position(ids, p.y)] = la))) > 0 AS veto FROM (SELECT r.grp, s.k, ids, own, bad, own[list_position(ids, a)] AS la, own[list_position(ids, b)] AS lb FROM r JOIN s ON s.grp = r.grp AND s.k = r.k + 1 LEFT JOIN bad ON bad.grp = r.grp))), z AS (SELECT grp, max_by(ids, k) AS ids, max_by(own, k) AS own FROM r GROUP BY grp) SELECT unnest(ids) AS node, unnest(own) AS cluster FROM z"
 
-@query("g03_f23_guarded_clusters")
+
+@query("g03_f23_guarded_clusters", GUARDED_SQL)
 def guarded(t):
-    """People of one firm with one surname are linked, those with the same first letter of the given name first."""
-    e = people(t).withColumn("mark", F.when(F.col("id") % 4 == 0, "jr").when(F.col("id") % 4 == 1, "sr").otherwise(""))
+    """People with one surname are linked (but for a third of their pairs), those with the same first letter of the given name first."""
+    e = en.checkpointed(people(t).withColumn("mark", F.when(F.col("id") % 4 == 0, "jr").when(F.col("id") % 4 == 1, "sr").otherwise("")))
     nodes = e.select(F.col("id").alias("node"), "given", "last", "mark")
-    a, b = sides(e.select("id", "first", "last", "firm"))
-    linked = a.join(b, (F.col("last_a") == F.col("last_b")) & (F.col("firm_a") == F.col("firm_b")) & (F.col("id_a") < F.col("id_b")))
+    a, b = e.select("last", F.col("id").alias("a"), F.col("first").alias("first_a")), e.select("last", F.col("id").alias("b"), F.col("first").alias("first_b"))
+    linked = sm.met_pairs(a, b, ["last"], "a", "b", twins=True).filter("(a + b) % 3 > 0")
     rank = (F.substring("first_a", 1, 1) != F.substring("first_b", 1, 1)).cast("int")
-    return en.guarded(nodes, linked.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), rank.alias("rank")), incompatible)
+    return en.guarded(nodes, linked.select("a", "b", rank.alias("rank")), incompatible)
+
+
+COLLAPSED_SQL = f"WITH RECURSIVE {PEOPLE_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY firm ORDER BY id) AS i FROM e), r AS (SELECT firm, 0::BIGINT AS i, NULL::BIGINT AS key, NULL::BIGINT AS rep, [{{'k': 0::BIGINT, 'first': '', 'last': ''}}] AS reps FROM (SELECT DISTINCT firm FROM e) UNION ALL SELECT firm, i, id, coalesce(found, id), CASE WHEN found IS NULL THEN list_append(reps, {{'k': id, 'first': first, 'last': last}}) ELSE reps END FROM (SELECT o.firm, o.i, o.id, o.first, o.last, reps, list_filter(reps, lambda z: z.k > 0 AND (({surname_sql('o.last', 'z.last')} AND {initial_sql('o.first', 'z.first')}) OR ({surname_sql('o.first', 'z.last')} AND {initial_sql('o.last', 'z.first')})))[1].k AS found FROM r JOIN o ON o.firm = r.firm AND o.i = r.i + 1)) SELECT firm AS grp, key, rep FROM r WHERE i > 0"
 
 
-@query("g05_collapsed_people")
+@query("g05_collapsed_people", COLLAPSED_SQL)
 def collapsed(t):
-    """Within a firm, a person is absorbed by the first one whose surname is the same or begins alike and whose first name has the same initial."""
-    same = lambda r, x: r["last"][:1] == x["last"][:1] and r["first"][:1] == x["first"][:1]
-    return en.collapsed(people(t).select("firm", "id", "first", "last"), "firm", "id", same)
+    """Within a firm, a person is absorbed by the first representative that is the same one by surname and initial, also with the person's names swapped, or becomes one."""
+    e = en.checkpointed(people(t))
+    pairs = person_pairs(e).filter("firm_a = firm_b and id_a > id_b").filter(fz.same_person(*(F.col(c) for c in ("last_a", "first_a", "last_b", "first_b"))))
+    found = en.first_come(e.select(F.col("id").alias("node")), en.checkpointed(pairs.select(F.col("id_b").alias("a"), F.col("id_a").alias("b"))))
+    return e.select(F.col("firm").alias("grp"), F.col("id").alias("node")).join(found, "node").select("grp", F.col("node").alias("key"), F.col("seed").alias("rep"))
 
 
 @query("g09_j27_replay", "WITH w AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), r AS (SELECT o_custkey, 'A' || lpad(CAST(row_number() OVER (ORDER BY n DESC, o_custkey) AS VARCHAR), 6, '0') AS id FROM w), d AS (SELECT l_orderkey, 'A' || lpad(CAST(dense_rank() OVER (ORDER BY n DESC, w.o_custkey) AS VARCHAR), 6, '0') AS id FROM lineitem JOIN orders o ON l_orderkey = o_orderkey JOIN w ON w.o_custkey = o.o_custkey WHERE l_returnflag <> 'A'), x AS (SELECT DISTINCT id FROM d) SELECT count(*) FILTER (x.id IS NULL) AS roster_only, count(*) FILTER (r.id IS NULL) AS derived_only, count(*) FILTER (r.id = x.id) AS both FROM r FULL JOIN x ON r.id = x.id")

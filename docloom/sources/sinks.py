@@ -1,10 +1,8 @@
-"""Tables to files: fixed-column CSV, JSON lines, tab sets, keyed upserts and atomic replacement."""
+"""Tables to files: fixed-column CSV, JSON lines, tab sets and keyed upserts (tables that are replaced as a whole: see `snapshots`)."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tabular import aligned
@@ -59,21 +57,6 @@ def upserted(old: DataFrame, new: DataFrame, key: str, order: Column) -> DataFra
     return top.select(key, *(F.col(f"__r.{c}").alias(c) for c in columns)).select(*old.columns)
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Write beside the target and rename, so that readers see the old table or the new one."""
-    spark: SparkSession = df.sparkSession
-    staged, gone = f"{path}.{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    jvm = spark.sparkContext._jvm
-    new, old, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (staged, gone, path))
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(new, target)
-    if fs.exists(old):
-        fs.delete(old, True)
-
-
 def report(metrics: DataFrame, title: str) -> str:
     """A small table of aggregates as Markdown."""
     rows = metrics.collect()

@@ -64,6 +64,20 @@ def newest(files: DataFrame, stem: Column) -> DataFrame:
     return files.groupBy(stem.alias("stem")).agg(F.max_by("path", F.struct("modificationTime", "path")).alias("path"))
 
 
+def id_list(spark: SparkSession, path: str) -> DataFrame:
+    """The ids of a list file, one to a line; what follows a # is a comment, and lines without an id are left out."""
+    return spark.read.text(path).select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("id")).filter("id <> ''").distinct()
+
+
+def discovered(columns: list[str], parts: tuple[str, ...], first: tuple[str, ...] = ()) -> str:
+    """The column that holds what is looked for: of those whose name has one of the parts (whatever the case) the first named in `first`, else the first of the table.
+    A ValueError if there is none."""
+    some = [c for c in columns if any(p.lower() in c.lower() for p in parts)]
+    if not some:
+        raise ValueError(f"no column has {' or '.join(parts)} in its name")
+    return next((c for c in first if c in some), some[0])
+
+
 def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.desc(order))
     return df.withColumn("__rk", F.row_number().over(w)).filter("__rk = 1").drop("__rk")
