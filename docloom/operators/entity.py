@@ -12,8 +12,8 @@ from docloom.operators.ranks import row_numbers
 from docloom.operators.similar import met_pairs, similar_sets
 from docloom.sources.shared import Steps
 
-#: Profiles of a cluster that a task compares with as many of another.
-CELL = 1_000
+#: Profiles of a cluster that a task compares with as many of another; clusters that one cluster may take in a round.
+CELL, SUITORS = 1_000, 500
 
 
 def blocked_pairs(df: DataFrame, key: str, blocks: DataFrame, cap: int | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def guarded(nodes: DataFrame, edges: DataFrame, incompatible: Callable, free: in
     column by its name.
 
     Nobody takes the edges one by one. An edge that is the first of both its clusters is decided at once: whatever the sequential rule decides before it
-    touches neither. So a round merges or vetoes a matching of clusters, and what is known of pairs of clusters (the first edge, whether there was a veto, how many edges join incompatible
+    touches neither. So are the next edges of one of the two, as long as they are first for their other ends and nothing else can come between. So a round merges or vetoes many clusters, and what is known of pairs of clusters (the first edge, whether there was a veto, how many edges join incompatible
     nodes) and of single ones (their profiles, with numbers) is contracted to the merged ones. Two clusters exclude each other if they have more incompatible pairs than such edges.
     A veto stays, as clusters only grow, and so does away with all edges between the two. Components of at most `free` profiles without an incompatible pair are done in one step, however
     long their chains of edges."""
@@ -91,11 +91,12 @@ def guarded(nodes: DataFrame, edges: DataFrame, incompatible: Callable, free: in
         return df
 
     def conflicts(chosen: DataFrame) -> DataFrame:
-        """(cx, cy, n): incompatible pairs across two clusters, profile by profile, in cells of a grid. Each cluster is in one pair at most."""
+        """(cx, cy, n): incompatible pairs across two clusters, profile by profile, in cells of a grid."""
         if size <= CELL:  # as all clusters together
             one, two = (members.select(F.col("c").alias(c), F.col("w").alias(w), F.col("n").alias(n)) for c, w, n in (("cx", "x", "nx"), ("cy", "y", "ny")))
-            return chosen.join(one, "cx").join(two, "cy").filter(apart).groupBy("cx", "cy").agg(F.sum(F.col("nx") * F.col("ny")).alias("n"))
-        wanted = chosen.select(F.col("cx").alias("c")).union(chosen.select(F.col("cy").alias("c")))
+            return chosen.select("cx", "cy").join(one, "cx").join(two, "cy").filter(apart).groupBy("cx", "cy").agg(F.sum(F.col("nx") * F.col("ny")).alias("n"))
+        wanted = chosen.select(F.col("cx").alias("c")).union(chosen.select(F.col("cy").alias("c"))).distinct()
+        chosen = chosen.select("cx", "cy")
         own = steps.keep("own", members.join(wanted, "c", "left_semi").groupBy("c").agg(F.ceil(F.count("*") / CELL).cast("int").alias("k")))
         some = lookup(members, own, ["c"], "inner").select("c", "w", "n", F.pmod(F.xxhash64("profile"), "k").cast("int").alias("block"))
         cells = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
@@ -125,14 +126,42 @@ def guarded(nodes: DataFrame, edges: DataFrame, incompatible: Callable, free: in
                 rounds += 1
                 continue
         rounds += 1
-        ways = left().select(F.explode(F.array("cx", "cy")).alias("u"), F.struct("o", "cx", "cy", "direct").alias("f"))
-        chosen = ways.groupBy("u").agg(F.min("f").alias("f")).groupBy("f").agg(F.count("*").alias("n")).filter("n = 2").select("f.cx", "f.cy", "f.direct")
-        chosen = steps.keep("chosen", chosen)
-        judged = chosen.join(conflicts(chosen), ["cx", "cy"], "left")
-        judged = steps.keep(f"judged{rounds}", judged.select("cx", "cy", (F.coalesce("n", F.lit(0)) > F.col("direct")).alias("against")))
-        hook = judged.filter("not against").select(F.col("cy").alias("u"), F.col("cx").alias("p"))
+        # every edge from both of its ends: the first of each end, and the first behind that
+        ways = left().select(F.explode(F.array(F.struct(F.col("cx").alias("u"), F.col("cy").alias("v")), F.struct(F.col("cy").alias("u"), F.col("cx").alias("v")))).alias("e"), "o").select("e.u", "e.v", "o")
+        ways = ways if total <= HOT_ROWS else steps.keep("ways", ways)
+        first = ways.groupBy("u").agg(F.min("o").alias("f"))
+        first = steps.keep("first", first)
+        of = lambda c, f: first.select(F.col("u").alias(c), F.col("f").alias(f))
+        met = lookup(lookup(ways, of("u", "fu"), ["u"], "inner", total=total), of("v", "fv"), ["v"], "inner", total=total)
+        met = met if total <= HOT_ROWS else steps.keep("met", met)
+        second = met.filter("o > fu").groupBy("u").agg(F.min("o").alias("next"))
+        # a hub is the smaller end of an edge that is the first of both; it may take the clusters whose first edge leads to it, up to an edge of its own that is not the first
+        # of its other end, and up to the second edge of a cluster that it takes
+        hubs = met.filter("o = fu and o = fv and u < v").select("u")
+        bound = met.filter("o < fv or o > fv").groupBy("u").agg(F.min("o").alias("bound"))
+        suit = met.join(hubs, "u", "left_semi").filter("o = fv").select("u", "v", "o").join(bound, "u", "left").filter("bound is null or o < bound").drop("bound")
+        suit = suit.join(second.select(F.col("u").alias("v"), "next"), "v", "left")
+        line = Window.partitionBy("u").orderBy("o")
+        suit = suit.withColumn("k", F.row_number().over(line)).filter(F.col("k") <= SUITORS)
+        suit = suit.withColumn("stop", F.min("next").over(line.rowsBetween(Window.unboundedPreceding, -1))).filter("stop is null or o < stop")
+        chosen = steps.keep("chosen", suit.select(F.least("u", "v").alias("cx"), F.greatest("u", "v").alias("cy"), F.col("u").alias("hub"), "v", "k"))
+        direct = pairs.select("cx", "cy", "direct")
+        judged = chosen.join(direct, ["cx", "cy"]).join(conflicts(chosen), ["cx", "cy"], "left")
+        judged = steps.keep(f"judged{rounds}", judged.select("cx", "cy", "hub", "v", "k", (F.coalesce("n", F.lit(0)) > F.col("direct")).alias("against")))
+        # of those that the hub itself doesn't exclude, all before the first that may not be with one before it
+        fine = judged.filter("not against").select("hub", F.col("v").alias("c"), "k")
+        seen = fine.join(members, "c").groupBy("hub", "profile").agg(F.min("k").alias("k"), F.first("w").alias("w"), F.count("*").alias("n"))
+        one, two = seen.select("hub", F.col("k").alias("kx"), F.col("w").alias("x"), F.col("profile").alias("px"), "n"), seen.select("hub", F.col("k").alias("ky"), F.col("w").alias("y"), F.col("profile").alias("py"))
+        clash = one.join(two, "hub").filter((F.col("kx") <= F.col("ky")) & ((F.col("px") != F.col("py")) | (F.col("n") > 1)) & apart)
+        cut = clash.groupBy("hub").agg(F.min("ky").alias("cut"))
+        least = fine.groupBy("hub").agg(F.min("k").alias("least"))
+        taken = fine.join(cut, "hub", "left").join(least, "hub").filter("k = least or cut is null or k < cut")
+        # the hub and what it takes go by their smallest name
+        group = taken.select("hub", "c").union(taken.select("hub", F.col("hub").alias("c"))).distinct()
+        group = group.join(group.groupBy("hub").agg(F.min("c").alias("p")), "hub")
+        hook = steps.keep(f"hook{len(hooks)}", group.filter("c <> p").select(F.col("c").alias("u"), "p"))
         hooks.append(hook)
-        marked = pairs.join(judged, ["cx", "cy"], "left").withColumn("veto", F.col("veto") | F.coalesce("against", F.lit(False))).drop("against")
+        marked = pairs.join(judged.select("cx", "cy", "against"), ["cx", "cy"], "left").withColumn("veto", F.col("veto") | F.coalesce("against", F.lit(False))).drop("against")
         moved = contracted("marked", marked, total, hook, "cx", "cy").select(F.least("cx", "cy").alias("cx"), F.greatest("cx", "cy").alias("cy"), "o", "veto", "direct").filter("cx <> cy")
         merged = moved.groupBy("cx", "cy").agg(F.min("o").alias("o"), F.bool_or("veto").alias("veto"), F.sum("direct").alias("direct"))
         pairs = steps.keep("relations", merged.withColumn("o", F.when(~F.col("veto"), F.col("o"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.lookups import lookup
@@ -43,6 +43,13 @@ def medians(df: DataFrame, groups: list[str], value: str, name: str) -> DataFram
     return steps.last(every.select(*(F.col(f"__k.{g}").alias(g) for g in groups), name))
 
 
+def top_list(df: DataFrame, keys: list[str], k: int, value: Column, *order, name: str = "top") -> DataFrame:
+    """(keys, name): the values of each key's first k rows by order, as an array. Each task finds its own first k before rows of a key meet, so that no key's rows are collected."""
+    ranked = df.withColumn("__rk", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("__rk") <= k)
+    listed = F.array_sort(F.collect_list(F.struct("__rk", value.alias("v"))))
+    return ranked.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias(name))
+
+
 def row_numbers(df: DataFrame, name: str, *order) -> DataFrame:
     """Add name = the row's place (from 1) by order, which must be total. Rows are dealt by range and counted; a task numbers one range, and only
     one row per range meets in one task."""

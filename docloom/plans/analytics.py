@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import network as net
-from docloom.operators.ranks import medians, row_numbers
+from docloom.operators.ranks import medians, row_numbers, top_list
 from docloom.registry import query
 
 PAIRS = "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS cnt FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2"
@@ -123,8 +123,8 @@ def canonical(t):
 @query("a03_a06_o06_top3", "WITH c AS (SELECT p_brand, p_type, count(*) AS cnt FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY cnt DESC, p_type) AS rk FROM c) SELECT p_brand, string_agg(p_type || ':' || cnt, '; ' ORDER BY rk) AS top FROM r WHERE rk <= 3 GROUP BY 1")
 def top3(t):
     c = t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("cnt"))
-    r = F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("o"), "p_type", "cnt")))
-    return c.groupBy("p_brand").agg(r.alias("r")).select("p_brand", F.array_join(F.transform(F.slice("r", 1, 3), lambda x: F.concat(x["p_type"], F.lit(":"), x["cnt"].cast("string"))), "; ").alias("top"))
+    top = top_list(c, ["p_brand"], 3, F.concat("p_type", F.lit(":"), F.col("cnt").cast("string")), F.desc("cnt"), "p_type")
+    return top.select("p_brand", F.array_join("top", "; ").alias("top"))
 
 
 @query("a07_r02_p32_uniq_list", "SELECT p_brand, string_agg(DISTINCT p_type, '; ' ORDER BY p_type) AS types FROM part GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import text as tx
+from docloom.operators.ranks import top_list
 from docloom.registry import query
 
 NAME_SQL = "n AS (SELECT o_orderkey AS k, o_custkey + 10 AS grp, o_orderkey % 4 + 1 AS no, CASE o_orderkey % 5 WHEN 0 THEN (o_custkey + 10) || ', Doc. ' || (o_orderkey % 4 + 1) || ', OrderAppointing_Lead Counsel.pdf' WHEN 1 THEN (o_custkey + 10) || ', Doc ' || (o_orderkey % 4 + 1) || '-' || (o_orderkey % 3 + 1) || ', ' || CASE WHEN o_orderkey % 2 = 0 THEN 'Steering Committee Slate' ELSE 'Map' END || '.pdf' WHEN 2 THEN 'US_DIS_NYSD_05md' || (o_custkey + 10) || '_' || (o_orderkey % 4 + 1) || '_Order Approving Settlement Fees.pdf' WHEN 3 THEN (o_custkey + 10) || '_Docket #' || (o_orderkey % 4 + 1) || ', Report and Recommendation (2).pdf' ELSE 'Order on Reappointment.PDF' END AS name FROM orders)"
@@ -70,8 +71,8 @@ def backfilled(t):
 def other_names(t):
     """The most frequent name, the first seen among equals, and the three most frequent others."""
     c = t.part.groupBy("p_brand", "p_name").agg(F.count("*").alias("n"), F.min("p_partkey").alias("seen"))
-    ranked = c.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "seen", "p_name"))).alias("r"))
-    return ranked.select("p_brand", F.get("r", F.lit(0))["p_name"].alias("canonical"), F.nullif(F.array_join(F.transform(F.slice("r", 2, 3), lambda x: x["p_name"]), "; "), F.lit("")).alias("others"))
+    ranked = top_list(c, ["p_brand"], 4, F.col("p_name"), F.desc("n"), "seen")
+    return ranked.select("p_brand", F.get("top", F.lit(0)).alias("canonical"), F.nullif(F.array_join(F.slice("top", 2, 3), "; "), F.lit("")).alias("others"))
 
 
 @query("f02_docket_lists", "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN false WHEN 5 THEN true WHEN 6 THEN false ELSE false END AS dump FROM orders")

@@ -233,7 +233,8 @@ def rule_calls(t):
     cache = t.labels.select("doc_id", F.struct((F.col("toxic") == 0).alias("is_order"), F.lit("known").alias("reason")).alias("answer"))
 
     def call(text: str) -> tuple:
-        return ("the" in text, "ordered" if "the" in text else "none")
+        found = "the" in (text or "")
+        return found, "ordered" if found else "none"
 
     out = with_cached_struct(t.documents.select("doc_id", "text"), cache, "doc_id", "text", "is_order boolean, reason string", call)
     return out.select("doc_id", "source", "answer.is_order", "answer.reason")
@@ -266,7 +267,7 @@ def weak_pairs(t):
     from docloom.operators.external import with_cached_struct
 
     def call(pair: str) -> tuple:
-        a, b = pair.split(" ")
+        a, _, b = (pair or "").partition(" ")
         row = list(range(len(b) + 1))
         for i, x in enumerate(a, 1):
             row = _next_row(row, i, x, b)

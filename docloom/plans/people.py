@@ -9,7 +9,7 @@ from docloom.functions import fuzzy as fz
 from docloom.functions import text as tx
 from docloom.operators import entity as en
 from docloom.operators import similar as sm
-from docloom.operators.ranks import row_numbers
+from docloom.operators.ranks import row_numbers, top_list
 from docloom.registry import query
 
 
@@ -166,7 +166,7 @@ def pair_level(t):
     a, b = sides(e)
     named = lambda pairs, x, y: pairs.toDF(x, y)
     one = a.join(named(last, "last_a", "l"), "last_a").select("id_a", "l", F.col("first_a").alias("f")).join(named(first, "f", "k"), "f").select("id_a", "l", F.concat(F.lit("f "), "k").alias("k"))
-    two = a.join(named(last, "last_a", "l"), "last_a").select("id_a", "l", F.concat(F.lit("g "), F.explode("given_a")).alias("k"))
+    two = a.join(named(last, "last_a", "l"), "last_a").select("id_a", "l", F.explode(F.transform("given_a", lambda g: F.concat(F.lit("g "), g))).alias("k"))
     three = a.join(named(last, "first_a", "l"), "first_a").join(named(last, "last_a", "f"), "last_a").select("id_a", "l", F.concat(F.lit("s "), "f").alias("k"))
     wanted = b.select("id_b", F.col("last_b").alias("l"), F.explode(F.concat(F.array(F.concat(F.lit("f "), "first_b"), F.concat(F.lit("s "), "first_b")), F.transform("given_b", lambda g: F.concat(F.lit("g "), g)))).alias("k"))
     met = sm.met_pairs(en.checkpointed(one.union(two).union(three).distinct()), en.checkpointed(wanted), ["l", "k"], "id_a", "id_b").select("id_a", "id_b").distinct()
@@ -248,9 +248,9 @@ def render(t):
 @query("p45_prompt_lines", "WITH c AS (SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_name) AS rk FROM c), m AS (SELECT p_brand, list_sort(list_distinct(list(p_size)))[1:10] AS sizes FROM part GROUP BY 1) SELECT r.p_brand, 'names: ' || string_agg(p_name, ', ' ORDER BY rk) FILTER (rk <= 3) || ' | groups: ' || array_to_string(any_value(sizes), ', ') AS line FROM r JOIN m USING (p_brand) GROUP BY 1")
 def prompt_lines(t):
     """The three most frequent names and the first ten groups of each entity."""
-    top = t.part.groupBy("p_brand", "p_name").agg(F.count("*").alias("n")).groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "p_name"))).alias("names"))
-    groups = t.part.groupBy("p_brand").agg(F.array_sort(F.collect_set("p_size")).alias("sizes"))
-    line = F.concat(F.lit("names: "), F.array_join(F.transform(F.slice("names", 1, 3), lambda x: x["p_name"]), ", "), F.lit(" | groups: "), F.array_join(F.slice("sizes", 1, 10).cast("array<string>"), ", "))
+    top = top_list(t.part.groupBy("p_brand", "p_name").agg(F.count("*").alias("n")), ["p_brand"], 3, F.col("p_name"), F.desc("n"), "p_name", name="names")
+    groups = top_list(t.part.select("p_brand", "p_size").distinct(), ["p_brand"], 10, F.col("p_size").cast("string"), "p_size", name="sizes")
+    line = F.concat(F.lit("names: "), F.array_join("names", ", "), F.lit(" | groups: "), F.array_join("sizes", ", "))
     return top.join(groups, "p_brand").select("p_brand", line.alias("line"))
 
 
@@ -319,7 +319,7 @@ def six_blocks(t):
     """Candidates from six kinds of blocks, each with its own largest size, that pass the check of names or context."""
     e = people(t)
     df = e.groupBy("firm").agg(F.count("*").alias("df"))
-    e = e.join(F.broadcast(df), "firm")
+    e = e.join(df, "firm")
     first, last = F.col("first"), F.col("last")
     key = lambda no, cap, block, when=None: F.when(F.lit(True) if when is None else when, F.struct(F.lit(no).alias("no"), F.lit(cap).alias("cap"), block.alias("block")))
     keys = F.array(
