@@ -123,7 +123,9 @@ def permuted(slate: DataFrame, simulations: int, seed: int = 1, pairs: int = 8_0
                 yield pa.RecordBatch.from_arrays([pa.array([sim], pa.int64()), pa.array([len(codes) - len(np.unique(codes))], pa.int64())], names=["sim", "stat"])
 
     units = simulations * shares
-    each = spark.range(0, units, 1, max(1, min(units, 10_000))).mapInArrow(run, "sim long, stat long")
+    # a task draws some ten million slots, or less where there are cores for it
+    tasks = max(2 * spark.sparkContext.defaultParallelism, units * sum(s * n for s, n in sizes) // 10_000_000)
+    each = spark.range(0, units, 1, max(1, min(units, tasks))).mapInArrow(run, "sim long, stat long")
     return each.groupBy("sim").agg(F.sum("stat").alias("stat"))
 
 
