@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.operators.similar import met_pairs
 
+#: Stubs whose actors a task holds in a list; of more, the actor follows by division.
+OWNERS = 1 << 23
+
 
 def members(df: DataFrame, group: str, actor: str) -> DataFrame:
     return df.select(F.col(group).alias("g"), F.col(actor).alias("m")).dropna().distinct()
@@ -44,28 +47,42 @@ def shuffled(slots, total: int, seed: int, sim: int):
     import numpy as np
 
     def mixed(x):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
 
     half = max(4, (max(2, total) - 1).bit_length() + 1 >> 1)
-    mask, shift = np.uint64((1 << half) - 1), np.uint64(half)
+    # numbers of 32 bits where they are enough: half the memory, and the processor multiplies more of them at once
+    word, bits = (np.uint32, 32) if half <= 16 else (np.uint64, 64)
+    one, two = (word(0x9E3779B1), word(0x85EBCA6B)) if bits == 32 else (word(0xBF58476D1CE4E5B9), word(0x94D049BB133111EB))
+    mask, shift, top, fold = word((1 << half) - 1), word(half), word(bits - half), word(bits // 2 - 1)
     with np.errstate(over="ignore"):
         keys = mixed(mixed(np.array([seed], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(sim)) + np.arange(1, 7, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        keys = (keys >> np.uint64(64 - bits)).astype(word)
         out, again = np.empty(len(slots), np.int64), np.arange(len(slots))
-        x = slots.astype(np.uint64)
+        x = slots.astype(word)
         while len(again):
             left, right = x >> shift, x & mask
             for k in keys:
-                left, right = right, left ^ (mixed(right + k) & mask)
+                # in place, as most of the time would go into new arrays
+                drawn = right + k
+                drawn *= one
+                drawn ^= drawn >> fold
+                drawn *= two
+                drawn >>= top
+                drawn ^= left
+                left, right = right, drawn
             x = left << shift | right
-            fits = x < np.uint64(total)
+            fits = x < total
             out[again[fits]] = x[fits].astype(np.int64)
             again, x = again[~fits], x[~fits]
     return out
 
 
-def drawn_pairs(sizes: list[tuple[int, int]], places: list[tuple[int, int]], seed: int, sim: int, chunk: int = 1 << 18):
+def drawn_pairs(sizes: list[tuple[int, int]], places: list[tuple[int, int]], seed: int, sim: int, chunk: int = 1 << 17):
     """The pairs of actors that meet in each group of one simulation, as numbers a * actors + b, some groups at a time. sizes: (size, groups of it); places: (places of
     an actor, actors that have so many), both in order."""
     import numpy as np
@@ -74,40 +91,57 @@ def drawn_pairs(sizes: list[tuple[int, int]], places: list[tuple[int, int]], see
     # stubs lie in order of the actors' places, so that a stub's actor follows by division
     width, count = np.array([c for c, _ in places], np.int64), np.array([n for _, n in places], np.int64)
     stub0, actor0 = np.concatenate([[0], np.cumsum(width * count)]), np.concatenate([[0], np.cumsum(count)])
+    owner = np.repeat(np.arange(actors, dtype=np.int32 if actors < 1 << 15 else np.int64), np.repeat(width, count)) if total <= OWNERS else None
     at = 0
     for size, groups in sizes:
+        if size == 1:  # meets nobody
+            at += groups
+            continue
         rows = max(1, chunk // size)
         for first in range(0, groups, rows):
             n = min(rows, groups - first)
             stubs = shuffled(np.arange(at + first * size, at + (first + n) * size), total, seed, sim)
-            kind = np.searchsorted(stub0, stubs, "right") - 1
-            own = np.sort((actor0[kind] + (stubs - stub0[kind]) // width[kind]).reshape(n, size), axis=1)
-            # an actor that is drawn twice into a group is there once
-            new = np.ones((n, size), bool)
-            new[:, 1:] = own[:, 1:] != own[:, :-1]
+            if owner is not None:
+                own = owner[stubs]
+            else:
+                kind = np.searchsorted(stub0, stubs, "right") - 1
+                own = actor0[kind] + (stubs - stub0[kind]) // width[kind]
+            own = own.reshape(n, size)
             if size <= 64:
+                # a row for each place, so that pairs of places are whole arrays
+                line = np.ascontiguousarray(own.T)
+                again = np.zeros(n, bool)
                 for i in range(size - 1):
-                    both = new[:, i, None] & new[:, i + 1 :]
-                    yield (own[:, i, None] * actors + own[:, i + 1 :])[both]
-            else:
-                for row, some in zip(own, new, strict=True):
-                    u = row[some]
-                    for i in range(len(u) - 1):
-                        yield u[i] * actors + u[i + 1 :]
+                    for j in range(i + 1, size):
+                        again |= line[i] == line[j]
+                if again.any():
+                    own, line = own[again], line[:, ~again]
+                else:
+                    own = own[:0]
+                for i in range(size - 1):
+                    yield (np.minimum(line[i], line[i + 1 :]) * actors + np.maximum(line[i], line[i + 1 :])).ravel()
+            # an actor that is drawn twice into a group is there once
+            for row in own:
+                u = np.unique(row)
+                for i in range(len(u) - 1):
+                    yield u[i] * actors + u[i + 1 :]
         at += size * groups
 
 
-def permuted(slate: DataFrame, simulations: int, seed: int = 1, pairs: int = 8_000_000) -> DataFrame:
+def permuted(slate: DataFrame, simulations: int, seed: int = 1, pairs: int = 32_000_000, marks: int = 1 << 26) -> DataFrame:
     """(sim, stat): the statistic of `additional` in each of so many configuration-model shuffles: every actor keeps its number of
     places and every group its size; an actor drawn twice into a group is there once.
 
     The statistic depends on how many groups have each size and how many actors each number of places, and on nothing else of the slate. So tasks get these
     two short lists (a total of N has fewer than 2 * sqrt(N) different sizes), and draw for themselves: a keyed bijection says which stub a slot gets, so that nothing is
-    sorted or shuffled. A task counts a simulation's pairs that fall into one share of all pairs, of which there are as many as are needed to hold about `pairs` at once."""
+    sorted or shuffled. Where there are at most `marks` possible pairs, a task marks those that it meets. Else it sorts a simulation's pairs that fall into one share of all pairs, of
+    which there are as many as are needed to hold about `pairs` at once."""
     spark = slate.sparkSession
     lengths = lambda c: [tuple(r) for r in slate.groupBy(c).agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()]
     sizes, places = lengths("g"), lengths("m")
-    shares = 1 + sum(s * (s - 1) // 2 * n for s, n in sizes) // pairs
+    room = sum(n for _, n in places) ** 2
+    marked = room <= marks
+    shares = 1 if marked else 1 + sum(s * (s - 1) // 2 * n for s, n in sizes) // pairs
 
     def run(batches):
         import numpy as np
@@ -115,12 +149,24 @@ def permuted(slate: DataFrame, simulations: int, seed: int = 1, pairs: int = 8_0
 
         from docloom.operators.network import drawn_pairs
 
+        seen = np.zeros(room if marked else 0, bool)
         for batch in batches:
             for unit in batch.column(0).to_pylist():
                 sim, share = divmod(unit, shares)
-                found = [x if shares == 1 else x[x % shares == share] for x in drawn_pairs(sizes, places, seed, sim)]
-                codes = np.concatenate(found) if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([sim], pa.int64()), pa.array([len(codes) - len(np.unique(codes))], pa.int64())], names=["sim", "stat"])
+                if marked:
+                    met = 0
+                    for x in drawn_pairs(sizes, places, seed, sim):
+                        met += len(x)
+                        seen[x] = True
+                    stat = met - int(np.count_nonzero(seen))
+                    seen[:] = False
+                else:
+                    found = [x if shares == 1 else x[x % shares == share] for x in drawn_pairs(sizes, places, seed, sim)]
+                    codes = np.concatenate(found) if found else np.zeros(0, np.int64)
+                    del found
+                    codes.sort()
+                    stat = int(np.count_nonzero(codes[1:] == codes[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array([sim], pa.int64()), pa.array([stat], pa.int64())], names=["sim", "stat"])
 
     units = simulations * shares
     # a task draws some ten million slots, or less where there are cores for it

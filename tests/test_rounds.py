@@ -252,6 +252,16 @@ def test_permuted(spark):
     assert [tuple(r) for r in net.permuted(df.limit(0), 2).orderBy("sim").collect()] == [(0, 0), (1, 0)]
 
 
+def test_permuted_by_marks_or_sorting(spark):
+    """Pairs that are marked, sorted, or sorted in shares, and actors looked up in a list or found by division: one statistic."""
+    rng = random.Random(6)
+    slate = sorted({(rng.randrange(40), rng.choices(range(20), weights=range(1, 21))[0]) for _ in range(200)})
+    df = spark.createDataFrame(slate, "g long, m long")
+    want = {sim: brute_stat(slate, 1, sim) for sim in range(8)}
+    for some in ({}, {"marks": 0}, {"marks": 0, "pairs": 100}):
+        assert {r.sim: r.stat for r in net.permuted(df, 8, **some).collect()} == want
+
+
 def test_permuted_like_independent_shuffles(spark):
     """Mean and spread of the statistic are those of numpy's shuffles."""
     import numpy as np
