@@ -7,22 +7,50 @@ from pyspark.sql import functions as F
 
 from docloom.operators.similar import met_pairs
 
+#: Rows or pairs that a task of a shuffle gets, about.
+ROWS = 1_000_000
 #: Stubs whose actors a task holds in a list; of more, the actor follows by division.
 OWNERS = 1 << 23
 
 
+def enough(df: DataFrame, rows: int) -> int | None:
+    """How many tasks give each at most ROWS of so many rows; None where the session's number of a shuffle does."""
+    n = -(-rows // ROWS)
+    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def members(df: DataFrame, group: str, actor: str) -> DataFrame:
-    return df.select(F.col(group).alias("g"), F.col(actor).alias("m")).dropna().distinct()
+    rows = df.select(F.col(group).alias("g"), F.col(actor).alias("m"))
+    return dealt(rows, enough(df, df.count()), "g", "m").dropna().distinct()
+
+
+def pair_tasks(slate: DataFrame) -> tuple[int | None, int | None]:
+    """How many tasks the join of a slate (g, m) with itself needs by its rows, and how many the sums by pair. Where the actors make but few pairs, sums made where the pairs are
+    found stay small; else the pairs are dealt, and one that meets very often streams through its task."""
+    sizes = slate.groupBy("g").agg(F.count("*").alias("n"))
+    rows, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.expr("sum(n * (n - 1) div 2)"), F.lit(0))).first()
+    sums = enough(slate, pairs)
+    if sums:
+        actors = slate.agg(F.count_distinct("m")).first()[0]
+        if not enough(slate, actors * (actors - 1) // 2):
+            sums = None
+    # a task's rows make its pairs
+    return enough(slate, max(rows, pairs)), sums
 
 
-def co_members(slate: DataFrame, block: int | None = None) -> DataFrame:
+def co_members(slate: DataFrame, block: int | None = None, tasks: int | None = None) -> DataFrame:
     """Unordered pairs (a, b) within each group g. A large group's members are dealt to blocks, and a task gets pairs of blocks."""
     left, right = slate.select("g", F.col("m").alias("a")), slate.select("g", F.col("m").alias("b"))
-    return met_pairs(left, right, ["g"], "a", "b", block, twins=True)
+    return met_pairs(left, right, ["g"], "a", "b", block, twins=True, tasks=tasks)
 
 
 def pair_counts(slate: DataFrame) -> DataFrame:
-    return co_members(slate).groupBy("a", "b").agg(F.count("*").alias("cnt"))
+    tasks, sums = pair_tasks(slate)
+    return dealt(co_members(slate, tasks=tasks).select("a", "b"), sums, "a", "b").groupBy("a", "b").agg(F.count("*").alias("cnt"))
 
 
 def filled_histogram(counts: DataFrame, value: str, n: str = "n") -> DataFrame:
@@ -185,7 +213,8 @@ def cycling(ranked: DataFrame, group: str, who: str, lead: str) -> DataFrame:
     """Per pair (a, b): whether a led b somewhere, b led a somewhere, and both."""
     one = ranked.select(F.col(group).alias("g"), F.col(who).alias("a"), F.col(lead).alias("la"))
     two = ranked.select(F.col(group).alias("g"), F.col(who).alias("b"), F.col(lead).alias("lb"))
-    pair = met_pairs(one, two, ["g"], "a", "b", twins=True).groupBy("a", "b")
+    tasks, sums = pair_tasks(ranked.select(F.col(group).alias("g"), F.col(who).alias("m")))
+    pair = dealt(met_pairs(one, two, ["g"], "a", "b", twins=True, tasks=tasks).select("a", "b", "la", "lb"), sums, "a", "b").groupBy("a", "b")
     return pair.agg(F.bool_or(F.col("la") & ~F.col("lb")).alias("a_over"), F.bool_or(F.col("lb") & ~F.col("la")).alias("b_over")).withColumn("cycles", F.col("a_over") & F.col("b_over"))
 
 

@@ -63,7 +63,8 @@ def null(t):
 
 @query("g07_cycling", "WITH r AS (SELECT l_orderkey AS g, l_suppkey AS m, bool_or(l_linenumber = 1) AS lead FROM lineitem GROUP BY 1, 2), p AS (SELECT a.m AS a, b.m AS b, bool_or(a.lead AND NOT b.lead) AS x, bool_or(b.lead AND NOT a.lead) AS y FROM r a JOIN r b ON a.g = b.g AND a.m < b.m GROUP BY 1, 2) SELECT count(*) AS pairs, sum(CASE WHEN x AND y THEN 1 ELSE 0 END)::BIGINT AS cycling, avg(CASE WHEN x AND y THEN 1.0 ELSE 0.0 END) AS rate FROM p")
 def cycling(t):
-    ranked = t.lineitem.groupBy("l_orderkey", "l_suppkey").agg(F.bool_or(F.col("l_linenumber") == 1).alias("lead"))
+    line = t.lineitem.select("l_orderkey", "l_suppkey", "l_linenumber")
+    ranked = net.dealt(line, net.enough(line, line.count()), "l_orderkey", "l_suppkey").groupBy("l_orderkey", "l_suppkey").agg(F.bool_or(F.col("l_linenumber") == 1).alias("lead"))
     return net.cycling(ranked, "l_orderkey", "l_suppkey", "lead").agg(F.count("*").alias("pairs"), F.count_if("cycles").alias("cycling"), F.avg(F.when(F.col("cycles"), 1.0).otherwise(0.0)).alias("rate"))
 
 

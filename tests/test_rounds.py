@@ -188,6 +188,19 @@ def test_a_large_key_is_a_grid(spark, tasks):
     assert Counter(r.cnt for r in net.co_members(slate, 30).groupBy("a", "b").agg(F.count("*").alias("cnt")).collect()) == Counter({1: 300 * 299 // 2 - 1, 2: 1})
 
 
+def test_pairs_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    """However few tasks the session gives a shuffle; the same counts."""
+    rng = random.Random(3)
+    df = spark.createDataFrame(sorted({(rng.randrange(300), rng.randrange(60)) for _ in range(1_500)}), "l_orderkey long, l_suppkey long").withColumn("l_linenumber", F.lit(1) + F.col("l_suppkey") % 3)
+    rank = df.withColumn("lead", F.col("l_linenumber") == 1)
+    ways = lambda: (net.pair_counts(net.members(df, "l_orderkey", "l_suppkey")), net.cycling(rank, "l_orderkey", "l_suppkey", "lead"))
+    want = [sorted(map(tuple, x.collect())) for x in ways()]
+    monkeypatch.setattr(net, "ROWS", 100)
+    got = ways()
+    assert [sorted(map(tuple, x.collect())) for x in got] == want
+    assert all(len(spread(x)) > 10 and max(spread(x)) < 200 for x in got)
+
+
 def test_edit_pairs(spark):
     rng = random.Random(11)
     words = sorted({"".join(rng.choices("abc", k=rng.randrange(0, 7))) for _ in range(150)} | {"smith", "smyth", "smithe", "schmidt", "é", "ée", "müller", "muller"})
