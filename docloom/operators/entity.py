@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.lookups import HOT_ROWS, lookup
+from docloom.operators.network import enough
 from docloom.operators.ranks import row_numbers
 from docloom.operators.similar import met_pairs, similar_sets
 from docloom.sources.shared import Steps
 
 #: Profiles of a cluster that a task compares with as many of another; clusters that one cluster may take in a round.
 CELL, SUITORS = 1_000, 500
+#: Mentions of one key that a task takes as a whole.
+WHOLE = 20_000
 
 
 def blocked_pairs(df: DataFrame, key: str, blocks: DataFrame, cap: int | None = None) -> DataFrame:
@@ -187,8 +190,63 @@ def rooted(steps: Steps, hooks: DataFrame) -> DataFrame:
 
 def split_mentions(mentions: DataFrame, key: list[str]) -> DataFrame:
     """(mention, part): the mentions of a name key fall into parts that share a firm token or a group; a mention without firm tokens
-    belongs with all of its key. mentions: mention, the key's columns, tokens, grp. Instead of pairs, mentions are linked with a hub
-    of their key and token, key and group, or of the whole key."""
+    belongs with all of its key. mentions: mention, the key's columns, tokens, grp; read more than once, so it should be a kept table. No mention shares a null.
+
+    As parts lie within a key, keys of at most WHOLE mentions are done where their mentions meet, in one shuffle. The mentions of larger ones are linked as a graph."""
+    large = mentions.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") > WHOLE).dropna(subset=key)
+    large = checkpointed(large)
+    if large.isEmpty():
+        return split_in_tasks(mentions, key)
+    few = large.select(*key)
+    return split_in_tasks(lookup(mentions, few, key, "left_anti"), key).unionByName(split_as_graph(lookup(mentions, few, key, "left_semi"), key))
+
+
+def split_in_tasks(mentions: DataFrame, key: list[str]) -> DataFrame:
+    """The parts of keys whose mentions a task can hold, key by key."""
+
+    def parts(ids: list, tokens: list, grps: list) -> list:
+        if any(t is not None and not len(t) for t in tokens):
+            return [ids[0]] * len(ids)
+        up, first = list(range(len(ids))), {}
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        for k, (some, grp) in enumerate(zip(tokens, grps, strict=True)):
+            for link in [*((0, t) for t in some or () if t is not None), *([(1, grp)] if grp is not None else [])]:
+                x, y = root(first.setdefault(link, k)), root(k)
+                up[max(x, y)] = min(x, y)
+        # mentions come in order, so that a part's least one is its root
+        return [ids[root(k)] for k in range(len(ids))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        held, ids, tokens, grps = None, [], [], []
+        for batch in batches:
+            out_ids, out_parts = [], []
+            values = [c.to_pylist() for c in batch.columns]
+            for mention, some, grp, *now in zip(*values, strict=True):
+                if None in now or now != held and not (held and all(x == y or x != x and y != y for x, y in zip(now, held, strict=True))):
+                    out_ids += ids
+                    out_parts += parts(ids, tokens, grps) if len(ids) > 1 else ids
+                    held, ids, tokens, grps = now, [], [], []
+                ids.append(mention)
+                tokens.append(some)
+                grps.append(grp)
+            yield pa.RecordBatch.from_arrays([pa.array(out_ids, pa.int64()), pa.array(out_parts, pa.int64())], names=["mention", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts(ids, tokens, grps) if len(ids) > 1 else ids, pa.int64())], names=["mention", "part"])
+
+    tasks = enough(mentions, mentions.count())
+    rows = mentions.select("mention", "tokens", "grp", *key)
+    rows = rows.repartition(tasks, *key) if tasks else rows.repartition(*key)
+    return rows.sortWithinPartitions(*key, "mention").mapInArrow(run, "mention long, part long")
+
+
+def split_as_graph(mentions: DataFrame, key: list[str]) -> DataFrame:
+    """Instead of pairs, mentions are linked with a hub of their key and token, key and group, or of the whole key."""
     hub = lambda kind, *c: -1 - F.abs(F.xxhash64(F.lit(kind), *key, *c) % (1 << 62))
     lone = mentions.filter(F.size("tokens") == 0).select(*key).distinct().withColumn("__lone", F.lit(True))
     rows = mentions.join(lone, key, "left")

@@ -113,6 +113,31 @@ def test_guarded_chain(spark):
     assert [(r.cluster, r.n, r.top) for r in got] == [(0, last.b, last.a), (last.b, n - last.b, n - 1)]
 
 
+@pytest.mark.parametrize("whole", [1_000, 12, 0])
+def test_split_mentions(spark, monkeypatch, whole):
+    """Keys done in one task and keys done as a graph, by brute force; in one task nothing is written and rows are shuffled once."""
+    rng = random.Random(5)
+    rows = [(k, rng.randrange(9), rng.choice("pq"), rng.sample("abcdefgh", 0 if rng.random() < 0.04 else rng.randrange(1, 3)), rng.choice([None, *range(40)])) for k in range(110)]
+    part = {r[0]: r[0] for r in rows}
+    for _ in rows:  # until nothing changes
+        for x, y in combinations(rows, 2):
+            if x[1:3] == y[1:3] and (not x[3] or not y[3] or set(x[3]) & set(y[3]) or x[4] is not None and x[4] == y[4]):
+                part[x[0]] = part[y[0]] = min(part[x[0]], part[y[0]])
+    monkeypatch.setattr(en, "WHOLE", whole)
+    got = en.split_mentions(spark.createDataFrame(rows, "mention long, k1 int, k2 string, tokens array<string>, grp long"), ["k1", "k2"])
+    assert {r.mention: r.part for r in got.collect()} == part and 20 < len(set(part.values())) < 100
+    if whole == 1_000:
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_split_mentions_of_odd_keys(spark):
+    """NaN is one key, a null is none."""
+    nan = float("nan")
+    rows = [(1, nan, ["a"], None), (2, nan, ["a"], None), (3, None, ["a"], None), (4, None, ["a"], None), (5, 0.0, ["a"], 7), (6, -0.0, ["b"], 7), (7, 0.0, None, None)]
+    got = en.split_mentions(spark.createDataFrame(rows, "mention long, k double, tokens array<string>, grp long"), ["k"])
+    assert {r.mention: r.part for r in got.collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7}
+
+
 def brute_first_come(nodes, links):
     near = {}
     for a, b in links:
