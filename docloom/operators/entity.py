@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.lookups import HOT_ROWS, lookup
-from docloom.operators.network import enough
+from docloom.operators.network import dealt, enough
 from docloom.operators.ranks import row_numbers
 from docloom.operators.similar import met_pairs, similar_sets
 from docloom.sources.shared import Steps
@@ -299,15 +299,18 @@ def greedy_match(edges: DataFrame) -> DataFrame:
 
     Nobody takes the edges one by one: in each round all edges that are the first of both their ends are matched, and the edges of these
     ends go. An edge is first of both ends exactly if the sequential rule takes it before any edge that could prevent it, so the matches
-    are the same."""
-    left = checkpointed(edges.select("grp", "a", "b", (-F.col("score")).alias("s")).dropDuplicates(["grp", "a", "b", "s"]))
+    are the same. A round has as many tasks as the edges that are left need."""
+    ends = lambda df, n, c: dealt(df, n, "grp", c)
+    left = checkpointed(edges.select("grp", "a", "b", (-F.col("score")).alias("s")))
     first = F.min(F.struct("s", "a", "b"))
     done = left.select("grp", "a", "b").limit(0)
-    while not left.isEmpty():
-        of_a = left.groupBy("grp", "a").agg(first.alias("e")).select("grp", "e.a", "e.b")
-        of_b = left.groupBy("grp", "b").agg(first.alias("e")).select("grp", "e.a", "e.b")
+    while count := left.count():
+        n = enough(left, count)
+        of_a = ends(left, n, "a").groupBy("grp", "a").agg(first.alias("e")).select("grp", "e.a", "e.b")
+        of_b = ends(left, n, "b").groupBy("grp", "b").agg(first.alias("e")).select("grp", "e.a", "e.b")
         best = checkpointed(of_a.join(of_b, ["grp", "a", "b"]))
-        left = checkpointed(left.join(best.select("grp", "a"), ["grp", "a"], "left_anti").join(best.select("grp", "b"), ["grp", "b"], "left_anti").select("grp", "a", "b", "s"))
+        rest = ends(left, n, "a").join(best.select("grp", "a"), ["grp", "a"], "left_anti")
+        left = checkpointed(ends(rest, n, "b").join(best.select("grp", "b"), ["grp", "b"], "left_anti").select("grp", "a", "b", "s"))
         done = done.unionByName(best)
     return done
 

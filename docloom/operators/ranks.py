@@ -50,10 +50,10 @@ def top_list(df: DataFrame, keys: list[str], k: int, value: Column, *order, name
     return ranked.groupBy(*keys).agg(F.transform(listed, lambda x: x["v"]).alias(name))
 
 
-def row_numbers(df: DataFrame, name: str, *order) -> DataFrame:
+def row_numbers(df: DataFrame, name: str, *order, tasks: int | None = None) -> DataFrame:
     """Add name = the row's place (from 1) by order, which must be total. Rows are dealt by range and counted; a task numbers one range, and only
-    one row per range meets in one task."""
-    ranged = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
+    one row per range meets in one task. tasks: the number of ranges, if not the session's number of a shuffle."""
+    ranged = (df.repartitionByRange(tasks, *order) if tasks else df.repartitionByRange(*order)).withColumn("__p", F.spark_partition_id())
     base = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
     base = base.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     own = ranged.withColumn("__own", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))

@@ -9,6 +9,7 @@ from docloom.functions import fuzzy as fz
 from docloom.functions import text as tx
 from docloom.operators import entity as en
 from docloom.operators import similar as sm
+from docloom.operators.network import dealt, enough
 from docloom.operators.ranks import row_numbers, top_list
 from docloom.registry import query
 
@@ -258,8 +259,11 @@ def prompt_lines(t):
 def mention_split(t):
     """Mentions are the different brands that a supplier's lines of one quantity have in an order; some have no firm token."""
     part = t.part.select(F.col("p_partkey").alias("l_partkey"), F.when(F.col("p_size") % 11 == 0, "").otherwise(F.col("p_brand")).alias("tok"))
-    seen = t.lineitem.join(part, "l_partkey").select("l_suppkey", "l_quantity", F.col("l_orderkey").alias("grp"), "tok").distinct()
-    mentions = row_numbers(seen, "mention", "l_suppkey", "l_quantity", "grp", "tok")
+    line = t.lineitem.select("l_partkey", "l_suppkey", "l_quantity", F.col("l_orderkey").alias("grp"))
+    tasks = enough(line, line.count())
+    seen = dealt(line, tasks, "l_partkey").join(part, "l_partkey").select("l_suppkey", "l_quantity", "grp", "tok")
+    seen = dealt(seen, tasks, "l_suppkey", "l_quantity", "grp", "tok").distinct()
+    mentions = row_numbers(seen, "mention", "l_suppkey", "l_quantity", "grp", "tok", tasks=tasks)
     tokens = F.when(F.col("tok") == "", F.array().cast("array<string>")).otherwise(F.array("tok"))
     return en.split_mentions(en.checkpointed(mentions.select("mention", "l_suppkey", "l_quantity", "grp", tokens.alias("tokens"))), ["l_suppkey", "l_quantity"])
 
