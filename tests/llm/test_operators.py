@@ -896,3 +896,21 @@ def test_scores_of_any_size():
 @pytest.mark.parametrize("name", ["op11_divergence", "op12_hard_negatives"])
 def test_like_sql(spark, name):
     same(queries.QUERIES[name](spark, DATA), queries.ORACLES[name])
+
+
+def test_log_sums_of_any_scores():
+    """Sums that would run over or under in 32 bits, ordinary ones, and their cost beside moving every row first."""
+    import numpy as np
+
+    from docloom.llm.lm import LogBilinear
+
+    rng = np.random.default_rng(3)
+    for low, high in ((-5, 5), (-79, 79), (-300, -200), (90, 300), (-300, 300)):
+        x = rng.uniform(low, high, (50, 128)).astype(np.float32)
+        want = np.logaddexp.reduce(x.astype(float), axis=1)
+        assert np.allclose(LogBilinear._log_sums(x.copy()), want, rtol=1e-5, atol=1e-5)
+    assert LogBilinear._log_sums(np.zeros((0, 128), np.float32)).shape == (0,)
+    # ordinary scores are not moved: what is left of them are their own exponentials
+    x = np.zeros((2, 128), np.float32) + np.float32(2)
+    LogBilinear._log_sums(x)
+    assert np.allclose(x, np.exp(2))
