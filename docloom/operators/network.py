@@ -14,9 +14,11 @@ OWNERS = 1 << 23
 
 
 def enough(df: DataFrame, rows: int) -> int | None:
-    """How many tasks give each at most ROWS of so many rows; None where the session's number of a shuffle does."""
+    """How many tasks give each at most ROWS of so many rows, and one at least to each core; None where one task does. The session's number of a shuffle is no measure
+    of it: adaptive execution puts its parts together again, by bytes and cores, whatever their rows."""
     n = -(-rows // ROWS)
-    return n if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+    spark = df.sparkSession
+    return max(n, min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))) if n > 1 else None
 
 
 def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:

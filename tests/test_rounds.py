@@ -226,6 +226,24 @@ def test_pairs_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
     assert all(len(spread(x)) > 10 and max(spread(x)) < 200 for x in got)
 
 
+def test_pairs_stay_dealt_where_the_session_has_more_tasks(spark, monkeypatch):
+    """Adaptive execution would put the session's parts together again, to as many as there are cores."""
+    df = spark.range(3_000).selectExpr("id div 5 as l_orderkey", "(id * 7 + id div 11) % 83 as l_suppkey")
+    want = sorted(map(tuple, net.pair_counts(net.members(df, "l_orderkey", "l_suppkey")).collect()))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    monkeypatch.setattr(net, "ROWS", 200)
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        slate = net.members(df, "l_orderkey", "l_suppkey")
+        counts = net.pair_counts(slate)
+        assert max(spread(slate)) < 400 and max(spread(counts)) < 400
+        assert sorted(map(tuple, counts.collect())) == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_edit_pairs(spark):
     rng = random.Random(11)
     words = sorted({"".join(rng.choices("abc", k=rng.randrange(0, 7))) for _ in range(150)} | {"smith", "smyth", "smithe", "schmidt", "é", "ée", "müller", "muller"})
