@@ -37,8 +37,8 @@ FREQUENT, LONGEST = 200_000, 64
 ROUNDS, SHARD_TOKENS, STEPS, BATCH, RATE = 3, 1_000_000, 150, (256, 8_192), 0.3
 #: Words that a task counts before it passes them on; rarer words whose class a task remembers.
 COUNT_WORDS, REMEMBERED = 200_000, 50_000
-#: Tokens that are scored at a time.
-CHUNK = 1 << 17
+#: Tokens that are scored at a time, and whose scores are made at a time; rows of a tile of one class.
+CHUNK, BLOCK, TILE = 1 << 17, 1 << 9, 32
 #: The end token among the words.
 END = b""
 SMOOTH = 0.1
@@ -192,10 +192,15 @@ def by_value(index: np.ndarray) -> np.ndarray:
 
 def row_sums(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of index, and for each the sum of its rows."""
-    order = by_value(index)
-    ordered = index[order]
-    first = np.flatnonzero(np.diff(ordered, prepend=-1))
-    return ordered[first], np.add.reduceat(rows[order], first, axis=0)
+    seen = np.bincount(index)
+    which = np.flatnonzero(seen)
+    place = np.zeros(len(seen), np.intp)
+    place[which] = np.arange(len(which))
+    own = place.take(index)
+    out = np.empty((len(which), rows.shape[1]), np.float32)
+    for j, column in enumerate(np.ascontiguousarray(rows.T, dtype=float)):
+        out[:, j] = np.bincount(own, column)
+    return which, out
 
 
 class LogBilinear:
@@ -245,9 +250,13 @@ class LogBilinear:
     def _add(self, name: str, rows, grad: np.ndarray) -> None:
         """Adagrad on some rows."""
         step, own = self.steps[name], getattr(self, name)
-        sums = step[rows] + grad * grad
+        sums = grad * grad
+        sums += step[rows]
         step[rows] = sums
-        own[rows] += RATE * grad / np.sqrt(sums)
+        np.divide(grad, np.sqrt(sums, out=sums), out=sums)
+        sums *= np.float32(RATE)
+        sums += own[rows]
+        own[rows] = sums
 
     @staticmethod
     def _slopes(true: np.ndarray, noise: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,55 +264,69 @@ class LogBilinear:
         with np.errstate(over="ignore"):
             return 1 / (1 + np.exp(true)), -1 / (1 + np.exp(-noise))
 
+    def hidden(self, r1: np.ndarray, r2: np.ndarray) -> np.ndarray:
+        """What the contexts' vectors say of a target, and 1 for its bias."""
+        h = np.empty((len(r1), DIM + 1), np.float32)
+        np.multiply(r1, self.c[0], out=h[:, :DIM])
+        h[:, :DIM] += r2 * self.c[1]
+        h[:, DIM] = 1
+        return h
+
     def learn(self, one: np.ndarray, two: np.ndarray, target: np.ndarray, rng) -> None:
         """A gradient step on the contrast of the targets' classes with drawn classes, and of the targets with units drawn from
         their class."""
         order = by_value(target)
-        one, two, target = one[order], two[order], target[order]
+        one, two, target = one.take(order), two.take(order), target.take(order)
         kind = target // PLACES
         n = np.float32(len(target))
-        r1, r2 = self.r[one], self.r[two]
-        h = np.ones((len(target), DIM + 1), np.float32)
-        h[:, :DIM] = self.c[0] * r1 + self.c[1] * r2
+        r1, r2 = self.r.take(one, axis=0), self.r.take(two, axis=0)
+        h = self.hidden(r1, r2)
+        # targets are sorted, so that a class is a run of rows
+        first = np.flatnonzero(np.diff(kind, prepend=-1))
+        met, size = kind[first], np.diff(first, append=len(kind))
         # classes
         drawn = rng.choice(self.classes, CLASS_NOISE, p=self.class_noise)
-        kt, kn = self.k[kind], self.k[drawn]
+        kt, kn = self.k.take(kind, axis=0), self.k[drawn]
         shift = np.float32(math.log(CLASS_NOISE))
         et, en = self._slopes(np.einsum("ij,ij->i", h, kt) - self.log_class[kind] - shift, h @ kn.T - self.log_class[drawn] - shift)
-        dh = et[:, None] * kt + en @ kn
-        which, grad = row_sums(np.concatenate([kind, drawn]), np.concatenate([et[:, None] * h, en.T @ h]))
+        kt *= et[:, None]
+        dh = en @ kn
+        dh += kt
+        which, grad = row_sums(np.concatenate([met, drawn]), np.concatenate([np.add.reduceat(np.multiply(h, et[:, None], out=kt), first, axis=0), en.T @ h]))
         self._add("k", which, grad / n)
-        # units within their class: targets are sorted, so that a class is a slice
+        # units within their class: a class's rows fill tiles, the last one up with zeros, so that one product of stacks does all classes
         noise = (self.upto[:, None, :] < rng.random((self.classes, NOISE))[:, :, None]).sum(axis=2) + np.arange(self.classes)[:, None] * PLACES
-        qt, shift = self.q[target], np.float32(math.log(NOISE))
-        first = np.flatnonzero(np.diff(kind, prepend=-1))
-        ends = np.append(first[1:], len(kind))
-        true = np.einsum("ij,ij->i", h, qt) - self.log_inside[target] - shift
-        gap = np.empty((len(target), NOISE), np.float32)
-        for a, b in zip(first, ends, strict=True):
-            ids = noise[kind[a]]
-            np.subtract(h[a:b] @ self.q[ids].T, self.log_inside[ids] + shift, out=gap[a:b])
-        et, en = self._slopes(true, gap)
-        dh += et[:, None] * qt
-        index, rows = [target], [et[:, None] * h]
-        for a, b in zip(first, ends, strict=True):
-            ids = noise[kind[a]]
-            dh[a:b] += en[a:b] @ self.q[ids]
-            index.append(ids)
-            rows.append(en[a:b].T @ h[a:b])
-        which, grad = row_sums(np.concatenate(index), np.concatenate(rows))
+        tiles = -(-size // TILE)
+        begin = np.cumsum(tiles) - tiles
+        place = np.arange(len(kind)) + np.repeat(begin * TILE - first, size)
+        stack = np.zeros((int(tiles.sum()) * TILE, DIM + 1), np.float32)
+        stack[place] = h
+        stack = stack.reshape(-1, TILE, DIM + 1)
+        ids = noise[np.repeat(met, tiles)]
+        qt, qn, shift = self.q.take(target, axis=0), self.q.take(ids, axis=0), np.float32(math.log(NOISE))
+        gap = stack @ qn.transpose(0, 2, 1)
+        gap -= (self.log_inside[ids] + shift)[:, None, :]
+        et, en = self._slopes(np.einsum("ij,ij->i", h, qt) - self.log_inside[target] - shift, gap)
+        qt *= et[:, None]
+        dh += qt
+        dh += (en @ qn).reshape(-1, DIM + 1).take(place, axis=0)
+        own = np.add.reduceat((en.transpose(0, 2, 1) @ stack).reshape(len(stack), -1), begin, axis=0)
+        which, grad = row_sums(np.concatenate([target, noise[met].ravel()]), np.concatenate([np.multiply(h, et[:, None], out=qt), own.reshape(-1, DIM + 1)]))
         self._add("q", which, grad / n)
         dh = dh[:, :DIM] / n
-        which, grad = row_sums(np.concatenate([one, two]), np.concatenate([dh * self.c[0], dh * self.c[1]]))
-        slopes = np.stack([(dh * r1).sum(axis=0), (dh * r2).sum(axis=0)])
+        both = np.empty((2 * len(dh), DIM), np.float32)
+        np.multiply(dh, self.c[0], out=both[: len(dh)])
+        np.multiply(dh, self.c[1], out=both[len(dh) :])
+        which, grad = row_sums(np.concatenate([one, two]), both)
+        slopes = np.stack([np.einsum("ij,ij->j", dh, r1), np.einsum("ij,ij->j", dh, r2)])
         self._add("r", which, grad)
         self._add("c", slice(None), slopes)
 
     @staticmethod
-    def _log_sums(scores: np.ndarray) -> np.ndarray:
-        """log of the sum of exp of each row; scores are overwritten."""
+    def _log_sums(scores: np.ndarray, small: bool = False) -> np.ndarray:
+        """log of the sum of exp of each row; scores are overwritten. small: no score is beyond 80."""
         # without moving each row by its largest score, where no sum runs over or under
-        if scores.size and scores.max() < 80 and scores.min() > -80:
+        if small or scores.size and scores.max() < 80 and scores.min() > -80:
             return np.log(np.exp(scores, out=scores) @ np.ones(scores.shape[1], scores.dtype))
         top = scores.max(axis=1)
         scores -= top[:, None]
@@ -312,24 +335,28 @@ class LogBilinear:
     def log10(self, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised log10-probability of each target."""
         out = np.empty(len(target))
-        held = np.where(self.used, 0, -np.inf).astype(np.float32).reshape(self.classes, PLACES)
+        used = self.used.reshape(self.classes, PLACES)
+        length = lambda x: float(np.einsum("ij,ij->i", x, x).max()) ** 0.5
         for at in range(0, len(target), CHUNK):
             order = by_value(target[at : at + CHUNK]) + at
-            t = target[order]
+            t = target.take(order)
             kind = t // PLACES
-            h = np.ones((len(t), DIM + 1), np.float32)
-            h[:, :DIM] = self.c[0] * self.r[one[order]] + self.c[1] * self.r[two[order]]
-            each = np.einsum("ij,ij->i", h, self.k[kind]) + np.einsum("ij,ij->i", h, self.q[t])
-            for a in range(0, len(t), 1 << 11):
-                each[a : a + (1 << 11)] -= self._log_sums(h[a : a + (1 << 11)] @ self.k.T)
+            h = self.hidden(self.r.take(one.take(order), axis=0), self.r.take(two.take(order), axis=0))
+            each = np.einsum("ij,ij->i", h, self.k.take(kind, axis=0)) + np.einsum("ij,ij->i", h, self.q.take(t, axis=0))
+            # a score is at most as large as its two vectors' lengths multiplied
+            longest = length(h)
+            scores = np.empty((BLOCK, max(self.classes, PLACES)), np.float32)
+
+            def less(a: int, b: int, q: np.ndarray, h=h, each=each, longest=longest, scores=scores) -> None:
+                small = longest * length(q) < 79
+                for x in range(a, b, BLOCK):
+                    y = min(b, x + BLOCK)
+                    each[x:y] -= self._log_sums(np.matmul(h[x:y], q.T, out=scores.ravel()[: (y - x) * len(q)].reshape(y - x, len(q))), small)
+
+            less(0, len(t), self.k)
             first = np.flatnonzero(np.diff(kind, prepend=-1))
             for a, b in zip(first, np.append(first[1:], len(t)), strict=True):
-                own = slice(kind[a] * PLACES, (kind[a] + 1) * PLACES)
-                used = held[kind[a]] == 0
-                q = self.q[own][used]
-                for x in range(a, b, 1 << 11):
-                    y = min(b, x + (1 << 11))
-                    each[x:y] -= self._log_sums(h[x:y] @ q.T)
+                less(a, b, self.q[kind[a] * PLACES : (kind[a] + 1) * PLACES][used[kind[a]]])
             out[order] = each
         return out / math.log(10)
 

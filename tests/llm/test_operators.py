@@ -914,3 +914,48 @@ def test_log_sums_of_any_scores():
     x = np.zeros((2, 128), np.float32) + np.float32(2)
     LogBilinear._log_sums(x)
     assert np.allclose(x, np.exp(2))
+
+
+def test_a_step_takes_all_classes_together():
+    """A gradient step against one made token by token; as many calls for targets of all classes as for those of two."""
+    import sys
+
+    import numpy as np
+
+    from docloom.llm import lm
+
+    words = [b"w%d" % k for k in range(lm.CLASSES * (lm.PLACES - 1))]
+    vocab = lm.Vocabulary(words, np.arange(20_000, 20_000 - len(words), -1), 10**9, 10**6).with_rest({k: (10**7, 5_000) for k in range(lm.CLASSES)})
+    rng = np.random.default_rng(2)
+
+    def step(units: int):
+        m, calls = lm.LogBilinear(vocab.mass, vocab.used), []
+        start = {name: getattr(m, name).astype(float) for name in m.NAMES}
+        one, two, target = rng.integers(0, 40, 400).astype(np.int32), rng.integers(0, m.units + 1, 400).astype(np.int32), np.append(rng.integers(0, units, 399), units - 1).astype(np.int32)
+        sys.setprofile(lambda frame, event, arg: calls.append(event))
+        try:
+            m.learn(one, two, target, np.random.default_rng(7))
+        finally:
+            sys.setprofile(None)
+        return m, start, one, two, target, len(calls)
+
+    m, start, one, two, target, calls = step(vocab.units)
+    assert len({*(target // lm.PLACES).tolist()}) > 100 and abs(calls - step(2 * lm.PLACES)[-1]) < 20
+    again = np.random.default_rng(7)
+    drawn = again.choice(m.classes, lm.CLASS_NOISE, p=m.class_noise)
+    draws = again.random((m.classes, lm.NOISE))
+    slope = {name: np.zeros_like(x) for name, x in start.items()}
+    for a, b, t in zip(one, two, target, strict=True):
+        h, kind = np.append(start["c"][0] * start["r"][a] + start["c"][1] * start["r"][b], 1), t // lm.PLACES
+        dh = np.zeros_like(h)
+        noise = [kind * lm.PLACES + int((m.upto[kind] < u).sum()) for u in draws[kind]]
+        for name, true, false, logs in (("k", kind, drawn, m.log_class), ("q", t, noise, m.log_inside)):
+            for at, sign in [(true, 1), *((x, -1) for x in false)]:
+                e = sign / (1 + np.exp(sign * (h @ start[name][at] - logs[at] - np.log(len(false)))))
+                slope[name][at] += e * h / len(target)
+                dh += e * start[name][at] / len(target)
+        for place, x in enumerate((a, b)):
+            slope["r"][x] += dh[:-1] * start["c"][place]
+            slope["c"][place] += dh[:-1] * start["r"][x]
+    for name, x in start.items():
+        assert np.allclose(getattr(m, name), x + lm.RATE * slope[name] / np.sqrt(1e-3 + slope[name] ** 2), atol=1e-4), name
