@@ -38,7 +38,7 @@ ROUNDS, SHARD_TOKENS, STEPS, BATCH, RATE = 3, 1_000_000, 150, (256, 8_192), 0.3
 #: Words that a task counts before it passes them on; rarer words whose class a task remembers.
 COUNT_WORDS, REMEMBERED = 200_000, 50_000
 #: Tokens that are scored at a time, and whose scores are made at a time; rows of a tile of one class.
-CHUNK, BLOCK, TILE = 1 << 17, 1 << 9, 32
+CHUNK, BLOCK, TILE = 1 << 17, 1 << 11, 32
 #: The end token among the words.
 END = b""
 SMOOTH = 0.1
