@@ -33,13 +33,13 @@ def members(df: DataFrame, group: str, actor: str) -> DataFrame:
 def pair_tasks(slate: DataFrame) -> tuple[int | None, int | None]:
     """How many tasks the join of a slate (g, m) with itself needs by its rows, and how many the sums by pair. Where the actors make but few pairs, sums made where the pairs are
     found stay small; else the pairs are dealt, and one that meets very often streams through its task."""
-    sizes = slate.groupBy("g").agg(F.count("*").alias("n"))
-    rows, pairs = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.expr("sum(n * (n - 1) div 2)"), F.lit(0))).first()
+    # about how many actors is enough to choose by
+    rows, actors = slate.agg(F.count("*"), F.approx_count_distinct("m")).first()
+    sizes = dealt(slate.select("g"), enough(slate, rows), "g").groupBy("g").agg(F.count("*").alias("n"))
+    pairs = sizes.agg(F.coalesce(F.expr("sum(n * (n - 1) div 2)"), F.lit(0))).first()[0]
     sums = enough(slate, pairs)
-    if sums:
-        actors = slate.agg(F.count_distinct("m")).first()[0]
-        if not enough(slate, actors * (actors - 1) // 2):
-            sums = None
+    if sums and not enough(slate, actors * (actors - 1) // 2):
+        sums = None
     # a task's rows make its pairs
     return enough(slate, max(rows, pairs)), sums
 

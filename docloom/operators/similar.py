@@ -15,9 +15,10 @@ BLOCK, FEW = 1_000, 100_000
 def met_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str, block: int | None = None, ordered: bool = True, twins: bool = False, tasks: int | None = None) -> DataFrame:
     """left joined with right on the keys, of which columns a and b tell rows apart; both tables are read more than once. A key with many rows is a grid of
     blocks of them: each row goes to all cells of its block's line, and a task gets single cells, never the key as a whole. ordered: only a < b. twins: both sides have as many rows of each key.
-    tasks: how many tasks the join is dealt to, if not the session's number of a shuffle."""
+    tasks: how many tasks the join and the counts by key are dealt to, if not the session's number of a shuffle."""
     block = BLOCK if block is None else block
-    blocks = lambda df: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("n")).filter("n > 1")
+    spaced = lambda df, *c: df.repartition(tasks, *keys, *c) if tasks else df
+    blocks = lambda df: spaced(df.select(*keys)).groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("n")).filter("n > 1")
     wide_l = blocks(left)
     if twins:
         grid = wide_l.select(*keys, F.col("n").alias("__nl"), F.col("n").alias("__nr"))
@@ -25,7 +26,6 @@ def met_pairs(left: DataFrame, right: DataFrame, keys: list[str], a: str, b: str
         grid = wide_l.withColumnRenamed("n", "__nl").join(blocks(right).withColumnRenamed("n", "__nr"), keys, "full_outer")
         grid = grid.select(*keys, F.coalesce("__nl", F.lit(1)).alias("__nl"), F.coalesce("__nr", F.lit(1)).alias("__nr"))
     large = grid.count()
-    spaced = lambda df, *c: df.repartition(tasks, *keys, *c) if tasks else df
     if not large:
         out = spaced(left).join(spaced(right), keys)
         return out.filter(F.col(a) < F.col(b)) if ordered else out

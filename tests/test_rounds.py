@@ -244,6 +244,28 @@ def test_pairs_stay_dealt_where_the_session_has_more_tasks(spark, monkeypatch):
             spark.conf.set(k, v)
 
 
+def test_groups_are_counted_in_as_many_tasks_as_they_need(spark, monkeypatch):
+    """No shuffle of the pair counts keeps the session's number of tasks, the counts by group before them included."""
+    df = spark.range(3_000).selectExpr("id div 5 as l_orderkey", "(id * 7 + id div 11) % 83 as l_suppkey", "id % 5 = 0 as lead")
+    ways = lambda: (net.pair_counts(net.members(df, "l_orderkey", "l_suppkey")), net.cycling(df, "l_orderkey", "l_suppkey", "lead"))
+    want = [sorted(map(tuple, x.collect())) for x in ways()]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    monkeypatch.setattr(net, "ROWS", 200)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        spark.sparkContext.setJobGroup("counts by group", "")
+        assert [sorted(map(tuple, x.collect())) for x in ways()] == want
+        stages = [s for job in tracker.getJobIdsForGroup("counts by group") for s in tracker.getJobInfo(job).stageIds]
+        tasks = Counter(tracker.getStageInfo(s).numTasks for s in stages)
+        assert 7 not in tasks and 15 in tasks, tasks
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_edit_pairs(spark):
     rng = random.Random(11)
     words = sorted({"".join(rng.choices("abc", k=rng.randrange(0, 7))) for _ in range(150)} | {"smith", "smyth", "smithe", "schmidt", "é", "ée", "müller", "muller"})
