@@ -9,8 +9,6 @@ from docloom.operators.similar import met_pairs
 
 #: Rows or pairs that a task of a shuffle gets, about.
 ROWS = 1_000_000
-#: Stubs whose actors a task holds in a list; of more, the actor follows by division.
-OWNERS = 1 << 23
 
 
 def enough(df: DataFrame, rows: int) -> int | None:
@@ -71,136 +69,185 @@ def additional(slate: DataFrame) -> DataFrame:
     return pair_counts(slate).agg(F.coalesce(F.sum(F.greatest(F.col("cnt") - 1, F.lit(0))), F.lit(0)).alias("stat"))
 
 
-def shuffled(slots, total: int, seed: int, sim: int):
-    """The stub that each slot gets in a simulation: a keyed bijection of the numbers below total. Six rounds of a Feistel network over the next power of four; a
-    number that comes out too large goes through it again."""
+def shuffle(total: int, seed: int, sim: int):
+    """The function that gives each slot its stub in a simulation: a keyed bijection of the numbers below total. Six rounds of a Feistel network, whose round functions
+    are lists of random numbers; its halves have 2^b and as many values as are needed for total, so that hardly a number comes out too large and goes through it again."""
     import numpy as np
 
-    def mixed(x):
-        x ^= x >> np.uint64(30)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(27)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
+    b = max(4, (max(2, total) - 1).bit_length() + 1 >> 1)
+    wide = max(16, -(-total // (1 << b)))
+    rng = np.random.Generator(np.random.PCG64([seed, sim]))
+    lists = [rng.integers(0, *((1 << b, wide) if k % 2 == 0 else (wide, 1 << b)), dtype=np.int64) for k in range(6)]
+    shift, mask = np.int64(b), np.int64((1 << b) - 1)
+
+    def once(x):
+        # in place, as most of the time would go into new arrays
+        left, right, drawn = x >> shift, x & mask, np.empty_like(x)
+        for k in range(0, 6, 2):
+            np.take(lists[k], left, out=drawn, mode="clip")
+            right ^= drawn
+            np.take(lists[k + 1], right, out=drawn, mode="clip")
+            left += drawn
+            # what is below zero is the larger number without a sign
+            np.subtract(left, wide, out=drawn)
+            np.minimum(left.view(np.uint64), drawn.view(np.uint64), out=left.view(np.uint64))
+        left <<= shift
+        left |= right
+        return left
+
+    def of(slots):
+        x = once(np.asarray(slots, np.int64))
+        while len(again := np.flatnonzero(x >= total)):
+            x[again] = once(x[again])
         return x
 
-    half = max(4, (max(2, total) - 1).bit_length() + 1 >> 1)
-    # numbers of 32 bits where they are enough: half the memory, and the processor multiplies more of them at once
-    word, bits = (np.uint32, 32) if half <= 16 else (np.uint64, 64)
-    one, two = (word(0x9E3779B1), word(0x85EBCA6B)) if bits == 32 else (word(0xBF58476D1CE4E5B9), word(0x94D049BB133111EB))
-    mask, shift, top, fold = word((1 << half) - 1), word(half), word(bits - half), word(bits // 2 - 1)
-    with np.errstate(over="ignore"):
-        keys = mixed(mixed(np.array([seed], np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(sim)) + np.arange(1, 7, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        keys = (keys >> np.uint64(64 - bits)).astype(word)
-        out, again = np.empty(len(slots), np.int64), np.arange(len(slots))
-        x = slots.astype(word)
-        while len(again):
-            left, right = x >> shift, x & mask
-            for k in keys:
-                # in place, as most of the time would go into new arrays
-                drawn = right + k
-                drawn *= one
-                drawn ^= drawn >> fold
-                drawn *= two
-                drawn >>= top
-                drawn ^= left
-                left, right = right, drawn
-            x = left << shift | right
-            fits = x < total
-            out[again[fits]] = x[fits].astype(np.int64)
-            again, x = again[~fits], x[~fits]
-    return out
-
-
-def drawn_pairs(sizes: list[tuple[int, int]], places: list[tuple[int, int]], seed: int, sim: int, chunk: int = 1 << 17):
-    """The pairs of actors that meet in each group of one simulation, as numbers a * actors + b, some groups at a time. sizes: (size, groups of it); places: (places of
-    an actor, actors that have so many), both in order."""
+    return of
+
+
+def shuffled(slots, total: int, seed: int, sim: int):
+    """The stub that each slot gets in a simulation."""
+    return shuffle(total, seed, sim)(slots)
+
+
+def owners(places: list[tuple[int, int]]):
+    """The function that gives each stub its actor; stubs and actors lie in order of the actors' places. A list says who has the first stub of each block, and bisection who
+    of the block's has the stub: small lists, as a list of all stubs would be read out of order, from memory."""
     import numpy as np
 
-    total, actors = sum(s * n for s, n in sizes), sum(n for _, n in places)
-    # stubs lie in order of the actors' places, so that a stub's actor follows by division
-    width, count = np.array([c for c, _ in places], np.int64), np.array([n for _, n in places], np.int64)
-    stub0, actor0 = np.concatenate([[0], np.cumsum(width * count)]), np.concatenate([[0], np.cumsum(count)])
-    owner = np.repeat(np.arange(actors, dtype=np.int32 if actors < 1 << 15 else np.int64), np.repeat(width, count)) if total <= OWNERS else None
+    starts = np.concatenate([[0], np.cumsum(np.repeat(np.array([c for c, _ in places], np.int64), np.array([n for _, n in places], np.int64)))])
+    total = int(starts[-1])
+    bits = max(0, places[0][0].bit_length() - 1, total.bit_length() - 17) if places else 0
+    heads = np.searchsorted(starts, np.append(np.arange(0, total, 1 << bits), max(0, total - 1)), "right") - 1
+    most = int(np.diff(heads).max(initial=0))
+    steps = [1 << k for k in reversed(range(most.bit_length()))]
+
+    def of(stubs):
+        own = np.take(heads, stubs >> np.int64(bits), mode="clip")
+        for step in steps:
+            own += (np.take(starts, own + step, mode="clip") <= stubs) * np.int64(step)
+        return own
+
+    return of
+
+
+def pair_bits(actors: int) -> int:
+    """Bits of a pair's number."""
+    return 32 if actors <= 1 << 16 else 64
+
+
+def shares_of(sizes: list[tuple[int, int]], actors: int, pairs: int) -> int:
+    """In how many shares a task sorts the pairs of a simulation, each of which draws it anew; pairs: how many of 64 bits it holds."""
+    return 1 + sum(s * (s - 1) // 2 * n for s, n in sizes) * pair_bits(actors) // (64 * pairs)
+
+
+def drawn_pairs(sizes: list[tuple[int, int]], places: list[tuple[int, int]], seed: int, sim: int, chunk: int = 1 << 15, owner=None):
+    """The pairs of actors that meet in each group of one simulation, as numbers a * actors + b (of 32 bits where they are enough), some groups at a time. sizes: (size, groups of it);
+    places: (places of an actor, actors that have so many), both in order; owner: `owners` of places."""
+    import numpy as np
+
+    actors = sum(n for _, n in places)
+    word = np.dtype(f"uint{pair_bits(actors)}").type
+    base = word(min(actors, np.iinfo(word).max))
+    stub, owner = shuffle(sum(s * n for s, n in sizes), seed, sim), owner or owners(places)
     at = 0
     for size, groups in sizes:
         if size == 1:  # meets nobody
             at += groups
             continue
-        rows = max(1, chunk // size)
+        rows, twice = max(1, chunk // size), []
         for first in range(0, groups, rows):
             n = min(rows, groups - first)
-            stubs = shuffled(np.arange(at + first * size, at + (first + n) * size), total, seed, sim)
-            if owner is not None:
-                own = owner[stubs]
-            else:
-                kind = np.searchsorted(stub0, stubs, "right") - 1
-                own = actor0[kind] + (stubs - stub0[kind]) // width[kind]
-            own = own.reshape(n, size)
-            if size <= 64:
-                # a row for each place, so that pairs of places are whole arrays
-                line = np.ascontiguousarray(own.T)
-                again = np.zeros(n, bool)
-                for i in range(size - 1):
-                    for j in range(i + 1, size):
-                        again |= line[i] == line[j]
-                if again.any():
-                    own, line = own[again], line[:, ~again]
-                else:
-                    own = own[:0]
-                for i in range(size - 1):
-                    yield (np.minimum(line[i], line[i + 1 :]) * actors + np.maximum(line[i], line[i + 1 :])).ravel()
-            # an actor that is drawn twice into a group is there once
-            for row in own:
-                u = np.unique(row)
-                for i in range(len(u) - 1):
-                    yield u[i] * actors + u[i + 1 :]
+            # a row for each place, so that pairs of places are whole arrays
+            slots = np.arange(at + first * size, at + (first + n) * size, size) + np.arange(size)[:, None]
+            line = owner(stub(slots.ravel())).astype(word).reshape(size, n)
+            if size > 64:
+                for k in range(n):
+                    u = np.unique(line[:, k])
+                    for i in range(len(u) - 1):
+                        yield u[i] * base + u[i + 1 :]
+                continue
+            again = np.zeros(n, bool)
+            for i in range(size - 1):
+                again |= (line[i] == line[i + 1 :]).any(axis=0)
+            if len(some := np.flatnonzero(again)):
+                # an actor that is drawn twice into a group is there once: these come later, and others take their places
+                twice.append(line[:, some])
+                n -= len(some)
+                line[:, some[some < n]] = line[:, n:][:, ~again[n:]]
+                line = line[:, :n]
+            for i in range(size - 1):
+                met = np.minimum(line[i], line[i + 1 :])
+                met *= base
+                met += np.maximum(line[i], line[i + 1 :])
+                yield met.ravel()
+        if twice:
+            line = np.sort(np.concatenate(twice, axis=1), axis=0)
+            new = np.ones(line.shape, bool)
+            np.not_equal(line[1:], line[:-1], out=new[1:])
+            for i in range(size - 1):
+                yield (line[i] * base + line[i + 1 :])[new[i] & new[i + 1 :]]
         at += size * groups
 
 
-def permuted(slate: DataFrame, simulations: int, seed: int = 1, pairs: int = 32_000_000, marks: int = 1 << 26) -> DataFrame:
+def repeats(found, codes) -> int:
+    """How many of the numbers in these arrays came before; codes: an array to hold them, which is used again and again as new memory takes time; where it is too small, others are made."""
+    import numpy as np
+
+    n = 0
+    for x in found:
+        if n + len(x) > len(codes):
+            codes = np.concatenate([codes[:n], np.empty(max(len(x), n >> 3), codes.dtype)])
+        codes[n : n + len(x)] = x
+        n += len(x)
+    codes = codes[:n]
+    codes.sort()
+    step = 1 << 20
+    return sum(int(np.count_nonzero(codes[k + 1 : k + step + 1] == codes[k : min(k + step, n - 1)])) for k in range(0, n - 1, step))
+
+
+def permuted(slate: DataFrame, simulations: int, seed: int = 1, pairs: int = 64_000_000, marks: int = 1 << 26) -> DataFrame:
     """(sim, stat): the statistic of `additional` in each of so many configuration-model shuffles: every actor keeps its number of
     places and every group its size; an actor drawn twice into a group is there once.
 
     The statistic depends on how many groups have each size and how many actors each number of places, and on nothing else of the slate. So tasks get these
     two short lists (a total of N has fewer than 2 * sqrt(N) different sizes), and draw for themselves: a keyed bijection says which stub a slot gets, so that nothing is
     sorted or shuffled. Where there are at most `marks` possible pairs, a task marks those that it meets. Else it sorts a simulation's pairs that fall into one share of all pairs, of
-    which there are as many as are needed to hold about `pairs` at once."""
+    which there are as many as are needed to hold about `pairs` numbers of 64 bits at once."""
     spark = slate.sparkSession
     lengths = lambda c: [tuple(r) for r in slate.groupBy(c).agg(F.count("*").alias("k")).groupBy("k").agg(F.count("*").alias("n")).orderBy("k").collect()]
     sizes, places = lengths("g"), lengths("m")
-    room = sum(n for _, n in places) ** 2
-    marked = room <= marks
-    shares = 1 if marked else 1 + sum(s * (s - 1) // 2 * n for s, n in sizes) // pairs
+    actors = sum(n for _, n in places)
+    marked = actors**2 <= marks
+    shares = 1 if marked else shares_of(sizes, actors, pairs)
+    room = sum(s * (s - 1) // 2 * n for s, n in sizes)
+    room = room if shares == 1 else room // shares * 17 // 16
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        from docloom.operators.network import drawn_pairs
+        from docloom.operators.network import drawn_pairs, owners, pair_bits, repeats
 
-        seen = np.zeros(room if marked else 0, bool)
+        owner = owners(places)
+        seen, codes = np.zeros(actors**2 if marked else 0, bool), np.empty(0 if marked else room, f"uint{pair_bits(actors)}")
         for batch in batches:
             for unit in batch.column(0).to_pylist():
                 sim, share = divmod(unit, shares)
                 if marked:
                     met = 0
-                    for x in drawn_pairs(sizes, places, seed, sim):
+                    for x in drawn_pairs(sizes, places, seed, sim, owner=owner):
                         met += len(x)
                         seen[x] = True
                     stat = met - int(np.count_nonzero(seen))
                     seen[:] = False
                 else:
-                    found = [x if shares == 1 else x[x % shares == share] for x in drawn_pairs(sizes, places, seed, sim)]
-                    codes = np.concatenate(found) if found else np.zeros(0, np.int64)
-                    del found
-                    codes.sort()
-                    stat = int(np.count_nonzero(codes[1:] == codes[:-1]))
+                    found = drawn_pairs(sizes, places, seed, sim, owner=owner)
+                    stat = repeats(found if shares == 1 else (x[x % x.dtype.type(shares) == share] for x in found), codes)
                 yield pa.RecordBatch.from_arrays([pa.array([sim], pa.int64()), pa.array([stat], pa.int64())], names=["sim", "stat"])
 
     units = simulations * shares
-    # a task draws some ten million slots, or less where there are cores for it
-    tasks = max(2 * spark.sparkContext.defaultParallelism, units * sum(s * n for s, n in sizes) // 10_000_000)
+    # a task draws some hundred million slots (a few seconds), or less where there are cores for it
+    tasks = max(4 * spark.sparkContext.defaultParallelism, units * sum(s * n for s, n in sizes) // 100_000_000)
     each = spark.range(0, units, 1, max(1, min(units, tasks))).mapInArrow(run, "sim long, stat long")
     return each.groupBy("sim").agg(F.sum("stat").alias("stat"))
 

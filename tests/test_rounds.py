@@ -340,6 +340,64 @@ def test_permuted_by_marks_or_sorting(spark):
         assert {r.sim: r.stat for r in net.permuted(df, 8, **some).collect()} == want
 
 
+def test_owners():
+    import numpy as np
+
+    for places in ([(1, 1)], [(3, 40)], [(600, 50), (601, 7)], [(1, 5_000), (2, 30), (700, 3), (400_000, 1)], [(1, 1), (300_000, 2)]):
+        every = np.repeat(np.arange(sum(n for _, n in places)), np.repeat(*np.array(places).T))
+        assert (net.owners(places)(np.arange(len(every))) == every).all()
+
+
+@pytest.mark.parametrize("actors", [40_000, 70_000])
+def test_large_simulation(actors):
+    """Many actors, groups of all kinds: pairs have 32 bits where they are enough, and the statistic is the one of a count pair by pair."""
+    import numpy as np
+
+    rng = np.random.default_rng(actors)
+    places, sizes = Counter((1 + rng.geometric(0.4, actors)).tolist()), [(1, 500), (2, 9_000), (3, 9_000), (70, 2), (90, 1)]
+    left = sum(c * n for c, n in places.items()) - sum(s * n for s, n in sizes)
+    sizes, places = sorted([*sizes, (4, (left - left % 4) // 4), *([(left % 4 + 100, 1)] if left % 4 else [])]), sorted(places.items())
+    # what the last group takes too many, an actor more has
+    places = sorted(Counter({c: n for c, n in places} | {100: 1}).items()) if left % 4 else places
+    stubs = np.repeat(np.arange(sum(n for _, n in places)), np.repeat(*np.array(places).T))
+    total = sum(s * n for s, n in sizes)
+    assert len(stubs) == total
+    drawn, met, at = stubs[net.shuffled(np.arange(total), total, 1, 3)].tolist(), Counter(), 0
+    for size, groups in sizes:
+        for _ in range(groups):
+            met.update(combinations(sorted(set(drawn[at : at + size])), 2))
+            at += size
+    found = list(net.drawn_pairs(sizes, places, 1, 3))
+    assert {x.dtype.itemsize for x in found} == {4 if actors == 40_000 else 8}
+    assert sum(map(len, found)) == sum(met.values())
+    for room in (0, 1_000, total * 9):
+        assert net.repeats(iter(found), np.empty(room, found[0].dtype)) == sum(met.values()) - len(met)
+
+
+def test_a_task_holds_a_simulation_of_large_tables():
+    """Sixty times sf0.1 (36 million lines, 60,000 suppliers): drawn once for each simulation; with more actors in shares, each within the memory."""
+    sizes = [(k + 1, 60 * n) for k, n in enumerate([11033, 21901, 29587, 29121, 23637, 15589, 8888, 4347, 1917, 802, 287, 85, 29, 9, 1, 3])]
+    assert net.shares_of(sizes, 60_000, 64_000_000) == 1
+    assert net.shares_of(sizes, 70_000, 64_000_000) == 2
+
+
+def test_shuffles_beyond_a_power_cost_no_more():
+    """A number too large goes through the bijection again: hardly any does, whatever the total."""
+    import time
+
+    import numpy as np
+
+    def took(total):
+        slots, best = np.arange(total), 9.0
+        for _ in range(7):
+            began = time.perf_counter()
+            net.shuffled(slots, total, 1, 1)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took((1 << 18) + 1) < 2.5 * took(1 << 18)
+
+
 def test_permuted_like_independent_shuffles(spark):
     """Mean and spread of the statistic are those of numpy's shuffles."""
     import numpy as np
