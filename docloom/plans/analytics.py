@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.operators import network as net
 from docloom.operators.ranks import medians, row_numbers, top_list
 from docloom.registry import query
+from docloom.sources.shared import Steps
 
 PAIRS = "SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(*) AS cnt FROM s a JOIN s b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2"
 SLATE = "s AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem), p AS (" + PAIRS + ")"
@@ -56,9 +57,11 @@ def additional(t):
 @query("g06_m11_permutation_null")
 def null(t):
     """A thousand shuffles of all suppliers over all orders: how often pairs meet again, and how often by chance as often as in fact."""
-    s = slate(t)
-    observed = net.additional(s).withColumnRenamed("stat", "observed")
-    return net.permuted(s, 1_000).join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.avg("stat").alias("null_mean"), F.avg((F.col("stat") >= F.col("observed")).cast("double")).alias("p"))
+    steps = Steps(t.spark)
+    s = steps.keep("slate", slate(t))
+    shuffles = net.permuted(s, 1_000)
+    observed = steps.last(net.additional(s).withColumnRenamed("stat", "observed"))
+    return shuffles.join(F.broadcast(observed)).agg(F.first("observed").alias("observed"), F.avg("stat").alias("null_mean"), F.avg((F.col("stat") >= F.col("observed")).cast("double")).alias("p"))
 
 
 @query("g07_cycling", "WITH r AS (SELECT l_orderkey AS g, l_suppkey AS m, bool_or(l_linenumber = 1) AS lead FROM lineitem GROUP BY 1, 2), p AS (SELECT a.m AS a, b.m AS b, bool_or(a.lead AND NOT b.lead) AS x, bool_or(b.lead AND NOT a.lead) AS y FROM r a JOIN r b ON a.g = b.g AND a.m < b.m GROUP BY 1, 2) SELECT count(*) AS pairs, sum(CASE WHEN x AND y THEN 1 ELSE 0 END)::BIGINT AS cycling, avg(CASE WHEN x AND y THEN 1.0 ELSE 0.0 END) AS rate FROM p")
